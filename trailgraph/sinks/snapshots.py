@@ -58,11 +58,12 @@ class StorageFormat:
 
 
 def write_snapshot(vertices: DataFrame, path: str, storage_format: StorageFormat) -> None:
-    """Write ``(id, value)`` of the vertices; binary formats keep the type."""
+    """Write ``(id, value)`` of the vertices; binary formats keep the type.
+
+    Avro needs the spark-avro package; without it Spark says so.
+    """
     value = F.col("attr") if "attr" in vertices.columns else F.lit(None).cast("string")
     rows = vertices.select("id", value.alias("value"))
-    if storage_format.name == "AvroFile":
-        _require_avro(vertices.sparkSession)
     if storage_format.source == "text":
         rows = rows.select(
             F.format_string("(%s,%s)", F.col("id"), F.col("value").cast("string")).alias("line")
@@ -127,14 +128,3 @@ def snapshot_sizes(spark: SparkSession, locations: dict[int, str]) -> DataFrame:
         F.coalesce("size", F.lit(0)).cast("bigint").alias("size"),
         F.coalesce("location", F.lit("<not stored>")).alias("location"),
     )
-
-
-def _require_avro(spark: SparkSession) -> None:
-    try:
-        spark.sparkContext._jvm.java.lang.Class.forName(
-            "org.apache.spark.sql.avro.AvroFileFormat"
-        )
-    except Exception as error:
-        raise RuntimeError(
-            "AvroFile() needs the spark-avro package on the class path"
-        ) from error
