@@ -38,6 +38,7 @@ def vertex_table(workspace: Workspace, vertices: DataFrame, edges: DataFrame) ->
         "vertices",
         degrees,
         vertices=F.count(F.lit(1)),
+        smallest_id=F.min("id"),
         edges=F.coalesce(F.sum("out_degree"), zero),
         dangling=F.count_if(F.col("out_degree") == 0),
         max_out=F.coalesce(F.max("out_degree"), zero),
