@@ -54,13 +54,14 @@ def wcc(
 
 
 def contract(ready: PreparedGraph) -> DataFrame:
-    """Components by randomised contraction (Bögeholz, Brand and Todor, 2020).
-
-    Each round every vertex takes the neighbour (or itself) that comes first in
-    a random order as its representative, and the edges are rewritten to
-    representatives, without loops and copies.  The number of vertices left
-    falls by a constant factor in expectation, so all rounds together move
-    little more than the first.
+    """Components by randomised contraction, after Bögeholz, Brand and Todor,
+    In-database connected component analysis (2020).
+
+    Each round every vertex points to the neighbour (or itself) that comes first
+    in a random order, follows its pointer once more, and the edges are
+    rewritten to where that leads, without loops and copies.  The number of
+    vertices left falls by a constant factor in expectation, so all rounds
+    together move little more than the first.
     """
     workspace = Workspace(ready.spark, "components")
     edges = _rewritten(workspace, "edges=0", ready.edges.select("src", "dst"))
@@ -69,7 +70,7 @@ def contract(ready: PreparedGraph) -> DataFrame:
         number = len(maps)
         representatives = workspace.write(
             f"map={number}",
-            _representatives(edges.df, number),
+            _representatives(edges.df),
             largest=F.max("degree"),
         )
         maps.append(representatives)
@@ -79,9 +80,14 @@ def contract(ready: PreparedGraph) -> DataFrame:
             hot = representatives.df.filter(F.col("degree") > limit).select(
                 F.col("id").alias("hot_id")
             )
+        # A pointer leads to a neighbour, so few or hot as the degrees are, so
+        # are the pointers that share a target.
+        pointers = representatives.df.select(F.col("id").alias("of"), "rep")
+        onward = representatives.df.select("id", F.col("rep").alias("final"))
+        followed = skew.lookup(pointers, "rep", onward, "id", hot)
         moved = edges.df
         for end in ("src", "dst"):
-            table = representatives.df.select("id", F.col("rep").alias(f"new_{end}"))
+            table = followed.select(F.col("of").alias("id"), F.col("final").alias(f"new_{end}"))
             moved = skew.lookup(moved, end, table, "id", hot).drop("id")
         following = _rewritten(
             workspace,
@@ -107,12 +113,16 @@ def _rewritten(workspace: Workspace, name: str, edges: DataFrame) -> Table:
     return workspace.write(name, pairs, edges=F.count(F.lit(1)))
 
 
-def _representatives(edges: DataFrame, number: int) -> DataFrame:
-    """``(id, rep, degree)``: the first of each vertex and its neighbours in the
-    random order of this round."""
+def _representatives(edges: DataFrame) -> DataFrame:
+    """``(id, rep, degree)``: the first of each vertex and its neighbours in a
+    random order.
+
+    The order stays the same over the rounds: the hub of a star passes its place
+    on to its first leaf, to which all others point in the round after.
+    """
 
     def place(column: str):
-        return F.struct(F.xxhash64(column, F.lit(number)).alias("h"), F.col(column).alias("v"))
+        return F.struct(F.xxhash64(column).alias("h"), F.col(column).alias("v"))
 
     first = symmetric(edges).groupBy(F.col("src").alias("id")).agg(
         F.min(place("dst")).alias("best"), F.count(F.lit(1)).alias("degree")
@@ -129,7 +139,9 @@ def _compose(workspace: Workspace, maps: list[Table]) -> DataFrame | None:
     if not maps:
         return None
     composed = maps[-1].df.select("id", "rep")
-    for step, table in enumerate(reversed(maps[:-1]), start=1):
+    # Every round follows its pointers twice.
+    earlier = [table for table in maps for _ in range(2)][:-1]
+    for step, table in enumerate(reversed(earlier), start=1):
         onward = composed.select(F.col("id").alias("via"), F.col("rep").alias("final"))
         composed = (
             table.df.select("id", "rep")

@@ -63,9 +63,10 @@ def pregel(
 
 def _with_attributes(graph: PropertyGraph, ready: PreparedGraph) -> DataFrame:
     """All vertices, endpoints included, with the attribute they have, if any."""
-    if "attr" not in graph.vertices.columns:
+    known = graph.vertex_rows
+    if "attr" not in known.columns:
         return ready.vertices.select("id", F.lit(None).cast("string").alias("attr"))
-    return ready.vertices.select("id").join(graph.vertices.select("id", "attr"), "id", "left")
+    return ready.vertices.select("id").join(known.select("id", "attr"), "id", "left")
 
 
 def _view(ready: PreparedGraph, state: DataFrame, ends: tuple[str, ...]) -> DataFrame:

@@ -24,12 +24,16 @@ class PropertyGraph:
     ``(src LONG, dst LONG[, attr])``.  Graphs are immutable; every operator
     returns a new one.  With a provenance session attached, every operator also
     records which graph it came from.
+
+    ``listed`` is set where ``vertices`` is computed as these rows plus the edge
+    endpoints, so that a job that reads the edges anyway need not do it twice.
     """
 
     vertices: DataFrame
     edges: DataFrame
     session: ProvenanceSession | None = None
     node_id: int | None = None
+    listed: DataFrame | None = None
 
     @staticmethod
     def from_edges(edges: DataFrame, vertices: DataFrame | None = None) -> PropertyGraph:
@@ -41,7 +45,13 @@ class PropertyGraph:
         ids = ids.distinct()
         if vertices is not None and "attr" in vertices.columns:
             ids = ids.join(vertices.select("id", "attr"), "id", "left")
-        return PropertyGraph(ids, edges)
+        listed = edges.sparkSession.range(0) if vertices is None else vertices
+        return PropertyGraph(ids, edges, listed=listed)
+
+    @property
+    def vertex_rows(self) -> DataFrame:
+        """Rows that, with the edge endpoints, make up the vertices."""
+        return self.vertices if self.listed is None else self.listed
 
     def with_session(self, session: ProvenanceSession) -> PropertyGraph:
         """The same graph, traced by ``session`` from here on."""
@@ -54,6 +64,7 @@ class PropertyGraph:
             vertices=self.vertices if vertices is None else vertices,
             edges=self.edges if edges is None else edges,
             node_id=None,
+            listed=None,
         )
 
     def trace(self, event: events.Event, operation: Callable[[], PropertyGraph]) -> PropertyGraph:

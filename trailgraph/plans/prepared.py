@@ -41,7 +41,7 @@ class PreparedGraph:
 
     @cached_property
     def vertex_stats(self):
-        return vertex_table(self.workspace, self.graph.vertices, self.edges)
+        return vertex_table(self.workspace, self.graph.vertex_rows, self.edges)
 
     @property
     def vertices(self) -> DataFrame:
