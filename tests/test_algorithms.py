@@ -118,7 +118,9 @@ def test_against_brute_force(spark, min_hot_rows):
         i: MAX if h == INF else h for i, h in hops.items()
     }
     assert result(g.sssp(0, prepared=ready)) == brute_distances(rows, ids, 0, lambda w: w)
-    assert result(g.wcc(prepared=ready)) == brute_components(rows, ids)
+    for first_rounds in (0, 1, 6):
+        found = g.wcc(prepared=ready, first_rounds=first_rounds)
+        assert result(found) == brute_components(rows, ids)
     assert result(g.wcc(1, prepared=ready)) == brute_components(rows, ids, 1)
     ranks = result(g.pagerank(5, prepared=ready))
     close(ranks, brute_pagerank(rows, ids, 5))
@@ -147,6 +149,7 @@ def test_components_of_a_long_path(spark):
     rows = [(a, b, 0.0) for a, b in zip(order, order[1:]) if a % 50 and b % 50]
     g = graph(spark, rows, order)
     assert result(g.wcc()) == brute_components(rows, order)
+    assert result(g.wcc(first_rounds=0)) == brute_components(rows, order)
 
 
 def test_components_ignore_direction(spark):
@@ -160,6 +163,7 @@ def test_edge_cases(spark):
     assert result(none.bfs(1)) == {1: 0, 2: MAX}
     assert result(none.wcc()) == {1: 1, 2: 2}
     assert result(none.wcc(2)) == {1: 1, 2: 2}
+    assert result(none.wcc(first_rounds=0)) == {1: 1, 2: 2}
     close(result(none.pagerank(3)), {1: 0.5, 2: 0.5})
     assert result(none.cdlp(2)) == {1: 1, 2: 2}
     assert result(none.lcc()) == {1: 0.0, 2: 0.0}

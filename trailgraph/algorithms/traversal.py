@@ -35,7 +35,7 @@ def _search(graph, source, event, value_type, unreached, message, weighted, prep
 
         def run(recorder) -> DataFrame:
             workspace = Workspace(ready.spark, event.event_name.lower())
-            state = relax(workspace, ready.outgoing, initial, message, on_round=recorder)
+            state = relax(workspace, ready.outgoing, initial, message, on_round=recorder).table
             result = state.df.select("id", F.col("value").alias("attr"))
             if not state.path:
                 # The source reaches nothing, or is no vertex of the graph.

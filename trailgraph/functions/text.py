@@ -83,7 +83,8 @@ def clock(column: Column | str) -> Column:
 
 
 def two_decimals(column: Column | str) -> Column:
-    return F.format_string("%.2f", _column(column))
+    number = _column(column)
+    return F.when(number.isNotNull(), F.format_string("%.2f", number))
 
 
 def escaped(column: Column | str) -> Column:

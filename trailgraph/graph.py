@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trailgraph.operators import aggregate, joins, transform
 from trailgraph.operators.triplets import BOTH_ENDS, triplets
 from trailgraph.provenance import events
+from trailgraph.workspace import Workspace
 
 if TYPE_CHECKING:
     from trailgraph.provenance.session import ProvenanceSession
@@ -48,6 +49,18 @@ class PropertyGraph:
         listed = edges.sparkSession.range(0) if vertices is None else vertices
         return PropertyGraph(ids, edges, listed=listed)
 
+    def stored(self) -> PropertyGraph:
+        """The same graph with its edges and vertices in working tables, for a
+        graph that is costly to compute and read more than once."""
+        workspace = Workspace(self.edges.sparkSession, "graph")
+        edges = workspace.write("edges", self.edges).df
+        vertices = self.vertices
+        if self.listed is not None:
+            vertices = PropertyGraph.from_edges(edges, self.listed).vertices
+        return replace(
+            self, edges=edges, vertices=workspace.write("vertices", vertices).df, listed=None
+        )
+
     @property
     def vertex_rows(self) -> DataFrame:
         """Rows that, with the edge endpoints, make up the vertices."""

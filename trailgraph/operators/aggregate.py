@@ -103,7 +103,7 @@ def _collect(rows: DataFrame, item: Column, name: str, list_rows: int) -> DataFr
     if hubs.observed["count"] == 0:
         items = rows.select("id", F.lit(0).alias("part"), item.alias("item"))
     else:
-        number = F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int")
+        number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts")).cast("int")
         items = rows.join(hubs.df, F.col("id") == F.col("hub_id"), "left").select(
             "id", F.coalesce(number, F.lit(0)).alias("part"), item.alias("item")
         )

@@ -23,6 +23,14 @@ class Round:
     nanos: int
 
 
+@dataclass(frozen=True)
+class Outcome:
+    """The last state of a loop, and whether no value could fall any further."""
+
+    table: Table
+    settled: bool
+
+
 def relax(
     workspace: Workspace,
     layout: EdgeLayout,
@@ -30,7 +38,7 @@ def relax(
     message: Column,
     max_rounds: int | None = None,
     on_round: Callable[[Round], None] | None = None,
-) -> Table:
+) -> Outcome:
     """Lower the values of ``initial (id, value, changed)`` until none can fall.
 
     Each round, the vertices changed by the last one send ``message`` (built
@@ -48,6 +56,7 @@ def relax(
     value_type = initial.schema["value"].dataType
     number = 0
     pending: Round | None = None
+    settled = False
     while True:
         capped = max_rounds is not None and number >= max_rounds
         if capped and on_round is None:
@@ -69,6 +78,7 @@ def relax(
         if pending is not None and on_round is not None:
             on_round(replace(pending, next_changed=changed))
         if capped or changed == 0:
+            settled = changed == 0
             workspace.drop(following)
             break
         pending = Round(
@@ -79,4 +89,4 @@ def relax(
         stale, state = state, following
         number += 1
     workspace.drop(stale)
-    return state
+    return Outcome(state, settled)

@@ -67,7 +67,7 @@ def out_degrees(spark, sf_dir):
 
 @query
 def vertices_minus_dangling(spark, sf_dir):
-    g = views.cust_supp(spark, sf_dir)
+    g = views.cust_supp(spark, sf_dir).stored()
     return g.vertices_minus(g.out_degrees())
 
 
@@ -85,31 +85,31 @@ def map_edges(spark, sf_dir):
 
 @query
 def map_triplets_invdeg(spark, sf_dir):
-    g = views.part_seq(spark, sf_dir)
+    g = views.part_seq(spark, sf_dir).stored()
     with_degree = g.outer_join_vertices(g.out_degrees(), F.coalesce("new", F.lit(0)))
     return with_degree.map_triplets("1.0D / src_attr", ends=("src",)).edges
 
 
 @query
 def triplets(spark, sf_dir):
-    return views.part_graph(spark, sf_dir).triplets()
+    return views.part_graph(spark, sf_dir).stored().triplets()
 
 
 @query
 def join_vertices(spark, sf_dir):
-    g = views.part_graph(spark, sf_dir)
+    g = views.part_graph(spark, sf_dir).stored()
     return g.join_vertices(g.out_degrees().filter("attr > 3"), "attr * 1000 + new").vertices
 
 
 @query
 def outer_join_vertices(spark, sf_dir):
-    g = views.part_graph(spark, sf_dir)
+    g = views.part_graph(spark, sf_dir).stored()
     return g.outer_join_vertices(g.out_degrees(), F.coalesce("new", F.lit(-1))).vertices
 
 
 @query
 def inner_join_vertices(spark, sf_dir):
-    g = views.cust_supp(spark, sf_dir).map_vertices("id % 7")
+    g = views.cust_supp(spark, sf_dir).stored().map_vertices("id % 7")
     dangling = g.vertices_minus(g.out_degrees())
     return g.inner_join_vertices(dangling)
 
@@ -121,7 +121,7 @@ def remove_self_edges(spark, sf_dir):
 
 @query
 def subgraph(spark, sf_dir):
-    g = views.part_graph(spark, sf_dir)
+    g = views.part_graph(spark, sf_dir).stored()
     kept = g.subgraph("attr > 10", "attr > 2000 AND src_attr <= dst_attr")
     return kept.edges
 
@@ -143,7 +143,7 @@ def _texts(lists: DataFrame, name: str, item: Callable[[Column], Column]) -> Dat
 
 @query
 def collect_edges(spark, sf_dir):
-    found = views.cust_supp(spark, sf_dir).collect_edges("either")
+    found = views.cust_supp(spark, sf_dir).stored().collect_edges("either")
     return _texts(
         found,
         "edges",
@@ -155,13 +155,13 @@ def collect_edges(spark, sf_dir):
 
 @query
 def collect_neighbors(spark, sf_dir):
-    found = views.part_graph(spark, sf_dir).collect_neighbors("out")
+    found = views.part_graph(spark, sf_dir).stored().collect_neighbors("out")
     return _texts(found, "neighbors", lambda n: F.concat_ws(":", n["id"], n["attr"]))
 
 
 @query
 def aggregate_messages_sum(spark, sf_dir):
-    g = views.part_graph(spark, sf_dir)
+    g = views.part_graph(spark, sf_dir).stored()
     sends = [Send("dst", "src_attr", "src_attr > dst_attr"), Send("src", "dst_attr * 2")]
     return g.aggregate_messages(sends, F.sum)
 
