@@ -29,7 +29,10 @@ def preparation(graph: PropertyGraph, prepared: PreparedGraph | None) -> Iterato
 
 class RoundRecorder:
     """Writes the rounds of an algorithm to the provenance session: for each,
-    the vertex update inside the iteration event."""
+    the vertex update inside the iteration event.
+
+    The snapshot of a round is written while the round after the next runs.
+    """
 
     def __init__(self, graph: PropertyGraph, operation: str = "joinVertices"):
         self.graph = graph
@@ -37,6 +40,7 @@ class RoundRecorder:
 
     def __call__(self, finished: Round) -> None:
         session = self.graph.session
+        session.flush()
         source = self.graph
         vertices = finished.state.select("id", F.col("value").alias("attr"))
 
@@ -45,11 +49,16 @@ class RoundRecorder:
                 source,
                 events.operation(self.operation),
                 lambda: source.derive(vertices=vertices),
-                finished.nanos,
+                nanos=finished.nanos,
+                background=True,
             )
 
         self.graph = session.trace(
-            source, events.pregel_iteration(finished.number), update, finished.nanos
+            source,
+            events.pregel_iteration(finished.number),
+            update,
+            nanos=finished.nanos,
+            background=True,
         )
         if finished.changed is not None:
             session.counter(self.graph.node_id, "iteration", finished.number)
@@ -57,6 +66,10 @@ class RoundRecorder:
             session.gauge(self.graph.node_id, "activeMessages", finished.next_changed)
 
 
+    def finish(self) -> None:
+        self.graph.session.flush()
+
+
 def is_traced(graph: PropertyGraph) -> bool:
     return graph.session is not None and graph.session.tracing
 

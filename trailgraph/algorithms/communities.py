@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from trailgraph.algorithms.common import message_passing, preparation
 from trailgraph.graph import PropertyGraph
 from trailgraph.plans.prepared import PreparedGraph
-from trailgraph.plans.rounds import Round
+from trailgraph.plans.rounds import Recent, Round
 from trailgraph.provenance import events
 from trailgraph.workspace import Table, Workspace
 
@@ -37,10 +37,10 @@ def cdlp(
         return message_passing(graph, events.algorithm("CDLP", max_iter), setup, run)
 
 
-def _rounds(ready: PreparedGraph, max_iter: int, recorder) -> DataFrame:
+def _rounds(ready: PreparedGraph, max_iter: int, observer) -> DataFrame:
     workspace = Workspace(ready.spark, "cdlp")
     state = Table(ready.vertices.select("id", F.col("id").alias("value")), "")
-    stale: Table | None = None
+    recent = Recent(workspace)
     zero = F.lit(0).cast("bigint")
     for number in range(max_iter):
         started = time.perf_counter_ns()
@@ -56,10 +56,11 @@ def _rounds(ready: PreparedGraph, max_iter: int, recorder) -> DataFrame:
         following = workspace.write(
             f"round={number}", chosen.select("id", F.col("best.label").alias("value"))
         )
-        if recorder is not None:
+        if observer is not None:
             elapsed = time.perf_counter_ns() - started
-            recorder(Round(number, following.df, None, None, elapsed))
-        workspace.drop(stale)
-        stale, state = state, following
-    workspace.drop(stale)
+            observer(Round(number, following.df, None, None, elapsed))
+        state = recent.add(following)
+    if observer is not None:
+        observer.finish()
+    recent.keep_last()
     return state.df.select("id", F.col("value").alias("attr"))

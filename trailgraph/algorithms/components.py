@@ -99,8 +99,11 @@ def _contract(ready: PreparedGraph, workspace: Workspace, labels: DataFrame) ->
         ready.counts["max_degree"],
         ready.min_hot_rows,
     )
+    # xxhash64 maps no two longs to one, so the places in the random order can
+    # stand for the labels from here on.
+    placed = labels.select("id", F.xxhash64("rep").alias("rep"))
     plain = ready.edges.select("src", "dst")
-    edges = _rewritten(workspace, "edges=0", _moved(plain, labels, hot))
+    edges = _rewritten(workspace, "edges=0", _moved(plain, placed, hot))
     maps: list[Table] = []
     while edges.observed["edges"] > 0:
         number = len(maps)
@@ -150,20 +153,15 @@ def _rewritten(workspace: Workspace, name: str, edges: DataFrame) -> Table:
 
 
 def _representatives(edges: DataFrame) -> DataFrame:
-    """``(id, rep, degree)``: the first of each vertex and its neighbours in a
-    random order.
+    """``(id, rep, degree)``: the first of each vertex and its neighbours.
 
     The order stays the same over the rounds: the hub of a star passes its place
     on to its first leaf, to which all others point in the round after.
     """
-
-    def place(column: str):
-        return F.struct(F.xxhash64(column).alias("h"), F.col(column).alias("v"))
-
     first = symmetric(edges).groupBy(F.col("src").alias("id")).agg(
-        F.min(place("dst")).alias("best"), F.count(F.lit(1)).alias("degree")
+        F.min("dst").alias("first"), F.count(F.lit(1)).alias("degree")
     )
-    return first.select("id", F.least("best", place("id"))["v"].alias("rep"), "degree")
+    return first.select("id", F.least("first", "id").alias("rep"), "degree")
 
 
 def _compose(workspace: Workspace, maps: list[Table]) -> DataFrame | None:
@@ -197,10 +195,14 @@ def _smallest(labels: DataFrame, composed: DataFrame | None) -> DataFrame:
     """
     if composed is None:
         return labels.select("id", F.col("rep").alias("attr"))
-    least = composed.groupBy(F.col("rep").alias("of")).agg(F.min("id").alias("smallest"))
-    renamed = composed.join(least, F.col("rep") == F.col("of")).select(
-        F.col("id").alias("label"), "smallest"
+    known = (
+        labels.select(F.col("rep").alias("label"))
+        .distinct()
+        .join(composed, F.xxhash64("label") == F.col("id"))
+        .select("label", F.col("rep").alias("of"))
     )
+    least = known.groupBy("of").agg(F.min("label").alias("smallest"))
+    renamed = known.join(least, "of").select("label", "smallest")
     return labels.join(renamed, F.col("rep") == F.col("label"), "left").select(
         "id", F.coalesce("smallest", "rep").alias("attr")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from trailgraph.algorithms.common import RoundRecorder, is_traced, preparation
 from trailgraph.graph import PropertyGraph
 from trailgraph.plans.prepared import PreparedGraph
-from trailgraph.plans.rounds import Round
+from trailgraph.plans.rounds import Recent, Round
 from trailgraph.provenance import events
 from trailgraph.workspace import Table, Workspace
 
@@ -33,13 +33,8 @@ def pagerank(
 
         def algorithm() -> PropertyGraph:
             work = session.trace(graph, events.pregel_start(), lambda: _start(graph, ready))
-            recorder = RoundRecorder(work, "outerJoinVertices")
-
-            def on_round(finished: Round) -> None:
-                recorder(finished)
-                session.gauge(recorder.graph.node_id, "numVertices", ready.counts["vertices"])
-
-            vertices = _rounds(ready, num_iter, damping, on_round)
+            recorder = _Recorder(work, ready.counts["vertices"])
+            vertices = _rounds(ready, num_iter, damping, recorder)
             last = replace(recorder.graph, vertices=vertices)
             return session.trace(
                 last, events.pregel_stop(), lambda: last.map_edges(F.lit(None).cast("double"))
@@ -49,6 +44,18 @@ def pagerank(
         return session.trace(graph, event, algorithm)
 
 
+class _Recorder(RoundRecorder):
+    """Also gauges the vertices of each round."""
+
+    def __init__(self, graph: PropertyGraph, vertices: int):
+        super().__init__(graph, "outerJoinVertices")
+        self.vertices = vertices
+
+    def __call__(self, finished: Round) -> None:
+        super().__call__(finished)
+        self.graph.session.gauge(self.graph.node_id, "numVertices", self.vertices)
+
+
 def _start(graph: PropertyGraph, ready: PreparedGraph) -> PropertyGraph:
     """Degrees on the vertices, then weights on the edges, then first ranks."""
     degrees = ready.vertices.select("id", F.col("out_degree").alias("attr"))
@@ -60,14 +67,14 @@ def _start(graph: PropertyGraph, ready: PreparedGraph) -> PropertyGraph:
     )
 
 
-def _rounds(ready: PreparedGraph, num_iter: int, damping: float, on_round) -> DataFrame:
+def _rounds(ready: PreparedGraph, num_iter: int, damping: float, observer) -> DataFrame:
     """One job per round: it moves the messages, updates the ranks, and observes
     the dangling mass that the next round spreads."""
     workspace = Workspace(ready.spark, "pagerank")
     total = ready.counts["vertices"]
     first = F.lit(1.0 / max(total, 1))
     state = Table(ready.vertices.select("id", first.alias("value"), "out_degree"), "")
-    stale: Table | None = None
+    recent = Recent(workspace)
     dangling = ready.counts["dangling"] / max(total, 1)
     nothing = F.lit(None).cast("double")
     for number in range(num_iter):
@@ -93,11 +100,12 @@ def _rounds(ready: PreparedGraph, num_iter: int, damping: float, on_round) -> Da
             f"round={number}", updated, dangling=F.coalesce(F.sum(without_edges), F.lit(0.0))
         )
         dangling = following.observed["dangling"]
-        if on_round is not None:
+        if observer is not None:
             elapsed = time.perf_counter_ns() - started
-            on_round(Round(number, following.df, None, None, elapsed))
-        workspace.drop(stale)
-        stale, state = state, following
-    workspace.drop(stale)
+            observer(Round(number, following.df, None, None, elapsed))
+        state = recent.add(following)
+    if observer is not None:
+        observer.finish()
+    recent.keep_last()
     ranks = state.df.select("id", F.col("value").alias("attr"))
     return ranks if state.path else workspace.write("ranks", ranks).df

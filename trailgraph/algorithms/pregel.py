@@ -14,7 +14,7 @@ from trailgraph.operators.aggregate import Send, sent_messages
 from trailgraph.operators.triplets import BOTH_ENDS
 from trailgraph.plans import skew
 from trailgraph.plans.prepared import PreparedGraph
-from trailgraph.plans.rounds import Round
+from trailgraph.plans.rounds import Recent, Round
 from trailgraph.provenance import events
 from trailgraph.workspace import Table, Workspace
 
@@ -87,7 +87,7 @@ def _view(ready: PreparedGraph, state: DataFrame, ends: tuple[str, ...]) -> Data
     return view
 
 
-def _rounds(ready, start, program, sends, merge, max_iter, ends, recorder) -> DataFrame:
+def _rounds(ready, start, program, sends, merge, max_iter, ends, observer) -> DataFrame:
     """One job per round.  A round's table holds each vertex with its attribute
     and the message it got for the next round, NULL for none."""
     workspace = Workspace(ready.spark, "pregel")
@@ -104,8 +104,8 @@ def _rounds(ready, start, program, sends, merge, max_iter, ends, recorder) -> Da
         )
         return workspace.write(name, table, active=F.count_if(F.col("received")))
 
-    current = with_messages("start", start)
-    stale: Table | None = None
+    recent = Recent(workspace)
+    current = recent.add(with_messages("start", start))
     number = 0
     while current.observed["active"] > 0 and (max_iter is None or number < max_iter):
         started = time.perf_counter_ns()
@@ -114,14 +114,15 @@ def _rounds(ready, start, program, sends, merge, max_iter, ends, recorder) -> Da
             "id", F.when(F.col("received"), updated).otherwise(F.col("attr")).alias("attr")
         )
         following = with_messages(f"round={number}", state)
-        if recorder is not None:
+        if observer is not None:
             shown = following.df.select("id", F.col("attr").alias("value"))
             elapsed = time.perf_counter_ns() - started
-            recorder(
+            observer(
                 Round(number, shown, current.observed["active"], following.observed["active"], elapsed)
             )
-        workspace.drop(stale)
-        stale, current = current, following
+        current = recent.add(following)
         number += 1
-    workspace.drop(stale)
+    if observer is not None:
+        observer.finish()
+    recent.keep_last()
     return current.df.select("id", "attr")

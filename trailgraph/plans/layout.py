@@ -56,10 +56,10 @@ def partitions_for(spark, rows: int) -> int:
 
 
 class EdgeLayout:
-    """Edges hash-partitioned by sender and kept in executor storage.
+    """Edges hash-partitioned and sorted by sender, kept in executor storage.
 
-    The out-edges of a hot sender are spread over all partitions instead, and
-    meet that sender's value by broadcast.  Lost partitions are recomputed from
+    The out-edges of a hot sender, copies included, are dealt out over all
+    partitions instead, and meet that sender's value by broadcast.  Lost partitions are recomputed from
     the edge source.
     """
 
@@ -81,10 +81,14 @@ class EdgeLayout:
             cold = edges.join(keys, is_hot, "left_anti")
             self.hot = (
                 edges.join(keys, is_hot, "left_semi")
-                .repartition(parts, "src", "dst")
+                .repartition(parts)
                 .persist(StorageLevel.MEMORY_AND_DISK)
             )
-        self.cold = cold.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+        self.cold = (
+            cold.repartition(parts, "src")
+            .sortWithinPartitions("src")
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        )
 
     def meet(self, senders: DataFrame) -> DataFrame:
         """Join the sending vertices ``(id, ...)`` with their out-edges."""

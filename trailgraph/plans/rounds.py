@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
 from dataclasses import dataclass, replace
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,6 +23,36 @@ class Round:
     nanos: int
 
 
+class Recent:
+    """The tables of the last rounds.  Older ones are deleted: what looks at a
+    finished round may still be reading the three latest."""
+
+    KEPT = 3
+
+    def __init__(self, workspace: Workspace):
+        self.workspace = workspace
+        self.tables: list[Table] = []
+
+    def add(self, table: Table) -> Table:
+        self.tables.append(table)
+        while len(self.tables) > self.KEPT:
+            self.workspace.drop(self.tables.pop(0))
+        return table
+
+    def keep_last(self) -> None:
+        while len(self.tables) > 1:
+            self.workspace.drop(self.tables.pop(0))
+
+
+class RoundObserver(Protocol):
+    """Sees each round that changed something; may go on reading its state until
+    the next call, or ``finish``."""
+
+    def __call__(self, finished: Round) -> None: ...
+
+    def finish(self) -> None: ...
+
+
 @dataclass(frozen=True)
 class Outcome:
     """The last state of a loop, and whether no value could fall any further."""
@@ -37,7 +67,7 @@ def relax(
     initial: DataFrame,
     message: Column,
     max_rounds: int | None = None,
-    on_round: Callable[[Round], None] | None = None,
+    on_round: RoundObserver | None = None,
 ) -> Outcome:
     """Lower the values of ``initial (id, value, changed)`` until none can fall.
 
@@ -52,7 +82,7 @@ def relax(
     takes one more pass, whose result is dropped).
     """
     state = Table(initial, "")
-    stale: Table | None = None
+    recent = Recent(workspace)
     value_type = initial.schema["value"].dataType
     number = 0
     pending: Round | None = None
@@ -84,9 +114,9 @@ def relax(
         pending = Round(
             number, following.df, changed, None, time.perf_counter_ns() - started
         )
-        # The table before the last is kept: on_round may still read it.
-        workspace.drop(stale)
-        stale, state = state, following
+        state = recent.add(following)
         number += 1
-    workspace.drop(stale)
+    if on_round is not None:
+        on_round.finish()
+    recent.keep_last()
     return Outcome(state, settled)

@@ -11,6 +11,7 @@ import time
 import uuid
 from collections import Counter
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,6 +103,8 @@ class ProvenanceSession:
         self.captured: dict[int, tuple[Event, str]] = {}
         self._nodes = 0
         self._seen: Counter = Counter()
+        self._writer = ThreadPoolExecutor(max_workers=1)
+        self._writes: list[Future] = []
 
     # graphs and edges
 
@@ -124,11 +127,14 @@ class ProvenanceSession:
         event: Event,
         operation: Callable[[], PropertyGraph],
         nanos: int | None = None,
+        background: bool = False,
     ) -> PropertyGraph:
         """Run ``operation`` and record that its result came from ``source``.
 
         ``nanos`` is the time of the work behind the result when that was done
-        beforehand, as in the rounds of an algorithm.
+        beforehand, as in the rounds of an algorithm.  With ``background``, a
+        snapshot is written by a job of its own beside what follows; the graphs
+        it reads must stay until ``flush``.
         """
         if not self.tracing:
             return operation()
@@ -145,7 +151,7 @@ class ProvenanceSession:
                 self._gauges(result.node_id, hook.post(result))
         edge = self.add(source, result, event)
         self.metrics.append(("edge", edge.seq, "time", "operationTime", float(nanos), "ns"))
-        self._capture(source, result, edge)
+        self._capture(source, result, edge, background)
         return result
 
     def _gauges(self, node_id: int, values: dict) -> None:
@@ -177,29 +183,41 @@ class ProvenanceSession:
         event = edge.event
         return not (event.event_type == OPERATION and event.event_name in RELEASING_OPERATIONS)
 
-    def _capture(self, source: PropertyGraph, result: PropertyGraph, edge: ProvEdge) -> None:
+    def _capture(
+        self, source: PropertyGraph, result: PropertyGraph, edge: ProvEdge, background: bool
+    ) -> None:
         if not self.should_capture(edge):
             return
+        node = result.node_id
         if not self.storage:
-            self.locations[result.node_id] = NOT_STORED
+            self.locations[node] = NOT_STORED
             return
         rule = self.capture.data
         if isinstance(rule, DeltaPredicate):
             vertices = restrict_vertices(source.vertices, rule.ids)
         else:
             vertices, _ = subgraph(result.vertices, result.edges, rule.vertex, rule.edge)
-        started = time.perf_counter_ns()
-        path = f"{self.directory}/run_id={self.run_id}/node_id={result.node_id}"
-        write_snapshot(vertices, path, self.format)
-        nanos = time.perf_counter_ns() - started
-        self.locations[result.node_id] = path
+        path = f"{self.directory}/run_id={self.run_id}/node_id={node}"
+        self.locations[node] = path
         value_type = "string"
         if "attr" in vertices.columns:
             value_type = vertices.schema["attr"].dataType.simpleString()
-        self.captured[result.node_id] = (edge.event, value_type)
-        self.metrics.append(
-            ("node", result.node_id, "time", "storageTime", float(nanos), "ns")
-        )
+        self.captured[node] = (edge.event, value_type)
+        if background:
+            self._writes.append(self._writer.submit(self._store, vertices, path, node))
+        else:
+            self._store(vertices, path, node)
+
+    def _store(self, vertices: DataFrame, path: str, node: int) -> None:
+        started = time.perf_counter_ns()
+        write_snapshot(vertices, path, self.format)
+        nanos = time.perf_counter_ns() - started
+        self.metrics.append(("node", node, "time", "storageTime", float(nanos), "ns"))
+
+    def flush(self) -> None:
+        """Wait for the snapshots being written; raises what went wrong."""
+        while self._writes:
+            self._writes.pop(0).result()
 
     # tables
 
