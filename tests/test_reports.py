@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailgraph.functions import text
-from trailgraph.reports import coverage, overhead, percentiles, tables
+from trailgraph.reports import coverage, filters, overhead, percentiles, tables
 
 
 def one(spark, value, function, kind="double"):
@@ -122,11 +122,20 @@ def test_overheads(spark, runs):
     graph_sizes = spark.createDataFrame([("a_1", 500)], "dataset string, size long")
     assert overhead.blowup(runs, graph_sizes).agg(F.max("blowup")).first()[0] == 8.0
     described = overhead.describe_overhead(
-        overhead.within_bounds(found, "overhead_duration"), "overhead_duration"
+        filters.within_bounds(found, "overhead_duration"), "overhead_duration"
     )
     assert tuple(described.first()) == ("BFS", None, "1.00", "1.00", "1.00")
 
 
+def test_filters(runs):
+    assert filters.without_pair(runs, "WCC", "b").count() == 3
+    assert filters.without_pair(runs, "BFS", "b").count() == 4
+    assert filters.without_dataset(runs, "a_1").count() == 1
+    assert filters.storing(runs).count() == 3
+    assert filters.not_too_long(runs, longest=10).count() == 2
+    assert filters.large_enough(runs, smallest=1000).count() == 2
+
+
 def test_formats_and_scenarios(runs):
     compared = overhead.format_comparison(runs)
     assert compared.count() == 4

@@ -210,6 +210,7 @@ def test_run_record(spark, tmp_path):
     row = spark.read.json(f"{tmp_path}/out/run").first()
     assert (row["setup"], row["iterations"], row["status"]) == ("combinedpruning", 2, "SUCCESS")
     assert row["total_size"] > 0 and row["duration_s"] > 0
+    assert json.loads(row["parameters"]) == {"source": 1}
     sizes = spark.read.json(f"{tmp_path}/out/sizes")
     assert sizes.agg(F.sum("size")).first()[0] == row["total_size"]
     assert spark.read.text(f"{tmp_path}/out/vertices").count() == 10

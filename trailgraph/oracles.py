@@ -620,6 +620,15 @@ ORACLES["summed_baseline"] = _on(
 )
 
 
+ORACLES["report_filters"] = _on(
+    _RUNS,
+    """SELECT setup, count(*) AS runs, max(duration_s) AS longest FROM runs
+       WHERE NOT (algorithm = 'WCC' AND dataset = 'datagen-8_8-zf')
+         AND dataset <> 'graph500-22' AND duration_s <= 300
+       GROUP BY 1""",
+)
+
+
 # text functions
 
 ORACLES["human_size"] = f"""

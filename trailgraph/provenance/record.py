@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass
 
@@ -106,5 +107,9 @@ def _save(spark: SparkSession, request: RunRequest, record: RunRecord, graph) ->
         F.lit(kinds.count("pregelIteration")).alias("iterations"),
         F.lit(kinds.count("operation")).alias("n_operations"),
         F.lit(record.nanos / 1e9).alias("duration_s"),
+        F.lit(json.dumps(request.parameters)).alias("parameters"),
+        F.lit(request.output).alias("output"),
+        F.lit(request.lineage).alias("lineage"),
+        F.lit(spark.sparkContext.applicationId).alias("application_id"),
         F.lit("SUCCESS").alias("status"),
     ).write.json(f"{output}/run")

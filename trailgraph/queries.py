@@ -24,7 +24,7 @@ from trailgraph.provenance.session import (
     ProvenanceSession,
 )
 from trailgraph.provenance.setups import capture_for, reached, updates_vertices, with_flags
-from trailgraph.reports import coverage, overhead, tables as reports
+from trailgraph.reports import coverage, filters, overhead, tables as reports
 from trailgraph.sinks.snapshots import snapshot_sizes
 from trailgraph.sources.runlogs import normalised_runs
 from trailgraph.workspace import Workspace
@@ -528,8 +528,8 @@ def run_overhead(spark, sf_dir):
 def run_size_overhead(spark, sf_dir):
     found = overhead.size_overhead(
         _runs_of(spark, sf_dir, "ProvenanceGraphPruning"), _result_sizes(spark, sf_dir)
-    ).filter("total_size > 0")
-    return found.select("run_nr", "algorithm", "dataset", *rounded("overhead_size"))
+    )
+    return filters.storing(found).select("run_nr", "algorithm", "dataset", *rounded("overhead_size"))
 
 
 @query
@@ -584,7 +584,7 @@ def scenario_summary(spark, sf_dir):
 
 @query
 def scenario_size_summary(spark, sf_dir):
-    large = _scenarios(spark, sf_dir).filter("total_size > 1048576")
+    large = filters.large_enough(_scenarios(spark, sf_dir))
     found = overhead.scenario_summary(large, "total_size")
     return found.select("scenario", "runs", "min", *rounded("q1", "median", "q3"), "max")
 
@@ -630,7 +630,7 @@ def overhead_describe(spark, sf_dir):
     compared = overhead.duration_overhead(
         _runs_of(spark, sf_dir, "Tracing"), _runs_of(spark, sf_dir, "Baseline")
     ).withColumnRenamed("overhead_duration", "overhead")
-    return overhead.describe_overhead(overhead.within_bounds(compared))
+    return overhead.describe_overhead(filters.within_bounds(compared))
 
 
 @query
@@ -642,6 +642,17 @@ def summed_baseline(spark, sf_dir):
     return found.select("run_nr", "algorithm", "dataset", *rounded("overhead", digits=8))
 
 
+@query
+def report_filters(spark, sf_dir):
+    """Runs per setup that are left after each kind of exclusion."""
+    runs = views.run_log(spark, sf_dir)
+    kept = filters.without_pair(runs, "WCC", "datagen-8_8-zf")
+    kept = filters.not_too_long(filters.without_dataset(kept, "graph500-22"), longest=300)
+    return kept.groupBy("setup").agg(
+        F.count("run_nr").alias("runs"), F.max("duration_s").alias("longest")
+    )
+
+
 # text functions
 
 

@@ -123,13 +123,6 @@ def paired_overhead(paired: DataFrame, per_iteration: bool = False) -> DataFrame
     )
 
 
-def within_bounds(
-    compared: DataFrame, metric: str = "overhead", low: float = 0.6, high: float = 2.0
-) -> DataFrame:
-    """Without the runs whose overhead is an outlier."""
-    return compared.filter((F.col(metric) > low) & (F.col(metric) < high))
-
-
 def describe_overhead(compared: DataFrame, metric: str = "overhead") -> DataFrame:
     """min, median, max and sample deviation per algorithm, two decimals, the
     highest median first."""
