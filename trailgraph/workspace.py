@@ -37,6 +37,16 @@ def work_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[context.applicationId]
 
 
+def session_root(spark: SparkSession) -> str:
+    """The folder of this application below ``work_root``."""
+    return f"{work_root(spark)}/trailgraph-{spark.sparkContext.applicationId}"
+
+
+def clear_session(spark: SparkSession) -> None:
+    """Delete all working tables of this application, results included."""
+    delete_path(spark, session_root(spark))
+
+
 @dataclass(frozen=True)
 class Table:
     """A written working table, with what was observed while writing it."""
@@ -51,7 +61,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.path = f"{work_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.path = f"{session_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
     def write(self, name: str, df: DataFrame, **metrics: Column) -> Table:
         """Write ``df`` and read it back; ``metrics`` are aggregates over its
