@@ -50,4 +50,6 @@ def test_stored_graphs_are_equal(spark):
     kept = g.stored()
     assert sorted(map(tuple, kept.edges.collect())) == sorted(map(tuple, g.edges.collect()))
     assert sorted(r["id"] for r in kept.vertices.collect()) == list(range(1, 11))
+    assert kept.edges_stored and PreparedGraph(kept).edges is kept.edges
+    assert kept.map_vertices("id").edges_stored and not kept.remove_self_edges().edges_stored
     assert result(kept.wcc()) == result(g.wcc())

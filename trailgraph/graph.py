@@ -28,6 +28,8 @@ class PropertyGraph:
 
     ``listed`` is set where ``vertices`` is computed as these rows plus the edge
     endpoints, so that a job that reads the edges anyway need not do it twice.
+    ``edges_stored`` says that ``edges`` is a plain scan of a columnar table, so
+    that algorithms read it as it is and do not write one first.
     """
 
     vertices: DataFrame
@@ -35,6 +37,7 @@ class PropertyGraph:
     session: ProvenanceSession | None = None
     node_id: int | None = None
     listed: DataFrame | None = None
+    edges_stored: bool = False
 
     @staticmethod
     def from_edges(edges: DataFrame, vertices: DataFrame | None = None) -> PropertyGraph:
@@ -58,7 +61,11 @@ class PropertyGraph:
         if self.listed is not None:
             vertices = PropertyGraph.from_edges(edges, self.listed).vertices
         return replace(
-            self, edges=edges, vertices=workspace.write("vertices", vertices).df, listed=None
+            self,
+            edges=edges,
+            vertices=workspace.write("vertices", vertices).df,
+            listed=None,
+            edges_stored=True,
         )
 
     @property
@@ -78,6 +85,7 @@ class PropertyGraph:
             edges=self.edges if edges is None else edges,
             node_id=None,
             listed=None,
+            edges_stored=self.edges_stored and edges is None,
         )
 
     def trace(self, event: events.Event, operation: Callable[[], PropertyGraph]) -> PropertyGraph:

@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
+from trailgraph.plans import skew
 from trailgraph.plans.layout import EdgeLayout, vertex_table
 from trailgraph.workspace import Workspace
 
@@ -21,21 +22,21 @@ def symmetric(edges: DataFrame) -> DataFrame:
 class PreparedGraph:
     """Vertex table and edge layouts of one graph, each made on first use.
 
-    ``store_edges`` writes the edges first, so that an edge view that is costly
-    to compute (joins, aggregates) is computed once.
+    Unless the graph says that its edges are stored, they are written first, so
+    that an edge view that is costly to compute (text, joins, aggregates) is
+    computed once.
     """
 
-    def __init__(self, graph, store_edges: bool = True, min_hot_rows: int | None = None):
+    def __init__(self, graph, min_hot_rows: int | None = None):
         self.graph = graph
         self.spark = graph.edges.sparkSession
         self.workspace = Workspace(self.spark, "prepared")
         self.min_hot_rows = min_hot_rows
-        self._store_edges = store_edges
         self._layouts: list[EdgeLayout] = []
 
     @cached_property
     def edges(self) -> DataFrame:
-        if not self._store_edges:
+        if self.graph.edges_stored:
             return self.graph.edges
         return self.workspace.write("edges", self.graph.edges).df
 
@@ -73,9 +74,11 @@ class PreparedGraph:
             .agg(F.count(F.lit(1)).alias("n"))
         )
         degree = F.col("out_degree") + F.col("in_degree")
-        return self._layout(
-            pairs, degree, 2 * self.counts["edges"], self.counts["max_degree"]
-        )
+        total, largest = 2 * self.counts["edges"], self.counts["max_degree"]
+        if largest > skew.threshold(total, self.min_hot_rows):
+            # Read for the hubs and for the rest: count the pairs once.
+            pairs = self.workspace.write("pairs", pairs).df
+        return self._layout(pairs, degree, total, largest)
 
     def release(self) -> None:
         """Free the layouts and delete the working tables."""
