@@ -92,7 +92,7 @@ def inputs(setup, storage_format, run_nr):
         "config": "c", "vertices": "v", "edges": "e",
         "parameters": {
             "experimentID": "x", "dataset": "tiny-1", "algorithm": "BFS", "runNr": run_nr,
-            "outputDir": "o", "graphalyticsConfigPath": "g", "lineageDir": "l", "setup": setup,
+            "outputDir": "o", "lineageDir": "l", "setup": setup,
             "tracingEnabled": True, "storageEnabled": True, "storageFormat": storage_format,
             "applicationId": "a", "numExecutors": 7,
         },

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailgraph.functions.text import format_label, is_compressed
 
+# The fields of the run records; others are ignored.
 INPUTS = (
     "config string, vertices string, edges string, parameters struct<"
     "experimentID: string, dataset: string, algorithm: string, runNr: bigint, "
-    "outputDir: string, graphalyticsConfigPath: string, lineageDir: string, setup: string, "
+    "outputDir: string, lineageDir: string, setup: string, "
     "tracingEnabled: boolean, storageEnabled: boolean, storageFormat: string, "
     "applicationId: string, numExecutors: bigint>"
 )
@@ -25,6 +26,7 @@ OUTPUTS = (
     "metrics array<struct<graphID: bigint, metrics: struct<type: string, "
     f"values: array<array<{GAUGE_METRIC}>>>>>"
 )
+# Fixed value: how the folder of an experiment is named.
 EXPERIMENT = r"(experiment-[^/]+)"
 
 
@@ -149,6 +151,7 @@ def load_output_sizes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# The fields of the older run records.
 PAIRED = (
     "algorithm string, graph string, metadata struct<lineageDirectory: string, "
     "duration: struct<duration: double, unit: string>, "
