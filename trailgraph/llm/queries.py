@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trailgraph.llm import decontamination, packing, token_files
+from trailgraph.llm import decontamination, near_duplicates, packing, token_files
 from trailgraph.llm.common import text_only, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,15 @@ def op6_best_fit_packing(spark, sf_dir):
     """Where each piece of each document stands in sequences of 2048 tokens."""
     docs = text_only(table(spark, sf_dir, "documents"), "doc_id", "text")
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), 0)
+
+
+@query
+def op7_simhash_near_duplicates(spark, sf_dir):
+    """Fingerprint and group of near-duplicates of each document."""
+    docs = text_only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = near_duplicates.near_duplicates(docs)
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
