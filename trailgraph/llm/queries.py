@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trailgraph.llm import decontamination, near_duplicates, packing, token_files
+from trailgraph.llm import decontamination, line_dedup, near_duplicates, packing, sharding, token_files
 from trailgraph.llm.common import text_only, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,33 @@ def op7_simhash_near_duplicates(spark, sf_dir):
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+@query
+def op9_histogram_sharding(spark, sf_dir):
+    """Shard and slot of each document, shards of equal bytes."""
+    docs = text_only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found, names = sharding.shard_documents(docs)
+    return found.select(
+        "doc_id",
+        F.col(names["size"]).alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.col(names["shard"]).alias("shard"),
+        F.col(names["slot"]).alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op10_line_dedup(spark, sf_dir):
+    """Lines deleted from each document, and the text that is left."""
+    docs = text_only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = line_dedup.dedup_lines(docs, deleted="deleted")
+    return found.select(
+        "doc_id",
+        F.coalesce(F.size("deleted"), F.lit(0)).cast("bigint").alias("n_deleted"),
+        F.coalesce(F.array_join("deleted", ","), F.lit("")).alias("deleted_lines"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.coalesce(F.col("deleted").isNotNull() & ~F.col("text").rlike(r"\S"), F.lit(False)).alias("emptied"),
+    )
