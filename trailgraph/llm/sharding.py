@@ -34,8 +34,13 @@ GROUP_TOLERANCE = 5e-3
 
 
 def _probe_bytes(probes: list[int], ids: int) -> np.ndarray:
-    """Probes count ``ids`` keys to each hash."""
-    return np.array([b"".join(part.to_bytes(8, "big") for part in divmod(p, ids)) for p in probes], "S16")
+    """Probes count ``ids`` keys to each hash; one behind all keys is the highest."""
+
+    def key(probe: int) -> bytes:
+        high, low = divmod(probe, ids)
+        return high.to_bytes(8, "big") + low.to_bytes(8, "big") if high < 1 << 64 else b"\xff" * 16
+
+    return np.array([key(probe) for probe in probes], "S16")
 
 
 def _keys(high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -44,32 +49,48 @@ def _keys(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(both.astype(">u8")).view("S16").reshape(-1)
 
 
-def below(sized: DataFrame, probes: list[int], ids: int) -> tuple[list[int], list[int]]:
-    """Exact bytes and rows of ``sized (high, low, size)`` below each probe."""
+def histogram(sized: DataFrame, probes: list[int], ids: int) -> list[tuple[int, int, int, int]]:
+    """Of the rows ``(high, low, size)`` between probes, where there are any: the
+    first key, the key behind the last one, exact bytes and rows, in order."""
     sought = _probe_bytes(probes, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = np.zeros(len(sought) + 1, np.int64)
-        rows = np.zeros(len(sought) + 1, np.int64)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             keys = _keys(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
             place = np.searchsorted(sought, keys, side="right")
-            np.add.at(sizes, place, batch.column(2).to_numpy())
-            rows += np.bincount(place, minlength=len(rows))
-        some = np.flatnonzero(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), pa.array(sizes[some]), pa.array(rows[some])],
-            names=["place", "size", "rows"],
-        )
-
-    counted = sized.mapInArrow(run, "place int, size bigint, rows bigint").groupBy("place").agg(
-        F.sum("size").alias("size"), F.sum("rows").alias("rows")
+            start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            stop = np.append(start[1:], len(keys))
+            total = np.append(0, np.cumsum(batch.column(2).to_numpy()[order]))
+            raw = keys.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(place[start].astype(np.int32)),
+                    pa.array([raw[16 * i : 16 * i + 16] for i in start], pa.binary()),
+                    pa.array([raw[16 * i - 16 : 16 * i] for i in stop], pa.binary()),
+                    pa.array(total[stop] - total[start]),
+                    pa.array(stop - start),
+                ],
+                names=["place", "first", "last", "size", "rows"],
+            )
+
+    counted = (
+        sized.mapInArrow(run, "place int, first binary, last binary, size bigint, rows bigint")
+        .groupBy("place")
+        .agg(*[getattr(F, how)(name).alias(name) for name, how in
+               (("first", "min"), ("last", "max"), ("size", "sum"), ("rows", "sum"))])
     )
-    sizes = np.zeros(len(probes) + 1, np.int64)
-    rows = np.zeros(len(probes) + 1, np.int64)
-    for row in counted.collect():
-        sizes[row["place"]], rows[row["place"]] = row["size"], row["rows"]
-    return np.cumsum(sizes)[:-1].tolist(), np.cumsum(rows)[:-1].tolist()
+
+    def probe(key: bytes) -> int:
+        return int.from_bytes(key[:8], "big") * ids + int.from_bytes(key[8:], "big")
+
+    return [
+        (probe(row["first"]), probe(row["last"]) + 1, row["size"], row["rows"])
+        for row in sorted(counted.collect(), key=lambda row: row["place"])
+    ]
 
 
 def splitters(
@@ -88,28 +109,36 @@ def splitters(
         probes: set[int] = set()
         for number, (left, right) in enumerate(spans):
             if number not in chosen:
-                unit = ids if right[0] - left[0] > ids else 1
+                unit = ids if (right[0] - 1) // ids > left[0] // ids else 1
                 step = max(unit, (right[0] - left[0]) // (each + 1) // unit * unit)
-                probes.update(range(left[0] // unit * unit + step, right[0], step))
-        ordered = sorted(probes)
-        known = list(zip(ordered, *below(sized, ordered, ids)))
-        sizes = [size for _, size, _ in known]
+                inner = range(left[0] // unit * unit + step, right[0], step)
+                probes.update((left[0], *inner, right[0]))
+        found = histogram(sized, sorted(probes), ids)
+        sizes = np.cumsum([size for _, _, size, _ in found])
+        rows = np.cumsum([n for _, _, _, n in found])
         for number, goal in enumerate(wanted):
             if number in chosen:
                 continue
-            left, right = spans[number]
-            at = int(np.searchsorted(sizes, goal, side="right"))
-            left = max([left, *known[max(0, at - 1) : at]])
-            right = min([right, *known[at : at + 1]])
+            at = min(int(np.searchsorted(sizes, goal, side="left")), len(found) - 1)
+            first, behind, size, n = found[at]
+            left = (first, int(sizes[at]) - size, int(rows[at]) - n)
+            right = (behind, int(sizes[at]), int(rows[at]))
             spans[number] = left, right
             nearest = min((left, right), key=lambda end: abs(end[1] - goal))
             off = abs(nearest[1] - goal)
-            one_group = right[0] - left[0] <= ids
-            if off <= exact or right[2] - left[2] <= 1 or right[0] - left[0] <= 1 or (one_group and off <= loose):
+            one_group = (right[0] - 1) // ids == left[0] // ids
+            if off <= exact or n <= 1 or right[0] - left[0] <= 1 or (one_group and off <= loose):
                 chosen[number] = nearest[0]
     return sorted(chosen.values())
 
 
+def _rows_below(sized: DataFrame, bounds: list[int], ids: int) -> list[int]:
+    """Rows below each of the sorted bounds."""
+    found = histogram(sized, bounds, ids)
+    rows = np.append(0, np.cumsum([n for _, _, _, n in found]))
+    return rows[np.searchsorted([behind for _, behind, _, _ in found], bounds, side="right")].tolist()
+
+
 def shard_documents(
     docs: DataFrame,
     shards: int = SHARDS,
@@ -152,7 +181,7 @@ def shard_documents(
         bounds = splitters(
             table, total, count, ids, parts, int(shard * TOLERANCE), int(shard * GROUP_TOLERANCE)
         )
-        before = [0, *below(table, bounds, ids)[1]]
+        before = [0, *_rows_below(table, bounds, ids)]
         starts = [before[part] - before[part // each * each] for part in range(parts)]
     shared = docs.sparkSession.sparkContext.broadcast((_probe_bytes(bounds, ids), np.array(starts)))
 
