@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trailgraph.llm import decontamination, line_dedup, near_duplicates, packing, sharding, token_files
+from trailgraph.llm import (
+    decontamination, line_dedup, near_duplicates, packing, quality, sharding, token_files, toxicity,
+)
 from trailgraph.llm.common import text_only, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +145,29 @@ def op10_line_dedup(spark, sf_dir):
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.col("deleted").isNotNull() & ~F.col("text").rlike(r"\S"), F.lit(False)).alias("emptied"),
     )
+
+
+def _judged(found: DataFrame, score, held_out) -> DataFrame:
+    return found.select(
+        "doc_id",
+        held_out("doc_id").alias("held_out"),
+        score.alias("score"),
+        F.when(score >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query
+def op2_toxicity(spark, sf_dir):
+    """Score of each document, learned without the held-out fifth."""
+    docs = text_only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.held_out)
+    found, name = toxicity.score(docs, model)
+    return _judged(found, F.col(f"{name}.score"), toxicity.held_out)
+
+
+@query
+def op3_quality(spark, sf_dir):
+    """Score of each document, learned without the held-out third."""
+    docs = text_only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = quality.score_quality(docs, table(spark, sf_dir, "labels"))
+    return _judged(found, F.col("score"), quality.held_out)
