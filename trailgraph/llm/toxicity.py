@@ -24,9 +24,11 @@ SAMPLE_ROWS = 12_000
 #: Features kept, and documents of the sample that a feature is in at least.
 FEATURES = 768
 LEAST_DOCS = 4
+#: Standard errors by which its rates under the two labels differ at least.
+LEAST_STRENGTH = 3.0
 #: Weight of the swap penalty and of the ridge.
 SWAP_PENALTY = 10.0
-RIDGE = 1e-3
+RIDGE = 1e-4
 # Groups of terms that can stand for each other.
 IDENTITY_TERMS = [
     ["women", "men", "girls", "boys"],
@@ -150,6 +152,7 @@ def choose_features(sample: DataFrame, features: int, least: int) -> list[str]:
     best = (
         found.filter(F.col("toxic") + F.col("clean") >= least)
         .withColumn("strength", F.abs(rate_1 - rate_0) / spread)
+        .filter(F.col("strength") >= LEAST_STRENGTH)
         .orderBy(F.desc("strength"), "feature")
         .limit(features)
     )
@@ -211,9 +214,9 @@ def fit(
 
 def _solve(x: np.ndarray, y: np.ndarray, change: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
     """Newton steps for the mean logistic loss, the mean squared change of the
-    score under swaps, and a small ridge; both labels weigh the same."""
+    score under swaps, and a small ridge."""
     n, width = x.shape
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = np.full(n, 1 / n)
     both = np.hstack([x, np.ones((n, 1), np.float32)])
     fixed = np.zeros((width + 1, width + 1))
     fixed[:width, :width] = RIDGE * np.eye(width)
