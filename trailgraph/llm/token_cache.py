@@ -14,11 +14,14 @@ import os
 import re
 from array import array
 
-#: Parts kept per map; a full map is emptied.
-KEPT = 400_000
+#: Words and parts of words kept.  Full maps take no more, since the words met
+#: first are the common ones, until so many parts had to be encoded anew.
+KEPT_WORDS = 500_000
+KEPT_PARTS = 500_000
+STALE = 3_000_000
 
 _PARTS = re.compile(r"\s*[^\W\d_]++(?=[.,!?*#$%&\s]|$)|\s*\S++|\s+")
-_UNSAFE = re.compile(r"[\x1c-\x1f]|<\|")
+_UNSAFE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -38,56 +41,55 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.words: dict[str, bytes | None] = {}
         self.parts: dict[str, bytes] = {}
+        self.encoded = 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
-        words = self.words
-        if len(words) > KEPT:
-            words.clear()
-        if len(self.parts) > KEPT:
+        if self.encoded > STALE:
+            self.words.clear()
             self.parts.clear()
-        found: list[bytes | None] = []
-        later: list[tuple[int, str, list[str]]] = []
-        missing: set[str] = set()
+            self.encoded = 0
+        cuts: list[list[str] | None] = []
         for text in texts:
+            cut = (text or "").split(" ")
+            safe = not cut[0][-1:].isspace() and not any(mark in text for mark in _UNSAFE if text)
+            cuts.append(cut if safe else None)
+        heads = {cut[0] for cut in cuts if cut}
+        wanted: set[str] = set()
+        for cut in cuts:
+            if cut:
+                wanted.update(cut[1:])
+        words, new_words, new_parts = self.words, *self._learn(wanted.difference(self.words), heads)
+        found = []
+        for text, cut in zip(texts, cuts):
             if not text:
                 found.append(b"")
                 continue
-            cut = text.split(" ")
-            if _UNSAFE.search(text) or cut[0][-1:].isspace():
-                found.append(self._whole(text))
-                continue
-            ids = list(map(words.get, cut[1:]))
-            head = self.parts.get(cut[0])
-            if head is None or None in ids:
-                missing.update([w for w, known in zip(cut[1:], ids) if known is None])
-                later.append((len(found), text, cut))
-                found.append(None)
-            else:
-                found.append(head + b"".join(ids))
-        if later:
-            self._learn(missing, [cut[0] for _, _, cut in later])
-            for place, text, cut in later:
-                ids = list(map(words.get, cut[1:]))
-                head = self.parts[cut[0]]
-                found[place] = self._whole(text) if None in ids else head + b"".join(ids)
+            ids = list(map(words.get, cut[1:])) if cut else [None]
+            found.append(self._whole(text) if None in ids else self.parts[cut[0]] + b"".join(ids))
+        for extra, kept, most in ((new_words, words, KEPT_WORDS), (new_parts, self.parts, KEPT_PARTS)):
+            for name in extra[max(0, len(extra) - max(0, len(kept) - most)) :]:
+                del kept[name]
         return found
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, words: set[str], heads: list[str]) -> None:
-        """Ids of words that follow a blank, and of the first words of texts.
+    def _learn(self, words: set[str], heads: set[str]) -> tuple[list[str], list[str]]:
+        """Enter words that follow a blank, and the first words of texts; returns
+        the new words and parts.
 
         A word that is empty or ends in white space stays unknown: the blank
         behind it belongs to a run, so its text is encoded whole.
         """
         cuts = {w: _PARTS.findall(" " + w) for w in words if w and not w[-1].isspace()}
         wanted = {part for parts in cuts.values() for part in parts}
-        wanted.update(heads)
-        new = [part for part in wanted if part not in self.parts]
+        wanted |= heads
+        new = list(wanted.difference(self.parts))
+        self.encoded += len(new)
         encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         for part, encoding in zip(new, encoded):
             self.parts[part] = array("I", encoding.ids).tobytes()
         for word, parts in cuts.items():
             self.words[word] = b"".join([self.parts[part] for part in parts])
+        return list(cuts), new
