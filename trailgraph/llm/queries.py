@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailgraph.llm import (
-    decontamination, line_dedup, near_duplicates, packing, quality, sharding, token_files, toxicity,
+    decontamination, html_text, line_dedup, near_duplicates, packing, quality, sharding, token_files,
+    toxicity, vector_search,
 )
 from trailgraph.llm.common import text_only, workspace
 
@@ -171,3 +172,33 @@ def op3_quality(spark, sf_dir):
     docs = text_only(table(spark, sf_dir, "documents"), "doc_id", "text")
     found = quality.score_quality(docs, table(spark, sf_dir, "labels"))
     return _judged(found, F.col("score"), quality.held_out)
+
+
+@query
+def op5_exact_top_k(spark, sf_dir):
+    """The ten largest inner products of every hundredth vector."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_search.exact_top_k(rows, lambda column: F.col(column) % 100 == 0)
+
+
+ORACLES["op5_exact_top_k"] = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM usable AS q JOIN usable AS c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
+@query
+def op8_html_extraction(spark, sf_dir):
+    """The visible text of each page."""
+    pages = text_only(table(spark, sf_dir, "pages"), "page_id", "html")
+    found, name = html_text.extract_text(pages)
+    return found.select("page_id", F.col(f"{name}.text").alias("text"))
