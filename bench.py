@@ -104,7 +104,7 @@ def main() -> None:
     for name, call in UNTRACED.items():
         timed(times, name, lambda: force(call(graph, prepared).vertices))
     prepared.release()
-    timed(times, "wcc_part_seq_q40", lambda: force(QUERIES["wcc_part_seq_q40"](spark, SF_DIR)))
+    timed(times, "wcc_line_seq", lambda: force(QUERIES["wcc_line_seq"](spark, SF_DIR)))
     print(
         json.dumps(
             {

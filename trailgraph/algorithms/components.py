@@ -127,7 +127,7 @@ def _contract(ready: PreparedGraph, workspace: Workspace, labels: DataFrame) ->
         workspace.drop(edges)
         edges = following
     workspace.drop(edges)
-    result = workspace.write("components", _smallest(labels, _compose(workspace, maps)))
+    result = workspace.write("components", _smallest(workspace, labels, _compose(workspace, maps)))
     for table in maps:
         workspace.drop(table)
     return result.df
@@ -187,11 +187,13 @@ def _compose(workspace: Workspace, maps: list[Table]) -> DataFrame | None:
     return composed
 
 
-def _smallest(labels: DataFrame, composed: DataFrame | None) -> DataFrame:
+def _smallest(workspace: Workspace, labels: DataFrame, composed: DataFrame | None) -> DataFrame:
     """``(id, attr)``: the smallest id in the component.
 
     The smallest id of a component is a label itself, so the smallest label that
-    shares the representative is it.
+    shares the representative is it.  The smallest ones are a table of their
+    own: a join with an aggregate could not be split, and the representative of
+    a giant component is a hot key.
     """
     if composed is None:
         return labels.select("id", F.col("rep").alias("attr"))
@@ -201,7 +203,8 @@ def _smallest(labels: DataFrame, composed: DataFrame | None) -> DataFrame:
         .join(composed, F.xxhash64("label") == F.col("id"))
         .select("label", F.col("rep").alias("of"))
     )
-    least = known.groupBy("of").agg(F.min("label").alias("smallest"))
+    known = workspace.write("known", known).df
+    least = workspace.write("least", known.groupBy("of").agg(F.min("label").alias("smallest"))).df
     renamed = known.join(least, "of").select("label", "smallest")
     return labels.join(renamed, F.col("rep") == F.col("label"), "left").select(
         "id", F.coalesce("smallest", "rep").alias("attr")

@@ -184,11 +184,11 @@ class PropertyGraph:
     ) -> DataFrame:
         return aggregate.aggregate_messages(self.vertices, self.edges, sends, merge, ends)
 
-    def collect_edges(self, direction: str, list_rows: int = aggregate.LIST_ROWS) -> DataFrame:
-        return aggregate.collect_edges(self.edges, direction, list_rows)
+    def collect_edges(self, direction: str, part_ids: int = aggregate.PART_IDS) -> DataFrame:
+        return aggregate.collect_edges(self.edges, direction, part_ids)
 
-    def collect_neighbors(self, direction: str, list_rows: int = aggregate.LIST_ROWS) -> DataFrame:
-        return aggregate.collect_neighbors(self.vertices, self.edges, direction, list_rows)
+    def collect_neighbors(self, direction: str, part_ids: int = aggregate.PART_IDS) -> DataFrame:
+        return aggregate.collect_neighbors(self.vertices, self.edges, direction, part_ids)
 
     # algorithms
 

@@ -8,13 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trailgraph.operators.triplets import BOTH_ENDS, as_column, triplets
-from trailgraph.workspace import Workspace
 
-LIST_ROWS = 100_000
-
-
-def num_vertices(vertices: DataFrame) -> DataFrame:
-    return vertices.agg(F.count(F.lit(1)).alias("num_vertices"))
+# Neighbour ids that one part of a list spans.
+PART_IDS = 100_000
 
 
 def out_degrees(edges: DataFrame) -> DataFrame:
@@ -32,17 +28,17 @@ class Send:
 
 
 def sent_messages(view: DataFrame, sends: Iterable[Send]) -> DataFrame:
-    """``(id, msg)`` rows for the given sends over a triplet view."""
-    parts = []
+    """``(id, msg)`` rows for the given sends over one reading of a triplet view.
+
+    The receiver comes out of an exploded list, so what aggregates by it cannot
+    reuse the partitioning of the joins below, and those stay free to be split.
+    """
+    messages = []
     for send in sends:
-        chosen = view if send.when is None else view.filter(as_column(send.when))
-        parts.append(
-            chosen.select(F.col(send.to).alias("id"), as_column(send.message).alias("msg"))
-        )
-    messages = parts[0]
-    for part in parts[1:]:
-        messages = messages.unionByName(part)
-    return messages
+        message = F.struct(F.col(send.to).alias("id"), as_column(send.message).alias("msg"))
+        messages.append(message if send.when is None else F.when(as_column(send.when), message))
+    sent = view.select(F.explode(F.array(*messages)).alias("sent")).filter("sent IS NOT NULL")
+    return sent.select("sent.id", "sent.msg")
 
 
 def aggregate_messages(
@@ -86,42 +82,36 @@ def _incident(edges: DataFrame, direction: str) -> DataFrame:
     return views[0] if len(views) == 1 else views[0].unionByName(views[1])
 
 
-def _collect(rows: DataFrame, item: Column, name: str, list_rows: int) -> DataFrame:
-    """Lists of ``item`` per id, sorted.
+def _collect(rows: DataFrame, item: Column, name: str, part_ids: int) -> DataFrame:
+    """Lists of distinct items with their number of copies ``n``, sorted.
 
-    The list of a vertex with more than ``list_rows`` entries comes as several
-    rows, numbered by ``part``, so that no task holds the whole list of a hub.
+    The list of a vertex comes in parts: part ``p`` has the neighbours with ids
+    from ``p * part_ids`` on.  So no list is longer than ``part_ids`` times the
+    different attributes of parallel edges, a part depends on its rows alone,
+    and lists in order of ``part`` are sorted.
     """
-    sizes = rows.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
-    hubs = Workspace(rows.sparkSession, "hubs").write(
-        "hubs",
-        sizes.filter(F.col("size") > list_rows).select(
-            F.col("id").alias("hub_id"), F.ceil(F.col("size") / list_rows).alias("parts")
-        ),
-        count=F.count(F.lit(1)),
+    other = F.col("other")
+    part = ((other - F.pmod(other, F.lit(part_ids))) / part_ids).cast("bigint")
+    counted = rows.groupBy("id", part.alias("part"), item.alias("item")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    if hubs.observed["count"] == 0:
-        items = rows.select("id", F.lit(0).alias("part"), item.alias("item"))
-    else:
-        number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts")).cast("int")
-        items = rows.join(hubs.df, F.col("id") == F.col("hub_id"), "left").select(
-            "id", F.coalesce(number, F.lit(0)).alias("part"), item.alias("item")
-        )
-    return items.groupBy("id", "part").agg(F.sort_array(F.collect_list("item")).alias(name))
+    entry = F.struct("item.*", "n")
+    return counted.groupBy("id", "part").agg(F.sort_array(F.collect_list(entry)).alias(name))
 
 
-def collect_edges(edges: DataFrame, direction: str, list_rows: int = LIST_ROWS) -> DataFrame:
-    """Incident edges per vertex; ``direction`` is in, out or either."""
+def collect_edges(edges: DataFrame, direction: str, part_ids: int = PART_IDS) -> DataFrame:
+    """Incident edges ``(src, dst, attr, n)`` per vertex and part; ``direction``
+    is in, out or either."""
     return _collect(
-        _incident(edges, direction), F.struct("src", "dst", "attr"), "edges", list_rows
+        _incident(edges, direction), F.struct("src", "dst", "attr"), "edges", part_ids
     )
 
 
 def collect_neighbors(
-    vertices: DataFrame, edges: DataFrame, direction: str, list_rows: int = LIST_ROWS
+    vertices: DataFrame, edges: DataFrame, direction: str, part_ids: int = PART_IDS
 ) -> DataFrame:
-    """Neighbours ``(id, attr)`` per vertex, one entry per edge."""
+    """Neighbours ``(id, attr, n)`` per vertex and part, ``n`` edges each."""
     others = vertices.select(F.col("id").alias("other_id"), F.col("attr").alias("other_attr"))
     rows = _incident(edges, direction).join(others, F.col("other") == F.col("other_id"))
     item = F.struct(F.col("other").alias("id"), F.col("other_attr").alias("attr"))
-    return _collect(rows, item, "neighbors", list_rows)
+    return _collect(rows, item, "neighbors", part_ids)

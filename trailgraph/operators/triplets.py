@@ -19,7 +19,8 @@ def triplets(
     """Edges plus ``src_attr`` and/or ``dst_attr``.
 
     Only the ends named are joined.  Both are plain inner equi-joins, so AQE
-    picks the strategy and splits the partitions of a hub.
+    picks the strategy, and splits the partitions of a hub unless what follows
+    groups by the end joined last.
     """
     view = edges
     for end in ends:

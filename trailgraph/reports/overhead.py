@@ -68,11 +68,13 @@ def format_comparison(runs: DataFrame, text: str = "Text") -> DataFrame:
     )
 
 
-def format_order(compared: DataFrame, metric: str = "overhead_duration") -> DataFrame:
-    """Formats by their mean overhead, lowest first."""
-    return (
-        compared.groupBy("storage_format").agg(F.avg(metric).alias("mean")).orderBy("mean")
-    )
+def format_order(
+    compared: DataFrame, metric: str = "overhead_duration", keys: list[str] | None = None
+) -> DataFrame:
+    """Formats by their mean overhead, lowest first, for each of ``keys``."""
+    groups = keys or []
+    means = compared.groupBy(*groups, "storage_format").agg(F.avg(metric).alias("mean"))
+    return means.orderBy(*groups, "mean")
 
 
 def replace_format(runs: DataFrame, replacement: DataFrame, label: str = "Text") -> DataFrame:

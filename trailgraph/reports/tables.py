@@ -20,21 +20,27 @@ def statistics(runs: DataFrame, metric: str, keys: list[str] | None = None) -> D
     )
 
 
-def duration_table(runs: DataFrame, metric: str = "duration_s") -> DataFrame:
+def duration_table(
+    runs: DataFrame, metric: str = "duration_s", keys: list[str] | None = None
+) -> DataFrame:
     """The printed duration table: two decimals, names escaped, shortest first."""
-    ordered = statistics(runs, metric).orderBy("algorithm", "mean")
+    others = [key for key in keys or PAIR if key != "dataset"]
+    ordered = statistics(runs, metric, keys).orderBy(*others, "mean")
     return ordered.select(
-        "algorithm",
+        *others,
         escaped("dataset").alias("dataset"),
         *[two_decimals(c).alias(c) for c in ("min", "mean", "max", "std")],
     )
 
 
-def size_table(runs: DataFrame, metric: str = "total_size") -> DataFrame:
+def size_table(
+    runs: DataFrame, metric: str = "total_size", keys: list[str] | None = None
+) -> DataFrame:
     """The printed size table, in readable units."""
-    ordered = statistics(runs, metric).orderBy("algorithm", "mean")
+    others = [key for key in keys or PAIR if key != "dataset"]
+    ordered = statistics(runs, metric, keys).orderBy(*others, "mean")
     return ordered.select(
-        "algorithm",
+        *others,
         escaped("dataset").alias("dataset"),
         *[human_size(c).alias(c) for c in ("min", "mean", "max")],
     )

@@ -36,14 +36,12 @@ def one_of(values: list[str], number: Column) -> Column:
 # graphs
 
 
-def part_seq_edges(spark: SparkSession, sf_dir: str, min_quantity: float | None = None):
+def part_seq_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that follow each other in an order, with the lowest price.
 
     Copies of a line are merged before the join, so they do not multiply.
     """
     lines = table(spark, sf_dir, "lineitem")
-    if min_quantity is not None:
-        lines = lines.filter(F.col("l_quantity") >= min_quantity)
     first = lines.groupBy(
         "l_orderkey", "l_linenumber", F.col("l_partkey").alias("src")
     ).agg(F.min("l_extendedprice").alias("price"))
@@ -63,9 +61,16 @@ def part_seq(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph.from_edges(part_seq_edges(spark, sf_dir))
 
 
-def part_seq_q40(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """The same among lines of at least 40 pieces: many small components."""
-    return PropertyGraph.from_edges(part_seq_edges(spark, sf_dir, 40.0))
+def line_seq(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Lines that follow each other in an order, with the lowest price of the
+    first: as many components as orders, with dangling and lone vertices."""
+    number = F.col("l_orderkey") * 16 + F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").groupBy(number.alias("id")).agg(
+        F.min("l_extendedprice").alias("attr")
+    )
+    following = lines.select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
+    edges = lines.withColumnRenamed("id", "src").join(following, "src").select("src", "dst", "attr")
+    return PropertyGraph.from_edges(edges, lines.select("id"))
 
 
 def part_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
@@ -77,8 +82,8 @@ def part_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 
 
 def cust_supp(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Customers and the suppliers they got goods from before July 1995."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_shipdate < timestamp'1995-07-01'")
+    """Customers and the suppliers they got goods from, with the highest price."""
+    lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
     edges = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
