@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from trailgraph.workspace import Workspace
 
 #: Bytes of text that one step of a task works on; a longer text is a step of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _SHIPPED: set[str] = set()
 

@@ -16,8 +16,8 @@ from array import array
 
 #: Words and parts of words kept.  Full maps take no more, since the words met
 #: first are the common ones, until so many parts had to be encoded anew.
-KEPT_WORDS = 500_000
-KEPT_PARTS = 500_000
+KEPT_WORDS = 350_000
+KEPT_PARTS = 450_000
 STALE = 3_000_000
 
 _PARTS = re.compile(r"\s*[^\W\d_]++(?=[.,!?*#$%&\s]|$)|\s*\S++|\s+")

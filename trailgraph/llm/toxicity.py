@@ -26,6 +26,8 @@ FEATURES = 768
 LEAST_DOCS = 4
 #: Standard errors by which its rates under the two labels differ at least.
 LEAST_STRENGTH = 3.0
+#: Words whose features a task remembers.
+KNOWN_WORDS = 150_000
 #: Weight of the swap penalty and of the ridge.
 SWAP_PENALTY = 10.0
 RIDGE = 1e-4
@@ -84,7 +86,7 @@ class Model:
     def present(self, text: str | None) -> list[int]:
         """Numbers of the features in a text, each once."""
         known, found = self.known, set()
-        if len(known) > 500_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         for word in set(words_of(text)):
             numbers = known.get(word)
