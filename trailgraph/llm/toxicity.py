@@ -3,8 +3,8 @@
 The features are words and parts of words that tell the labels apart in a
 bounded sample of labelled documents.  The fit adds to the usual loss a penalty
 on how much a score changes when the identity terms of a labelled document are
-swapped for others of their kind, so that naming a group does not make a text
-toxic.  Identity terms are always features, so the penalty can reach them.
+swapped for others of their kind or for nothing, so that naming a group does not
+make a text toxic.  Identity terms are always features, so the penalty can reach them.
 """
 
 from __future__ import annotations
@@ -195,21 +195,25 @@ def fit(
         for batch in batches:
             texts = batch.column(0).to_pylist()
             real = [model.present(t) for t in texts]
-            other = [model.present(" ".join(swapped(set(words_of(t))))) for t in texts]
+            sets = [set(words_of(t)) for t in texts]
+            other = [model.present(" ".join(swapped(words))) for words in sets]
+            plain = [model.present(" ".join(words - _SWAPS.keys())) for words in sets]
+            numbers = [pa.array(column, pa.list_(pa.int32())) for column in (real, other, plain)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(real, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32())), batch.column(1)],
-                names=["real", "swapped", "label"],
+                [*numbers, batch.column(1)], names=["real", "swapped", "plain", "label"]
             )
 
     # at most ``sample_rows`` rows of at most as many numbers as there are features
-    rows = sample.mapInArrow(run, "real array<int>, swapped array<int>, label int").collect()
+    rows = sample.mapInArrow(run, "real array<int>, swapped array<int>, plain array<int>, label int").collect()
     real = np.zeros((len(rows), len(model.weights)), np.float32)
-    change = np.zeros_like(real)
+    changes = []
     for number, row in enumerate(rows):
         real[number, row["real"]] = 1
-        change[number, row["real"]] += 1
-        change[number, row["swapped"]] -= 1
-    change = change[change.any(axis=1)]
+        for other in (row["swapped"], row["plain"]):
+            if other != row["real"]:
+                changes.append(real[number].copy())
+                changes[-1][other] -= 1
+    change = np.array(changes, np.float32).reshape(-1, real.shape[1])
     weights, bias = _solve(real, np.array([row["label"] for row in rows]), change, swap_penalty)
     return Model(dict(zip(model.weights, weights.tolist())), bias)
 
