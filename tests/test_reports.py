@@ -57,8 +57,9 @@ def test_names(spark):
     assert one(spark, "datagen-7_5-fb", text.escaped, "string") == "datagen-7\\_5-fb"
 
 
+@pytest.mark.parametrize("most", [100_000, 50])
 @pytest.mark.parametrize("shape", ["spread", "copies", "single", "outlier"])
-def test_percentiles_are_exact(spark, shape):
+def test_percentiles_are_exact(spark, shape, most):
     rng = random.Random(5)
     groups = {
         "spread": [rng.gauss(0, 100) for _ in range(501)],
@@ -70,7 +71,7 @@ def test_percentiles_are_exact(spark, shape):
     frame = spark.createDataFrame(rows, "g string, v double")
     wanted = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
     found = {
-        r["g"]: r for r in percentiles.percentiles(frame, ["g"], "v", wanted).collect()
+        r["g"]: r for r in percentiles.percentiles(frame, ["g"], "v", wanted, most).collect()
     }
     for group in ("x", "y"):
         ordered = sorted(v for g, v in rows if g == group)
@@ -136,6 +137,33 @@ def test_filters(runs):
     assert filters.large_enough(runs, smallest=1000).count() == 2
 
 
+def test_percentile_pieces_stay_small(spark, monkeypatch):
+    """An outlier 1e12 times as large does not put the rest into one piece."""
+    rows = spark.range(200_000).select(
+        F.when(F.col("id") % 1000 == 7, None).otherwise("x").alias("g"),
+        F.when(F.col("id") == 0, 1e12).otherwise(F.col("id") / 200_000).alias("v"),
+    )
+    ordered = []
+    pick = percentiles._pick
+
+    def spy(table, *rest):
+        ordered.append(percentiles._largest(table, ["g"]))
+        return pick(table, *rest)
+
+    monkeypatch.setattr(percentiles, "_pick", spy)
+    found = percentiles.percentiles(rows, ["g"], "v", {"m": 0.5, "top": 1.0}, 1000).collect()
+    assert max(ordered) <= 1000
+    values = {row["g"]: row for row in found}
+    assert values["x"]["top"] == 1e12
+    assert values["x"]["m"] == pytest.approx(0.5, abs=1e-3)
+    assert values[None]["top"] == pytest.approx(199_007 / 200_000)
+
+
+def test_percentiles_of_nothing(spark):
+    rows = spark.createDataFrame([("x", None)], "g string, v double")
+    assert percentiles.percentiles(rows, ["g"], "v", {"m": 0.5}).collect() == []
+
+
 def test_formats_and_scenarios(runs):
     compared = overhead.format_comparison(runs)
     assert compared.count() == 4
@@ -143,7 +171,7 @@ def test_formats_and_scenarios(runs):
     assert order == ["Text", "CSV-C"]
     replaced = overhead.replace_format(runs, runs.filter("storage_format = 'CSV-C'"))
     assert sorted(r["storage_format"] for r in replaced.collect()) == ["CSV-C", "Text"]
-    summary = overhead.scenario_summary(overhead.scenarios({"one": runs, "two": runs.limit(0)}))
+    summary = overhead.scenario_summary(overhead.scenarios(runs.withColumn("setup", F.lit("s1")), {"s1": "one", "s2": "two"}))
     row = summary.first()
     assert (row["scenario"], row["runs"], row["median"]) == ("one", 4, 15.0)
 

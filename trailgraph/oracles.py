@@ -393,6 +393,13 @@ ORACLES["prov_json_nodes"] = _on(
               '{"id":' || node_id || ',"location":"' || coalesce(location, '') || '"}' AS line
        FROM pn""",
 )
+ORACLES["prov_json_node_metrics"] = _on(
+    _METRICS,
+    """SELECT DISTINCT run_id, owner_id AS node_id, name,
+              '{"graphID":' || owner_id || ',"type":"gauge","name":"activeMessages","value":"' ||
+              CAST(value AS VARCHAR) || '"}' AS line
+       FROM pm WHERE owner = 'node'""",
+)
 ORACLES["prov_dot_lines"] = _on(
     _PROV,
     """SELECT run_id, 0 AS part, 'digraph {' AS line FROM (SELECT DISTINCT run_id FROM pn)
@@ -579,8 +586,8 @@ ORACLES["run_coverage"] = _on(
                   FROM (SELECT graph, unnest(algorithms) AS algorithm FROM datasets)
                   WHERE algorithm IN ('BFS', 'PageRank', 'WCC')))""",
     """SELECT dataset, algorithm, setup, storage_format, run_nr
-       FROM planned, (SELECT unnest(range(1, 201)) AS run_nr)
-       EXCEPT ALL SELECT dataset, algorithm, setup, storage_format, run_nr FROM runs
+       FROM planned, (SELECT unnest(range(1, (SELECT max(run_nr) // 24 + 2 FROM runs))) AS run_nr)
+       EXCEPT ALL SELECT dataset, algorithm, setup, storage_format, run_nr // 24 + 1 FROM runs
        WHERE status = 'SUCCESS'""",
 )
 _PAIRED = f"""{_RUNS},
@@ -667,3 +674,60 @@ ORACLES["name_lists"] = """
                              ','), lambda w: trim(w)),
                 lambda w: w <> '' AND NOT starts_with(w, '#')), '|') AS names
        FROM part"""
+
+
+# files written and read again
+
+
+_WEIGHT = "CASE WHEN attr >= 20000 THEN attr ELSE 0 END AS attr"
+ORACLES["text_edges"] = _on(PART_SEQ, f"SELECT src, dst, {_WEIGHT} FROM e")
+ORACLES["text_vertices"] = "SELECT p_partkey AS id FROM part"
+ORACLES["text_graph_edges"] = _on(
+    PART_SEQ,
+    f"SELECT src, dst, {_WEIGHT} FROM e UNION ALL SELECT dst, src, {_WEIGHT} FROM e",
+)
+ORACLES["text_graph_vertices"] = _on(PART_GRAPH, "SELECT id FROM pv")
+ORACLES["text_descriptors"] = """
+       SELECT 'c' || c_custkey AS graph, c_custkey AS n_vertices, c_custkey % 2 = 0 AS directed,
+              CASE WHEN c_custkey % 3 = 0 THEN 'BFS|PageRank' ELSE 'SSSP|WCC' END AS algorithms,
+              CAST('0.' || c_custkey % 10 AS DOUBLE) AS pr_damping
+       FROM customer"""
+ORACLES["text_expected"] = f"""
+       SELECT p_partkey AS id,
+              CASE WHEN p_partkey % 7 = 0 THEN {MAX} ELSE CAST(p_size AS BIGINT) END AS value
+       FROM part"""
+ORACLES["result_file"] = _on(PART_GRAPH, "SELECT id, attr AS value FROM pv")
+ORACLES["report_file"] = ORACLES["run_stats"]
+ORACLES["snapshot_formats"] = _on(
+    PART_GRAPH,
+    """SELECT storage_format, node_id, id, attr AS value
+       FROM pv, (VALUES ('TextFile()', 0::BIGINT), ('TextFile(true)', 1), ('ObjectFile()', 2),
+                        ('ParquetFile()', 3), ('ORCFile()', 4), ('CSVFile()', 5),
+                        ('CSVFile(true)', 6), ('JSONFormat()', 7), ('JSONFormat(true)', 8)
+                ) formats(storage_format, node_id)""",
+)
+ORACLES["size_listing"] = """
+       SELECT CAST(l_orderkey AS VARCHAR) AS lineage_id, CAST(l_linenumber AS INTEGER) AS iteration,
+              CAST(floor(l_extendedprice) AS BIGINT) AS size
+       FROM lineitem WHERE l_linenumber % 4 <> 0"""
+ORACLES["output_size_listing"] = _on(
+    _RUNS,
+    """SELECT algorithm, dataset, max(run_nr) FILTER (setup <> 'Baseline') AS with_lineage,
+              max(run_nr) FILTER (setup = 'Baseline') AS without_lineage
+       FROM runs GROUP BY 1, 2""",
+)
+ORACLES["recorded_runs"] = _on(
+    _DEPTHS,
+    """SELECT 'experiment-1' AS experiment, 'combinedpruning' AS setup, 'BFS' AS algorithm,
+              'part-seq' AS dataset, 1::BIGINT AS run_nr, 'Text' AS storage_format,
+              (SELECT count(*) FROM v) AS n_vertices,
+              (SELECT CAST(count(*) AS INTEGER) FROM rounds) AS iterations, TRUE AS stored
+       UNION ALL
+       SELECT 'experiment-2', 'tracing', 'PageRank', 'part-seq', 2, 'Text',
+              (SELECT count(*) FROM v), 3, FALSE""",
+)
+ORACLES["recorded_messages"] = _on(
+    _DEPTHS,
+    """SELECT count(x) AS messages
+       FROM rounds LEFT JOIN depth ON x = i + 2 GROUP BY i""",
+)

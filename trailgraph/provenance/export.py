@@ -84,6 +84,28 @@ def json_nodes(nodes: DataFrame) -> DataFrame:
     )
 
 
+def json_node_metrics(metrics: DataFrame) -> DataFrame:
+    """One JSON object per metric of a provenance node, copies dropped.
+
+    A node may have any number of metrics, so they are rows and not one list.
+    A time has an amount and a unit; gauges and counters are written as text.
+    """
+    amount = F.col("value").cast("bigint").cast("string")
+    head = [F.col("owner_id").alias("graphID"), F.col("kind").alias("type"), F.col("name")]
+    timed = F.to_json(F.struct(*head, F.struct(amount.alias("amount"), "unit").alias("value")))
+    plain = F.to_json(F.struct(*head, F.col("value").cast("string").alias("value")))
+    return (
+        metrics.filter("owner = 'node'")
+        .select(
+            "run_id",
+            F.col("owner_id").alias("node_id"),
+            "name",
+            F.when(F.col("unit").isNotNull(), timed).otherwise(plain).alias("line"),
+        )
+        .distinct()
+    )
+
+
 def dot_edges(edges: DataFrame) -> DataFrame:
     colour = F.when(
         (F.col("event_type") == "algorithm") & F.col("event_name").isin(COLOURED_ALGORITHMS),

@@ -48,7 +48,11 @@ class RunRecord:
 
 def run(spark: SparkSession, graph: PropertyGraph, request: RunRequest) -> RunRecord:
     """Run the algorithm, timed, and save its result, run row, provenance tables,
-    snapshot sizes and drawing below the output folder."""
+    snapshot sizes and drawing below the output folder.
+
+    The record that ``sources.runlogs.load_runs`` reads goes to its ``provenance``
+    folder; for that, the output folder is named ``experiment-<id>``.
+    """
     tracing, storage = flags(request.setup)
     session = ProvenanceSession(
         spark,
@@ -64,7 +68,9 @@ def run(spark: SparkSession, graph: PropertyGraph, request: RunRequest) -> RunRe
     result = _call(graph.with_session(session), request, prepared)
     record = RunRecord(session, result, time.perf_counter_ns() - started)
     save_result(result.vertices, f"{request.output}/vertices")
+    session.flush()
     _save(spark, request, record, graph)
+    _save_record(spark, request, record)
     prepared.release()
     return record
 
@@ -113,3 +119,62 @@ def _save(spark: SparkSession, request: RunRequest, record: RunRecord, graph) ->
         F.lit(spark.sparkContext.applicationId).alias("application_id"),
         F.lit("SUCCESS").alias("status"),
     ).write.json(f"{output}/run")
+
+
+def _save_record(spark: SparkSession, request: RunRequest, record: RunRecord) -> None:
+    """``inputs.json`` and ``outputs.json``: what went in and what came out."""
+    session = record.session
+    inputs = {
+        "parameters": {
+            "experimentID": session.run_id,
+            "dataset": request.dataset,
+            "algorithm": request.algorithm,
+            "runNr": request.run_nr,
+            "outputDir": request.output,
+            "lineageDir": request.lineage,
+            "setup": request.setup,
+            "tracingEnabled": session.tracing,
+            "storageEnabled": session.storage,
+            "storageFormat": request.storage_format,
+            "applicationId": spark.sparkContext.applicationId,
+        },
+    }
+    nodes = sorted({node for edge in session.edges for node in (edge.source, edge.target)})
+    measured = sorted({metric[1] for metric in session.metrics if metric[0] == "node"})
+    outputs = {
+        "results": f"{request.output}/vertices",
+        "lineageDirectory": request.lineage,
+        "graph": {
+            "nodes": [{"id": n, "location": session.locations.get(n) or ""} for n in nodes],
+            "edges": [
+                {
+                    "source": edge.source,
+                    "target": edge.target,
+                    "relationship": str(edge.event),
+                    "type": edge.event.event_type,
+                    "metrics": _metrics_of(session, "edge", edge.seq),
+                }
+                for edge in session.edges
+            ],
+        },
+        "sizes": [
+            {"graphID": row["node_id"], "size": row["size"], "location": row["location"]}
+            for row in record.sizes().collect()  # one row per operation
+        ],
+        "duration": {"amount": record.nanos, "unit": "ns"},
+        "metrics": [
+            {"graphID": node, "metrics": _metrics_of(session, "node", node)} for node in measured
+        ],
+    }
+    for name, content in (("inputs", inputs), ("outputs", outputs)):
+        line = spark.createDataFrame([(json.dumps(content),)], "line string").coalesce(1)
+        line.write.text(f"{request.output}/provenance/{name}.json")
+
+
+def _metrics_of(session: ProvenanceSession, owner: str, owner_id: int) -> dict:
+    """The metrics of one graph or operation; amounts and gauges are text."""
+    found = []
+    for kind, name, value, unit in (m[2:] for m in session.metrics if m[:2] == (owner, owner_id)):
+        shown = {"amount": str(int(value)), "unit": unit} if unit else str(value)
+        found.append({"type": kind, "name": name, "value": shown})
+    return {"type": "ObservationSet", "values": [found]}

@@ -7,6 +7,7 @@ last digits depend on the order of summation.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,6 +18,7 @@ from trailgraph.operators.aggregate import Send
 from trailgraph.operators.joins import verify_result
 from trailgraph.plans.prepared import PreparedGraph
 from trailgraph.provenance import export, tables
+from trailgraph.provenance.record import RunRequest, run
 from trailgraph.provenance.session import (
     CaptureFilter,
     DeltaPredicate,
@@ -25,10 +27,22 @@ from trailgraph.provenance.session import (
 )
 from trailgraph.provenance.setups import capture_for, reached, updates_vertices, with_flags
 from trailgraph.reports import coverage, filters, overhead, tables as reports
-from trailgraph.sinks.snapshots import snapshot_sizes
+from trailgraph.sinks.results import save_report, save_result
+from trailgraph.sinks.snapshots import (
+    StorageFormat,
+    read_snapshots_of,
+    snapshot_sizes,
+    write_snapshot,
+)
+from trailgraph.sources import descriptors, graphs, runlogs
 from trailgraph.sources.runlogs import normalised_runs
 from trailgraph.workspace import Workspace
 
+#: Formats that need no further package.
+STORED_FORMATS = [
+    "TextFile()", "TextFile(true)", "ObjectFile()", "ParquetFile()", "ORCFile()", "CSVFile()",
+    "CSVFile(true)", "JSONFormat()", "JSONFormat(true)",
+]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -465,6 +479,11 @@ def prov_json_nodes(spark, sf_dir):
     return export.json_nodes(views.prov_nodes_log(spark, sf_dir))
 
 
+@query
+def prov_json_node_metrics(spark, sf_dir):
+    return export.json_node_metrics(views.prov_metrics_log(spark, sf_dir))
+
+
 @query
 def prov_dot_lines(spark, sf_dir):
     return export.dot_lines(
@@ -580,9 +599,7 @@ def replaced_format(spark, sf_dir):
 
 
 def _scenarios(spark, sf_dir) -> DataFrame:
-    return overhead.scenarios(
-        {setup: _runs_of(spark, sf_dir, setup) for setup in views.SETUPS}
-    )
+    return overhead.scenarios(views.run_log(spark, sf_dir), {s: s for s in views.SETUPS})
 
 
 @query
@@ -600,14 +617,15 @@ def scenario_size_summary(spark, sf_dir):
 
 @query
 def run_coverage(spark, sf_dir):
+    """An algorithm and setup come up every 24 runs of the log, which numbers their
+    repetitions; as many as the highest are planned."""
+    repetition = F.floor(F.col("run_nr") / 24) + 1
+    runs = views.run_log(spark, sf_dir).withColumn("run_nr", repetition)
+    numbers = runs.agg(F.max("run_nr").alias("repetitions"))
     planned = coverage.planned_runs(
-        views.dataset_log(spark, sf_dir),
-        ["BFS", "PageRank", "WCC"],
-        views.SETUPS,
-        views.FORMATS,
-        repetitions=200,
+        views.dataset_log(spark, sf_dir), ["BFS", "PageRank", "WCC"], views.SETUPS, views.FORMATS,
+        repetitions=numbers.first()["repetitions"] or 1,
     )
-    runs = views.run_log(spark, sf_dir)
     return coverage.missing_runs(planned, runs, statuses=("SUCCESS",))
 
 
@@ -662,6 +680,186 @@ def report_filters(spark, sf_dir):
     )
 
 
+# files written from whole tables and read again
+
+
+def _text_file(spark, lines: DataFrame, name: str) -> str:
+    path = f"{Workspace(spark, 'files').path}/{name}"
+    lines.select("line").write.text(path)
+    return path
+
+
+def _weighted_lines(edges: DataFrame) -> DataFrame:
+    """``src dst weight`` lines; weights below 20000 are left away."""
+    weight = F.when(F.col("attr") >= 20000, F.col("attr").cast("string"))
+    ends = [F.col(end).cast("string") for end in ("src", "dst")]
+    return edges.select(F.concat_ws(" ", *ends, weight).alias("line"))
+
+
+@query
+def text_edges(spark, sf_dir):
+    lines = _weighted_lines(views.part_seq_edges(spark, sf_dir))
+    return graphs.load_edges(spark, _text_file(spark, lines, "graph.e"))
+
+
+@query
+def text_vertices(spark, sf_dir):
+    parts = views.table(spark, sf_dir, "part")
+    lines = parts.select(F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name").alias("line"))
+    return graphs.load_vertices(spark, _text_file(spark, lines, "graph.v"))
+
+
+def _undirected(spark, sf_dir) -> PropertyGraph:
+    """A graph in its three files; the descriptor says that it is undirected."""
+    folder = Workspace(spark, "files").path
+    _weighted_lines(views.part_seq_edges(spark, sf_dir)).write.text(f"{folder}/parts.e")
+    parts = views.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("line"))
+    parts.write.text(f"{folder}/parts.v")
+    marked = parts.agg(F.lit("graph.parts.directed = false").alias("line"))
+    marked.write.text(f"{folder}/parts.properties")
+    return graphs.load_graph(spark, f"{folder}/parts", directed=None)
+
+
+@query
+def text_graph_edges(spark, sf_dir):
+    return _undirected(spark, sf_dir).edges
+
+
+@query
+def text_graph_vertices(spark, sf_dir):
+    return _undirected(spark, sf_dir).vertices.select("id")
+
+
+@query
+def text_descriptors(spark, sf_dir):
+    """A descriptor per customer, its keys in no particular order."""
+    customer = F.col("c_custkey").cast("string")
+    values = {
+        "meta.vertices": customer,
+        "directed": F.when(F.col("c_custkey") % 2 == 0, "true").otherwise("false"),
+        "algorithms": F.when(F.col("c_custkey") % 3 == 0, "bfs, pr, # wcc,").otherwise(" sssp,wcc"),
+        "pr.damping-factor": F.format_string("0.%s", F.col("c_custkey") % 10),
+    }
+    lines = [
+        F.concat(F.lit("graph.c"), customer, F.lit(f".{key} = "), value)
+        for key, value in values.items()
+    ]
+    written = views.table(spark, sf_dir, "customer").select(
+        F.explode(F.array(*lines, F.lit("# a comment"))).alias("line")
+    )
+    found = descriptors.load_datasets(spark, _text_file(spark, written, "all.properties"))
+    return found.select(
+        "graph", "n_vertices", "directed", F.array_join("algorithms", "|").alias("algorithms"),
+        "pr_damping",
+    )
+
+
+@query
+def text_expected(spark, sf_dir):
+    """Sizes of parts, where every seventh is infinite."""
+    size = F.when(F.col("p_partkey") % 7 == 0, "infinity").otherwise(F.col("p_size").cast("string"))
+    lines = views.table(spark, sf_dir, "part").select(
+        F.concat_ws(" ", F.col("p_partkey").cast("string"), size).alias("line")
+    )
+    return graphs.load_expected(spark, _text_file(spark, lines, "expected"))
+
+
+@query
+def result_file(spark, sf_dir):
+    path = f"{Workspace(spark, 'files').path}/result"
+    save_result(views.part_graph(spark, sf_dir).vertices, path)
+    return graphs.load_expected(spark, path)
+
+
+@query
+def report_file(spark, sf_dir):
+    path = f"{Workspace(spark, 'files').path}/report.csv"
+    report = run_stats(spark, sf_dir)
+    save_report(report, path)
+    return spark.read.option("header", True).schema(report.schema).csv(path)
+
+
+@query
+def snapshot_formats(spark, sf_dir):
+    """The graph of all parts, stored in every format that needs no package."""
+    vertices = views.part_graph(spark, sf_dir).vertices
+    base = Workspace(spark, "files").path
+    found = []
+    for number, name in enumerate(STORED_FORMATS):
+        storage_format = StorageFormat.parse(name)
+        path = f"{base}/run_id=all/node_id={number}"
+        write_snapshot(vertices, path, storage_format)
+        snapshot = read_snapshots_of(spark, [path], base, storage_format, "bigint")
+        found.append(snapshot.select(F.lit(name).alias("storage_format"), "node_id", "id", "value"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def size_listing(spark, sf_dir):
+    """Sizes of the snapshots of a run, among other files."""
+    order = F.col("l_orderkey").cast("string")
+    path = F.concat(F.lit("/lineage/"), order, F.lit("/"), F.col("l_linenumber").cast("string"))
+    kind = F.when(F.col("l_linenumber") % 4 == 0, ".e").otherwise(".v")
+    size = F.floor("l_extendedprice").cast("string")
+    lines = views.table(spark, sf_dir, "lineitem").select(
+        F.concat(size, F.lit("  "), path, kind).alias("line")
+    )
+    return runlogs.load_sizes(spark, _text_file(spark, lines, "sizes"))
+
+
+@query
+def output_size_listing(spark, sf_dir):
+    """Largest result files with lineage and without."""
+    flag = F.when(F.col("setup") == "Baseline", "").otherwise("-lineage")
+    name = F.concat("algorithm", F.lit("-"), "dataset", flag, F.lit(".txt"))
+    lines = views.run_log(spark, sf_dir).select(
+        F.concat(F.col("run_nr").cast("string"), F.lit(" /results/"), name).alias("line")
+    )
+    return runlogs.load_output_sizes(spark, _text_file(spark, lines, "output-sizes"))
+
+
+def _recorded(spark, sf_dir) -> str:
+    """The folder of the records of two runs on the part sequence."""
+    root = Workspace(spark, "records").path
+    graph = views.part_seq(spark, sf_dir)
+    source = graph.vertices.agg(F.min("id")).first()[0]
+    for number, algorithm, setup, parameters in (
+        (1, "BFS", "CombinedPruning", {"source": source}),
+        (2, "PageRank", "Tracing", {"num_iter": 3}),
+    ):
+        run(
+            spark,
+            graph,
+            RunRequest(
+                dataset="part-seq", algorithm=algorithm, setup=setup, parameters=parameters,
+                output=f"{root}/experiment-{number}", lineage=f"{root}/lineage", run_nr=number,
+            ),
+        )
+    return root
+
+
+@query
+def recorded_runs(spark, sf_dir):
+    """Two runs, read back from the records that they wrote."""
+    sizes = views.part_seq(spark, sf_dir).vertices.agg(
+        F.lit("part-seq").alias("graph"), F.count("id").alias("n_vertices")
+    )
+    found = runlogs.load_runs(spark, _recorded(spark, sf_dir), sizes)
+    return found.select(
+        "experiment", "setup", "algorithm", "dataset", "run_nr", "storage_format", "n_vertices",
+        "iterations", (F.col("total_size") > 0).alias("stored"),
+    )
+
+
+@query
+def recorded_messages(spark, sf_dir):
+    """Messages per graph of the recorded breadth-first search."""
+    found = runlogs.load_metrics(spark, _recorded(spark, sf_dir))
+    return found.filter("experiment = 'experiment-1' AND name = 'activeMessages'").select(
+        F.col("value").cast("bigint").alias("messages")
+    )
+
+
 # text functions
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+# Repetitions listed at a time, so that no row holds all of them.
+BLOCK = 10_000
 RUN_KEY = ["dataset", "algorithm", "setup", "storage_format", "run_nr"]
 
 
@@ -17,7 +19,8 @@ def planned_runs(
     """Every combination to run, from ``datasets (graph, algorithms)``.
 
     A dataset contributes the requested algorithms it supports; only
-    CompleteProvenance is run in every format, the rest in text.
+    CompleteProvenance is run in every format, the rest in text.  Run numbers go
+    from 1 to ``repetitions``, which is at least 1.
     """
 
     def values(items: list[str]):
@@ -33,8 +36,12 @@ def planned_runs(
         )
         .withColumn("setup", F.explode(values(setups)))
         .withColumn("storage_format", F.explode(formats))
-        .withColumn("run_nr", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
-        .withColumn("run_nr", F.col("run_nr").cast("bigint"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((repetitions - 1) // BLOCK))))
+        .repartition("dataset", "algorithm", "setup", "storage_format", "block")
+        .withColumn("first", F.col("block").cast("bigint") * BLOCK + 1)
+        .withColumn("last", F.least(F.col("first") + BLOCK - 1, F.lit(repetitions)))
+        .withColumn("run_nr", F.explode(F.sequence("first", "last")))
+        .drop("block", "first", "last")
     )
 
 

@@ -83,17 +83,15 @@ def replace_format(runs: DataFrame, replacement: DataFrame, label: str = "Text")
     return others.unionByName(replacement.withColumn("storage_format", F.lit(label)))
 
 
-def scenarios(tables: dict[str, DataFrame]) -> DataFrame:
-    """Run tables one under the other, each with its scenario name."""
-    columns = ["scenario", *PAIR, "duration_s", "total_size"]
-    labelled = [
-        table.withColumn("scenario", F.lit(name)).select(*columns)
-        for name, table in tables.items()
-    ]
-    combined = labelled[0]
-    for table in labelled[1:]:
-        combined = combined.unionByName(table)
-    return combined
+def scenarios(runs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Runs with the scenario that ``names`` gives their setup, in one pass; other
+    setups are left out."""
+    scenario = F.lit(None).cast("string")
+    for setup, name in names.items():
+        scenario = F.when(F.col("setup") == setup, name).otherwise(scenario)
+    return runs.withColumn("scenario", scenario).filter("scenario IS NOT NULL").select(
+        "scenario", *PAIR, "duration_s", "total_size"
+    )
 
 
 def scenario_summary(combined: DataFrame, metric: str = "duration_s") -> DataFrame:

@@ -92,7 +92,8 @@ def normalised_runs(records: DataFrame, datasets: DataFrame) -> DataFrame:
 
 
 def load_metrics(spark: SparkSession, root: str) -> DataFrame:
-    """``(experiment, node_id, kind, name, value)`` rows of the recorded metrics."""
+    """``(experiment, node_id, kind, name, value)`` rows of the recorded metrics;
+    of a time, the value is its amount."""
     nested = load_records(spark, root).select(
         "experiment", F.explode("outputs.metrics").alias("node")
     )
@@ -107,7 +108,9 @@ def load_metrics(spark: SparkSession, root: str) -> DataFrame:
         "node_id",
         kind.alias("kind"),
         F.col("metric.name").alias("name"),
-        F.col("metric.value").cast("double").alias("value"),
+        F.coalesce(F.get_json_object("metric.value", "$.amount"), "metric.value")
+        .cast("double")
+        .alias("value"),
     )
 
 
