@@ -169,6 +169,21 @@ def brute_components(rows):
     return sorted(((doc, least.get(group)) for (doc, _), group in zip(prints, label)), key=repr)
 
 
+def test_linked_sets_have_no_hub():
+    values = np.arange(2000, dtype=np.uint64) % np.uint64(16)  # all within the radius
+    sizes = np.array([1000, 1000])
+    a, b = near_duplicates.group_links(values, sizes, 4)
+    assert len(a) == 1998
+    places = np.arange(2000, dtype=np.uint64)
+    forest = near_duplicates.Forest(2000)
+    forest.add(np.arange(1999), np.arange(1, 2000))
+    a, b = forest.edges(places)
+    assert np.bincount(np.concatenate([a, b]).astype(int)).max() <= near_duplicates.FAN_OUT + 1
+    again = near_duplicates.Forest(2000)
+    again.add(a.astype(int), b.astype(int))
+    assert not again.root.any()
+
+
 def test_near_duplicates(spark, docs, nothing):
     found = near_duplicates.near_duplicates(docs).collect()
     assert sorted(((r["doc_id"], r["component_id"]) for r in found), key=repr) == brute_components(awkward())

@@ -5,7 +5,7 @@ differ, so those that agree on enough bands meet in a group.  A group is stored
 vertically: word ``p`` of a lane block holds bit ``p`` of 64 fingerprints.  One
 fingerprint is compared with 64 at once, plane by plane, the distances held in
 carry-save counters, and a block is given up once all its lanes exceed the
-radius.  A group hands on a spanning forest of its links, never all pairs.
+radius.  A group hands on a tree over each set of linked ones, never all pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ GROUP_ROWS = 2048
 MEAN_GROUP = 256
 #: Pairs of a fingerprint and a lane block that are compared at once.
 PAIRS = 1 << 14
+#: Edges down from one fingerprint in the tree that stands for a linked set.
+FAN_OUT = 8
 # A-Z become a-z.
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -170,9 +172,20 @@ class Forest:
             while (onward := self.root[self.root]).tobytes() != self.root.tobytes():
                 self.root = onward
 
+    def edges(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A tree over each linked set, as two arrays of values: at most ``FAN_OUT``
+        below each, so that no fingerprint ends up with all edges of a large set."""
+        order = np.argsort(self.root, kind="stable")
+        roots = self.root[order]
+        start = np.searchsorted(roots, roots)
+        rank = np.arange(len(order)) - start
+        above = order[start + np.maximum(rank - 1, 0) // FAN_OUT]
+        below = rank > 0
+        return values[order[below]], values[above[below]]
+
 
 def group_links(values: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside consecutive groups, as two arrays of values."""
+    """Trees over the sets linked inside consecutive groups, as two arrays of values."""
     forest = Forest(len(values))
     starts = np.cumsum(sizes) - sizes
     small = (sizes > 1) & (sizes <= 64)
@@ -185,8 +198,7 @@ def group_links(values: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.
         start, size = int(starts[group]), int(sizes[group])
         for i, j in linked(values[start : start + size], radius):
             forest.add(start + i, start + j)
-    moved = np.flatnonzero(forest.root != np.arange(len(values)))
-    return values[moved], values[forest.root[moved]]
+    return forest.edges(values)
 
 
 def _bands(count: int, radius: int) -> list[list[tuple[int, int]]]:
@@ -246,7 +258,8 @@ def _split(banded: DataFrame, space) -> DataFrame:
 
 
 def fingerprint_links(distinct: DataFrame, count: int, space, radius: int = RADIUS) -> DataFrame:
-    """Pairs of distinct fingerprints that span all links within the radius."""
+    """Pairs of distinct fingerprints with the components of all links within the
+    radius; the two of a pair are linked, if not directly."""
     grouping = ["choice", "key", "one", "two"]
     dealt = _split(_banded(distinct, count, radius), space)
     ordered = dealt.repartition(*grouping).sortWithinPartitions(*grouping)
