@@ -219,7 +219,7 @@ class ProvenanceSession:
         while self._writes:
             self._writes.pop(0).result()
 
-    # tables
+    # tables; they wait for the snapshots still being written
 
     def prov_nodes(self) -> DataFrame:
         """Nodes of the provenance graph: the endpoints of its edges."""
@@ -243,13 +243,16 @@ class ProvenanceSession:
         return self.spark.createDataFrame(rows, tables.PROV_EDGES)
 
     def prov_metrics(self) -> DataFrame:
+        self.flush()
         rows = [(self.run_id, *metric) for metric in self.metrics]
         return self.spark.createDataFrame(rows, tables.PROV_METRICS)
 
     def stored(self) -> dict[int, str]:
         """Node id to location of the snapshots that were written."""
+        self.flush()
         return {node: path for node, path in self.locations.items() if path}
 
     def snapshots(self) -> DataFrame:
         """All stored snapshots: ``(run_id, node_id, event_name, iteration, id, value)``."""
+        self.flush()
         return tables.read_snapshots(self)
