@@ -262,6 +262,43 @@ def test_line_dedup(spark, nothing):
     assert line_dedup.drop_repeated(nothing).columns == nothing.columns
 
 
+def common_runs(rows, min_words):
+    """Places in runs of enough words that an earlier document has as well, by trying all."""
+    docs = sorted({(doc, text) for doc, text, *_ in rows if doc is not None and text is not None})
+    lines = [[line.strip() for line in text.split("\n") if line.strip()] for _, text in docs]
+    gone = {}
+    for later, mine in enumerate(lines):
+        places = set()
+        for other in lines[:later]:
+            for i in range(len(mine)):
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(mine) and j + n < len(other) and mine[i + n] == other[j + n]:
+                        n += 1
+                    if sum(len(line.split()) for line in mine[i : i + n]) >= min_words:
+                        places.update(range(i, i + n))
+        gone[docs[later]] = sorted(places)
+    return gone
+
+
+def short_lines(seed, count):
+    draw = random.Random(seed)
+    lines = [" ".join(draw.choices(WORDS, k=draw.randint(1, 12))) for _ in range(8)]
+    return [(k, "\n".join(draw.choices(lines, k=draw.randint(1, 12))), "en", "") for k in range(count)]
+
+
+def test_deleted_blocks_stand_in_one_earlier_document(spark):
+    a, b, c = (" ".join(f"{name}{k}" for k in range(8)) for name in "abc")
+    rows = [(0, "\n".join([a, "x", b, "y", c]), "", ""), (1, "\n".join([a, b, c]), "", "")]
+    assert not any(r["gone"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS), deleted="gone").collect())
+    rows = short_lines(5, 80)
+    allowed, texts = common_runs(rows, 20), {row[0]: row[1] for row in rows}
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3), deleted="gone").collect()
+    assert any(r["gone"] for r in found)
+    for r in found:
+        assert set(r["gone"] or []) <= set(allowed[r["doc_id"], texts[r["doc_id"]]])
+
+
 def test_longest_chain():
     assert [line_dedup.longest_chain(p) for p in ([], [3], [5, 1, 2, 9, 3])] == [[], [0], [1, 2, 4]]
 
