@@ -299,6 +299,20 @@ def test_deleted_blocks_stand_in_one_earlier_document(spark):
         assert set(r["gone"] or []) <= set(allowed[r["doc_id"], texts[r["doc_id"]]])
 
 
+def test_blocks_of_every_earlier_document_go(spark):
+    p, q = ("\n".join(" ".join(f"{name}{n}{k}" for k in range(9)) for n in range(4)) for name in "pq")
+    rows = [(0, q + "\n" + p, "", ""), (1, p + "\n" + q, "", ""), (2, p + "\n" + q, "", ""),
+            (3, "---\n" + p + "\nown words\n---\n" + p, "", "")]
+    rows += [(k + 4, *row[1:]) for k, row in enumerate(short_lines(6, 80))]
+    texts = {row[0]: row[1] for row in rows}
+    expected = common_runs(rows, 20)
+    table = spark.createDataFrame([*rows, rows[9]], DOCS).repartition(3)
+    found = line_dedup.dedup_lines(table, deleted="gone", every_holder=True).collect()
+    gone = {r["doc_id"]: r["gone"] or [] for r in found}
+    assert gone == {k: expected[k, text] for k, text in texts.items()}
+    assert [len(gone[k]) for k in range(4)] == [0, 8, 8, 8]
+
+
 def test_longest_chain():
     assert [line_dedup.longest_chain(p) for p in ([], [3], [5, 1, 2, 9, 3])] == [[], [0], [1, 2, 4]]
 

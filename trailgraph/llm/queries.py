@@ -138,7 +138,7 @@ def op9_histogram_sharding(spark, sf_dir):
 def op10_line_dedup(spark, sf_dir):
     """Lines deleted from each document, and the text that is left."""
     docs = text_only(table(spark, sf_dir, "documents"), "doc_id", "text")
-    found = line_dedup.dedup_lines(docs, deleted="deleted")
+    found = line_dedup.dedup_lines(docs, deleted="deleted", every_holder=True)
     return found.select(
         "doc_id",
         F.coalesce(F.size("deleted"), F.lit(0)).cast("bigint").alias("n_deleted"),
