@@ -378,6 +378,28 @@ def test_exact_top_k(spark):
     assert vector_search.exact_top_k(table.limit(0), lambda c: F.col(c) == 0).count() == 0
 
 
+def test_top_k_over_files_of_one_pivot_in_falling_order(spark, tmp_path):
+    draw = np.random.default_rng(4)
+    x = np.floor(1024 * draw.normal(size=(2000, 3)))
+    metric = vector_search.Metric(x[:1], float((x**2).sum(axis=1).max()))
+    distance = metric.to_pivots(x)[:, 0]
+    order = np.argsort(distance)
+    rows = [(0, float(distance[k]), int(k), x[k].astype(int).tolist()) for k in order]
+    schema = "pivot int, distance double, vec_id bigint, v array<bigint>"
+    for name, part in (("near", rows[:800]), ("far", rows[800:])):  # the larger file is read first
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    index = spark.read.schema(schema).parquet(f"{tmp_path}/near", f"{tmp_path}/far").coalesce(1)
+    read = [r["distance"] for r in index.select("distance").collect()]
+    assert sum(b < a for a, b in zip(read, read[1:])) == 1
+    asked = list(range(0, 2000, 40))
+    some = index.filter(F.col("vec_id").isin(asked)).orderBy("vec_id").select("vec_id", "v").collect()
+    found = vector_search._pass(index, some, metric, np.array([0]), 3, 10).collect()
+    for query in asked:
+        scores = x @ x[query]
+        best = sorted((-int(scores[k]), k) for k in range(2000) if k != query)[:10]
+        assert sorted((-r["score"], r["vec_id"]) for r in found if r["query_id"] == query)[:10] == best
+
+
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\n\nb"), ("a<br>b<div>c</div>d", "a\nb\nc\nd"),
     ("<ul><li>a<li>b<ul><li>c</ul></ul>", "- a\n- b\n  - c"), ("<ol start=3><li>a</li><li>b</ol>", "3. a\n4. b"),

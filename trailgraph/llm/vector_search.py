@@ -231,12 +231,11 @@ def _pass(index: DataFrame, some: list, metric: Metric, pivot_ids: np.ndarray, w
             search = search or Search(*shared.value, k)
             pivot = batch.column(0).to_numpy()
             x = _matrix(batch.column(3), width)
-            cuts = np.flatnonzero(np.diff(pivot)) + 1
+            distance, ids = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            # a task may read several files of one pivot, in any order
+            cuts = np.flatnonzero((np.diff(pivot) != 0) | (np.diff(distance) < 0)) + 1
             for start, stop in zip([0, *cuts], [*cuts, len(pivot)]):
-                search.rings(
-                    int(pivot[start]), batch.column(1).to_numpy()[start:stop],
-                    batch.column(2).to_numpy()[start:stop], x[start:stop],
-                )
+                search.rings(int(pivot[start]), distance[start:stop], ids[start:stop], x[start:stop])
         if search is not None:
             yield search.found()
 
