@@ -313,6 +313,13 @@ def test_blocks_of_every_earlier_document_go(spark):
     assert [len(gone[k]) for k in range(4)] == [0, 8, 8, 8]
 
 
+def test_own_words_of_repeated_documents_stay(spark):
+    shared = "\n".join(" ".join(f"s{n}{k}" for k in range(30)) for n in range(10))
+    rows = [(0, shared, "", ""), (1, shared + "\nmy own words", "", ""), (2, shared, "", "")]
+    left = line_dedup.drop_repeated(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["doc_id"]: r["text"] for r in left} == {0: shared, 1: "my own words"}
+
+
 def test_longest_chain():
     assert [line_dedup.longest_chain(p) for p in ([], [3], [5, 1, 2, 9, 3])] == [[], [0], [1, 2, 4]]
 
