@@ -419,6 +419,33 @@ def test_visible_text(html, text):
     assert html_text.visible_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<table>x <b>y</b><tr><td>a<td>b</table>z", "x y\na  b\n\nz"),
+    ("<table><tbody>x<p>y</p><tr><td>a</table>", "x\ny\na"),
+    ("<table><tr>x<b>y</b><td>a<td>b</tr></table>", "xy\na  b"),
+    ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a  b"),
+    ("<table><form><tr><td>a<td>b<tr><td>c</form></table>", "a  b\nc"),
+    ("<table><tr><center>x<td>a<td>b</table>", "x\na  b"),
+    ("<table><colgroup><col><col><tr><td>a<td>b</table>", "a  b"),
+    ("<table><tr><noscript><td>n</td></noscript><td>a</table>", "a"),
+    ("<table><caption>c</caption><tr hidden><td>h</td></tr><tr><td>a</table>", "c\na"),
+    ("<div>" * 148 + "<table><tr><td>a<td>b<tr><td>c", "a  b\nc"),
+    ("<div>" * 200 + "<table><tr><td>a<td>b<tr><td>c", "a b\nc"),
+    ("<table><tr><td>" * 400 + "x<td>y", "x  y"),
+])
+def test_visible_text_in_tables(html, text):
+    assert html_text.visible_text(html) == text
+
+
+def test_no_text_is_lost_in_random_markup():
+    tags = "table tr td th thead tbody tfoot caption colgroup form b div p ul li pre dl dt blockquote h1 br".split()
+    for seed in range(500):
+        draw = random.Random(seed)
+        parts = [f" t{k}x " if draw.random() < 0.4 else f"<{draw.choice(['', '', '/'])}{draw.choice(tags)}>" for k in range(50)]
+        text = html_text.visible_text("".join(parts))
+        assert all(part.strip() in text for part in parts if part.startswith(" "))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_return_whole_tables(spark, name):
     rows = QUERIES[name](spark, "/root/testdata/sf0.001")

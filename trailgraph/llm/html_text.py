@@ -43,7 +43,13 @@ IMPLIED = {
     "option": ({"option"}, {"select", "datalist"}),
     "body": ({"head"}, {"html"}),
 }
-#: Open elements beyond which deeper ones are put side by side.
+GROUPS = {"thead", "tbody", "tfoot"}
+#: Parts of a table, and the open elements that hold them directly.
+PARTS = {
+    "td": {"table", "tr"} | GROUPS, "th": {"table", "tr"} | GROUPS, "tr": {"table"} | GROUPS,
+    "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "caption": {"table"}, "colgroup": {"table"},
+}
+#: Open elements beyond which deeper ones, except parts of an open table, are put side by side.
 DEEPEST = 150
 
 _MARKUP = re.compile(
@@ -88,6 +94,15 @@ def build(html: str) -> Node:
                 del open_[last:]
                 return
 
+    def clear(holders: set[str]) -> None:
+        """End what stands between an open table and a new part of it."""
+        for depth in range(len(open_) - 1, 0, -1):
+            if open_[depth].tag in holders:
+                del open_[depth + 1 :]
+                return
+            if open_[depth].tag in HIDDEN or open_[depth].tag in ("td", "th"):
+                return
+
     while found := _MARKUP.search(html, at):
         text(found.start())
         at = found.end()
@@ -107,15 +122,21 @@ def build(html: str) -> Node:
             close(*IMPLIED[tag])
         if tag in CLOSES_P:
             close({"p"}, {"table", "td", "th", "button"})
+        if tag in PARTS:
+            clear(PARTS[tag])
         if tag in ("td", "th") and open_[-1].tag in ("table", "thead", "tbody", "tfoot"):
             open_[-1].children.append(row := Node("tr"))
             open_.append(row)
+        holder = open_[-1].tag
         open_[-1].children.append(node := Node(tag, attributes))
+        if tag == "form" and holder in PARTS["td"]:
+            continue  # among the parts of a table a form holds nothing
+        part = tag in PARTS and holder in PARTS[tag]
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
             node.children.append(unescape(html[at : end.start()]))
             at = end.end()
-        elif tag not in VOID and not attributes.endswith("/") and len(open_) < DEEPEST:
+        elif tag not in VOID and not attributes.endswith("/") and (part or len(open_) < DEEPEST):
             open_.append(node)
     text(len(html))
     return root
@@ -202,6 +223,10 @@ def _show(nodes: list, page: Page, pre: bool) -> None:
             page.end(2 if tag == "blockquote" else 1)
             page.whole(["  " + line if line else "" for line in laid_out(node.children)])
             page.end(2 if tag == "blockquote" else 1)
+        elif tag in ("td", "th"):  # outside a table
+            page.write(" ")
+            _show(node.children, page, pre)
+            page.write(" ")
         elif tag in BLOCKS:
             gap = 2 if tag in SPACED else 1
             page.end(gap)
@@ -232,29 +257,34 @@ def _list(node: Node) -> list[str]:
     return out
 
 
-def _rows(node: Node):
+def _parts(node: Node, rows: list[list[Node]], stray: list) -> None:
+    """Cells by rows, and everything else, which is shown before the table."""
     for child in node.children:
-        if isinstance(child, str) or child.attributes and _INVISIBLE.search(child.attributes):
+        if isinstance(child, str) or child.tag != "tr" and child.tag not in GROUPS:
+            stray.append(child)
+        elif child.attributes and _INVISIBLE.search(child.attributes):
             continue
-        if child.tag == "tr":
-            yield child
-        elif child.tag in ("thead", "tbody", "tfoot"):
-            yield from _rows(child)
+        elif child.tag in GROUPS:
+            _parts(child, rows, stray)
+        else:
+            cells = []
+            for cell in child.children:
+                (cells if isinstance(cell, Node) and cell.tag in ("td", "th") else stray).append(cell)
+            rows.append(cells)
 
 
 def _table(node: Node) -> list[str]:
-    """Cells in columns of equal width; a cell over several columns widens none."""
-    out = []
-    for child in node.children:
-        if isinstance(child, Node) and child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup"):
-            out += laid_out([child])
+    """Cells in columns of equal width; a cell over several columns widens none.
+    What stands in the table outside of cells goes before it, as in browsers."""
+    rows: list[list[Node]] = []
+    stray: list = []
+    _parts(node, rows, stray)
+    out = laid_out(stray)
     grid: list[list[tuple[int, int, list[str]]]] = []
     widths: dict[int, int] = {}
-    for row in _rows(node):
+    for row in rows:
         column, cells = 0, []
-        for cell in row.children:
-            if isinstance(cell, str) or cell.tag not in ("td", "th"):
-                continue
+        for cell in row:
             if cell.attributes and _INVISIBLE.search(cell.attributes):
                 continue
             span = _SPAN.search(cell.attributes)
