@@ -437,6 +437,19 @@ def test_visible_text_in_tables(html, text):
     assert html_text.visible_text(html) == text
 
 
+@pytest.mark.parametrize("attributes, seen", [
+    ('class="nav hidden md:block"', True), ('title="the hidden costs"', True), ("class='a hidden b'", True),
+    ('data-style="display:none"', True), ('title="style=\'display:none\'"', True), ("data-hidden", True),
+    ("class=hidden", True), ('style="display:none;display:block"', True), ('style="content:\'display:none\'"', True),
+    ("style=color:red", True), ("hidden", False), ('class="x" hidden', False), ('class="x"HIDDEN=""', False),
+    ("style=display:none", False), ('style="color: red; Display : none !important"', False),
+    ('style="visibility:hidden"', False), ('style="font-family:\'a\';display:none"', False),
+])
+def test_hiding_attributes(attributes, seen):
+    for html in (f"<body {attributes}>x</body>", f"<table><tr {attributes}><td>x</table>", f"<table><td {attributes}>x</table>"):
+        assert html_text.visible_text(html) == ("x" if seen else "")
+
+
 def test_no_text_is_lost_in_random_markup():
     tags = "table tr td th thead tbody tfoot caption colgroup form b div p ul li pre dl dt blockquote h1 br".split()
     for seed in range(500):

@@ -58,9 +58,9 @@ _MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-_INVISIBLE = re.compile(
-    r"(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I
-)
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_NOT_STYLE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'", re.S)
 _SPAN = re.compile(r"colspan\s*=\s*[\"']?\s*(\d{1,3})", re.I)
 _START = re.compile(r"(?:^|\s)start\s*=\s*[\"']?\s*(-?\d{1,9})", re.I)
 _BLANKS = re.compile(r"[ \t\r\n\f]+")
@@ -73,6 +73,30 @@ class Node:
     children: list = field(default_factory=list)
 
 
+def attribute_values(attributes: str) -> dict[str, str]:
+    """Values by lower-case name; of repeated names the first counts."""
+    found: dict[str, str] = {}
+    for match in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(match.group(1).lower(), unescape(match.group(2) or match.group(3) or match.group(4) or ""))
+    return found
+
+
+def invisible(node: Node) -> bool:
+    """Whether an attribute of the element hides it: ``hidden``, or its style."""
+    if not _MAY_HIDE.search(node.attributes):
+        return False
+    values = attribute_values(node.attributes)
+    if "hidden" in values:
+        return True
+    shown: dict[str, tuple[bool, str]] = {}
+    for part in _NOT_STYLE.sub(" ", values.get("style", "")).lower().split(";"):
+        name, _, value = part.partition(":")
+        value, mark, _ = value.partition("!")
+        if bool(mark) >= shown.get(name.strip(), (False, ""))[0]:
+            shown[name.strip()] = bool(mark), value.strip()
+    return shown.get("display", ("", ""))[1] == "none" or shown.get("visibility", ("", ""))[1] == "hidden"
+
+
 def build(html: str) -> Node:
     """The tree of a page; text is held as strings, entities resolved."""
     root = Node("#root")
@@ -202,7 +226,7 @@ def _show(nodes: list, page: Page, pre: bool) -> None:
                 page.write(_BLANKS.sub(" ", node))
             continue
         tag = node.tag
-        if tag in HIDDEN or node.attributes and _INVISIBLE.search(node.attributes):
+        if tag in HIDDEN or node.attributes and invisible(node):
             continue
         if tag == "br":
             page.end()
@@ -262,7 +286,7 @@ def _parts(node: Node, rows: list[list[Node]], stray: list) -> None:
     for child in node.children:
         if isinstance(child, str) or child.tag != "tr" and child.tag not in GROUPS:
             stray.append(child)
-        elif child.attributes and _INVISIBLE.search(child.attributes):
+        elif child.attributes and invisible(child):
             continue
         elif child.tag in GROUPS:
             _parts(child, rows, stray)
@@ -285,7 +309,7 @@ def _table(node: Node) -> list[str]:
     for row in rows:
         column, cells = 0, []
         for cell in row:
-            if cell.attributes and _INVISIBLE.search(cell.attributes):
+            if cell.attributes and invisible(cell):
                 continue
             span = _SPAN.search(cell.attributes)
             span = max(1, int(span.group(1))) if span else 1
