@@ -357,6 +357,16 @@ def test_toxicity_and_its_swap_penalty(spark, nothing):
     assert none.scores(["w1"]) == [0.5]
 
 
+def test_toxic_terms_late_in_text_without_blanks():
+    model = toxicity.Model({"scum": 2.0, "bag$": 2.0}, -3.0)
+    text = "漢字仮名" * 100 + "scumbag"
+    assert model.present(text) == [0, 1] and model.scores([text])[0] > 0.5
+    assert not model.known  # long words are not remembered
+    found = toxicity._features({text}, remembered := {})
+    assert {"scum", "scumb", "bag$", "^漢字仮", "名scum"} <= found and not remembered
+    assert found != toxicity._features({"漢字仮名" * 101 + "scumbag"}, {})
+
+
 def test_quality(spark, docs, nothing):
     table, labels, marks = labelled(spark, "quality")
     rows = quality.score_quality(table, labels).filter(quality.held_out("doc_id")).collect()

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ LEAST_DOCS = 4
 LEAST_STRENGTH = 3.0
 #: Words whose features a task remembers.
 KNOWN_WORDS = 150_000
+#: Letters of a word beyond which its features are not remembered.
+LONG_WORD = 64
 #: Weight of the swap penalty and of the ridge.
 SWAP_PENALTY = 10.0
 RIDGE = 1e-4
@@ -57,20 +60,24 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def word_features(word: str) -> list[str]:
-    """The word and its parts of 4 and 5 letters, its ends marked; parts of long words too."""
-    marked = f"^{word[:64]}$"
-    parts = {marked[k : k + n] for n in (4, 5) for k in range(len(marked) - n + 1)}
-    parts.add(marked)
-    return list(parts)
+def word_features(word: str) -> Iterator[str]:
+    """The word and all its parts of 4 and 5 letters, its ends marked; a long word goes by its hash."""
+    marked = f"^{word}$"
+    for n in (4, 5):
+        for k in range(len(marked) - n + 1):
+            yield marked[k : k + n]
+    yield marked if len(word) <= LONG_WORD else f"^#{sha256(word.encode(errors='surrogatepass')).hexdigest()}$"
 
 
 def _features(words: set[str], parts_of: dict[str, list]) -> set[str]:
     found: set[str] = set()
     for word in words:
+        if len(word) > LONG_WORD:
+            found.update(word_features(word))
+            continue
         parts = parts_of.get(word)
         if parts is None:
-            parts = parts_of[word] = [] if word in _SWAPS else word_features(word)
+            parts = parts_of[word] = [] if word in _SWAPS else list(set(word_features(word)))
         found.update(parts)
     return found
 
@@ -92,7 +99,9 @@ class Model:
             numbers = known.get(word)
             if numbers is None:
                 parts = [f"^{word}$"] if word in _SWAPS else word_features(word)
-                numbers = known[word] = tuple(self.number[p] for p in parts if p in self.number)
+                numbers = tuple({self.number[p] for p in parts if p in self.number})
+                if len(word) <= LONG_WORD:
+                    known[word] = numbers
             if numbers:
                 found.update(numbers)
         return sorted(found)
