@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailgraph.llm import (
-    decontamination, html_text, line_dedup, near_duplicates, packing, quality, sharding, token_files,
+    collocations, decontamination, html_text, line_dedup, near_duplicates, packing, quality, sharding, token_files,
     toxicity, vector_search,
 )
 from trailgraph.llm.common import text_only, workspace
@@ -202,3 +202,48 @@ def op8_html_extraction(spark, sf_dir):
     pages = text_only(table(spark, sf_dir, "pages"), "page_id", "html")
     found, name = html_text.extract_text(pages)
     return found.select("page_id", F.col(f"{name}.text").alias("text"))
+
+
+@query
+def op11_collocations(spark, sf_dir):
+    """The 2000 best-scoring phrases of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM (
+    SELECT lang, 1 AS k, unnest(w) AS phrase FROM worded
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM worded
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1),
+      lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM worded
+  ) GROUP BY ALL
+), candidates AS MATERIALIZED (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10
+), cuts AS (
+  SELECT lang, phrase, a, 1 AS j, w[1] AS head, array_to_string(w[2:], ' ') AS rest FROM candidates
+  UNION ALL SELECT lang, phrase, a, 2, array_to_string(w[1:2], ' '), w[3] FROM candidates WHERE k = 3
+), scored AS (
+  SELECT c.*, h.f AS l, t.f AS r, (1000000 * c.a * c.a) // (h.f * t.f) AS score
+  FROM cuts AS c JOIN f AS h ON h.lang = c.lang AND h.phrase = c.head
+  JOIN f AS t ON t.lang = c.lang AND t.phrase = c.rest
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000000 * c.a * c.a) // (h.f * t.f), j) = 1
+), longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM candidates WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM candidates WHERE k = 3
+  ) GROUP BY ALL
+), counted AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase)::BIGINT AS rank, s.phrase,
+  s.a::BIGINT AS a, s.l::BIGINT AS l, s.r::BIGINT AS r, n::BIGINT AS n, s.score::BIGINT AS score
+FROM scored AS s JOIN counted USING (lang) LEFT JOIN longer AS x ON x.lang = s.lang AND x.phrase = s.phrase
+WHERE x.a IS NULL OR 100 * x.a < 50 * s.a
+QUALIFY row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) <= 2000
+"""
