@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailgraph.llm import (
-    collocations, decontamination, html_text, line_dedup, near_duplicates, packing, quality, sharding, token_files,
+    bottom_k, collocations, decontamination, html_text, line_dedup, near_duplicates, packing, quality, sharding, token_files,
     toxicity, vector_search,
 )
 from trailgraph.llm.common import text_only, workspace
@@ -247,3 +247,34 @@ FROM scored AS s JOIN counted USING (lang) LEFT JOIN longer AS x ON x.lang = s.l
 WHERE x.a IS NULL OR 100 * x.a < 50 * s.a
 QUALIFY row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) <= 2000
 """
+
+
+@query
+def op13_minhash_near_duplicates(spark, sf_dir):
+    """Number of shingles and group of near-duplicates of each document."""
+    return bottom_k.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_minhash_near_duplicates"] = r"""
+WITH RECURSIVE worded AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM worded
+), shingles AS MATERIALIZED (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles AS a JOIN shingles AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), edges AS MATERIALIZED (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reached AS (
+  SELECT a AS doc_id, a AS other FROM edges UNION SELECT r.doc_id, e.b FROM reached AS r JOIN edges AS e ON e.a = r.other
+), least AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id)
+SELECT doc_id, len(s) AS n_shingles, coalesce(other, doc_id) AS component_id, coalesce(other, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN least USING (doc_id)
+"""
