@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailgraph.llm import (
-    bottom_k, collocations, decontamination, html_text, line_dedup, near_duplicates, packing, quality, sharding, token_files,
+    bottom_k, collocations, decontamination, html_text, lexical_search, line_dedup, near_duplicates, packing, quality, sharding, token_files,
     toxicity, vector_search,
 )
 from trailgraph.llm.common import text_only, workspace
@@ -278,3 +278,36 @@ WITH RECURSIVE worded AS MATERIALIZED (
 SELECT doc_id, len(s) AS n_shingles, coalesce(other, doc_id) AS component_id, coalesce(other, doc_id) = doc_id AS kept
 FROM sets LEFT JOIN least USING (doc_id)
 """
+
+
+@query
+def op12_lexical_search(spark, sf_dir):
+    """The 20 best documents of each benchmark item."""
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_lexical_search"] = r"""
+WITH folded AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL
+), terms AS MATERIALIZED (
+  SELECT kind, id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM folded
+), tf AS MATERIALIZED (
+  SELECT id AS doc_id, term, count(*) AS tf FROM terms WHERE kind = 'd' GROUP BY ALL
+), sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM sizes),
+lengths AS (SELECT doc_id, 75 + (25 * n * docs) // l AS m FROM sizes, totals),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY term, docs
+), asked AS (SELECT id AS item_id, term, count(*) AS times FROM terms WHERE kind = 'b' GROUP BY ALL),
+scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN lengths USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+"""
