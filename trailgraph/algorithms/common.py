@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trailgraph.graph import PropertyGraph
 from trailgraph.plans.prepared import PreparedGraph
@@ -38,6 +38,12 @@ class RoundRecorder:
         self.graph = graph
         self.operation = operation
 
+    def _events(self, number: int) -> list[events.Event]:
+        return [events.operation(self.operation), events.pregel_iteration(number)]
+
+    def wanted(self, number: int) -> dict[str, Column]:
+        return self.graph.session.observed(self._events(number))
+
     def __call__(self, finished: Round) -> None:
         session = self.graph.session
         session.flush()
@@ -63,7 +69,7 @@ class RoundRecorder:
         session.counter(self.graph.node_id, "iteration", finished.number)
         if finished.next_changed is not None:
             session.gauge(self.graph.node_id, "activeMessages", finished.next_changed)
-
+        session.record_observed(self.graph.node_id, finished.metrics)
 
     def finish(self) -> None:
         self.graph.session.flush()

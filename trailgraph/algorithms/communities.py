@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from trailgraph.algorithms.common import message_passing, preparation
 from trailgraph.graph import PropertyGraph
 from trailgraph.plans.prepared import PreparedGraph
-from trailgraph.plans.rounds import Recent, Round
+from trailgraph.plans.rounds import Recent, Round, write_round
 from trailgraph.provenance import events
 from trailgraph.workspace import Table, Workspace
 
@@ -53,12 +53,11 @@ def _rounds(ready: PreparedGraph, max_iter: int, observer) -> DataFrame:
         chosen = histogram.groupBy("id").agg(
             F.min(F.struct((-F.col("n")).alias("rank"), F.col("value").alias("label"))).alias("best")
         )
-        following = workspace.write(
-            f"round={number}", chosen.select("id", F.col("best.label").alias("value"))
-        )
+        labels = chosen.select("id", F.col("best.label").alias("value"))
+        following, metrics = write_round(workspace, f"round={number}", labels, number, observer)
         if observer is not None:
             elapsed = time.perf_counter_ns() - started
-            observer(Round(number, following.df, None, None, elapsed))
+            observer(Round(number, following.df, None, None, elapsed, metrics))
         state = recent.add(following)
     if observer is not None:
         observer.finish()

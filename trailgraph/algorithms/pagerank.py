@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from trailgraph.algorithms.common import RoundRecorder, is_traced, preparation
 from trailgraph.graph import PropertyGraph
 from trailgraph.plans.prepared import PreparedGraph
-from trailgraph.plans.rounds import Recent, Round
+from trailgraph.plans.rounds import Recent, Round, write_round
 from trailgraph.provenance import events
 from trailgraph.workspace import Table, Workspace
 
@@ -96,13 +96,14 @@ def _rounds(ready: PreparedGraph, num_iter: int, damping: float, observer) -> Da
             )
         )
         without_edges = F.when(F.col("out_degree") == 0, F.col("value"))
-        following = workspace.write(
-            f"round={number}", updated, dangling=F.coalesce(F.sum(without_edges), F.lit(0.0))
+        following, metrics = write_round(
+            workspace, f"round={number}", updated, number, observer,
+            dangling=F.coalesce(F.sum(without_edges), F.lit(0.0)),
         )
         dangling = following.observed["dangling"]
         if observer is not None:
             elapsed = time.perf_counter_ns() - started
-            observer(Round(number, following.df, None, None, elapsed))
+            observer(Round(number, following.df, None, None, elapsed, metrics))
         state = recent.add(following)
     if observer is not None:
         observer.finish()

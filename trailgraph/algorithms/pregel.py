@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trailgraph.algorithms.common import RoundRecorder, is_traced, preparation
 from trailgraph.graph import PropertyGraph
-from trailgraph.operators.aggregate import Send, sent_messages
+from trailgraph.operators.aggregate import Merge, Send, merged, sent_messages
 from trailgraph.operators.triplets import BOTH_ENDS
 from trailgraph.plans import skew
 from trailgraph.plans.prepared import PreparedGraph
-from trailgraph.plans.rounds import Recent, Round
+from trailgraph.plans.rounds import Recent, Round, write_round
 from trailgraph.provenance import events
 from trailgraph.workspace import Table, Workspace
 
@@ -24,7 +24,7 @@ def pregel(
     initial: Column,
     program: Callable[[Column, Column, Column], Column],
     sends: Iterable[Send],
-    merge: Callable[[Column], Column],
+    merge: Callable[[Column], Column] | Merge,
     max_iter: int | None = None,
     ends: Iterable[str] = BOTH_ENDS,
     prepared: PreparedGraph | None = None,
@@ -34,7 +34,7 @@ def pregel(
     ``program(id, attr, message)`` gives a vertex its new attribute; it is first
     applied to every vertex with the ``initial`` message, then to the vertices
     that received one.  ``sends`` are evaluated on all triplets, with the
-    attributes of the given ``ends``; ``merge`` is an aggregate.
+    attributes of the given ``ends``; ``merge`` is an aggregate or a ``Merge``.
     """
     if max_iter is not None and max_iter <= 0:
         raise ValueError(f"the number of iterations must be above 0, got {max_iter}")
@@ -92,20 +92,20 @@ def _rounds(ready, start, program, sends, merge, max_iter, ends, observer) -> Da
     and the message it got for the next round, NULL for none."""
     workspace = Workspace(ready.spark, "pregel")
 
-    def with_messages(name: str, state: DataFrame) -> Table:
+    def with_messages(name: str, state: DataFrame, number: int, watcher) -> tuple[Table, dict]:
         messages = (
-            sent_messages(_view(ready, state, ends), sends)
-            .groupBy(F.col("id").alias("receiver"))
-            .agg(merge(F.col("msg")).alias("msg"))
+            merged(sent_messages(_view(ready, state, ends), sends), merge)
+            .withColumnRenamed("id", "receiver")
         )
         received = F.col("receiver").isNotNull()
         table = state.join(messages, F.col("id") == F.col("receiver"), "left").select(
             "id", "attr", received.alias("received"), "msg"
         )
-        return workspace.write(name, table, active=F.count_if(F.col("received")))
+        active = F.count_if(F.col("received"))
+        return write_round(workspace, name, table, number, watcher, "attr", active=active)
 
     recent = Recent(workspace)
-    current = recent.add(with_messages("start", start))
+    current = recent.add(with_messages("start", start, 0, None)[0])
     number = 0
     while current.observed["active"] > 0 and (max_iter is None or number < max_iter):
         started = time.perf_counter_ns()
@@ -113,12 +113,13 @@ def _rounds(ready, start, program, sends, merge, max_iter, ends, observer) -> Da
         state = current.df.select(
             "id", F.when(F.col("received"), updated).otherwise(F.col("attr")).alias("attr")
         )
-        following = with_messages(f"round={number}", state)
+        following, metrics = with_messages(f"round={number}", state, number, observer)
         if observer is not None:
             shown = following.df.select("id", F.col("attr").alias("value"))
             elapsed = time.perf_counter_ns() - started
             observer(
-                Round(number, shown, current.observed["active"], following.observed["active"], elapsed)
+                Round(number, shown, current.observed["active"], following.observed["active"],
+                      elapsed, metrics)
             )
         current = recent.add(following)
         number += 1

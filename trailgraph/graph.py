@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from trailgraph.operators import aggregate, joins, transform
 from trailgraph.operators.triplets import BOTH_ENDS, triplets
@@ -41,16 +42,17 @@ class PropertyGraph:
 
     @staticmethod
     def from_edges(edges: DataFrame, vertices: DataFrame | None = None) -> PropertyGraph:
-        """A graph whose vertices are the given ones and all edge endpoints;
-        endpoints without a row get a NULL attribute."""
+        """A graph whose vertices are the given ones and all edge endpoints, one
+        row per id; endpoints without a row get a NULL attribute, and an id with
+        several rows the smallest of their attributes (any, if they have no order)."""
         ids = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
-        if vertices is not None:
-            ids = ids.union(vertices.select("id"))
-        ids = ids.distinct()
-        if vertices is not None and "attr" in vertices.columns:
-            ids = ids.join(vertices.select("id", "attr"), "id", "left")
         listed = edges.sparkSession.range(0) if vertices is None else vertices
-        return PropertyGraph(ids, edges, listed=listed)
+        if vertices is None or "attr" not in vertices.columns:
+            return PropertyGraph(ids.union(listed.select("id")).distinct(), edges, listed=listed)
+        kind = vertices.schema["attr"].dataType
+        chosen = F.any_value("attr", F.lit(True)) if isinstance(kind, (MapType, VariantType)) else F.min("attr")
+        rows = ids.withColumn("attr", F.lit(None).cast(kind)).unionByName(vertices.select("id", "attr"))
+        return PropertyGraph(rows.groupBy("id").agg(chosen.alias("attr")), edges, listed=listed)
 
     def stored(self) -> PropertyGraph:
         """The same graph with its edges and vertices in working tables, for a
@@ -179,7 +181,7 @@ class PropertyGraph:
     def aggregate_messages(
         self,
         sends: Iterable[aggregate.Send],
-        merge: Callable[[Column], Column],
+        merge: Callable[[Column], Column] | aggregate.Merge,
         ends: Iterable[str] = BOTH_ENDS,
     ) -> DataFrame:
         return aggregate.aggregate_messages(self.vertices, self.edges, sends, merge, ends)

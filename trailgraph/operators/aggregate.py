@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trailgraph.operators.triplets import BOTH_ENDS, as_column, triplets
@@ -45,18 +47,91 @@ def aggregate_messages(
     vertices: DataFrame,
     edges: DataFrame,
     sends: Iterable[Send],
-    merge: Callable[[Column], Column],
+    merge: Callable[[Column], Column] | Merge,
     ends: Iterable[str] = BOTH_ENDS,
 ) -> DataFrame:
     """Send along every triplet and merge per receiver: ``(id, msg)``.
 
     ``merge`` is an aggregate such as ``F.min``; it is applied before the
-    shuffle as well, so a hub receives one row per partition.
+    shuffle as well, so a hub receives one row per partition.  A ``Merge`` is a
+    function of the user's own.
     """
-    messages = sent_messages(triplets(vertices, edges, ends), sends)
+    return merged(sent_messages(triplets(vertices, edges, ends), sends), merge)
+
+
+def merged(messages: DataFrame, merge: Callable[[Column], Column] | Merge) -> DataFrame:
+    if isinstance(merge, Merge):
+        return merged_messages(messages, merge)
     return messages.groupBy("id").agg(merge(F.col("msg")).alias("msg"))
 
 
+@dataclass(frozen=True)
+class Merge:
+    """A merge of messages that no built-in aggregate gives.
+
+    ``reduce(values, starts)`` gets the messages (an Arrow array) of some
+    receivers one after another, and where those of each start; it returns one
+    message for each.  It must not depend on the order of the messages, nor on
+    which of them are merged first, because it is applied before the shuffle as
+    well as after it.
+    """
+
+    reduce: Callable[[pa.Array, np.ndarray], pa.Array]
+
+
+#: Messages merged at once before the shuffle.
+MERGED_ROWS = 100_000
+
+
+def merged_messages(messages: DataFrame, merge: Merge) -> DataFrame:
+    """``(id, msg)``: the messages of each receiver merged by ``merge``.
+
+    A task merges what it sends, so a receiver gets a few rows of each; after
+    the shuffle, a task holds one merged message and the rows of one batch.
+    """
+    reduce, most, schema = merge.reduce, MERGED_ROWS, messages.schema
+
+    def groups(batches: list, ordered: bool) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        ids = rows.column(0).combine_chunks()
+        values = rows.column(1).combine_chunks()
+        keys = ids.to_numpy(zero_copy_only=False)
+        if not ordered:
+            order = np.argsort(keys, kind="stable")
+            keys, values = keys[order], values.take(pa.array(order))
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        merged = reduce(values, starts)
+        merged = merged if isinstance(merged, pa.Array) else pa.array(merged)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys[starts], ids.type), merged.cast(values.type)], names=["id", "msg"]
+        )
+
+    def before(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most:
+                yield groups(held, False)
+                held, rows = [], 0
+        if rows:
+            yield groups(held, False)
+
+    def after(batches):
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = groups([batch] if last is None else [last, batch], True)
+            yield found.slice(0, found.num_rows - 1)
+            last = found.slice(found.num_rows - 1)
+        if last is not None:
+            yield last
+
+    partial = messages.mapInArrow(before, schema)
+    return partial.repartition("id").sortWithinPartitions("id").mapInArrow(after, schema)
+
+
 def canonical_edges(
     edges: DataFrame, merge: Callable[[Column], Column] = F.min
 ) -> DataFrame:

@@ -6,6 +6,7 @@ more than the test tables need to settle.
 
 from __future__ import annotations
 
+from trailgraph.functions.text import SIZE_UNITS
 from trailgraph.views import ALGORITHMS, DATASETS, FORMATS, SETUPS, SIZE_KINDS
 
 MAX = 9223372036854775807
@@ -261,6 +262,23 @@ ORACLES["bfs_rounds"] = _on(
     """SELECT CAST(i AS INTEGER) AS round, count(x) AS messages
        FROM rounds LEFT JOIN depth ON x = i + 2 GROUP BY 1""",
 )
+ORACLES["observed_rounds"] = _on(
+    _DEPTHS,
+    f"""SELECT CAST(i AS INTEGER) AS round, name,
+              CASE name WHEN 'reached' THEN count_if(x <= i + 1) WHEN 'lowest' THEN min(x)
+                ELSE max(CASE WHEN x <= i + 1 THEN x END) END AS value
+        FROM rounds, depth, (VALUES ('reached'), ('lowest'), ('deepest')) AS names(name)
+        GROUP BY i, name""",
+)
+ORACLES["snapshot_edges"] = _on(
+    _DEPTHS,
+    """SELECT 3 + i AS node_id, src, dst, attr AS value
+       FROM rounds, e JOIN depth AS a ON a.id = src JOIN depth AS b ON b.id = dst
+       WHERE a.x <= i + 1 AND b.x <= i + 1""",
+)
+ORACLES["aggregate_messages_gcd"] = _on(
+    PART_SEQ, "SELECT dst AS id, list_reduce(list(src), lambda a, b: gcd(a, b)) AS msg FROM e GROUP BY 1"
+)
 ORACLES["prov_edges_bfs"] = _on(
     f"""{_DEPTHS},
         k AS (SELECT count(*) AS n FROM rounds),
@@ -353,6 +371,55 @@ ORACLES["capture_decision"] = _on(
            AND event_name NOT IN ('mapVertices', 'unpersist'))
        WHERE place = 1""",
 )
+ORACLES["capture_decision_by_metric"] = _on(
+    f"""{_PROV}, active AS (
+         SELECT CAST(l_orderkey AS VARCHAR) AS run_id, CAST(l_linenumber AS BIGINT) AS node_id, max(l_quantity) AS most
+         FROM lineitem GROUP BY 1, 2),
+       busy AS (SELECT run_id, node_id FROM pn JOIN active USING (run_id, node_id)
+                WHERE most > 10 AND (location IS NULL OR node_id > 2))""",
+    """SELECT run_id, target, seq, source, event_type, event_name FROM (
+         SELECT pe.*, row_number() OVER (
+           PARTITION BY run_id, target ORDER BY seq, source, event_type, event_name) AS place
+         FROM pe JOIN pn USING (run_id)
+         WHERE node_id = target AND location IS NULL AND event_name <> 'unpersist'
+           AND (run_id, source) IN (SELECT (run_id, node_id) FROM busy)
+           AND (run_id, target) IN (SELECT (run_id, node_id) FROM busy))
+       WHERE place = 1""",
+)
+ORACLES["appended_runs"] = """
+       SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS seq, event_id AS source, event_id + 1 AS target,
+              'operation' AS event_type, event_type AS event_name FROM events"""
+ORACLES["typed_metric_totals"] = """
+       SELECT CAST(user_id AS VARCHAR) AS run_id, kind, name, count(*) AS observations,
+              CAST(sum(exact) AS DECIMAL(38, 0)) AS exact_total, CAST(max(exact) AS DECIMAL(38, 0)) AS exact_highest,
+              min(label) AS first_text, max(label) AS last_text
+       FROM (SELECT user_id, 'counter' AS kind, 'bytes' AS name,
+                    event_id::HUGEINT * 9007199254740993 AS exact, NULL AS label FROM events
+             UNION ALL SELECT DISTINCT ON (user_id, event_id) user_id, 'gauge', 'state', NULL, event_type FROM events)
+       GROUP BY ALL"""
+ORACLES["paired_files"] = """
+       SELECT CAST(user_id % 10 AS VARCHAR) || '/' || CAST(user_id AS VARCHAR) AS run,
+              'A' || (user_id % 3) AS algorithm, 'G' || (user_id % 5) AS dataset,
+              count(*) / 2.0::DOUBLE AS with_lineage, count(*) / 4.0::DOUBLE AS without_lineage,
+              CAST(count(DISTINCT event_type) AS INTEGER) AS iterations, CAST(user_id AS VARCHAR) AS lineage_id
+       FROM events GROUP BY user_id"""
+ORACLES["storage_overhead"] = """
+       WITH stored AS (
+         SELECT CAST(l_suppkey AS VARCHAR) AS lineage_id, sum(l_linenumber) AS bytes FROM lineitem GROUP BY 1
+       ), plain AS (
+         SELECT 'A' || (c_custkey % 3) AS algorithm, 'G' || (c_custkey % 5) AS dataset, max(c_custkey) AS bytes
+         FROM customer GROUP BY 1, 2
+       ), first AS (
+         SELECT 'A' || (user_id % 3) AS algorithm, 'G' || (user_id % 5) AS dataset,
+                arg_min(CAST(user_id AS VARCHAR), 'r' || CAST(user_id AS VARCHAR)) AS lineage_id
+         FROM events WHERE user_id IN (SELECT l_suppkey FROM lineitem) GROUP BY 1, 2
+       )
+       SELECT algorithm, dataset, round(stored.bytes / plain.bytes, 8) AS fraction
+       FROM first JOIN stored USING (lineage_id) JOIN plain USING (algorithm, dataset)"""
+ORACLES["ordered_result"] = _on(
+    PART_GRAPH,
+    """SELECT row_number() OVER (ORDER BY id) AS place, concat_ws(' ', id, attr) AS line FROM pv""",
+)
 _METRICS = """
         pm AS (
             SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS run_id, 'edge' AS owner,
@@ -432,8 +499,7 @@ _RUNS = f"""
                          o_totalprice / 1000 AS duration_s, o_orderkey % 10 + 1 AS iterations,
                          CASE o_orderstatus WHEN 'F' THEN 'FAILURE' ELSE 'SUCCESS' END AS status
                   FROM orders))"""
-_LABEL = """replace(replace(replace(regexp_replace(storage_format, 'File|Format', '', 'g'),
-              '(true)', ''), '(false)', ''), '()', '')"""
+_LABEL = r"""regexp_extract(storage_format, '^([A-Za-z]+?)(?:File|Format)?\(', 1)"""
 _COMPRESSED = f"""(contains(storage_format, '(true)')
               OR lower({_LABEL}) IN ('parquet', 'orc', 'avro'))"""
 _LABELLED = f"{_LABEL} || CASE WHEN {_COMPRESSED} THEN '-C' ELSE '' END"
@@ -448,14 +514,13 @@ _DATASETS = f"""
             SELECT {_one_of(DATASETS, "c_custkey")} AS graph, count(*) AS n_vertices,
                    list(DISTINCT {_one_of(ALGORITHMS, "c_custkey")}) AS algorithms
             FROM customer GROUP BY 1)"""
-_UNITS = ["B", "KB", "MB", "GB", "TB", "PB", "EB", "ZB", "YB"]
 
 
 def _human_size(size: str) -> str:
     whens = " ".join(
         f"WHEN {size} >= {float(1024**k)!r} THEN CAST(CAST(floor({size} / {float(1024**k)!r}) "
-        f"AS BIGINT) AS VARCHAR) || ' {_UNITS[k]}'"
-        for k in range(len(_UNITS) - 1, 0, -1)
+        f"AS BIGINT) AS VARCHAR) || ' {SIZE_UNITS[k]}'"
+        for k in range(len(SIZE_UNITS) - 1, 0, -1)
     )
     return f"CASE {whens} ELSE CAST(CAST(floor({size}) AS BIGINT) AS VARCHAR) || ' B' END"
 
@@ -619,18 +684,21 @@ ORACLES["paired_overhead"] = _on(_PAIRED, _paired("traced / alone"))
 ORACLES["paired_overhead_per_round"] = _on(_PAIRED, _paired("traced / alone / iterations"))
 ORACLES["overhead_describe"] = _on(
     _RUNS,
-    f"""SELECT algorithm, printf('%.2f', stddev_samp(o)) AS std, printf('%.2f', min(o)) AS min,
-               printf('%.2f', quantile_cont(o, 0.5)) AS median, printf('%.2f', max(o)) AS max
-        FROM (SELECT algorithm, duration_s / base AS o
-              FROM runs JOIN {_MEANS} USING (algorithm, dataset) WHERE setup = 'Tracing')
-        WHERE o > 0.6 AND o < 2.0 GROUP BY 1""",
+    f"""SELECT setup, algorithm, count(*) FILTER (o <= 0.6 OR o >= 2.0) AS left_out,
+               printf('%.2f', stddev_samp(o) FILTER (o > 0.6 AND o < 2.0)) AS std,
+               printf('%.2f', min(o) FILTER (o > 0.6 AND o < 2.0)) AS min,
+               printf('%.2f', quantile_cont(o, 0.5) FILTER (o > 0.6 AND o < 2.0)) AS median,
+               printf('%.2f', max(o) FILTER (o > 0.6 AND o < 2.0)) AS max
+        FROM (SELECT setup, algorithm, duration_s / base AS o
+              FROM runs JOIN {_MEANS} USING (algorithm, dataset) WHERE setup <> 'Baseline')
+        GROUP BY ALL HAVING count_if(o > 0.6 AND o < 2.0) > 0""",
 )
 ORACLES["summed_baseline"] = _on(
     _RUNS,
-    """SELECT run_nr, algorithm, dataset, round(duration_s / base, 8) AS overhead
+    """SELECT run_nr, setup, algorithm, dataset, round(duration_s / base, 8) AS overhead
        FROM runs JOIN (SELECT algorithm, dataset, sum(duration_s) AS base FROM runs
                        WHERE setup = 'Baseline' GROUP BY 1, 2) USING (algorithm, dataset)
-       WHERE setup = 'CombinedPruning'""",
+       WHERE setup <> 'Baseline'""",
 )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from trailgraph.plans import skew
@@ -56,21 +55,23 @@ def partitions_for(spark, rows: int) -> int:
 
 
 class EdgeLayout:
-    """Edges hash-partitioned and sorted by sender, kept in executor storage.
+    """Edges bucketed and sorted by sender, in a table on shared storage.
 
-    The out-edges of a hot sender, copies included, are dealt out over all
-    partitions instead, and meet that sender's value by broadcast.  Lost partitions are recomputed from
-    the edge source.
+    A round joins its senders to them without moving or sorting an edge, and
+    losing an executor loses none.  The out-edges of a hot sender, copies
+    included, are dealt out over all partitions instead, and meet that sender's
+    value by broadcast.
     """
 
-    def __init__(self, edges: DataFrame, degrees: DataFrame, total: int, largest: int,
-                 min_hot_rows: int | None = None):
+    def __init__(self, workspace: Workspace, name: str, edges: DataFrame, degrees: DataFrame,
+                 total: int, largest: int, min_hot_rows: int | None = None):
         """``degrees`` is ``(id, degree)`` of the senders of ``edges``."""
         spark = edges.sparkSession
         self.total = total
+        self.workspace = workspace
         parts = partitions_for(spark, total)
         limit = skew.threshold(total, min_hot_rows)
-        self.hot_ids = self.hot = None
+        self.hot_ids = self.hot = self._hot_table = None
         cold = edges
         if largest > limit:
             self.hot_ids = degrees.filter(F.col("degree") > limit).select(
@@ -79,21 +80,22 @@ class EdgeLayout:
             keys = F.broadcast(self.hot_ids)
             is_hot = F.col("src") == F.col("hot_id")
             cold = edges.join(keys, is_hot, "left_anti")
-            self.hot = (
-                edges.join(keys, is_hot, "left_semi")
-                .repartition(parts)
-                .persist(StorageLevel.MEMORY_AND_DISK)
+            self._hot_table = workspace.write(
+                f"{name}-hot", edges.join(keys, is_hot, "left_semi").repartition(parts)
             )
-        self.cold = (
-            cold.repartition(parts, "src")
-            .sortWithinPartitions("src")
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        )
+            self.hot = self._hot_table.df
+        self.parts = parts
+        self._cold_table = workspace.write_bucketed(name, cold, "src", parts)
+        self.cold = self._cold_table.df
 
     def meet(self, senders: DataFrame) -> DataFrame:
-        """Join the sending vertices ``(id, ...)`` with their out-edges."""
+        """Join the sending vertices ``(id, ...)`` with their out-edges.
+
+        Each task holds the senders of its bucket, which are no more than its
+        edges, so the edges need no order.
+        """
         on = F.col("src") == F.col("id")
-        met = self.cold.join(senders, on).drop("id")
+        met = self.cold.join(senders.hint("shuffle_hash"), on).drop("id")
         if self.hot is None:
             return met
         hot_senders = senders.join(
@@ -101,7 +103,14 @@ class EdgeLayout:
         )
         return met.unionByName(self.hot.join(F.broadcast(hot_senders), on).drop("id"))
 
+    def meet_few(self, senders: DataFrame, ids: list[int] | None = None) -> DataFrame:
+        """The same for senders that are known to be few, so that they may be
+        broadcast; with their ``ids``, only the buckets of those are read."""
+        edges = self.cold if self.hot is None else self.cold.unionByName(self.hot)
+        if ids is not None:
+            edges = edges.filter(F.col("src").isin(ids))
+        return edges.join(F.broadcast(senders), F.col("src") == F.col("id")).drop("id")
+
     def release(self) -> None:
-        self.cold.unpersist()
-        if self.hot is not None:
-            self.hot.unpersist()
+        self.workspace.drop(self._cold_table)
+        self.workspace.drop(self._hot_table)

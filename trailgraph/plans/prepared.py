@@ -52,9 +52,9 @@ class PreparedGraph:
     def counts(self) -> dict:
         return self.vertex_stats.observed
 
-    def _layout(self, edges: DataFrame, degree, total: int, largest: int) -> EdgeLayout:
+    def _layout(self, name: str, edges: DataFrame, degree, total: int, largest: int) -> EdgeLayout:
         degrees = self.vertices.select("id", degree.alias("degree"))
-        layout = EdgeLayout(edges, degrees, total, largest, self.min_hot_rows)
+        layout = EdgeLayout(self.workspace, name, edges, degrees, total, largest, self.min_hot_rows)
         self._layouts.append(layout)
         return layout
 
@@ -62,7 +62,7 @@ class PreparedGraph:
     def outgoing(self) -> EdgeLayout:
         """Edges as written, by source."""
         return self._layout(
-            self.edges, F.col("out_degree"), self.counts["edges"], self.counts["max_out"]
+            "outgoing", self.edges, F.col("out_degree"), self.counts["edges"], self.counts["max_out"]
         )
 
     @cached_property
@@ -78,7 +78,7 @@ class PreparedGraph:
         if largest > skew.threshold(total, self.min_hot_rows):
             # Read for the hubs and for the rest: count the pairs once.
             pairs = self.workspace.write("pairs", pairs).df
-        return self._layout(pairs, degree, total, largest)
+        return self._layout("both-ways", pairs, degree, total, largest)
 
     def release(self) -> None:
         """Free the layouts and delete the working tables."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trailgraph.provenance.events import ALGORITHM_PARAMETERS
+from trailgraph.provenance.tables import typed
 
 # Edge colours of the drawn graph; anything else is black.
 EDGE_COLOURS = {
@@ -14,6 +15,8 @@ EDGE_COLOURS = {
     "pregelIteration": "darkorchid1",
 }
 ALGORITHM_COLOUR = "darkorange"
+#: Metrics in one line of an export, about.
+PART_METRICS = 1_000
 COLOURED_ALGORITHMS = ["PageRank", "BFS", "SSSP", "WCC"]
 NODE_COLOUR = "cadetblue1"
 
@@ -33,24 +36,37 @@ def relationship() -> Column:
     return text.otherwise(F.concat(name, F.lit("("), number, F.lit(")")))
 
 
+def _amount() -> Column:
+    """A metric as text, whole numbers with all of their digits."""
+    return F.coalesce("text", F.col("exact").cast("string"), F.col("value").cast("bigint").cast("string"))
+
+
 def json_edges(edges: DataFrame, metrics: DataFrame) -> DataFrame:
     """One JSON object per provenance edge, with the metrics taken on it.
 
     The metrics of an edge are a set, so copies are dropped before they are
-    gathered; what is left is one entry per metric an operation reports.  Times
+    gathered.  An edge with more than ``PART_METRICS`` of them has several lines,
+    with a ``part`` of its metrics each, so that no row holds them all.  Times
     and gauges are written as text.
     """
-    amount = F.col("value").cast("bigint").cast("string")
+    amount = _amount()
     item = F.struct(
         F.col("kind").alias("type"),
         "name",
         F.struct(amount.alias("amount"), "unit").alias("value"),
     )
     sets = (
-        metrics.filter("owner = 'edge'")
+        typed(metrics).filter("owner = 'edge'")
         .select("run_id", F.col("owner_id").alias("seq"), item.alias("item"))
         .distinct()
-        .groupBy("run_id", "seq")
+    )
+    counts = sets.groupBy("run_id", "seq").agg(F.count(F.lit(1)).alias("n"))
+    several = F.ceil(F.col("n") / PART_METRICS)
+    many = counts.filter(F.col("n") > PART_METRICS).select("run_id", "seq", several.alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("item"), F.col("parts")), F.lit(0)).cast("int")
+    sets = (
+        sets.join(many, ["run_id", "seq"], "left")
+        .groupBy("run_id", "seq", part.alias("part"))
         .agg(F.sort_array(F.collect_list("item")).alias("items"))
     )
     item_type = (
@@ -60,6 +76,7 @@ def json_edges(edges: DataFrame, metrics: DataFrame) -> DataFrame:
     return edges.join(sets, ["run_id", "seq"], "left").select(
         "run_id",
         "seq",
+        F.coalesce("part", F.lit(0)).alias("part"),
         F.to_json(
             F.struct(
                 "source",
@@ -90,12 +107,12 @@ def json_node_metrics(metrics: DataFrame) -> DataFrame:
     A node may have any number of metrics, so they are rows and not one list.
     A time has an amount and a unit; gauges and counters are written as text.
     """
-    amount = F.col("value").cast("bigint").cast("string")
+    amount = _amount()
     head = [F.col("owner_id").alias("graphID"), F.col("kind").alias("type"), F.col("name")]
     timed = F.to_json(F.struct(*head, F.struct(amount.alias("amount"), "unit").alias("value")))
-    plain = F.to_json(F.struct(*head, F.col("value").cast("string").alias("value")))
+    plain = F.to_json(F.struct(*head, F.coalesce("text", F.col("exact").cast("string"), F.col("value").cast("string")).alias("value")))
     return (
-        metrics.filter("owner = 'node'")
+        typed(metrics).filter("owner = 'node'")
         .select(
             "run_id",
             F.col("owner_id").alias("node_id"),

@@ -174,7 +174,9 @@ def _save_record(spark: SparkSession, request: RunRequest, record: RunRecord) ->
 def _metrics_of(session: ProvenanceSession, owner: str, owner_id: int) -> dict:
     """The metrics of one graph or operation; amounts and gauges are text."""
     found = []
-    for kind, name, value, unit in (m[2:] for m in session.metrics if m[:2] == (owner, owner_id)):
-        shown = {"amount": str(int(value)), "unit": unit} if unit else str(value)
+    measured = (m[2:] for m in session.metrics if m[:2] == (owner, owner_id))
+    for kind, name, value, unit, exact, text in measured:
+        whole = value if exact is None else exact
+        shown = {"amount": str(int(whole)), "unit": unit} if unit else text or str(value)
         found.append({"type": kind, "name": name, "value": shown})
     return {"type": "ObservationSet", "values": [found]}

@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -21,7 +22,7 @@ from trailgraph.operators.joins import restrict_vertices
 from trailgraph.operators.transform import subgraph
 from trailgraph.provenance import tables
 from trailgraph.provenance.events import OPERATION, Event
-from trailgraph.sinks.snapshots import StorageFormat, write_snapshot
+from trailgraph.sinks.snapshots import COMMITS, EDGES, StorageFormat, write_edges, write_snapshot
 
 # Operations whose result is being released, never stored.
 RELEASING_OPERATIONS = ("unpersist", "unpersistVertices")
@@ -37,6 +38,15 @@ class ProvEdge:
     event: Event
 
 
+@dataclass(frozen=True)
+class ProvNode:
+    """A graph as the session knows it: metrics are the last value of each name."""
+
+    id: int
+    location: str | None
+    metrics: dict
+
+
 @dataclass(frozen=True)
 class GraphPredicate:
     """Store the subgraph of vertices and edges that pass."""
@@ -54,12 +64,16 @@ class DeltaPredicate:
 
 @dataclass(frozen=True)
 class CaptureFilter:
-    """Which graphs to store (``edge`` and ``node`` see provenance records) and
-    which part of them (``data``)."""
+    """Which graphs to store (``edge`` and ``node`` see provenance records, and
+    ``record`` the location and the metrics of a node so far) and which part of
+    them (``data``).  With ``edges``, the edges of that part are stored too; a
+    delta has none."""
 
     edge: Callable[[ProvEdge], bool] = lambda _: True
     node: Callable[[int], bool] = lambda _: True
     data: GraphPredicate | DeltaPredicate = field(default_factory=GraphPredicate)
+    record: Callable[[ProvNode], bool] | None = None
+    edges: bool = False
 
 
 @dataclass(frozen=True)
@@ -67,12 +81,17 @@ class Hook:
     """Metrics of the user's own at chosen events.
 
     ``pre`` sees the graph before the operation and ``post`` the one after it;
-    each returns metric name to value.
+    each returns metric name to value, and runs what jobs it needs.
+
+    ``observe`` names aggregates over the vertices ``(id, attr)`` after the event.
+    They are taken by the job that writes these vertices anyway, the round of an
+    algorithm, so they run no job of their own; events that write nothing give none.
     """
 
     event: Callable[[Event], bool] = lambda _: True
     pre: Callable[[PropertyGraph], dict] | None = None
     post: Callable[[PropertyGraph], dict] | None = None
+    observe: dict[str, Column] = field(default_factory=dict)
 
 
 class ProvenanceSession:
@@ -101,9 +120,10 @@ class ProvenanceSession:
         self.metrics: list[tuple] = []
         self.locations: dict[int, str] = {}
         self.captured: dict[int, tuple[Event, str]] = {}
+        self.captured_edges: dict[int, str] = {}
         self._nodes = 0
         self._seen: Counter = Counter()
-        self._writer = ThreadPoolExecutor(max_workers=1)
+        self._pool: ThreadPoolExecutor | None = None
         self._writes: list[Future] = []
 
     # graphs and edges
@@ -150,7 +170,7 @@ class ProvenanceSession:
             if hook.post is not None:
                 self._gauges(result.node_id, hook.post(result))
         edge = self.add(source, result, event)
-        self.metrics.append(("edge", edge.seq, "time", "operationTime", float(nanos), "ns"))
+        self._measured("edge", edge.seq, "time", "operationTime", int(nanos), "ns")
         self._capture(source, result, edge, background)
         return result
 
@@ -158,11 +178,48 @@ class ProvenanceSession:
         for name, value in values.items():
             self.gauge(node_id, name, value)
 
-    def gauge(self, node_id: int, name: str, value: float) -> None:
-        self.metrics.append(("node", node_id, "gauge", name, float(value), None))
+    def observed(self, candidates: list[Event]) -> dict[str, Column]:
+        """What hooks want observed of vertices that any of these events gives."""
+        return {
+            f"hook {number} {name}": metric
+            for number, hook in enumerate(self.hooks)
+            if any(hook.event(event) for event in candidates)
+            for name, metric in hook.observe.items()
+        }
+
+    def record_observed(self, node_id: int, values: dict) -> None:
+        """Gauges of what was observed under the names that ``observed`` gave."""
+        self._gauges(node_id, {key.split(" ", 2)[2]: value for key, value in values.items()})
+
+    def gauge(self, node_id: int, name: str, value) -> None:
+        """A number of any size, a truth value or a text; None is not recorded."""
+        if value is not None:
+            self._measured("node", node_id, "gauge", name, value, None)
 
     def counter(self, node_id: int, name: str, value: int) -> None:
-        self.metrics.append(("node", node_id, "counter", name, float(value), None))
+        self._measured("node", node_id, "counter", name, value, None)
+
+    def _measured(self, owner: str, owner_id: int, kind: str, name: str, value, unit) -> None:
+        """One metric, its value in the columns of its type."""
+        text = exact = None
+        if isinstance(value, bool):
+            value = str(value).lower()
+        if isinstance(value, (int, Decimal)):
+            exact, value = Decimal(value), float(value)
+            if exact != exact.to_integral_value() or abs(exact) >= 10**38:
+                exact = None
+        elif not isinstance(value, float):
+            text, value = str(value), None
+        self.metrics.append((owner, owner_id, kind, name, value, unit, exact, text))
+
+    def node(self, node_id: int) -> ProvNode:
+        """What is recorded of a graph by now."""
+        found = {
+            name: next(v for v in (text, exact, value) if v is not None)
+            for owner, of, _, name, value, _, exact, text in self.metrics
+            if owner == "node" and of == node_id
+        }
+        return ProvNode(node_id, self.locations.get(node_id), found)
 
     # capture
 
@@ -177,6 +234,9 @@ class ProvenanceSession:
             return False
         if not (rule.node(edge.source) and rule.node(edge.target)):
             return False
+        if rule.record is not None:
+            if not all(rule.record(self.node(end)) for end in (edge.source, edge.target)):
+                return False
         self._seen[edge.target, edge.event] += 1
         if edge.target in self.locations or self._seen[edge.target, edge.event] != 1:
             return False
@@ -192,11 +252,15 @@ class ProvenanceSession:
         if not self.storage:
             self.locations[node] = NOT_STORED
             return
-        rule = self.capture.data
+        rule, edges = self.capture.data, None
         if isinstance(rule, DeltaPredicate):
             vertices = restrict_vertices(source.vertices, rule.ids)
         else:
-            vertices, _ = subgraph(result.vertices, result.edges, rule.vertex, rule.edge)
+            vertices, edges = subgraph(result.vertices, result.edges, rule.vertex, rule.edge)
+        edges = edges if self.capture.edges else None
+        if edges is not None:
+            kind = edges.schema["attr"].dataType.simpleString() if "attr" in edges.columns else "string"
+            self.captured_edges[node] = kind
         path = f"{self.directory}/run_id={self.run_id}/node_id={node}"
         self.locations[node] = path
         value_type = "string"
@@ -204,20 +268,41 @@ class ProvenanceSession:
             value_type = vertices.schema["attr"].dataType.simpleString()
         self.captured[node] = (edge.event, value_type)
         if background:
-            self._writes.append(self._writer.submit(self._store, vertices, path, node))
+            self._writes.append(self._writer().submit(self._store, vertices, edges, path, node))
         else:
-            self._store(vertices, path, node)
+            self._store(vertices, edges, path, node)
 
-    def _store(self, vertices: DataFrame, path: str, node: int) -> None:
+    def edge_path(self, node: int) -> str:
+        return f"{self.directory}/{EDGES}/run_id={self.run_id}/node_id={node}"
+
+    def _store(self, vertices: DataFrame, edges: DataFrame | None, path: str, node: int) -> None:
+        """Both tables of a snapshot, and then the marker that says that it is whole."""
         started = time.perf_counter_ns()
         write_snapshot(vertices, path, self.format)
+        if edges is not None:
+            write_edges(edges, self.edge_path(node), self.format)
+            marker = self.spark.createDataFrame([(self.format.name, True)], "storage_format string, with_edges boolean")
+            marker.coalesce(1).write.parquet(
+                f"{self.directory}/{COMMITS}/run_id={self.run_id}/node_id={node}"
+            )
         nanos = time.perf_counter_ns() - started
-        self.metrics.append(("node", node, "time", "storageTime", float(nanos), "ns"))
+        self._measured("node", node, "time", "storageTime", nanos, "ns")
+
+    def _writer(self) -> ThreadPoolExecutor:
+        if self._pool is None:
+            self._pool = ThreadPoolExecutor(max_workers=1)
+        return self._pool
 
     def flush(self) -> None:
-        """Wait for the snapshots being written; raises what went wrong."""
-        while self._writes:
-            self._writes.pop(0).result()
+        """Wait for the snapshots being written; raises what went wrong.  The
+        thread that writes them ends; the next snapshot starts another."""
+        try:
+            while self._writes:
+                self._writes.pop(0).result()
+        finally:
+            if self._pool is not None and not self._writes:
+                self._pool.shutdown(wait=False)
+                self._pool = None
 
     # tables; they wait for the snapshots still being written
 
@@ -252,6 +337,16 @@ class ProvenanceSession:
         self.flush()
         return {node: path for node, path in self.locations.items() if path}
 
+    def snapshot_edges(self) -> DataFrame:
+        """The stored edges: ``(run_id, node_id, src, dst, value)``."""
+        self.flush()
+        return tables.read_snapshot_edges(self)
+
+    def save(self, path: str) -> None:
+        """Add this run to the provenance tables below ``path``; again replaces it."""
+        for name, rows in (("nodes", self.prov_nodes()), ("edges", self.prov_edges()), ("metrics", self.prov_metrics())):
+            tables.append_runs(rows, f"{path}/{name}")
+
     def snapshots(self) -> DataFrame:
         """All stored snapshots: ``(run_id, node_id, event_name, iteration, id, value)``."""
         self.flush()

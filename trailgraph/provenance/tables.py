@@ -6,20 +6,24 @@ sessions; every query keeps runs apart by ``run_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trailgraph.operators.triplets import as_column
 from trailgraph.provenance.events import PREGEL_ITERATION
-from trailgraph.sinks.snapshots import read_snapshots_of
+from trailgraph.sinks.snapshots import COMMITS, EDGES, read_edges_of, read_snapshots_of
 
 PROV_NODES = "run_id string, node_id bigint, location string"
 PROV_EDGES = (
     "run_id string, seq bigint, source bigint, target bigint, "
     "event_type string, event_name string, params map<string,string>"
 )
+# A number is in ``value``, a whole one of up to 38 digits also in ``exact``, and
+# anything else as ``text``.
 PROV_METRICS = (
     "run_id string, owner string, owner_id bigint, kind string, name string, "
-    "value double, unit string"
+    "value double, unit string, exact decimal(38,0), text string"
 )
 
 RELEASING = "event_type = 'operation' AND event_name IN ('unpersist', 'unpersistVertices')"
@@ -40,6 +44,38 @@ def append(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows)
 
 
+def append_runs(rows: DataFrame, path: str) -> None:
+    """Add the rows of whole runs to the table at ``path``, a partition per run.
+
+    A run that is there already is replaced, so that writing it again, after a
+    failure or by mistake, leaves one copy; other runs are not touched.
+    """
+    (
+        rows.repartition("run_id")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id")
+        .parquet(path)
+    )
+
+
+def stored_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table that ``append_runs`` writes; ``schema`` is that of its rows."""
+    columns = [field.name for field in spark.createDataFrame([], schema).schema.fields]
+    return spark.read.schema(schema).parquet(path).select(*columns)
+
+
+def with_metrics(nodes: DataFrame, metrics: DataFrame, names: list[str]) -> DataFrame:
+    """``nodes`` with a column for each named metric: its highest value there, null for none.
+
+    So predicates over nodes may look at ids, locations and metrics alike.
+    """
+    wanted = metrics.filter((F.col("owner") == "node") & F.col("name").isin(names))
+    columns = [F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in names]
+    by_node = wanted.groupBy("run_id", F.col("owner_id").alias("node_id")).agg(*columns)
+    return nodes.join(by_node, ["run_id", "node_id"], "left").select(*nodes.columns, *names)
+
+
 def prov_filter(
     nodes: DataFrame,
     edges: DataFrame,
@@ -60,14 +96,20 @@ def node_by_id(nodes: DataFrame, run_id: str, node_id: int) -> DataFrame:
 
 
 def capture_decision(
-    edges: DataFrame, nodes: DataFrame, edge_predicate: Column | str
+    edges: DataFrame,
+    nodes: DataFrame,
+    edge_predicate: Column | str,
+    node_predicate: Column | str | None = None,
 ) -> DataFrame:
     """The edge at which each graph would be stored.
 
     Per target, the first edge in order that passes and is no release, unless
     the target has a location already.  That is the innermost matching event,
-    because a nested operation is recorded before the one around it.
+    because a nested operation is recorded before the one around it.  With a
+    ``node_predicate`` over the columns of ``nodes``, both ends must pass it.
     """
+    if node_predicate is not None:
+        _, edges = prov_filter(nodes, edges, node_predicate, everything())
     stored = nodes.filter("location IS NOT NULL").select(
         "run_id", F.col("node_id").alias("target")
     )
@@ -91,19 +133,38 @@ def join_event_predicate(algorithm: Column | str) -> Column:
 
 def metric_totals(metrics: DataFrame) -> DataFrame:
     """Metrics merged per owner: equal observations count once, counters and
-    times add up, and gauges keep their range."""
+    times add up, and gauges keep their range.
+
+    Whole numbers are added and compared exactly (``exact_total``, ``exact_lowest``,
+    ``exact_highest``; null if any value is none), texts by their order
+    (``first_text``, ``last_text``).
+    """
+    whole = F.count("exact") == F.count(F.lit(1))
     return (
-        metrics.dropDuplicates()
+        typed(metrics).dropDuplicates()
         .groupBy("run_id", "owner", "kind", "name")
         .agg(
             F.count(F.lit(1)).alias("observations"),
             F.sum("value").alias("total"),
             F.min("value").alias("lowest"),
             F.max("value").alias("highest"),
+            F.when(whole, F.try_sum("exact")).alias("exact_total"),
+            F.when(whole, F.min("exact")).alias("exact_lowest"),
+            F.when(whole, F.max("exact")).alias("exact_highest"),
+            F.min("text").alias("first_text"),
+            F.max("text").alias("last_text"),
         )
     )
 
 
+def typed(metrics: DataFrame) -> DataFrame:
+    """``metrics`` with the typed columns, also of a table that has doubles only."""
+    for name, kind in (("exact", "decimal(38,0)"), ("text", "string")):
+        if name not in metrics.columns:
+            metrics = metrics.withColumn(name, F.lit(None).cast(kind))
+    return metrics
+
+
 def counter_values(deltas: DataFrame) -> DataFrame:
     """Counters from their increments and decrements ``(run_id, name, delta)``."""
     return deltas.groupBy("run_id", "name").agg(F.sum("delta").alias("value"))
@@ -122,6 +183,31 @@ def messages_per_round(metrics: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def committed_snapshots(spark: SparkSession, directory: str) -> DataFrame:
+    """``(run_id, node_id, storage_format, with_edges)`` of the snapshots that are whole."""
+    return spark.read.schema(
+        "storage_format string, with_edges boolean, run_id string, node_id bigint"
+    ).option("basePath", f"{directory}/{COMMITS}").parquet(f"{directory}/{COMMITS}").select(
+        "run_id", "node_id", "storage_format", "with_edges"
+    )
+
+
+def read_snapshot_edges(session) -> DataFrame:
+    """``(run_id, node_id, src, dst, value)`` of the stored edges of a session."""
+    paths: dict[str, list[str]] = {}
+    for node, kind in session.captured_edges.items():
+        paths.setdefault(kind, []).append(session.edge_path(node))
+    tables_ = [
+        read_edges_of(session.spark, found, f"{session.directory}/{EDGES}", session.format, kind)
+        for kind, found in sorted(paths.items())
+    ]
+    if not tables_:
+        return session.spark.createDataFrame([], "run_id string, node_id bigint, src bigint, dst bigint, value string")
+    if len(tables_) > 1:
+        tables_ = [table.withColumn("value", F.col("value").cast("string")) for table in tables_]
+    return reduce(DataFrame.unionByName, tables_)
+
+
 def read_snapshots(session) -> DataFrame:
     """The snapshots of a session as one table, with the event that stored each.
 

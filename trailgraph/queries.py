@@ -13,21 +13,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trailgraph import views
 from trailgraph.functions import text
+from trailgraph.algorithms.traversal import UNREACHED_DEPTH
 from trailgraph.graph import PropertyGraph
-from trailgraph.operators.aggregate import Send
+from trailgraph.operators.aggregate import Merge, Send
 from trailgraph.operators.joins import verify_result
 from trailgraph.plans.prepared import PreparedGraph
 from trailgraph.provenance import export, tables
+from trailgraph.provenance.events import PREGEL_ITERATION
 from trailgraph.provenance.record import RunRequest, run
 from trailgraph.provenance.session import (
     CaptureFilter,
     DeltaPredicate,
     GraphPredicate,
+    Hook,
     ProvenanceSession,
 )
 from trailgraph.provenance.setups import capture_for, reached, updates_vertices, with_flags
 from trailgraph.reports import coverage, filters, overhead, tables as reports
-from trailgraph.sinks.results import save_report, save_result
+from trailgraph.sinks.results import result_places, save_report, save_result
 from trailgraph.sinks.snapshots import (
     StorageFormat,
     read_snapshots_of,
@@ -71,7 +74,7 @@ def graph_vertices(spark, sf_dir):
 
 @query
 def num_vertices(spark, sf_dir):
-    return views.cust_supp(spark, sf_dir).vertices.agg(F.count("id").alias("num_vertices"))
+    return spark.createDataFrame([(views.cust_supp(spark, sf_dir).num_vertices(),)], "num_vertices bigint")
 
 
 @query
@@ -180,6 +183,19 @@ def aggregate_messages_sum(spark, sf_dir):
     return g.aggregate_messages(sends, F.sum)
 
 
+@query
+def aggregate_messages_gcd(spark, sf_dir):
+    """The greatest common divisor of the senders, which no built-in aggregate gives."""
+
+    def divisor(values, starts):
+        import numpy as np
+
+        return np.gcd.reduceat(values.to_numpy(zero_copy_only=False), starts)
+
+    g = views.part_seq(spark, sf_dir).stored()
+    return g.aggregate_messages([Send("dst", "src")], Merge(divisor), ends=())
+
+
 @query
 def aggregate_messages_min(spark, sf_dir):
     g = views.part_seq(spark, sf_dir)
@@ -329,6 +345,26 @@ def bfs_rounds(spark, sf_dir):
     return found.select("round", "messages")
 
 
+@query
+def observed_rounds(spark, sf_dir):
+    """What a hook observes of every round, taken by the job that writes it."""
+    reached_ = F.col("attr") < UNREACHED_DEPTH
+    hook = Hook(
+        event=lambda event: event.event_type == PREGEL_ITERATION,
+        observe={
+            "reached": F.count_if(reached_),
+            "lowest": F.min("attr"),
+            "deepest": F.max(F.when(reached_, F.col("attr"))),
+        },
+    )
+    session = _traced_bfs(spark, sf_dir, hooks=(hook,))
+    rounds = session.prov_edges().filter("event_type = 'pregelIteration'").select(
+        F.col("target").alias("owner_id"), F.element_at("params", "i").cast("int").alias("round")
+    )
+    gauges = session.prov_metrics().filter(F.col("name").isin(list(hook.observe)))
+    return gauges.join(rounds, "owner_id").select("round", "name", F.col("exact").cast("bigint").alias("value"))
+
+
 @query
 def prov_edges_bfs(spark, sf_dir):
     session = _traced_bfs(spark, sf_dir)
@@ -358,6 +394,19 @@ def snapshot_bfs_pruned(spark, sf_dir):
     return session.snapshots().drop("run_id")
 
 
+@query
+def snapshot_edges(spark, sf_dir):
+    """The edges between the vertices that each round has reached."""
+    session = _traced_bfs(
+        spark, sf_dir, storage=True, directory=_lineage_dir(spark),
+        capture=CaptureFilter(
+            edge=updates_vertices("BFS"), data=GraphPredicate(vertex=reached("BFS")), edges=True
+        ),
+    )
+    whole = tables.committed_snapshots(spark, session.directory).filter("with_edges")
+    return session.snapshot_edges().join(whole, ["run_id", "node_id"], "left_semi").drop("run_id")
+
+
 @query
 def snapshot_pagerank_pruned(spark, sf_dir):
     session = ProvenanceSession(
@@ -444,6 +493,56 @@ def capture_decision(spark, sf_dir):
     )
 
 
+@query
+def capture_decision_by_metric(spark, sf_dir):
+    """Decisions between graphs with many active messages, stored ones only if late."""
+    nodes = tables.with_metrics(
+        views.prov_nodes_log(spark, sf_dir), views.prov_metrics_log(spark, sf_dir), ["activeMessages"]
+    )
+    return tables.capture_decision(
+        views.prov_edges_log(spark, sf_dir), nodes, tables.everything(),
+        "activeMessages > 10 AND (location IS NULL OR node_id > 2)",
+    )
+
+
+@query
+def appended_runs(spark, sf_dir):
+    """A run per user, appended in two parts, one of them twice."""
+    number = F.col("event_id")
+    log = views.table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("run_id"), number.alias("seq"), number.alias("source"),
+        (number + 1).alias("target"), F.lit("operation").alias("event_type"),
+        F.col("event_type").alias("event_name"), F.create_map(F.lit("i"), number.cast("string")).alias("params"),
+    )
+    path = f"{Workspace(spark, 'appended').path}/edges"
+    even = F.col("run_id").cast("bigint") % 2 == 0
+    for part in (even, ~even, even):
+        tables.append_runs(log.filter(part), path)
+    return tables.stored_runs(spark, path, tables.PROV_EDGES).drop("params")
+
+
+@query
+def typed_metric_totals(spark, sf_dir):
+    """Counters beyond what a double holds, and gauges that are texts."""
+    events = views.table(spark, sf_dir, "events")
+    head = [F.col("user_id").cast("string").alias("run_id"), F.lit("node").alias("owner"),
+            F.col("event_id").alias("owner_id")]
+    exact = F.col("event_id").cast("decimal(19,0)") * F.lit(9007199254740993).cast("decimal(16,0)")
+    none = F.lit(None)
+    counters = events.select(
+        *head, F.lit("counter").alias("kind"), F.lit("bytes").alias("name"), exact.cast("double").alias("value"),
+        none.cast("string").alias("unit"), exact.cast("decimal(38,0)").alias("exact"), none.cast("string").alias("text"),
+    )
+    gauges = events.select(
+        *head, F.lit("gauge").alias("kind"), F.lit("state").alias("name"), none.cast("double").alias("value"),
+        none.cast("string").alias("unit"), none.cast("decimal(38,0)").alias("exact"), F.col("event_type").alias("text"),
+    )
+    found = tables.metric_totals(counters.unionByName(gauges))
+    return found.select(
+        "run_id", "kind", "name", "observations", "exact_total", "exact_highest", "first_text", "last_text"
+    )
+
+
 @query
 def metric_totals(spark, sf_dir):
     totals = tables.metric_totals(views.prov_metrics_log(spark, sf_dir))
@@ -471,7 +570,7 @@ def counter_values(spark, sf_dir):
 def prov_json_lines(spark, sf_dir):
     return export.json_edges(
         views.prov_edges_log(spark, sf_dir), views.prov_metrics_log(spark, sf_dir)
-    )
+    ).drop("part")
 
 
 @query
@@ -652,21 +751,82 @@ def paired_overhead_per_round(spark, sf_dir):
     return found.select("algorithm", "dataset", *rounded("mean", "std"))
 
 
+def _other_setups(spark, sf_dir) -> DataFrame:
+    return views.run_log(spark, sf_dir).filter("setup <> 'Baseline'")
+
+
 @query
 def overhead_describe(spark, sf_dir):
+    """The overhead of every setup without outliers, and how many of them are left out."""
+    keys = ("setup", "algorithm")
     compared = overhead.duration_overhead(
-        _runs_of(spark, sf_dir, "Tracing"), _runs_of(spark, sf_dir, "Baseline")
+        _other_setups(spark, sf_dir), _runs_of(spark, sf_dir, "Baseline")
     ).withColumnRenamed("overhead_duration", "overhead")
-    return overhead.describe_overhead(filters.within_bounds(compared))
+    within = filters.within_bounds(compared)
+    left = compared.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs")).join(
+        within.groupBy(*keys).agg(F.count(F.lit(1)).alias("kept")), list(keys)
+    )
+    described = overhead.describe_overhead(within, keys=keys)
+    return described.join(left.select(*keys, (F.col("runs") - F.col("kept")).alias("left_out")), list(keys))
 
 
 @query
 def summed_baseline(spark, sf_dir):
     found = overhead.summed_baseline(
-        _runs_of(spark, sf_dir, "Baseline"), _runs_of(spark, sf_dir, "CombinedPruning"),
-        "duration_s",
+        _runs_of(spark, sf_dir, "Baseline"), _other_setups(spark, sf_dir), "duration_s"
+    )
+    return found.select("run_nr", "setup", "algorithm", "dataset", *rounded("overhead", digits=8))
+
+
+def _paired_tree(spark, sf_dir, prefix: str = "") -> str:
+    """A tree of records: each user is a run, with lineage and without."""
+    user = F.col("user_id")
+    events = views.table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").cast("int").alias("rounds")
+    )
+    name = user.cast("string")
+    rounds = F.transform(
+        F.sequence(F.lit(1), F.col("rounds")), lambda i: F.struct(i.alias("idx"), i.cast("bigint").alias("messageCount"))
+    )
+    duration = F.when(F.col("lineage"), F.col("n") / 2).otherwise(F.col("n") / 4)
+    records = events.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("lineage")).select(
+        (user % 10).alias("experiment"), F.concat(F.lit(prefix), name).alias("run"), "lineage",
+        F.concat(F.lit("A"), user % 3).alias("algorithm"), F.concat(F.lit("G"), user % 5).alias("graph"),
+        F.struct(
+            name.alias("lineageDirectory"),
+            F.struct(duration.alias("duration"), F.lit("s").alias("unit")).alias("duration"),
+            rounds.alias("iterations"),
+        ).alias("metadata"),
+    )
+    root = f"{Workspace(spark, 'paired').path}/records"
+    runlogs.save_paired(records, root)
+    return root
+
+
+@query
+def paired_files(spark, sf_dir):
+    """Runs with lineage next to their twins, from the files of each."""
+    found = runlogs.load_paired(spark, _paired_tree(spark, sf_dir))
+    run = F.regexp_replace("run", "experiment=|run=", "")
+    return found.withColumn("run", run).drop("rounds")
+
+
+@query
+def storage_overhead(spark, sf_dir):
+    """Bytes of snapshots over bytes of the plain result, of the first run of each
+    algorithm and dataset that has snapshots."""
+    sizes = views.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("lineage_id"), F.col("l_linenumber").cast("bigint").alias("size")
     )
-    return found.select("run_nr", "algorithm", "dataset", *rounded("overhead", digits=8))
+    outputs = views.table(spark, sf_dir, "customer").groupBy(
+        F.concat(F.lit("A"), F.col("c_custkey") % 3).alias("algorithm"),
+        F.concat(F.lit("G"), F.col("c_custkey") % 5).alias("dataset"),
+    ).agg(F.max("c_custkey").alias("without_lineage"))
+    paired = runlogs.load_paired(spark, _paired_tree(spark, sf_dir, "r"))
+    paired = paired.join(sizes.select("lineage_id").distinct(), "lineage_id", "left_semi")
+    paired = paired.withColumn("run", F.regexp_extract("run", "run=(.*)", 1))
+    found = overhead.storage_overhead(sizes, paired, outputs)
+    return found.select("algorithm", "dataset", *rounded("fraction", digits=8))
 
 
 @query
@@ -771,6 +931,14 @@ def result_file(spark, sf_dir):
     return graphs.load_expected(spark, path)
 
 
+@query
+def ordered_result(spark, sf_dir):
+    """The lines of an ordered result, with their places in all of its files."""
+    path = f"{Workspace(spark, 'files').path}/ordered"
+    save_result(views.part_graph(spark, sf_dir).vertices, path, ordered=True)
+    return result_places(spark, path).select("place", "line")
+
+
 @query
 def report_file(spark, sf_dir):
     path = f"{Workspace(spark, 'files').path}/report.csv"

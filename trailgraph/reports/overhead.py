@@ -123,17 +123,19 @@ def paired_overhead(paired: DataFrame, per_iteration: bool = False) -> DataFrame
     )
 
 
-def describe_overhead(compared: DataFrame, metric: str = "overhead") -> DataFrame:
-    """min, median, max and sample deviation per algorithm, two decimals, the
-    highest median first."""
-    keys = ["algorithm"]
+def describe_overhead(
+    compared: DataFrame, metric: str = "overhead", keys: tuple[str, ...] = ("algorithm",)
+) -> DataFrame:
+    """min, median, max and sample deviation per algorithm, or other ``keys``, two
+    decimals, the highest median first."""
+    keys = list(keys)
     ends = compared.groupBy(*keys).agg(
         F.stddev_samp(metric).alias("std"), F.min(metric).alias("min"), F.max(metric).alias("max")
     )
     median = percentiles(compared, keys, metric, {"median": 0.5})
     ordered = ends.join(median, keys).orderBy(F.col("median").desc())
     return ordered.select(
-        "algorithm", *[two_decimals(c).alias(c) for c in ("std", "min", "median", "max")]
+        *keys, *[two_decimals(c).alias(c) for c in ("std", "min", "median", "max")]
     )
 
 

@@ -71,6 +71,40 @@ def write_snapshot(vertices: DataFrame, path: str, storage_format: StorageFormat
     rows.write.format(storage_format.source).options(**storage_format.options).save(path)
 
 
+#: Folders of stored edges and of commit markers, beside those of the vertices.
+EDGES = "_edges"
+COMMITS = "_commits"
+
+
+def write_edges(edges: DataFrame, path: str, storage_format: StorageFormat) -> None:
+    """Write ``(src, dst, value)`` of the edges of a snapshot."""
+    value = F.col("attr") if "attr" in edges.columns else F.lit(None).cast("string")
+    rows = edges.select("src", "dst", value.alias("value"))
+    if storage_format.source == "text":
+        text = F.col("value").cast("string")
+        rows = rows.select(F.concat_ws(" ", F.col("src"), F.col("dst"), text).alias("line"))
+    rows.write.format(storage_format.source).options(**storage_format.options).save(path)
+
+
+def read_edges_of(
+    spark: SparkSession, paths: list[str], base: str, storage_format: StorageFormat, value_type: str
+) -> DataFrame:
+    """Stored edges under ``base`` as ``(run_id, node_id, src, dst, value)``."""
+    partitions = "run_id string, node_id bigint"
+    if storage_format.source == "text":
+        token = F.split("line", " ", 3)
+        return (
+            spark.read.schema(f"line string, {partitions}").option("basePath", base).text(paths)
+            .select("run_id", "node_id", token[0].cast("bigint").alias("src"), token[1].cast("bigint").alias("dst"),
+                    F.try_element_at(token, F.lit(3)).cast(value_type).alias("value"))
+        )
+    return (
+        spark.read.schema(f"src bigint, dst bigint, value {value_type}, {partitions}")
+        .option("basePath", base).format(storage_format.source).load(paths)
+        .select("run_id", "node_id", "src", "dst", "value")
+    )
+
+
 def read_snapshots_of(
     spark: SparkSession,
     paths: list[str],

@@ -45,7 +45,10 @@ def load_graph(spark: SparkSession, prefix: str, directed: bool | None = True) -
     ``<prefix>.properties``.
     """
     if directed is None:
-        directed = load_datasets(spark, f"{prefix}.properties").first()["directed"]
+        found = load_datasets(spark, f"{prefix}.properties").first()
+        if found is None or found["directed"] is None:
+            raise ValueError(f"{prefix}.properties does not say whether the graph is directed")
+        directed = found["directed"]
     edges = load_edges(spark, f"{prefix}.e")
     if not directed:
         edges = symmetric(edges)

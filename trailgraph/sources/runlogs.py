@@ -162,16 +162,33 @@ PAIRED = (
 )
 
 
+def save_paired(records: DataFrame, root: str) -> None:
+    """Write the tree that ``load_paired`` reads, a file per run and side, from
+    ``records`` with the columns ``experiment, run, lineage`` and those of ``PAIRED``."""
+    (
+        records.withColumn("lineage", F.col("lineage").cast("string"))
+        .repartition("experiment", "run", "lineage")
+        .write.option("maxRecordsPerFile", 1)
+        .partitionBy("experiment", "run", "lineage")
+        .json(root)
+    )
+
+
 def load_paired(spark: SparkSession, root: str) -> DataFrame:
-    """Each run with lineage next to its twin without, matched by path."""
-    run = r"(experiment-[^/]+/run-[^/]+)/lineage-"
+    """Each run with lineage next to its twin without, matched by path.
+
+    The tree below ``root`` has a folder per experiment, run and side; what
+    stands there is one JSON document, or a file of one written by Spark, whose
+    folders are named ``experiment=...`` and so on.
+    """
+    run = r"(experiment[-=][^/]+/run[-=][^/]+)/lineage[-=]"
 
     def side(flag: str) -> DataFrame:
         return (
             spark.read.schema(PAIRED)
             .option("multiLine", True)
-            .json(f"{root}/experiment-*/run-*/lineage-{flag}/metrics.json")
-            .withColumn("run", F.regexp_extract(F.input_file_name(), run, 1))
+            .json(f"{root}/experiment[-=]*/run[-=]*/lineage[-=]{flag}/*.json")
+            .withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), run, 1))
         )
 
     duration = F.col("metadata.duration.duration")

@@ -62,18 +62,45 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{session_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self._named: dict[str, str] = {}
 
-    def write(self, name: str, df: DataFrame, **metrics: Column) -> Table:
-        """Write ``df`` and read it back; ``metrics`` are aggregates over its
-        rows, taken by the same job that writes them."""
+    def write(
+        self, name: str, df: DataFrame, *, keep: list[str] | None = None, **metrics: Column
+    ) -> Table:
+        """Write ``df``, or its columns ``keep``, and read it back; ``metrics`` are
+        aggregates over its rows, taken by the same job that writes them."""
         path = f"{self.path}/{name}"
+        kept = df if keep is None else df.select(*keep)
         if not metrics:
-            df.write.parquet(path)
-            return Table(self.read(path, df), path)
+            kept.write.parquet(path)
+            return Table(self.read(path, kept), path)
         observation = Observation()
         columns = [metric.alias(key) for key, metric in metrics.items()]
-        df.observe(observation, *columns).write.parquet(path)
-        return Table(self.read(path, df), path, dict(observation.get))
+        observed = df.observe(observation, *columns)
+        (observed if keep is None else observed.select(*keep)).write.parquet(path)
+        return Table(self.read(path, kept), path, dict(observation.get))
+
+    def write_bucketed(self, name: str, df: DataFrame, key: str, buckets: int) -> Table:
+        """Write ``df`` as a table with one file a bucket of ``key``, sorted by it.
+
+        A join or aggregation on ``key`` reads it without moving it, and a filter
+        on a few keys reads their buckets alone.
+        """
+        limit = int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+        buckets = max(1, min(buckets, limit))
+        path, table = f"{self.path}/{name}", f"trailgraph_{uuid.uuid4().hex}"
+        (
+            df.repartition(buckets, key)
+            .write.bucketBy(buckets, key)
+            .sortBy(key)
+            .option("path", path)
+            .saveAsTable(table)
+        )
+        self._named[path] = table
+        return Table(self.spark.table(table), path)
+
+    def is_bucketed(self, table: Table) -> bool:
+        return table.path in self._named
 
     def read(self, path: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(path)
@@ -81,9 +108,16 @@ class Workspace:
     def drop(self, table: Table | None) -> None:
         """Delete a superseded table of this workspace."""
         if table is not None and table.path.startswith(self.path + "/"):
+            self._forget(table.path)
             delete_path(self.spark, table.path)
 
+    def _forget(self, path: str) -> None:
+        if path in self._named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._named.pop(path)}")
+
     def clear(self) -> None:
+        for path in list(self._named):
+            self._forget(path)
         delete_path(self.spark, self.path)
 
 
