@@ -226,19 +226,6 @@ def test_sharding(spark, docs, nothing):
     assert sharding.shard_documents(nothing)[0].count() == 0
 
 
-def brute_lines(rows, min_words):
-    first, matches = {}, {}
-    docs = sorted({(doc, text) for doc, text, *_ in rows if doc is not None and text is not None})
-    for doc in docs:
-        seen = Counter()
-        for place, line in enumerate(line_dedup.worded_lines(doc[1])):
-            seen[line] += 1
-            start = first.setdefault((line, seen[line]), (doc, place))
-            if start[0] != doc:
-                matches.setdefault(doc, []).append((*start[0], place, start[1], len(line.split())))
-    return {doc: line_dedup.lines_to_delete(sorted(m), min_words) for doc, m in matches.items()}
-
-
 def test_line_dedup(spark, nothing):
     draw = random.Random(9)
     lines = [" ".join(draw.choices(WORDS, k=draw.randint(3, 30))) for _ in range(25)]
@@ -246,7 +233,7 @@ def test_line_dedup(spark, nothing):
             for k in range(60)]
     rows += [(60, rows[0][1], "en", ""), (60, rows[0][1], "en", ""), (None, rows[0][1], None, None), (61, None, "", "")]
     table = spark.createDataFrame(rows, DOCS).repartition(4)
-    expected = brute_lines(rows, 20)
+    expected = common_runs(rows, 20)
     found = line_dedup.dedup_lines(table, deleted="gone").collect()
     original = {row[0]: row[1] for row in rows}
     assert len(found) == len(rows)
@@ -307,7 +294,7 @@ def test_blocks_of_every_earlier_document_go(spark):
     texts = {row[0]: row[1] for row in rows}
     expected = common_runs(rows, 20)
     table = spark.createDataFrame([*rows, rows[9]], DOCS).repartition(3)
-    found = line_dedup.dedup_lines(table, deleted="gone", every_holder=True).collect()
+    found = line_dedup.dedup_lines(table, deleted="gone").collect()
     gone = {r["doc_id"]: r["gone"] or [] for r in found}
     assert gone == {k: expected[k, text] for k, text in texts.items()}
     assert [len(gone[k]) for k in range(4)] == [0, 8, 8, 8]
@@ -320,6 +307,17 @@ def test_own_words_of_repeated_documents_stay(spark):
     assert {r["doc_id"]: r["text"] for r in left} == {0: shared, 1: "my own words"}
 
 
+def test_alignment_of_a_pair():
+    # a passage in another order, one that is repeated, and lines between
+    assert line_dedup.aligned([(0, 10, 3), (3, 0, 3)]) == set(range(6))
+    assert line_dedup.aligned([(0, 0, 2), (5, 0, 2), (6, 1, 2)]) == {0, 1, 5, 6, 7}
+    assert line_dedup._with_gaps([(0, 0), (1, 5), (2, 5), (3, 9)]) == [(0, 0), (3, 9), (2, 5)]
+    draw = random.Random(2)
+    for _ in range(50):
+        runs = [(draw.randrange(20), draw.randrange(20), draw.randint(1, 4)) for _ in range(draw.randint(1, 8))]
+        assert line_dedup.aligned(runs) == {place + k for place, _, size in runs for k in range(size)}
+
+
 def test_longest_chain():
     assert [line_dedup.longest_chain(p) for p in ([], [3], [5, 1, 2, 9, 3])] == [[], [0], [1, 2, 4]]
 

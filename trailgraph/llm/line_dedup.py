@@ -1,24 +1,25 @@
-"""Repeated lines, found by aligning overlapping documents.
-
-A line is known by a hash of its text without outer blanks and of the number of
-its occurrence, which makes it unique in its document.  A document that shares
-lines with earlier ones is paired, for each line, with the earliest document
-that has it.  So a line makes no more pairs than it has documents, rare or not,
-and none has to be left out for being common.  Each pair is aligned by
-patience: the longest chain of common lines that keeps the order of both.  Runs
-of aligned lines that are contiguous in both documents and have enough words are
-deleted from the later one.
-
-With ``every_holder``, no partner is left out: a block with enough words goes if
-it is contiguous in any earlier document.  Such a block consists of shortest
-runs with enough words, from each of its lines on and up to each of its lines.
-So every document gives these runs, at most two a line, and a run is deleted
-where an earlier document gives the same, in whatever order and however often.
+"""Repeated passages, deleted by aligning overlapping documents in pairs.
+
+A passage is a block of lines with enough words that stands, contiguous, in two
+documents.  It consists of shortest runs with enough words, from each of its
+lines on and up to each of its lines.  Every document gives these runs, at most
+two a line, known by 128 bits of their lines.  A run that several documents hold
+names overlapping pairs: each of its holders is paired with the earliest one.
+So a document has no more partners than runs, none of them is left out, and a
+frequent run makes no more pairs than it has holders.
+
+Each pair is aligned by patience: the longest chain of common lines that are
+unique on both sides, the same again in the gaps between them, and from each
+aligned line on as far as the documents agree on both sides.  That is done again
+with what is left until no common line is left, so crossing passages are found
+too.  The blocks are deleted from the later document.
 """
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -30,8 +31,7 @@ from trailgraph.llm.common import free_name, slices, workspace
 
 #: Words that a deleted block has at least.
 MIN_WORDS = 20
-_LINES = "id bigint, version bigint, place int, line bigint, words int"
-_RUNS = "id bigint, version bigint, place int, size int, run bigint"
+_RUNS = "id bigint, version bigint, place int, size int, run bigint, check bigint"
 
 
 def worded_lines(text: str) -> list[str]:
@@ -39,33 +39,6 @@ def worded_lines(text: str) -> list[str]:
     return [clean for line in text.split("\n") if (clean := line.strip())]
 
 
-def document_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row per line with words; ``place`` counts those lines, ``version`` is a hash of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        for batch in batches:
-            for rows in slices(batch, batch.column(2)):
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for doc, version, content in zip(*[column.to_pylist() for column in rows.columns]):
-                    seen: dict[str, int] = {}
-                    for place, line in enumerate(worded_lines(content)):
-                        nth = seen[line] = seen.get(line, 0) + 1
-                        key = xxh64_intdigest(line.encode(), nth)
-                        key -= (key >> 63) << 64
-                        values = (doc, version, place, key, len(line.split()))
-                        for column, value in zip(out, values):
-                            column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(column, kind) for column, kind in zip(out, kinds)],
-                    names=["id", "version", "place", "line", "words"],
-                )
-
-    return _known(docs, doc_id, text).mapInArrow(run, _LINES)
-
-
 def _known(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(
         F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("text")
@@ -94,29 +67,27 @@ def document_runs(docs: DataFrame, doc_id: str, text: str, min_words: int) -> Da
     """One row per shortest run of lines with enough words, at its first ``place``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest, xxh3_128_digest
+        from xxhash import xxh3_128_digest
+
+        names = ["id", "version", "place", "size", "run", "check"]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
         def batch_of(columns):
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(column, kind) for column, kind in zip(columns, kinds)],
-                names=["id", "version", "place", "size", "run"],
-            )
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
 
-        out: tuple[list, ...] = ([], [], [], [], [])
+        out: tuple[list, ...] = tuple([] for _ in names)
         for batch in batches:
             for rows in slices(batch, batch.column(2)):
                 for doc, version, content in zip(*[column.to_pylist() for column in rows.columns]):
                     lines = worded_lines(content)
-                    names = [xxh3_128_digest(line.encode()) for line in lines]
+                    digests = [xxh3_128_digest(line.encode()) for line in lines]
                     for first, last in shortest_runs([len(line.split()) for line in lines], min_words):
-                        key = xxh3_64_intdigest(b"".join(names[first : last + 1]))
-                        key -= (key >> 63) << 64
-                        for column, value in zip(out, (doc, version, first, last + 1 - first, key)):
+                        key = struct.unpack("<qq", xxh3_128_digest(b"".join(digests[first : last + 1])))
+                        for column, value in zip(out, (doc, version, first, last + 1 - first, *key)):
                             column.append(value)
                         if len(out[0]) >= 50_000:
                             yield batch_of(out)
-                            out = ([], [], [], [], [])
+                            out = tuple([] for _ in names)
         if out[0]:
             yield batch_of(out)
 
@@ -144,68 +115,86 @@ def longest_chain(places: list[int]) -> list[int]:
     return chain[::-1]
 
 
-def lines_to_delete(matches: list[tuple], min_words: int) -> list[int]:
-    """Places from the ``(earlier id, earlier version, place, earlier place,
-    words)`` of one document, sorted.
+Match = tuple[int, int]
+
+
+def _chain(matches: list[Match]) -> list[Match]:
+    """A longest chain of matches that rises on both sides, of those that are
+    unique on both sides if there are any."""
+    ones = Counter(one for one, _ in matches)
+    others = Counter(other for _, other in matches)
+    unique = [m for m in matches if ones[m[0]] == 1 and others[m[1]] == 1]
+    ordered = sorted(unique or matches, key=lambda m: (m[0], -m[1]))
+    return [ordered[n] for n in longest_chain([other for _, other in ordered])]
+
 
-    A block lies within one pair of documents and is contiguous in both.
+def _with_gaps(matches: list[Match]) -> list[Match]:
+    """The chain of all matches, with those of the gaps between its lines, and so on."""
+    found: list[Match] = []
+    open_ = [matches]
+    while open_:
+        inside = open_.pop()
+        chain = _chain(inside)
+        found.extend(chain)
+        if len(chain) == len(inside):
+            continue
+        gaps: dict[int, list[Match]] = {}
+        for match in inside:
+            gap = bisect_left(chain, match)
+            before = gap == 0 or (chain[gap - 1][0] < match[0] and chain[gap - 1][1] < match[1])
+            after = gap == len(chain) or (match[0] < chain[gap][0] and match[1] < chain[gap][1])
+            if before and after:
+                gaps.setdefault(gap, []).append(match)
+        open_.extend(gaps.values())
+    return found
+
+
+def aligned(runs: list[tuple[int, int, int]]) -> set[int]:
+    """The places of the later document that align with the earlier one, from the
+    common runs ``(place, earlier place, size)`` of the pair.
+
+    A block that an aligned line grows to holds the runs the line is part of, so
+    it has enough words.
     """
+    common = {(place + k, other + k) for place, other, size in runs for k in range(size)}
+    found: set[int] = set()
+    left = sorted(common)
+    while left:
+        for one, other in _with_gaps(left):
+            for step in (-1, 1):
+                at = 0
+                while (one + at, other + at) in common and (at == 0 or one + at not in found):
+                    found.add(one + at)
+                    at += step
+        left = [match for match in left if match[0] not in found]
+    return found
+
+
+def lines_to_delete(matches: list[tuple]) -> list[int]:
+    """Places from the ``(earlier id, earlier version, place, earlier place,
+    size)`` of one document, sorted."""
     deleted: set[int] = set()
     for _, pair in groupby(matches, key=itemgetter(0, 1)):
-        found = list(pair)
-        block: list[tuple] = []
-        for match in [*[found[n] for n in longest_chain([m[3] for m in found])], None]:
-            if block and (match is None or match[2] != block[-1][2] + 1 or match[3] != block[-1][3] + 1):
-                if sum(m[4] for m in block) >= min_words:
-                    deleted.update(m[2] for m in block)
-                block = []
-            block.append(match)
+        deleted |= aligned([match[2:] for match in pair])
     return sorted(deleted)
 
 
-def places_of(runs: list[tuple]) -> list[int]:
-    """Places from the ``(place, size)`` of one document, sorted by place."""
-    places: list[int] = []
-    upto = 0
-    for place, size in runs:
-        places.extend(range(max(place, upto), place + size))
-        upto = max(upto, place + size)
-    return places
-
-
-def repeated_lines(
-    docs: DataFrame, *, doc_id: str, text: str, min_words: int = MIN_WORDS, every_holder: bool = False
-) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, doc_id: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
     """``(id, version, places)`` of the documents that lose lines."""
     space = workspace(docs.sparkSession, "line-dedup")
-    if every_holder:
-        runs = space.write("runs", document_runs(docs, doc_id, text, min_words)).df
-        doc = F.struct("id", "version")
-        earliest = space.write(
-            "earliest",
-            runs.groupBy("run").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).filter("first < last")
-            .select("run", F.col("first.id").alias("from_id"), F.col("first.version").alias("from_version")),
-        ).df
-        found = runs.join(earliest, "run").filter("id <> from_id OR version <> from_version")
-        return _per_document(found, ["id", "version", "place", "size"], places_of)
-    lines = space.write("lines", document_lines(docs, doc_id, text)).df
-    first = space.write(
-        "first",
-        lines.groupBy("line")
-        .agg(F.min(F.struct("id", "version", "place")).alias("first"), F.count(F.lit(1)).alias("rows"))
-        .filter("rows > 1")
-        .select("line", F.col("first.id").alias("from_id"), F.col("first.version").alias("from_version"),
+    runs = space.write("runs", document_runs(docs, doc_id, text, min_words)).df
+    doc = F.struct("id", "version", "place")
+    key = ["run", "check"]
+    earliest = space.write(
+        "earliest",
+        runs.groupBy(*key).agg(F.min(doc).alias("first"), F.max(doc).alias("last"))
+        .filter("first.id < last.id OR first.version < last.version")
+        .select(*key, F.col("first.id").alias("from_id"), F.col("first.version").alias("from_version"),
                 F.col("first.place").alias("from_place")),
     ).df
-    order = ["id", "version", "from_id", "from_version", "place"]
-    matches = (
-        lines.join(first, "line")
-        .filter("id <> from_id OR version <> from_version")
-        .select(*order, "from_place", "words")
-    )
-    return _per_document(
-        matches, [*order, "from_place", "words"], lambda found: lines_to_delete(found, min_words)
-    )
+    matches = runs.join(earliest, key).filter("id <> from_id OR version <> from_version")
+    order = ["id", "version", "from_id", "from_version", "place", "from_place", "size"]
+    return _per_document(matches, order, lines_to_delete)
 
 
 def _per_document(matches: DataFrame, columns: list[str], places_from) -> DataFrame:
@@ -248,7 +237,7 @@ def without_lines(text: str, places: list[int]) -> str:
 
 def dedup_lines(
     docs: DataFrame, *, doc_id="doc_id", text="text", min_words: int = MIN_WORDS,
-    deleted: str | None = None, least_left: float | None = None, every_holder: bool = False,
+    deleted: str | None = None, least_left: float | None = None,
 ) -> DataFrame:
     """``docs`` with repeated blocks deleted from the text of later documents.
 
@@ -259,11 +248,9 @@ def dedup_lines(
     table gives no rows.  With ``deleted``, a column of that name lists the
     places of the deleted lines, counted among the lines with words.  With
     ``least_left``, a document goes if it loses lines and then has no words or
-    less than that share of them.  With ``every_holder``, blocks that any
-    earlier document has are deleted, not only those aligned with the earliest
-    documents of their lines.
+    less than that share of them.  Other columns are kept, whatever their names.
     """
-    gone = repeated_lines(docs, doc_id=doc_id, text=text, min_words=min_words, every_holder=every_holder)
+    gone = repeated_lines(docs, doc_id=doc_id, text=text, min_words=min_words)
     name = deleted or free_name(docs.columns, "deleted")
     keyed = [free_name(docs.columns, n) for n in ("gone_id", "gone_version")]
     gone = gone.select(F.col("id").alias(keyed[0]), F.col("version").alias(keyed[1]), F.col("places").alias(name))
@@ -295,4 +282,4 @@ def _enough(left: str, text: str, share: float) -> bool:
 
 def drop_repeated(docs: DataFrame, *, least_left: float = 0.0, **options) -> DataFrame:
     """``dedup_lines``, without the documents of which no word is left."""
-    return dedup_lines(docs, least_left=least_left, **{"every_holder": True, **options})
+    return dedup_lines(docs, least_left=least_left, **options)
