@@ -23,14 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from trailgraph.llm.common import slices, workspace
-from trailgraph.llm.words import byte_class, words_of
+from trailgraph.llm.words import byte_class, hashes_of, words_of
 
 LEAST = 10
 TOP = 2000
 #: Words of a candidate at most; the stripes are made for this length.
 LONGEST = 3
 #: Bytes of text whose stripes are merged before they are shuffled.
-STRIPE_BYTES = 16 << 20
+STRIPE_BYTES = 6 << 20
 #: A prefix with more than this share of all words is hot, and cut into segments.
 HOT_SHARE = 1e-3
 SEGMENTS = 64
@@ -38,7 +38,7 @@ SEGMENTS = 64
 _STOPS = b".,;:!?\n\x0b\x0c\r"
 _GAPS = b" \t" + _STOPS
 _TOTAL = "\n"
-_STRIPES = "prefix string, segment int, total bigint, nexts string, counts string"
+_STRIPES = "prefix string, nexts string, counts string"
 
 
 def _grams(lang: pa.Array, text: pa.Array) -> tuple[np.ndarray, ...]:
@@ -106,6 +106,7 @@ def hot_prefixes(docs: DataFrame, space) -> list[str]:
             for rows in slices(batch, batch.column(1), STRIPE_BYTES):
                 place, first, second, _, langs, names = _grams(*rows.columns)
                 *pair, count = _counted(place, first, second)
+                del place, second
                 often = count > HOT_SHARE / 2 * len(first)
                 told = _prefixes(*_taken((langs, names, names), [column[often] for column in pair]))
                 yield pa.RecordBatch.from_arrays(
@@ -121,69 +122,73 @@ def hot_prefixes(docs: DataFrame, space) -> list[str]:
 
 
 def stripes(docs: DataFrame, hot: list[str]) -> DataFrame:
-    """The stripes of each slice of ``docs`` (``lang``, ``text``): next words and counts, blank between."""
+    """The stripes of each slice of ``docs`` (``lang``, ``text``): next words, and
+    the total before their counts, blanks between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh32_intdigest
-
+        parts = pa.array([str(k) for k in range(SEGMENTS)])
         wide = pa.array(hot, pa.string())
         for batch in batches:
             for rows in slices(batch, batch.column(1), STRIPE_BYTES):
                 place, first, second, third, langs, names = _grams(*rows.columns)
                 if not len(first):
                     continue
-                part = np.array([xxh32_intdigest(w.encode()) % SEGMENTS for w in names.to_pylist()], np.int64)
+                part = (hashes_of(names) % np.uint64(SEGMENTS)).astype(np.int64)
                 lang, segment, word, count = _counted(place, part[first], first)
-                empty = pc.binary_join_element_wise("", langs, "\t")
-                yield _stripes_of([lang, segment], empty.take(pa.array(lang)), word, count, names)
+                prefix = pc.binary_join_element_wise(*_taken((parts, langs), [segment, lang]), "\t\t")
+                yield _stripes_of([lang, segment], prefix, word, count, names)
                 *key, word, count = _counted(place, first, second, third)
+                del place, first, second, third, lang
                 prefix = _prefixes(*_taken((langs, names, names), key))
                 cut = pc.is_in(prefix, wide).to_numpy(zero_copy_only=False)
-                key.append(np.where(cut, part[word] + 1, 0))  # 0: not cut
+                key.append(np.where(cut, part[word], 0))
                 if cut.any():  # the entries of a segment together
                     order = np.lexsort((word, *key[::-1]))
-                    *key, word, count = (column[order] for column in (*key, word, count))
+                    *key, word, count, cut = (column[order] for column in (*key, word, count, cut))
                     prefix = prefix.take(pa.array(order))
+                segment = pc.if_else(pa.array(cut), parts.take(pa.array(key[-1])), "")
+                prefix = pc.binary_join_element_wise(segment, prefix, "\t")
                 yield _stripes_of(key, prefix, word, count, names)
+                del key, prefix, segment, word, count, cut
+                pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, _STRIPES)
 
 
 def _stripes_of(key, prefix: pa.Array, word, count, names: pa.Array) -> pa.RecordBatch:
-    """One row for each run of entries with the same ``key``, the last of which is the segment."""
+    """One row for each run of entries with the same ``key``."""
     differs = np.logical_or.reduce([column[1:] != column[:-1] for column in key])
     new = np.concatenate([[0], np.flatnonzero(differs) + 1]).astype(np.int64)
     bounds = pa.array(np.append(new, len(word)).astype(np.int32))
     nexts = pa.ListArray.from_arrays(bounds, names.take(pa.array(word)))
     counts = pa.ListArray.from_arrays(bounds, pa.array(count).cast(pa.string()))
+    total = pa.array(np.add.reduceat(count, new)).cast(pa.string())
     return pa.RecordBatch.from_arrays(
-        [prefix.take(pa.array(new)), pa.array(key[-1][new].astype(np.int32)), pa.array(np.add.reduceat(count, new)),
-         pc.binary_join(nexts, " "), pc.binary_join(counts, " ")],
-        names=["prefix", "segment", "total", "nexts", "counts"],
+        [prefix.take(pa.array(new)), pc.binary_join(nexts, " "),
+         pc.binary_join_element_wise(total, pc.binary_join(counts, " "), " ")],
+        names=["prefix", "nexts", "counts"],
     )
 
 
 def merged_stripes(told: DataFrame, least: int) -> DataFrame:
     """``(prefix, next, n)`` of the merged stripes; ``next`` is a line feed for the total.
 
-    Stripes meet by prefix and segment and are merged by an aggregation that
-    needs no other shuffle and may spill.  What occurs fewer than ``least``
+    Stripes meet by prefix, segment included, and are merged by an aggregation
+    that needs no other shuffle and may spill.  What occurs fewer than ``least``
     times is dropped here, but for totals of segments.
     """
-    met = told.repartition("prefix", "segment")
-    entries = met.select(
-        "prefix",
-        "segment",
-        F.explode(
-            F.arrays_zip(
-                F.concat(F.array(F.lit(_TOTAL)), F.split("nexts", " ")).alias("next"),
-                F.concat(F.array(F.col("total").cast("string")), F.split("counts", " ")).alias("n"),
-            )
-        ).alias("entry"),
-    ).select("prefix", "segment", F.col("entry.next").alias("next"), F.col("entry.n").cast("bigint").alias("n"))
-    merged = entries.groupBy("prefix", "segment", "next").agg(F.sum("n").alias("n"))
-    kept = (F.col("n") >= least) | ((F.col("next") == _TOTAL) & ((F.col("segment") > 0) | F.col("prefix").startswith("\t")))
-    return merged.filter(kept).select("prefix", "next", "n")
+    entry = F.explode(
+        F.arrays_zip(
+            F.concat(F.array(F.lit(_TOTAL)), F.split("nexts", " ")).alias("next"), F.split("counts", " ").alias("n")
+        )
+    )
+    entries = told.repartition("prefix").select("prefix", entry.alias("entry"))
+    merged = (
+        entries.select("prefix", F.col("entry.next").alias("next"), F.col("entry.n").cast("bigint").alias("n"))
+        .groupBy("prefix", "next").agg(F.sum("n").alias("n"))
+    )
+    of_segment = (F.col("next") == _TOTAL) & ~F.col("prefix").startswith("\t")
+    return merged.filter((F.col("n") >= least) | of_segment)
 
 
 def collocations(
@@ -209,7 +214,8 @@ def collocations(
     told = space.write(
         "merged", merged_stripes(stripes(rows, hot_prefixes(rows, space)), least)
     ).df
-    named = told.select(
+    prefix = told.withColumn("prefix", F.expr("substring(prefix, instr(prefix, '\t') + 1)"))  # without the segment
+    named = prefix.select(
         F.substring_index("prefix", "\t", 1).alias("words"),
         F.expr("substring(prefix, instr(prefix, '\t') + 1)").alias("lang"),
         "next",
