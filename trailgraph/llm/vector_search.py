@@ -25,6 +25,8 @@ PIVOTS = 128
 RING = 256
 #: Queries that one pass over the index takes along.
 QUERY_ROWS = 8192
+#: No score.
+NONE = -np.iinfo(np.int64).max
 _VECTOR = "vec_id bigint, v array<bigint>"
 
 
@@ -41,8 +43,8 @@ def integer_vectors(rows: DataFrame, vec_id: str, embedding: str, scale: int) ->
                 x = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if np.isfinite(x).all():
                     whole = np.floor(scale * x)
-                    if len(x) and np.abs(whole).max() >= 2.0**53 / max(1, len(x)):
-                        raise ValueError("components too large for exact scores")
+                    if len(x) and np.abs(whole).max() >= 2.0**63:
+                        raise ValueError("components beyond 64 bits")
                     ids.append(number)
                     found.append(whole.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -52,13 +54,13 @@ def integer_vectors(rows: DataFrame, vec_id: str, embedding: str, scale: int) ->
     return rows.select(F.col(vec_id).cast("bigint"), F.col(embedding)).mapInArrow(run, _VECTOR)
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
+def _matrix(column: pa.Array, width: int, kind=np.float64) -> np.ndarray:
     """Rows of equal width; shorter vectors end in zeros."""
     lists = column.flatten().to_numpy(zero_copy_only=False)
     sizes = np.array([len(v) for v in column]) if len(column) else np.zeros(0, int)
     if (sizes == width).all():
-        return lists.reshape(-1, width).astype(np.float64)
-    out = np.zeros((len(sizes), width))
+        return lists.reshape(-1, width).astype(kind)
+    out = np.zeros((len(sizes), width), kind)
     place = np.arange(len(lists)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out[np.repeat(np.arange(len(sizes)), sizes), place] = lists
     return out
@@ -70,8 +72,11 @@ class Metric:
     def __init__(self, pivots: np.ndarray, norm2: float):
         self.pivots, self.norm2 = pivots, norm2
         self.lift = np.sqrt(np.maximum(norm2 - (pivots**2).sum(axis=1), 0))
+        # squared distances are off by some roundings of sums as large as norm2
+        self.off = 2 * np.sqrt(16 * (pivots.shape[1] + 8) * np.finfo(np.float64).eps * norm2)
 
     def to_pivots(self, x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float64)
         lift = np.sqrt(np.maximum(self.norm2 - (x**2).sum(axis=1), 0))
         inner = x @ self.pivots.T + np.outer(lift, self.lift)
         return np.sqrt(np.maximum(2 * self.norm2 - 2 * inner, 0))
@@ -82,25 +87,30 @@ class Metric:
 
 
 class Search:
-    """The best candidates of a block of queries, as rings go by."""
+    """The best candidates of a block of queries, as rings go by.
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, metric: Metric, pivot_ids: np.ndarray, k: int):
+    ``queries`` and candidates are whole numbers: as doubles where every score
+    is below 2^53, as 64-bit integers otherwise.  Scores are 64-bit integers.
+    """
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, metric: Metric, pivots: np.ndarray, pivot_ids: np.ndarray,
+                 k: int):
         self.ids, self.queries, self.metric, self.k = ids, queries, metric, k
-        self.square = (queries**2).sum(axis=1)
-        to_pivots = queries @ metric.pivots.T
-        self.distance = metric.of_queries(to_pivots, self.square)
+        self.square = (queries.astype(np.float64) ** 2).sum(axis=1)
+        to_pivots = (queries @ pivots.T).astype(np.int64)
+        self.distance = metric.of_queries(to_pivots.astype(np.float64), self.square)
         # pivots are candidates too: their k-th best score bounds the result
-        known = np.where(pivot_ids[None, :] == ids[:, None], -np.inf, to_pivots)
-        self.least = np.full(len(ids), -np.inf)
+        known = np.where(pivot_ids[None, :] == ids[:, None], NONE, to_pivots)
+        self.least = np.full(len(ids), NONE)
         if known.shape[1] >= k:
             self.least = np.sort(known, axis=1)[:, -k]
-        self.best = np.full((len(ids), k), -np.inf)
+        self.best = np.full((len(ids), k), NONE)
         self.best_ids = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def radius(self, some: np.ndarray) -> np.ndarray:
-        with np.errstate(invalid="ignore"):
-            far = self.square[some] + self.metric.norm2 - 2 * self.least[some]
-        return np.sqrt(np.maximum(far, 0)) * (1 + 1e-9) + 1e-6
+        least = np.where(self.least[some] == NONE, -np.inf, self.least[some].astype(np.float64))
+        far = self.square[some] + self.metric.norm2 - 2 * least
+        return np.sqrt(np.maximum(far, 0)) * (1 + 1e-9) + 1e-6 + 2 * self.metric.off
 
     def rings(self, pivot: int, distance: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         """Look through the vectors of one pivot, sorted by distance."""
@@ -135,8 +145,8 @@ class Search:
             start = starts[ring[some[0]]]
             there = ids[start : start + RING]
             asking = queries[some]
-            scores = self.queries[asking] @ x[start : start + RING].T
-            scores[there[None, :] == self.ids[asking][:, None]] = -np.inf
+            scores = (self.queries[asking] @ x[start : start + RING].T).astype(np.int64)
+            scores[there[None, :] == self.ids[asking][:, None]] = NONE
             better = (scores >= self.least[asking][:, None]).any(axis=1)
             asking, scores = asking[better], scores[better]
             if len(asking):
@@ -148,10 +158,10 @@ class Search:
                 self.least[asking] = np.maximum(self.least[asking], self.best[asking, -1])
 
     def found(self) -> pa.RecordBatch:
-        query, place = np.nonzero((self.best > -np.inf) & (self.best >= self.least[:, None]))
+        query, place = np.nonzero((self.best != NONE) & (self.best >= self.least[:, None]))
         return pa.RecordBatch.from_arrays(
             [pa.array(self.ids[query]), pa.array(self.best_ids[query, place]),
-             pa.array(self.best[query, place].astype(np.int64))],
+             pa.array(self.best[query, place])],
             names=["query_id", "vec_id", "score"],
         )
 
@@ -165,7 +175,8 @@ def exact_top_k(
 
     Rows that share an id are one vector, the smallest.  Shorter vectors count
     as ending in zeros.  With fewer than ``k`` others, all are returned; an empty
-    table gives no rows.  Queries go in blocks of about ``query_rows``, each a
+    table gives no rows.  Scores are exact; those that could pass 64 bits are an
+    error.  Queries go in blocks of about ``query_rows``, each a
     pass over the sorted index; nothing but a block and the pivots is broadcast.
     """
     spark = rows.sparkSession
@@ -181,10 +192,14 @@ def exact_top_k(
         return spark.createDataFrame([], empty)
     width = max(1, vectors.observed["width"])
     drawn = vectors.df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    centres = np.zeros((len(drawn), width))
+    norm2 = vectors.observed["norm2"] or 0.0
+    if norm2 * (1 + 1e-9) >= 2.0**63:
+        raise ValueError("scores beyond 64 bits")
+    kind = np.int64 if norm2 * (1 + 1e-9) >= 2.0**53 else np.float64
+    centres = np.zeros((len(drawn), width), kind)
     for number, row in enumerate(drawn):
         centres[number, : len(row["v"])] = row["v"]
-    metric = Metric(centres, vectors.observed["norm2"] or 0.0)
+    metric = Metric(centres.astype(np.float64), norm2)
     pivot_ids = np.array([row["vec_id"] for row in drawn], np.int64)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +221,7 @@ def exact_top_k(
     for block in range(blocks):
         some = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").collect()
         if some:
-            part = _pass(index, some, metric, pivot_ids, width, k)
+            part = _pass(index, some, metric, (centres, pivot_ids), width, k)
             found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], empty)
@@ -216,12 +231,13 @@ def exact_top_k(
     )
 
 
-def _pass(index: DataFrame, some: list, metric: Metric, pivot_ids: np.ndarray, width: int, k: int) -> DataFrame:
-    queries = np.zeros((len(some), width))
+def _pass(index: DataFrame, some: list, metric: Metric, drawn: tuple, width: int, k: int) -> DataFrame:
+    kind = drawn[0].dtype
+    queries = np.zeros((len(some), width), kind)
     for number, row in enumerate(some):
         queries[number, : len(row["v"])] = row["v"]
     ids = np.array([row["vec_id"] for row in some], np.int64)
-    shared = index.sparkSession.sparkContext.broadcast((ids, queries, metric, pivot_ids))
+    shared = index.sparkSession.sparkContext.broadcast((ids, queries, metric, *drawn))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = None
@@ -230,7 +246,7 @@ def _pass(index: DataFrame, some: list, metric: Metric, pivot_ids: np.ndarray, w
                 continue
             search = search or Search(*shared.value, k)
             pivot = batch.column(0).to_numpy()
-            x = _matrix(batch.column(3), width)
+            x = _matrix(batch.column(3), width, kind)
             distance, ids = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             # a task may read several files of one pivot, in any order
             cuts = np.flatnonzero((np.diff(pivot) != 0) | (np.diff(distance) < 0)) + 1
