@@ -8,8 +8,11 @@ list items with their marks, table cells in columns.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import accumulate
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,13 +23,13 @@ from trailgraph.llm.common import add_struct, free_name
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = set(
-    "head script style template title noscript iframe noembed noframes object audio video canvas svg "
-    "math datalist textarea select".split()
+    "head script style template title noscript iframe noembed noframes object audio video canvas "
+    "datalist desc defs metadata annotation annotation-xml".split()
 )
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset".split())
 BLOCKS = SPACED | set(
     "address article aside body center details dd dialog div dt figcaption footer form header hgroup hr "
-    "html legend li main menu nav search section summary caption tr thead tbody tfoot".split()
+    "html legend li main menu nav option search section summary caption textarea tr thead tbody tfoot".split()
 )
 CLOSES_P = (BLOCKS - set("body html caption tr thead tbody tfoot legend".split())) | {"hr"}
 #: An opened element ends open ones of these kinds, up to the nearest of the others.
@@ -51,6 +54,12 @@ PARTS = {
 }
 #: Open elements beyond which deeper ones, except parts of an open table, are put side by side.
 DEEPEST = 150
+#: Columns that a column of a table takes for alignment, and blanks before a cell, at
+#: most; so what a page gives is in proportion to it.
+MOST_WIDTH = 40
+MOST_BLANKS = 40
+#: Columns and rows that a cell spans at most, as in browsers.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -61,8 +70,7 @@ _MARKUP = re.compile(
 _MAY_HIDE = re.compile(r"hidden|style", re.I)
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _NOT_STYLE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'", re.S)
-_SPAN = re.compile(r"colspan\s*=\s*[\"']?\s*(\d{1,3})", re.I)
-_START = re.compile(r"(?:^|\s)start\s*=\s*[\"']?\s*(-?\d{1,9})", re.I)
+_NUMBER = re.compile(r"\s*([+-]?\d{1,9})")
 _BLANKS = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -81,20 +89,49 @@ def attribute_values(attributes: str) -> dict[str, str]:
     return found
 
 
-def invisible(node: Node) -> bool:
-    """Whether an attribute of the element hides it: ``hidden``, or its style."""
-    if not _MAY_HIDE.search(node.attributes):
-        return False
-    values = attribute_values(node.attributes)
-    if "hidden" in values:
-        return True
-    shown: dict[str, tuple[bool, str]] = {}
-    for part in _NOT_STYLE.sub(" ", values.get("style", "")).lower().split(";"):
+def number_in(node: Node, name: str, otherwise: int) -> int:
+    """The whole number that an attribute starts with."""
+    if name not in node.attributes.lower():
+        return otherwise
+    found = _NUMBER.match(attribute_values(node.attributes).get(name, ""))
+    return int(found.group(1)) if found else otherwise
+
+
+def style_of(node: Node) -> dict[str, str]:
+    """The declarations of the style of an element; the last counts, important ones before others."""
+    found: dict[str, tuple[bool, str]] = {}
+    style = attribute_values(node.attributes).get("style", "")
+    for part in _NOT_STYLE.sub(" ", style).lower().split(";"):
         name, _, value = part.partition(":")
         value, mark, _ = value.partition("!")
-        if bool(mark) >= shown.get(name.strip(), (False, ""))[0]:
-            shown[name.strip()] = bool(mark), value.strip()
-    return shown.get("display", ("", ""))[1] == "none" or shown.get("visibility", ("", ""))[1] == "hidden"
+        if bool(mark) >= found.get(name.strip(), (False, ""))[0]:
+            found[name.strip()] = bool(mark), value.strip()
+    return {name: value for name, (_, value) in found.items()}
+
+
+def invisible(node: Node) -> bool:
+    """Whether the element is not rendered, with all inside: by an attribute or
+    its style, or as a dialog that is not open."""
+    if node.tag == "dialog" and "open" not in attribute_values(node.attributes):
+        return True
+    if not node.attributes or not _MAY_HIDE.search(node.attributes):
+        return False
+    return "hidden" in attribute_values(node.attributes) or style_of(node).get("display") == "none"
+
+
+def visibility(node: Node, seen: bool) -> bool:
+    """Whether text in the element is seen, if what is around it is ``seen`` or not."""
+    if not node.attributes or not _MAY_HIDE.search(node.attributes):
+        return seen
+    own = style_of(node).get("visibility")
+    return own == "visible" if own in ("visible", "hidden", "collapse") else seen
+
+
+def width_of(text: str) -> int:
+    """Columns that a text takes: two for a wide character, none for a mark upon another."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
 
 
 def build(html: str) -> Node:
@@ -207,15 +244,17 @@ class Page:
         return self.lines
 
 
-def laid_out(nodes: list, pre: bool = False) -> list[str]:
+def laid_out(nodes: list, pre: bool = False, seen: bool = True) -> list[str]:
     page = Page()
-    _show(nodes, page, pre)
+    _show(nodes, page, pre, seen)
     return page.result()
 
 
-def _show(nodes: list, page: Page, pre: bool) -> None:
+def _show(nodes: list, page: Page, pre: bool, seen: bool) -> None:
     for node in nodes:
         if isinstance(node, str):
+            if not seen:
+                continue
             if pre:
                 first, *more = node.split("\n")
                 page.line += first
@@ -226,51 +265,60 @@ def _show(nodes: list, page: Page, pre: bool) -> None:
                 page.write(_BLANKS.sub(" ", node))
             continue
         tag = node.tag
-        if tag in HIDDEN or node.attributes and invisible(node):
+        if tag in HIDDEN or invisible(node):
             continue
+        inner = visibility(node, seen)
         if tag == "br":
             page.end()
         elif tag in ("ul", "ol", "menu"):
             page.end(2)
-            page.whole(_list(node))
+            page.whole(_list(node, inner))
             page.end(2)
         elif tag == "table":
             page.end(2)
-            page.whole(_table(node))
+            page.whole(_table(node, inner))
             page.end(2)
-        elif tag == "pre":
+        elif tag in ("pre", "textarea"):
             page.end(2)
-            lines = laid_out(node.children, True)
+            lines = laid_out(node.children, True, inner)
             page.whole(lines[1:] if lines and not lines[0] else lines)
             page.end(2)
         elif tag in ("blockquote", "dd"):
             page.end(2 if tag == "blockquote" else 1)
-            page.whole(["  " + line if line else "" for line in laid_out(node.children)])
+            page.whole(["  " + line if line else "" for line in laid_out(node.children, seen=inner)])
             page.end(2 if tag == "blockquote" else 1)
         elif tag in ("td", "th"):  # outside a table
             page.write(" ")
-            _show(node.children, page, pre)
+            _show(node.children, page, pre, inner)
             page.write(" ")
         elif tag in BLOCKS:
             gap = 2 if tag in SPACED else 1
             page.end(gap)
-            _show(node.children, page, pre)
+            _show(_unfolded(node), page, pre, inner)
             page.end(gap)
         else:
-            _show(node.children, page, pre)
+            _show(node.children, page, pre, inner)
 
 
-def _list(node: Node) -> list[str]:
+def _unfolded(node: Node) -> list:
+    """What is shown of a block: closed details show their first summary alone."""
+    if node.tag != "details" or "open" in attribute_values(node.attributes):
+        return node.children
+    return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+
+
+def _list(node: Node, seen: bool) -> list[str]:
     """Items behind their marks, further lines indented; nested lists stay tight."""
-    start = _START.search(node.attributes)
-    number = int(start.group(1)) if start else 1
+    number = number_in(node, "start", 1)
     out: list[str] = []
     for child in node.children:
         if isinstance(child, str) and not child.strip():
             continue
-        lines = [line for line in laid_out([child]) if line]
+        lines = [line for line in laid_out([child], seen=seen) if line]
         if not lines:
             continue
+        if isinstance(child, Node) and child.tag == "li":
+            number = number_in(child, "value", number)
         mark = "- "
         if isinstance(child, Node) and child.tag in ("ul", "ol", "menu"):
             mark = "  "
@@ -281,50 +329,68 @@ def _list(node: Node) -> list[str]:
     return out
 
 
-def _parts(node: Node, rows: list[list[Node]], stray: list) -> None:
-    """Cells by rows, and everything else, which is shown before the table."""
+def _parts(node: Node, seen: bool, rows: list[tuple[list[Node], bool]], stray: list) -> None:
+    """Cells by rows, with whether they are seen, and everything else, which is shown before the table."""
     for child in node.children:
         if isinstance(child, str) or child.tag != "tr" and child.tag not in GROUPS:
             stray.append(child)
-        elif child.attributes and invisible(child):
+        elif invisible(child):
             continue
         elif child.tag in GROUPS:
-            _parts(child, rows, stray)
+            _parts(child, visibility(child, seen), rows, stray)
         else:
             cells = []
             for cell in child.children:
                 (cells if isinstance(cell, Node) and cell.tag in ("td", "th") else stray).append(cell)
-            rows.append(cells)
+            rows.append((cells, visibility(child, seen)))
 
 
-def _table(node: Node) -> list[str]:
-    """Cells in columns of equal width; a cell over several columns widens none.
-    What stands in the table outside of cells goes before it, as in browsers."""
-    rows: list[list[Node]] = []
+def _table(node: Node, seen: bool) -> list[str]:
+    """Cells in columns; one over several columns or rows keeps the others in theirs.
+
+    What stands in the table outside of cells goes before it, as in browsers.  A
+    column is at most ``MOST_WIDTH`` wide: longer cells run over, and what follows
+    them on the line moves on.
+    """
+    rows: list[tuple[list[Node], bool]] = []
     stray: list = []
-    _parts(node, rows, stray)
-    out = laid_out(stray)
-    grid: list[list[tuple[int, int, list[str]]]] = []
+    _parts(node, seen, rows, stray)
+    out = laid_out(stray, seen=seen)
+    grid: list[list[tuple[int, list[str]]]] = []
     widths: dict[int, int] = {}
-    for row in rows:
-        column, cells = 0, []
+    taken: dict[int, int] = {}  # rows that a cell from above still takes of a column
+    for row, row_seen in rows:
+        column, cells, begun = 0, [], {}
         for cell in row:
-            if cell.attributes and invisible(cell):
+            if invisible(cell):
                 continue
-            span = _SPAN.search(cell.attributes)
-            span = max(1, int(span.group(1))) if span else 1
-            lines = [line for line in laid_out(cell.children) if line]
-            cells.append((column, span, lines))
-            if span == 1:
-                widths[column] = max([widths.get(column, 0), *map(len, lines)])
-            column += span
+            while taken.get(column, 0):
+                column += 1
+            across = min(max(1, number_in(cell, "colspan", 1)), MOST_COLUMNS)
+            down = min(number_in(cell, "rowspan", 1), MOST_ROWS)
+            lines = [line for line in laid_out(cell.children, seen=visibility(cell, row_seen)) if line]
+            if lines:
+                cells.append((column, lines))
+            if across == 1:
+                wide = max([0, *map(width_of, lines)])
+                widths[column] = max(widths.get(column, 0), min(wide, MOST_WIDTH))
+            if down != 1:
+                begun.update(dict.fromkeys(range(column, column + across), MOST_ROWS if down < 1 else down))
+            column += across
+        taken = {c: left - 1 for c, left in {**taken, **begun}.items() if left > 1}
         grid.append(cells)
+    ordered = sorted(widths)
+    before = dict(zip(ordered, accumulate([widths[c] + 2 for c in ordered], initial=0)))
     for cells in grid:
-        for height in range(max([0, *(len(lines) for _, _, lines in cells)])):
-            line = ""
-            for column, span, lines in cells:
-                width = sum(widths.get(c, 0) for c in range(column, column + span)) + 2 * (span - 1)
-                line += (lines[height] if height < len(lines) else "").ljust(width) + "  "
+        placed = [(before[ordered[at]] if (at := bisect_left(ordered, column)) < len(ordered) else 0, lines)
+                  for column, lines in cells]
+        for height in range(max([0, *(len(lines) for _, lines in placed)])):
+            line, end = "", 0
+            for place, lines in placed:
+                if height < len(lines):
+                    blanks = min(max(place - end, 2 if line else 0), MOST_BLANKS)
+                    line += " " * blanks + lines[height]
+                    end += blanks + width_of(lines[height])
             out.append(line.rstrip())
     return [line for line in out if line]
 
