@@ -153,15 +153,21 @@ def shard_documents(
     document being the bytes of its text plus 1 (null: 1).  Equal texts stand
     side by side, and only a group too large for the tolerance is divided.
     Slots count from 0 without gaps in the order of the keys.  A null ``doc_id``
-    comes first; rows equal in text and ``doc_id`` are one key
-    and never divided; an empty table gives no rows.
+    comes first; an empty table gives no rows.  If rows are equal in text and
+    ``doc_id``, the table is written once with a number for each row, which takes the
+    place of the id in the order, so that such a group can be divided as well.
     """
     space = workspace(docs.sparkSession, "sharding")
+    columns, row = docs.columns, free_name(docs.columns, "row")
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    keys = docs.select(hashed.alias("high"), F.col(doc_id).cast("bigint").alias("low"))
+    number_of = F.col(doc_id).cast("bigint")
+    if keys.groupBy("high", "low").count().filter("count > 1").limit(1).count():
+        docs = space.write("numbered", docs.withColumn(row, F.monotonically_increasing_id())).df
+        number_of = F.col(row)
     names = {name: free_name(docs.columns, name) for name in ("shard", "slot", "size")}
     high, low = free_name(docs.columns, "key_high"), free_name(docs.columns, "key_low")
     span, number = free_name(docs.columns, "span"), free_name(docs.columns, "number")
-    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    number_of = F.col(doc_id).cast("bigint")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1
     sized = space.write(
         "sizes", docs.select(hashed.alias("high"), number_of.alias("low"), size.alias("size")),
@@ -196,9 +202,9 @@ def shard_documents(
 
     keyed = docs.select("*", hashed.alias(high), number_of.alias(low), size.alias(names["size"]))
     keyed = keyed.withColumn(low, id_from_0(low))
-    moved = keyed.withColumn(span, span_of(high, low)).repartition(2 * parts, span)
+    moved = keyed.withColumn(span, span_of(high, low)).repartitionById(parts, F.col(span))
     ordered = Window.partitionBy(span).orderBy(high, low)
     placed = moved.withColumn(number, F.row_number().over(ordered) - 1)
     placed = placed.withColumn(names["shard"], F.floor(F.col(span) / each).cast("int"))
     placed = placed.withColumn(names["slot"], start_of(span) + F.col(number))
-    return placed.drop(high, low, span, number), names
+    return placed.select(*[F.col(f"`{name}`") for name in columns], *names.values()), names
