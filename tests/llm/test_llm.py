@@ -122,6 +122,26 @@ def test_cached_tokens_are_those_of_the_tokenizer():
             assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def last_sequences(places, counts):
+    """The last sequence of each run of equal pieces that ``plan`` returns."""
+    for at, (length, rank, first, each, _) in enumerate(places):
+        later = [r for n, r, *_ in places if n == length and r > rank]
+        rows = min(later, default=counts[length]) - rank
+        yield first + -(-rows // each) - 1
+
+
+def best_fit(lengths, capacity):
+    """How many sequences best-fit decreasing takes, one piece after another."""
+    left: list[int] = []
+    for length in sorted(lengths, reverse=True):
+        fits = [k for k, room in enumerate(left) if room >= length]
+        if fits:
+            left[min(fits, key=lambda k: left[k])] -= length
+        else:
+            left.append(capacity - length)
+    return len(left)
+
+
 def test_packing_is_best_fit_decreasing(spark, docs, nothing):
     draw = random.Random(5)
     for capacity in (10, 64):
@@ -134,7 +154,7 @@ def test_packing_is_best_fit_decreasing(spark, docs, nothing):
             else:
                 left.append(capacity - length)
         places = packing.plan(Counter(lengths), capacity)
-        assert 1 + max(row[2] + 0 for row in places) <= len(left)
+        assert 1 + max(last_sequences(places, Counter(lengths))) == len(left)
     path = tokenizer_path("byte_bpe_50k.json")
     rows = packing.pack_documents(docs, path, 0, capacity=50).collect()
     used: dict[int, list] = {}
@@ -148,11 +168,37 @@ def test_packing_is_best_fit_decreasing(spark, docs, nothing):
             at += length
         assert at <= 50
     assert sum(r["piece"] == 0 for r in rows) == len(awkward())
+    assert len(used) == best_fit([r["length"] for r in rows], 50)
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    expected = []
+    for doc, text, *_ in awkward():
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        edges = [0, *range(len(ids) % 50 or 50, len(ids) + 1, 50)]
+        for piece, (a, b) in enumerate(zip(edges, edges[1:])):
+            expected.append((doc, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+    mine = [(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows]
+    assert sorted(mine, key=repr) == sorted(expected, key=repr)
     assert packing.pack_documents(nothing, path, 0).count() == 0
 
 
+def plain_fingerprint(text):
+    """SimHash bit by bit, from the contract alone."""
+    import re
+    from xxhash import xxh64
+
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))]
+    hashes = [int(xxh64(s.encode(), seed=42).hexdigest(), 16) for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
 def brute_components(rows):
-    prints = [(doc, near_duplicates.fingerprint((text or "").encode())) for doc, text, *_ in rows]
+    prints = [(doc, plain_fingerprint(text)) for doc, text, *_ in rows]
     label = list(range(len(prints)))
     changed = True
     while changed:
@@ -187,6 +233,8 @@ def test_linked_sets_have_no_hub():
 def test_near_duplicates(spark, docs, nothing):
     found = near_duplicates.near_duplicates(docs).collect()
     assert sorted(((r["doc_id"], r["component_id"]) for r in found), key=repr) == brute_components(awkward())
+    plain = {(doc, plain_fingerprint(text)) for doc, text, *_ in awkward()}
+    assert {(r["doc_id"], r["fp"] % (1 << 64)) for r in found} == plain
     assert near_duplicates.near_duplicates(nothing).count() == 0
     assert near_duplicates.drop_near_duplicates(docs).columns == docs.columns
 
@@ -408,13 +456,70 @@ def test_top_k_over_files_of_one_pivot_in_falling_order(spark, tmp_path):
     assert sum(b < a for a, b in zip(read, read[1:])) == 1
     asked = list(range(0, 2000, 40))
     some = index.filter(F.col("vec_id").isin(asked)).orderBy("vec_id").select("vec_id", "v").collect()
-    found = vector_search._pass(index, some, metric, np.array([0]), 3, 10).collect()
+    found = vector_search._pass(index, some, metric, (x[:1], np.array([0])), 3, 10).collect()
     for query in asked:
         scores = x @ x[query]
         best = sorted((-int(scores[k]), k) for k in range(2000) if k != query)[:10]
         assert sorted((-r["score"], r["vec_id"]) for r in found if r["query_id"] == query)[:10] == best
 
 
+@pytest.mark.parametrize("size", [300_000, 1_000_000])
+def test_top_k_of_large_components(spark, size):
+    draw = np.random.default_rng(size)
+    x = size + draw.integers(-50, 50, (300, 8)) + 0.3
+    rows = [(k, v) for k, v in enumerate(x.tolist())]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = vector_search.exact_top_k(table, lambda c: F.col(c) % 50 == 0, k=5).collect()
+    whole = [[int(np.floor(1024 * c)) for c in v] for v in x.tolist()]
+    assert sum(c * c for c in whole[0]) > 1 << 53
+    beyond = table.withColumn("embedding", F.transform("embedding", lambda c: c * 100))
+    with pytest.raises(ValueError):
+        vector_search.exact_top_k(beyond, lambda c: F.col(c) == 0)
+    for query in range(0, 300, 50):
+        scores = sorted((-sum(a * b for a, b in zip(whole[query], v)), k) for k, v in enumerate(whole) if k != query)
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == query)
+        assert mine == [(n + 1, k, -s) for n, (s, k) in enumerate(scores[:5])]
+
+
+def test_repeated_rows_are_divided(spark):
+    rows = [(7, "the same text", "x")] * 800 + [(k, f"text {k}", "y") for k in range(80)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, row string").repartition(5)
+    found, names = sharding.shard_documents(table)
+    assert found.columns == [*table.columns, *names.values()]
+    rows = [r.asDict() for r in found.collect()]
+    sizes = Counter()
+    for r in rows:
+        assert r[names["size"]] == len(r["text"]) + 1
+        sizes[r[names["shard"]]] += r[names["size"]]
+    assert len(rows) == 880 and max(sizes.values()) - min(sizes.values()) <= 3 * 14
+    for shard in range(8):
+        slots = sorted(r[names["slot"]] for r in rows if r[names["shard"]] == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_equal_texts_share_a_shard(spark):
+    draw = random.Random(8)
+    texts = [" ".join(draw.choices(WORDS, k=draw.randint(1, 30))) for _ in range(400)]
+    rows = [(k, draw.choice(texts)) for k in range(3000)]
+    found, names = sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), 4)
+    shards = {}
+    for r in found.collect():
+        shards.setdefault(r["text"], set()).add(r[names["shard"]])
+    assert sum(len(s) > 1 for s in shards.values()) <= 3  # at most one group a border
+
+
+def test_toxic_sample_is_bounded(spark):
+    rows = [(k % 40, f"w{k % 40} a b", k) for k in range(4000)] + [(None, "x", 1)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(None, 1)], "doc_id bigint, toxic int")
+    sample = toxicity.bounded_sample(table, labels, "toxic", "doc_id", "text", toxicity.held_out, 20)
+    assert sample.count() == 20 and sample.columns == ["text", "label"]
+    renamed = table.withColumnsRenamed({"label": "__id"}).withColumn("of", F.lit(1))
+    assert toxicity.drop_toxic(renamed, labels).columns == renamed.columns
+    kept = near_duplicates.drop_near_duplicates(table.withColumnRenamed("label", "__kept"))
+    assert kept.columns == ["doc_id", "text", "__kept"]
+
+
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\n\nb"), ("a<br>b<div>c</div>d", "a\nb\nc\nd"),
     ("<ul><li>a<li>b<ul><li>c</ul></ul>", "- a\n- b\n  - c"), ("<ol start=3><li>a</li><li>b</ol>", "3. a\n4. b"),
@@ -445,6 +550,39 @@ def test_visible_text_in_tables(html, text):
     assert html_text.visible_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"),
+    ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  b  c\nd     e\nf     g"),
+    ("<table><tr><td data-colspan=3>a<td>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+    ("<table><tr><td>日本<td>x<tr><td>ab<td>y</table>", "日本  x\nab    y"),
+    ("<ol><li value=7>a<li>b</ol>", "7. a\n8. b"), ("<textarea>t\n u</textarea>", "t\n u"),
+    ("<svg><title>n</title><text>s</text></svg>", "s"), ("<math><mi>x</mi></math>", "x"),
+    ("<select><option>a<option>b</select>", "a\nb"), ("<details><summary>s</summary>t</details>", "s"),
+    ("<details open><summary>s</summary>t</details>", "s\nt"), ("<dialog>x</dialog>y", "y"),
+    ("<dialog open>x</dialog>y", "x\ny"),
+    ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b></div>", "b"),
+])
+def test_visible_text_as_in_browsers(html, text):
+    assert html_text.visible_text(html) == text
+
+
+def test_tables_stay_in_proportion():
+    wide = "<table><tr><td>" + "x" * 50_000 + "".join(f"<tr><td>a<td>b{k}" for k in range(3000)) + "</table>"
+    tall = "<table><tr>" + "<td>a" * 500 + "<td>" + "<br>".join(["b"] * 5000) + "</table>"
+    spans = "<table>" + "<tr><td colspan=1000 rowspan=60000>a<td>b" * 300 + "</table>"
+    for html in (wide, tall, spans):
+        assert len(html_text.visible_text(html)) < 20 * len(html)
+
+
+def test_extracted_pages(spark):
+    rows = [(1, "<p>a", "t"), (1, "<p>a", "t"), (2, None, None), (None, "", "x")]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string, visible string")
+    found, name = html_text.extract_text(pages)
+    assert found.columns == [*pages.columns, name] and name not in pages.columns
+    assert sorted(r[name]["text"] for r in found.collect()) == ["", "", "a", "a"]
+    assert html_text.extract_text(pages.limit(0))[0].count() == 0
+
+
 @pytest.mark.parametrize("attributes, seen", [
     ('class="nav hidden md:block"', True), ('title="the hidden costs"', True), ("class='a hidden b'", True),
     ('data-style="display:none"', True), ('title="style=\'display:none\'"', True), ("data-hidden", True),
@@ -472,6 +610,10 @@ def test_queries_return_whole_tables(spark, name):
     rows = QUERIES[name](spark, "/root/testdata/sf0.001")
     if name == "op5_exact_top_k":
         assert rows.count() == 50
+    elif name == "op12_lexical_search":
+        assert rows.count() == 20 * spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").count()
+    elif name == "op11_collocations":
+        assert rows.groupBy("lang").count().filter("count > 2000").count() == 0
     elif name == "op8_html_extraction":
         assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     elif name == "op6_best_fit_packing":

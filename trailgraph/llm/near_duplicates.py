@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from trailgraph.graph import PropertyGraph
-from trailgraph.llm.common import slices, workspace
+from trailgraph.llm.common import free_name, slices, workspace
 
 RADIUS = 4
 SHINGLE = 4
@@ -335,6 +335,7 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", **opt
     Rows that repeat that id all stay; rows without an id stay.
     """
     found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(first, F.col(doc_id) == F.col("__kept"), "left_semi")
+    name = free_name(docs.columns, "kept")
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(first, F.col(f"`{doc_id}`") == F.col(name), "left_semi")
     return kept.unionByName(docs.filter(F.col(doc_id).isNull()))

@@ -121,20 +121,21 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str,
                    held_out, rows: int) -> DataFrame:
     """``(text, label)`` of at most ``rows`` labelled documents outside ``held_out``.
 
-    The sample is of the smallest hashes, so it is the same on every run.
+    The sample is of the smallest hashes, so it is the same on every run.  An id
+    counts once: with the smallest of its texts, and as toxic if any of its labels is.
     Labels are broadcast: ``rows`` ids and labels, a proven bound.
     """
     wanted = (
-        labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("label"))
-        .filter(F.col("label").isin(0, 1) & F.col("__id").isNotNull())
-        .filter(~held_out("__id"))
-        .groupBy("__id").agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("__id"), "__id")
+        labels.select(F.col(f"`{doc_id}`").alias("of"), F.col(f"`{label}`").cast("int").alias("label"))
+        .filter(F.col("label").isin(0, 1) & F.col("of").isNotNull())
+        .filter(~held_out("of"))
+        .groupBy("of").agg(F.max("label").alias("label"))
+        .orderBy(F.xxhash64("of"), "of")
         .limit(rows)
     )
-    return docs.join(F.broadcast(wanted), F.col(doc_id) == F.col("__id")).select(
-        F.col(text).alias("text"), "label"
-    )
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    met = texts.join(F.broadcast(wanted), F.col("id") == F.col("of"))
+    return met.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label")
 
 
 def choose_features(sample: DataFrame, features: int, least: int) -> list[str]:
@@ -146,7 +147,7 @@ def choose_features(sample: DataFrame, features: int, least: int) -> list[str]:
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts[label].update(_features(set(words_of(text)), parts_of))
-                if len(counts[0]) > 1_000_000:
+                if len(counts[0]) + len(counts[1]) > 1_000_000:
                     yield from _counted(counts)
                     counts, parts_of = (Counter(), Counter()), {}
         yield from _counted(counts)
@@ -187,7 +188,9 @@ def fit(
     """A model from labelled documents for which ``held_out(column)`` is false.
 
     Without documents of both labels, every score is the share of toxic ones
-    (one half without any).
+    (one half without any).  A null text counts as empty, and an id once, however
+    many rows have it; labels other than 0 and 1, and of null ids, do not count.
+    Other columns may have any names.
     """
     space = workspace(docs.sparkSession, "toxicity")
     sample = space.write(
@@ -251,7 +254,8 @@ def _solve(x: np.ndarray, y: np.ndarray, change: np.ndarray, penalty: float) ->
 
 def score(docs: DataFrame, model: Model, *, text="text") -> tuple[DataFrame, str]:
     """``docs`` with a struct column holding ``score``, and its name; a null or
-    empty text gets the score of a text without any feature."""
+    empty text gets the score of a text without any feature.  All rows stay, repeated
+    ones and other columns too."""
     name = free_name(docs.columns, "toxicity")
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
@@ -272,7 +276,8 @@ def held_out(column: str):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
-    """``docs`` without those that score one half or more."""
+    """``docs`` without those that score one half or more; rows that repeat go or
+    stay together, and columns stay whatever their names."""
     model = fit(docs, labels, held_out, **columns)
     found, name = score(docs, model, text=columns.get("text", "text"))
     return found.filter(F.col(f"{name}.score") < 0.5).drop(name)
