@@ -7,11 +7,13 @@ which is the least number that makes two sets within the threshold share a
 retained one, whatever the order.  So the inverted lists of retained hashes lose
 no link, and the order only decides how long they are.
 
-How common a hash is, is read from a fixed number of counters, each shared by
-the hashes with the same leading bits; their levels are small enough to be sent
-to every task at any size of the input.
+How common a hash is, is read from counters, each shared by the hashes with the
+same leading bits.  Their number grows with the input up to a bound, so that
+their levels may be sent to every task at any size of it.
 
-Sets that are equal are one before anything is compared.  Neighbours in each
+Sets that are equal are one before anything is compared, and so are lists with
+the same members.  Members of a list first compare short signatures, and those
+without a partner that they do not rule out go.  Of the others, neighbours in each
 list are compared first, which settles large groups of copies without all of
 their pairs.  Then, only in lists that still hold several components, sketches
 of the smallest hashes travel with the lists, and the pairs of different
@@ -29,15 +31,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from trailgraph.graph import PropertyGraph
 from trailgraph.llm.common import slices, workspace
-from trailgraph.llm.words import byte_class, words_of
+from trailgraph.llm.words import INCREMENT, byte_class, hashes_of, mixed, words_of
 
 SHINGLE = 3
 #: The least similarity of linked documents, in hundredths.
 PERCENT = 85
-#: Counters that say how common a hash is: two to this power.
-CELL_BITS = 22
-#: Counters in one row while they are added up: two to this power.
+#: Counters that say how common a hash is: one for so many bytes of text, and two
+#: to this power at least and at most.
+CELL_BYTES = 32
+CELL_BITS = (16, 25)
+#: Counters, and bytes of bits, in one row while they are added up: two to this power.
 CHUNK_BITS = 14
+#: Bits that say which sets are wanted: two to this power.
+WANTED_BITS = 26
+#: Bits of a signature, and in how many of them linked documents may differ: they
+#: differ in one of 13, so in more than that with a probability below 1e-11.
+SIGNED_BITS = 128
+SIGNED_RADIUS = 36
 #: Smallest hashes in a sketch.
 SKETCH = 256
 #: Members of a list compared by one task; longer lists are cut in blocks, each two of which meet.
@@ -46,27 +56,18 @@ GROUP_ROWS = 1024
 ERRORS = 6
 #: Values in so few sketches of a list are counted pair by pair.
 FEW = 16
-# Blanks between words; multipliers and shifts of a 64-bit mixing function.
+#: Members of a list at most for which each pair is looked at by itself.
+SHORT = 6
+_LAST = np.uint32(0xFFFFFFFF)
+_WORD = (1 << 64) - 1
+# Blanks between words.
 _GAPS = b" \t\n\x0b\x0c\r"
-_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-_SHIFTS = (30, 27, 31)
-_SEED = 0x9E3779B97F4A7C15
-
-
-def _mixed(values: np.ndarray) -> np.ndarray:
-    values = values ^ (values >> np.uint64(_SHIFTS[0]))
-    values = values * np.uint64(_MIX[0])
-    values = values ^ (values >> np.uint64(_SHIFTS[1]))
-    values = values * np.uint64(_MIX[1])
-    return values ^ (values >> np.uint64(_SHIFTS[2]))
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of all texts, rising within each, and where each text starts among them."""
-    from xxhash import xxh64_intdigest
-
     words = words_of(texts, byte_class(_GAPS))
-    hashes = np.array([xxh64_intdigest(w.encode()) for w in words.distinct.to_pylist()], np.uint64)[words.code]
+    hashes = hashes_of(words.distinct)[words.code]
     rows = len(texts)
     sizes = np.bincount(words.row, minlength=rows)
     first = np.cumsum(sizes) - sizes
@@ -74,11 +75,11 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, n
     row = np.repeat(np.arange(rows), each)
     begin = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + first[row]
     length = np.minimum(sizes, shingle)[row]
-    found = _mixed(length.astype(np.uint64) + np.uint64(_SEED))
+    found = mixed(length.astype(np.uint64) + np.uint64(INCREMENT))
     for step in range(shingle):
         here = length > step
         word = hashes[np.minimum(begin + step, max(0, len(hashes) - 1))] if len(hashes) else hashes
-        found = np.where(here, _mixed(found * np.uint64(_MIX[0]) + word), found) if len(found) else found
+        found = np.where(here, mixed(found * np.uint64(INCREMENT) + word), found) if len(found) else found
     edges = np.concatenate([[0], np.cumsum(each)])
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         found[a:b].sort()
@@ -88,43 +89,48 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, n
     return found[fresh], starts
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _cells(hashes: np.ndarray, cells: int) -> np.ndarray:
+    """The counter of each hash, of ``cells``, a power of two."""
+    return (hashes >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
 def common_levels(docs: DataFrame, space) -> np.ndarray:
-    """For each counter, the power of two by which it exceeds the mean; counters near the mean have level 0."""
+    """For each counter, how many half powers of two it lies above the mean; near it or below, 0."""
     chunk = 1 << CHUNK_BITS
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    all_cells = 1 << min(max((size // CELL_BYTES).bit_length(), CELL_BITS[0]), CELL_BITS[1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.int64)
+        cells = np.zeros(all_cells, np.uint16)  # of a task; fuller ones are common enough
         for batch in batches:
             for rows in slices(batch, batch.column(0)):
-                cells += np.bincount(_cells(shingle_sets(rows.column(0))[0]), minlength=len(cells))
+                found, times = np.unique(_cells(shingle_sets(rows.column(0))[0], all_cells), return_counts=True)
+                cells[found] = np.minimum(cells[found] + times, 0xFFFF)
         for at in range(0, len(cells), chunk):
             part = cells[at : at + chunk]
             if part.any():
-                yield _row(chunk=at // chunk, cells=part.astype("<i8").tobytes())
+                width = np.min_scalar_type(int(part.max())).itemsize
+                yield _row(chunk=at // chunk, cells=bytes([width]) + part.astype(f"<u{width}").tobytes())
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for place, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[place] = sums.get(place, 0) + np.frombuffer(cells, "<i8")
+                sums[place] = sums.get(place, 0) + np.frombuffer(cells, f"<u{cells[0]}", offset=1).astype(np.int64)
         for place, cells in sums.items():
             yield _row(chunk=place, cells=cells.tobytes(), total=int(cells.sum()))
 
     told = docs.mapInArrow(count, "chunk int, cells binary").repartition("chunk")
     added = space.write("cells", told.mapInArrow(add, "chunk int, cells binary, total bigint"), n=F.sum("total"))
-    mean = max(1.0, (added.observed["n"] or 0) / (1 << CELL_BITS))
+    mean = max(1.0, (added.observed["n"] or 0) / all_cells)
 
     def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                over = np.ceil(np.log2(np.maximum(np.frombuffer(cells, "<i8") / mean, 1.0)))
+                over = np.ceil(2 * np.log2(np.maximum(np.frombuffer(cells, "<i8") / mean, 1.0)))
                 yield _row(chunk=place, cells=np.where(over > 1, over, 0).astype(np.uint8).tobytes())
 
-    levels = np.zeros(1 << CELL_BITS, np.uint8)
+    levels = np.zeros(all_cells, np.uint8)
     for row in added.df.select("chunk", "cells").mapInArrow(level, "chunk int, cells binary").collect():
         levels[row["chunk"] * chunk :][:chunk] = np.frombuffer(row["cells"], np.uint8)
     return levels
@@ -146,27 +152,40 @@ def retained(hashes: np.ndarray, starts: np.ndarray, levels: np.ndarray, percent
     """The first hashes of each set in the common order, as many as links need."""
     sizes = np.diff(starts)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort((row << 8) + levels[_cells(hashes)], kind="stable")
+    order = np.argsort((row << 8) + levels[_cells(hashes, len(levels))], kind="stable")
     keep = np.where(sizes > 0, sizes - (percent * sizes + 99) // 100 + 1, 0)
     first = np.arange(len(hashes)) - starts[:-1][row] < keep[row]
     bounds = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes[order[first]].view(np.int64)))
 
 
+def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each set, one bit of the smallest hash in each of ``SIGNED_BITS`` bins, as two longs."""
+    rows = len(starts) - 1
+    row = np.repeat(np.arange(rows), np.diff(starts))
+    place = row * SIGNED_BITS + (hashes % np.uint64(SIGNED_BITS)).astype(np.int64)
+    bits = np.zeros(rows * SIGNED_BITS, np.uint8)
+    bits[place[::-1]] = (hashes[::-1] >> np.uint64(8)).astype(np.uint8) & 1  # the smallest comes last and stays
+    return np.packbits(bits, bitorder="little").view("<i8").reshape(rows, 2)
+
+
 def _sets(docs: DataFrame, levels, percent: int) -> DataFrame:
-    """``(doc_id, n, key, retained)`` of each row; ``key`` names the set, null if it is empty."""
+    """``(doc_id, n, key, retained, low, high)`` of each row; ``key`` names the set, null if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, batch.column(1)):
                 hashes, starts = shingle_sets(rows.column(1))
+                signed = signatures(hashes, starts)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(np.diff(starts)), pa.array(_keys(hashes, starts), pa.binary()),
-                     retained(hashes, starts, levels.value, percent)],
-                    names=["doc_id", "n", "key", "retained"],
+                     retained(hashes, starts, levels.value, percent), pa.array(signed[:, 0]), pa.array(signed[:, 1])],
+                    names=["doc_id", "n", "key", "retained", "low", "high"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, key binary, retained array<bigint>")
+    return docs.mapInArrow(
+        run, "doc_id bigint, n bigint, key binary, retained array<bigint>, low bigint, high bigint"
+    )
 
 
 def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -175,7 +194,7 @@ def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     A fixed number of bits tells the tasks which keys are wanted, and perhaps
     some that are not; the join on the key lets only the wanted pass.
     """
-    bits = 1 << CELL_BITS + 3
+    bits = 1 << WANTED_BITS
     chunk = 1 << CHUNK_BITS + 3
 
     def place(key: bytes) -> int:
@@ -298,6 +317,8 @@ def possible_links(
     """
     count = len(labels)
     lengths = np.array([len(s) for s in sketches])
+    if count <= SHORT:
+        return _of_few(labels, sizes, sketches, percent)
     owner = np.repeat(np.arange(count), lengths)
     _, value, times = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
     shared = np.zeros((count, count), np.float32)
@@ -338,41 +359,100 @@ def possible_links(
     return i, j
 
 
-def other_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a list with different labels that their sketches do not rule out."""
+def _of_few(labels, sizes, sketches, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """``possible_links`` for so few members that each pair is looked at."""
+    found: tuple[list, list] = ([], [])
+    for i in range(len(labels)):
+        for j in range(i + 1, len(labels)):
+            small, large = sorted((int(sizes[i]), int(sizes[j])))
+            if labels[i] == labels[j] or 100 * small < percent * large:
+                continue
+            a, b = sketches[i], sketches[j]
+            upto = min(a[-1] if sizes[i] > SKETCH else _LAST, b[-1] if sizes[j] > SKETCH else _LAST)
+            shared = int(_inside(a, b).sum())
+            union = int(np.searchsorted(a, upto, "right") + np.searchsorted(b, upto, "right")) - shared
+            if large <= SKETCH:
+                allowed = 100 * shared >= percent * union
+            else:
+                allowed = shared >= union * _least(union, (small + large) / (1 + percent / 100), percent)
+            if allowed:
+                found[0].append(i)
+                found[1].append(j)
+    return np.array(found[0], np.int64), np.array(found[1], np.int64)
+
+
+def in_blocks(lists: DataFrame, compared: list[str]) -> DataFrame:
+    """The members of each list, or of each two blocks of a long one, next to each other."""
     blocks = F.ceil(F.col("members") / GROUP_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     meets = F.explode(
         F.when(F.col("blocks") == 1, F.array(F.lit(0)))
         .otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
     )
+    grouping = ["value", "one", "two"]
     dealt = (
         lists.select("*", blocks.alias("blocks"), own.alias("own"))
-        .select("value", "node", "size", "label", "sketch", "own", meets.alias("other"))
-        .select("value", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
-                "node", "size", "label", "sketch")
+        .select("*", meets.alias("other"))
+        .select("value", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), *compared)
     )
-    grouping = ["value", "one", "two"]
+    return dealt.repartition(*grouping).sortWithinPartitions(*grouping)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Consecutive rows with the same first three columns."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[column.to_pylist() for column in batch.columns]):
+            if held and row[:3] != held[0][:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def with_partners(lists: DataFrame, percent: int) -> DataFrame:
+    """The nodes that have a partner in some list whose size and signature allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        found: list[int] = []
+        for rows in _groups(batches):
+            if len(rows) == 2:  # most lists
+                (*_, one, small, low, high), (*_, two, large, low2, high2) = sorted(rows, key=lambda row: row[4])
+                apart = ((low ^ low2) & _WORD).bit_count() + ((high ^ high2) & _WORD).bit_count()
+                if apart <= SIGNED_RADIUS and 100 * small >= percent * large:
+                    found += [one, two]
+                continue
+            nodes, sizes, low, high = (np.array(c, np.int64) for c in list(zip(*rows))[3:])
+            bits = np.stack([low, high]).view(np.uint64)
+            partner = np.zeros(len(nodes), bool)
+            for at in range(0, len(nodes), 256):
+                part = slice(at, at + 256)
+                apart = np.bitwise_count(bits[:, part, None] ^ bits[:, None, :]).sum(axis=0, dtype=np.int32)
+                small, large = np.minimum(sizes[part, None], sizes), np.maximum(sizes[part, None], sizes)
+                allowed = (apart <= SIGNED_RADIUS) & (100 * small >= percent * large)
+                partner[part] |= allowed.sum(axis=1) > 1  # itself is one
+            found += nodes[partner].tolist()
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["node"])
+                found = []
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["node"])
+
+    ordered = in_blocks(lists, ["node", "size", "low", "high"])
+    return ordered.mapInArrow(run, "node bigint").distinct()
 
-        def pairs() -> pa.RecordBatch:
-            nodes, sizes, labels = (np.array([row[k] for row in held], np.int64) for k in (3, 4, 5))
-            sketches = [np.frombuffer(row[6], "<u4") for row in held]
-            i, j = possible_links(labels, sizes, sketches, percent)
-            return pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], names=["a", "b"])
 
-        for batch in batches:
-            for row in zip(*[column.to_pylist() for column in batch.columns]):
-                if held and row[:3] != held[0][:3]:
-                    yield pairs()
-                    held = []
-                held.append(row)
-        if held:
-            yield pairs()
-
-    ordered = dealt.repartition(*grouping).sortWithinPartitions(*grouping)
+def other_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a list with different labels that their sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            *numbers, sketches = list(zip(*rows))[3:]
+            nodes, sizes, labels = (np.array(c, np.int64) for c in numbers)
+            i, j = possible_links(labels, sizes, [np.frombuffer(v, "<u4") for v in sketches], percent)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], names=["a", "b"])
+
+    ordered = in_blocks(lists, ["node", "size", "label", "sketch"])
     return _ordered(ordered.mapInArrow(run, "a bigint, b bigint"), "a", "b").distinct()
 
 
@@ -407,9 +487,10 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", percent: i
     ``doc_id`` carries links, but names no component unless nothing else is
     there; it is kept only then.  Other columns are not looked at.
 
-    No link is lost in the lists.  Between neighbours and between sketches of
-    more than ``SKETCH`` shingles, a link that estimates itself more than
-    ``ERRORS`` standard errors too low would be: about one in a billion.
+    No link is lost in the lists.  A link would be lost if its signatures differ
+    in more than ``SIGNED_RADIUS`` bits, or if the sketches of sets of more than
+    ``SKETCH`` shingles estimate it more than ``ERRORS`` standard errors too low:
+    about one in a billion.
     """
     spark = docs.sparkSession
     space = workspace(spark, "bottom-k")
@@ -420,16 +501,27 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", percent: i
     classes = space.write(
         "classes",
         printed.filter("key IS NOT NULL").groupBy("key")
-        .agg(F.min("doc_id").alias("least"), F.first("n").alias("size"), F.first("retained").alias("retained"))
+        .agg(F.min("doc_id").alias("least"), F.first("n").alias("size"), F.first("retained").alias("retained"),
+             F.first("low").alias("low"), F.first("high").alias("high"))
         .withColumn("node", F.monotonically_increasing_id()),
     ).df
     entries = classes.select("node", "size", F.explode("retained").alias("value"))
     several = entries.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    lists = space.write("lists", entries.join(several, "value"), rows=F.count(F.lit(1)))
-    labels = None
-    if lists.observed["rows"]:
-        links = _links(lists.df, classes, texts, space, percent)
-        labels = _components(links) if links is not None else None
+    met = space.write("met", entries.join(several, "value")).df
+    # lists with the same members are one, known by their number and two sums of hashes
+    alike = met.groupBy("value").agg(
+        F.max("members").alias("members"), F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("two"),
+    )
+    kept = alike.groupBy("members", "one", "two").agg(F.min("value").alias("value")).select("value")
+    signed = space.write(
+        "signed", met.join(kept, "value", "left_semi").join(classes.select("node", "low", "high"), "node")
+    ).df
+    paired = with_partners(signed, percent)
+    lists = space.write(
+        "lists", signed.drop("low", "high").join(paired, "node", "left_semi"), rows=F.count(F.lit(1))
+    )
+    labels = _labels(lists.df, classes, texts, space, percent) if lists.observed["rows"] else None
     named = classes.select("key", "node", "least")
     if labels is None:
         named = named.select("key", F.col("least").alias("component_id"))
@@ -447,16 +539,17 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", percent: i
     )
 
 
-def _links(lists: DataFrame, classes: DataFrame, texts: DataFrame, space, percent: int) -> DataFrame | None:
-    """Links with the components of all links, or nothing."""
+def _labels(lists: DataFrame, classes: DataFrame, texts: DataFrame, space, percent: int) -> DataFrame | None:
+    """``(node, label)`` of the nodes that have links, by component; or nothing."""
     wanted = lists.select("node").distinct().join(classes.select("node", "key"), "node")
     sets = space.write("full", _full_sets(texts, wanted)).df
     near = space.write("near", neighbours(lists, percent)).df
     links = space.write("near-links", confirmed(near, sets, percent), rows=F.count(F.lit(1)))
+    parts = None
     labelled = lists.withColumn("label", F.col("node"))
     if links.observed["rows"]:
-        found = space.write("parts", _components(links.df)).df
-        labelled = lists.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        parts = space.write("parts", _components(links.df)).df
+        labelled = _labelled(lists, parts)
     labelled = space.write("labelled-lists", labelled).df
     mixed = labelled.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     open_ = labelled.join(mixed.filter("low < high").select("value"), "value")
@@ -464,6 +557,21 @@ def _links(lists: DataFrame, classes: DataFrame, texts: DataFrame, space, percen
     others = other_pairs(open_.join(sketches, "node"), percent).join(near, ["a", "b"], "left_anti")
     others = space.write("others", others).df
     more = space.write("other-links", confirmed(others, sets, percent), rows=F.count(F.lit(1)))
-    if not links.observed["rows"] and not more.observed["rows"]:
-        return None
-    return links.df.unionByName(more.df)
+    if not more.observed["rows"] or parts is None:
+        return _components(more.df) if more.observed["rows"] else parts
+    # what is linked already is one node for the links found since
+    onward = more.df
+    for end in ("a", "b"):
+        onward = _labelled(onward.withColumnRenamed(end, "node"), parts).drop("node").withColumnRenamed("label", end)
+    joined = space.write("joined", _components(onward.filter("a <> b").distinct())).df
+    known = lists.select("node").distinct()
+    return (
+        _labelled(known, parts)
+        .join(joined.select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left")
+        .select("node", F.coalesce("final", "label").alias("label"))
+    )
+
+
+def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """``rows`` with the ``label`` of their ``node``; a node without links is its own."""
+    return rows.join(parts, "node", "left").withColumn("label", F.coalesce("label", "node"))
