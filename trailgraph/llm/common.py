@@ -66,6 +66,19 @@ def slices(batch: pa.RecordBatch, text: pa.Array, most: int = SLICE_BYTES) -> It
     yield batch.slice(first)
 
 
+def by_size(texts: list[str | None], most: int) -> Iterator[list[str | None]]:
+    """Consecutive texts of about ``most`` characters in all."""
+    first = size = 0
+    for number, text in enumerate(texts):
+        length = len(text or "")
+        if number > first and size + length > most:
+            yield texts[first:number]
+            first, size = number, 0
+        size += length
+    if first < len(texts):
+        yield texts[first:]
+
+
 def add_struct(
     docs: DataFrame,
     text: str,

@@ -23,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from trailgraph.llm.bottom_k import _mixed
 from trailgraph.llm.common import slices, workspace
-from trailgraph.llm.words import byte_class, words_of
+from trailgraph.llm.words import INCREMENT, byte_class, hashes_of, mixed, words_of
 
 TOP = 20
 #: Documents of a block, bytes of their texts, and bits of a signature, at most.
@@ -53,14 +52,8 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
-def _hashes(terms) -> np.ndarray:
-    from xxhash import xxh64_intdigest
-
-    return np.array([xxh64_intdigest(t) for t in terms], np.uint64)
-
-
 def _at_level(hashes: np.ndarray, level: int) -> np.ndarray:
-    return _mixed(hashes + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return mixed(hashes + np.uint64((level + 1) * INCREMENT & (1 << 64) - 1))
 
 
 def _rows_of(entries: np.ndarray, width: int) -> np.ndarray:
@@ -120,9 +113,9 @@ def build_index(docs: DataFrame, space, *, doc_id="doc_id", text="text"):
         for batch in batches:
             for rows in slices(batch, batch.column(1)):
                 words = words_of(rows.column(1), byte_class(_GAPS))
-                terms = words.distinct.to_pylist()
-                hashed = _hashes([t.encode() for t in terms])
-                key = np.sort(words.row * max(1, len(terms)) + words.code)
+                terms = words.distinct
+                hashed = hashes_of(words.distinct)
+                key = np.sort(words.row.astype(np.int64) * max(1, len(terms)) + words.code)
                 new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
                 times = np.diff(np.append(new, len(key)))
                 row, code = np.divmod(key[new], max(1, len(terms)))
@@ -229,7 +222,7 @@ def _search(index: DataFrame, items: Items, docs: int, terms: int, top: int, nee
     With ``first_only``, a task looks at its first block alone.
     """
     context = index.sparkSession.sparkContext
-    shared = context.broadcast((items, _hashes(items.vocabulary), needed))
+    shared = context.broadcast((items, hashes_of(pa.array(items.vocabulary, pa.binary())), needed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, hashed, least = shared.value
