@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.example import graph
 from trailgraph.graph import PropertyGraph
-from trailgraph.operators.aggregate import Send
+from trailgraph.operators.aggregate import Merge, Send
 from trailgraph.operators.joins import verify_result
 from trailgraph.plans import skew
 from trailgraph.plans.layout import partitions_for
@@ -126,3 +126,41 @@ def test_bounds(spark):
     assert partitions_for(spark, 10) == 1
     assert partitions_for(spark, 400_000) == 8
     assert partitions_for(spark, 10**12) == 250_000
+
+
+def test_merges_of_the_users_own(spark, monkeypatch):
+    """A bit sketch with a partial step before the shuffle."""
+    edges = spark.range(5000).select((F.col("id") * 7 % 1000).alias("src"), (F.col("id") % 20).alias("dst"))
+    g = PropertyGraph.from_edges(edges.repartition(4))
+
+    def union(values, starts):
+        import numpy as np
+
+        return np.bitwise_or.reduceat(values.to_numpy(), starts)
+
+    bit = F.expr("shiftleft(1L, cast(src % 60 as int))")
+    found = g.aggregate_messages([Send("dst", bit)], Merge(union), ends=())
+    expected = g.aggregate_messages([Send("dst", bit)], F.bit_or, ends=())
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    plan = g.aggregate_messages([Send("dst", bit)], Merge(union), ends=())._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow after") < plan.index("hashpartitioning(id") < plan.index("MapInArrow before")
+    assert g.aggregate_messages([Send("dst", bit, "src < 0")], Merge(union), ends=()).count() == 0
+    vertices = g.map_vertices("id")
+    rounds = vertices.pregel(
+        F.lit(0).cast("long"), lambda _, attr, msg: F.greatest(attr, msg), [Send("dst", "src_attr", "src_attr > dst_attr")],
+        Merge(lambda values, starts: __import__("numpy").maximum.reduceat(values.to_numpy(), starts)),
+    )
+    plain = vertices.pregel(
+        F.lit(0).cast("long"), lambda _, attr, msg: F.greatest(attr, msg), [Send("dst", "src_attr", "src_attr > dst_attr")], F.max,
+    )
+    assert sorted(map(tuple, rounds.vertices.collect())) == sorted(map(tuple, plain.vertices.collect()))
+
+
+def test_one_row_per_vertex(spark):
+    edges = spark.createDataFrame([(1, 2)], "src long, dst long")
+    rows = spark.createDataFrame([(1, 5.0), (1, 3.0), (3, None), (3, 1.0)], "id long, attr double")
+    g = PropertyGraph.from_edges(edges, rows)
+    assert {r["id"]: r["attr"] for r in g.vertices.collect()} == {1: 3.0, 2: None, 3: 1.0}
+    assert g.vertices.count() == 3 and g.triplets().count() == 1
+    maps = rows.select("id", F.create_map(F.lit("a"), "attr").alias("attr"))
+    assert PropertyGraph.from_edges(edges, maps).vertices.count() == 3

@@ -1,5 +1,6 @@
 """Traced runs, capture decisions and snapshots."""
 
+import json
 import math
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tests import example
 from tests.example import MAX, graph
 from trailgraph.operators.aggregate import Send
-from trailgraph.provenance import events, tables
+from trailgraph.provenance import events, export, tables
 from trailgraph.provenance.session import (
     CaptureFilter,
     DeltaPredicate,
@@ -200,6 +201,114 @@ def test_hooks_add_metrics_at_chosen_events(spark):
     assert found == {(1, "edgesBefore"): 18.0, (2, "edgesAfter"): 17.0}
 
 
+def jobs_of(spark, group, action):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return action(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_observed_metrics_run_no_job(spark):
+    reached_ = F.col("attr") < MAX
+    hook = Hook(
+        event=lambda e: e.event_type == events.PREGEL_ITERATION,
+        observe={"low": F.min("attr"), "deep": F.max(F.when(reached_, F.col("attr"))), "reached": F.count_if(reached_)},
+    )
+
+    def traced(hooks):
+        session = ProvenanceSession(spark, hooks=hooks)
+        graph(spark).with_session(session).bfs(1)
+        return session
+
+    _, plain = jobs_of(spark, "plain", lambda: traced(()))
+    session, observed = jobs_of(spark, "observed", lambda: traced((hook,)))
+    assert observed == plain > 0
+    found = {}
+    for r in session.prov_metrics().filter("name IN ('low', 'deep', 'reached')").collect():
+        found.setdefault(r["owner_id"], {})[r["name"]] = int(r["exact"])
+    rounds = [e.target for e in session.edges if e.event.event_type == events.PREGEL_ITERATION]
+    assert [found[n] for n in rounds] == [
+        {"low": 0, "deep": 1, "reached": 3}, {"low": 0, "deep": 2, "reached": 6}]
+
+
+@pytest.mark.parametrize("algorithm", ["pagerank", "cdlp", "wcc", "sssp", "pregel"])
+def test_every_round_can_be_observed(spark, algorithm):
+    hook = Hook(event=lambda e: e.event_type == events.PREGEL_ITERATION, observe={"rows": F.count("attr")})
+    session = ProvenanceSession(spark, hooks=(hook,))
+    g = graph(spark).map_vertices("id").with_session(session)
+    if algorithm == "pregel":
+        g.pregel(F.lit(0).cast("long"), lambda _, attr, msg: F.greatest(attr, msg),
+                 [Send("dst", "src_attr", "src_attr > dst_attr")], F.max)
+    else:
+        getattr(g, algorithm)(*{"pagerank": (2,), "cdlp": (2,), "wcc": (), "sssp": (1,)}[algorithm])
+    rows = session.prov_metrics().filter("name = 'rows'").collect()
+    assert rows and all(r["exact"] == 10 for r in rows)
+    assert len(rows) == sum(e.event.event_type == events.PREGEL_ITERATION for e in session.edges)
+
+
+@pytest.mark.parametrize("storage_format", ["TextFile()", "ParquetFile()", "CSVFile(true)", "JSONFormat()", "ORCFile()"])
+def test_snapshots_with_edges(spark, tmp_path, storage_format):
+    session = ProvenanceSession(
+        spark, storage=True, directory=str(tmp_path), storage_format=storage_format,
+        capture=CaptureFilter(edge=is_join, data=GraphPredicate(vertex=reached("BFS")), edges=True),
+    )
+    graph(spark).with_session(session).bfs(1)
+    nodes = sorted(session.captured)
+    weights = {(s, d): w for s, d, w in example.EDGES}
+    found = {}
+    for r in session.snapshot_edges().collect():
+        found.setdefault(r["node_id"], {})[r["src"], r["dst"]] = r["value"]
+    for depth, node in enumerate(nodes, 1):
+        inside = {v for v, hops in example.BFS.items() if hops <= depth}
+        assert found[node] == {e: w for e, w in weights.items() if set(e) <= inside}
+    assert set(values(session.snapshots().filter(F.col("node_id") == nodes[0]))) == {1, 3, 5}
+    whole = tables.committed_snapshots(spark, str(tmp_path)).collect()
+    assert sorted(r["node_id"] for r in whole) == nodes and all(r["with_edges"] for r in whole)
+
+
+def test_deltas_have_no_edges(spark, tmp_path):
+    ids = spark.range(1, 4)
+    session = ProvenanceSession(
+        spark, storage=True, directory=str(tmp_path),
+        capture=CaptureFilter(edge=is_join, data=DeltaPredicate(ids), edges=True),
+    )
+    graph(spark).with_session(session).bfs(1)
+    assert session.snapshot_edges().count() == 0 and session.snapshots().count() == 6
+
+
+def test_runs_are_appended_once(spark, tmp_path):
+    for run in ("a", "b", "a"):
+        session = ProvenanceSession(spark, run_id=run)
+        graph(spark).with_session(session).bfs(1)
+        session.save(str(tmp_path))
+    for name, schema in (("edges", tables.PROV_EDGES), ("nodes", tables.PROV_NODES), ("metrics", tables.PROV_METRICS)):
+        stored = tables.stored_runs(spark, f"{tmp_path}/{name}", schema)
+        counts = {r["run_id"]: r["count"] for r in stored.groupBy("run_id").count().collect()}
+        one = getattr(session, f"prov_{name}")().count()
+        assert counts == {"a": one, "b": one}
+    again = tables.stored_runs(spark, f"{tmp_path}/edges", tables.PROV_EDGES).filter("run_id = 'a'")
+    assert sorted(map(str, again.collect())) == sorted(map(str, session.prov_edges().collect()))
+
+
+def test_predicates_over_the_record(spark):
+    session = ProvenanceSession(
+        spark, capture=CaptureFilter(edge=is_join, record=lambda n: n.location is None and n.metrics.get("iteration", 0) < 1)
+    )
+    graph(spark).with_session(session).bfs(1)
+    assert len(session.captured) == 0 and len(session.locations) == 1
+    node = session.node(session.edges[-1].target)
+    assert node.metrics["iteration"] == 1 and node.location is None
+    nodes = tables.with_metrics(session.prov_nodes(), session.prov_metrics(), ["activeMessages", "iteration"])
+    busy = {r["node_id"] for r in nodes.filter("activeMessages > 0").collect()}
+    chosen = tables.capture_decision(
+        session.prov_edges(), session.prov_nodes().join(nodes.select("run_id", "node_id", "iteration"), ["run_id", "node_id"])
+        .withColumn("location", F.lit(None).cast("string")),
+        "event_name = 'joinVertices'", "iteration IS NULL OR iteration < 1",
+    ).collect()
+    assert busy and [r["target"] for r in chosen] == [3]
+
+
 def test_pregel_and_components_leave_rounds(spark):
     session = ProvenanceSession(spark)
     g = graph(spark).with_session(session)
@@ -309,5 +418,42 @@ def test_metric_algebra(spark):
         ("r", "node", 1, "gauge", "numVertices", 10.0, None),
         ("r", "node", 2, "gauge", "numVertices", 12.0, None),
     ]
-    total = tables.metric_totals(spark.createDataFrame(rows, tables.PROV_METRICS)).first()
+    schema = "run_id string, owner string, owner_id long, kind string, name string, value double, unit string"
+    total = tables.metric_totals(spark.createDataFrame(rows, schema)).first()
     assert (total["observations"], total["total"], total["lowest"]) == (2, 22.0, 10.0)
+    assert total["exact_total"] is None
+
+
+def test_metrics_of_any_type(spark):
+    session = ProvenanceSession(spark, run_id="r")
+    big = 2**53 + 1
+    for node, value in ((0, big), (1, big), (2, -3)):
+        session.counter(node, "bytes", value)
+    session.gauge(0, "state", "ready")
+    session.gauge(1, "state", "done")
+    session.gauge(0, "settled", True)
+    session.gauge(0, "mass", 0.25)
+    session.gauge(0, "nothing", None)
+    found = {r["name"]: r for r in tables.metric_totals(session.prov_metrics()).collect()}
+    assert found["bytes"]["exact_total"] == 2 * big - 3 and found["bytes"]["exact_highest"] == big
+    assert (found["state"]["first_text"], found["state"]["last_text"]) == ("done", "ready")
+    assert found["settled"]["first_text"] == "true" and found["mass"]["total"] == 0.25
+    assert found["mass"]["exact_total"] is None and "nothing" not in found
+    lines = [r["line"] for r in export.json_node_metrics(session.prov_metrics()).collect()]
+    assert sum(f'"value":"{big}"' in line for line in lines) == 2
+    assert any('"name":"state"' in line and '"value":"done"' in line for line in lines)
+
+
+def test_many_metrics_of_one_edge(spark):
+    rows = spark.range(20_000).select(
+        F.lit("r").alias("run_id"), F.lit("edge").alias("owner"), F.lit(0).cast("long").alias("owner_id"),
+        F.lit("counter").alias("kind"), F.concat(F.lit("m"), F.col("id")).alias("name"),
+        F.col("id").cast("double").alias("value"), F.lit(None).cast("string").alias("unit"),
+    )
+    session = ProvenanceSession(spark, run_id="r")
+    graph(spark).with_session(session).map_vertices("id")
+    lines = export.json_edges(session.prov_edges(), rows).collect()
+    parts = [json.loads(r["line"])["metrics"]["values"][0] for r in lines]
+    assert sorted(r["part"] for r in lines) == list(range(20))
+    assert max(map(len, parts)) < 2 * export.PART_METRICS
+    assert len({m["name"] for part in parts for m in part}) == 20_000 == sum(map(len, parts))

@@ -12,6 +12,7 @@ from trailgraph.operators.joins import verify_result
 from trailgraph.provenance.record import RunRequest, run
 from trailgraph.reports.overhead import storage_overhead
 from trailgraph.reports.tables import messages_per_round
+from trailgraph.sinks import results
 from trailgraph.sinks.results import save_report, save_result
 from trailgraph.sources import graphs, runlogs
 from trailgraph.sources.descriptors import load_datasets
@@ -228,3 +229,34 @@ def test_run_record_without_storage(spark, tmp_path, setup):
     run(spark, graph(spark), request)
     row = spark.read.json(f"{tmp_path}/out/run").first()
     assert (row["total_size"], row["iterations"]) == (0, 0 if setup == "Baseline" else 2)
+
+
+def test_descriptor_without_direction(spark, tmp_path):
+    (tmp_path / "g.e").write_text("1 2\n")
+    (tmp_path / "g.v").write_text("1\n2\n")
+    for content in ("# nothing\n", "graph.g.meta.edges = 1\n"):
+        (tmp_path / "g.properties").write_text(content)
+        with pytest.raises(ValueError, match="directed"):
+            graphs.load_graph(spark, str(tmp_path / "g"), directed=None)
+
+
+def test_results_in_order(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("id"), F.lit(1.5).alias("attr")).repartition(7)
+    results.save_result(rows, str(tmp_path / "a"), ordered=True)
+    ids = sorted(r["id"] for r in rows.collect())
+    places = {r["place"]: r["line"] for r in results.result_places(spark, str(tmp_path / "a")).collect()}
+    assert [places[k + 1] for k in range(5000)] == [f"{i} 1.5" for i in ids]
+    assert results.misplaced(spark, str(tmp_path / "a")).count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    results.save_result(rows, str(tmp_path / "many"), ordered=True)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "many").glob("part-*"))) > 1
+    assert results.misplaced(spark, str(tmp_path / "many")).count() == 0
+    again = {r["place"]: r["line"] for r in results.result_places(spark, str(tmp_path / "many")).collect()}
+    assert again == places
+    results.save_result(rows, str(tmp_path / "b"))
+    assert {r["reason"] for r in results.misplaced(spark, str(tmp_path / "b")).collect()} >= {"falls"}
+    (tmp_path / "c").mkdir()
+    for name, ids in (("part-0", (1, 5, 9)), ("part-1", (8, 10)), ("part-2", (11,))):
+        (tmp_path / "c" / name).write_text("".join(f"{i} x\n" for i in ids))
+    assert [tuple(r) for r in results.misplaced(spark, str(tmp_path / "c")).collect()] == [("part-1", "overlaps")]
