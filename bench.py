@@ -13,7 +13,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -25,6 +24,7 @@ from trailgraph.plans.prepared import PreparedGraph  # noqa: E402
 from trailgraph.provenance.session import ProvenanceSession  # noqa: E402
 from trailgraph.provenance.setups import SETUPS, capture_for, flags  # noqa: E402
 from trailgraph.queries import QUERIES  # noqa: E402
+from trailgraph.workspace import Workspace, clear_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -63,7 +63,7 @@ def run_setup(spark, graph, prepared, setup: str, algorithm: str, call) -> None:
         session = ProvenanceSession(
             spark,
             storage=storage,
-            directory=tempfile.mkdtemp(prefix="bench-lineage-"),
+            directory=f"{Workspace(spark, 'bench-lineage').path}/snapshots",
             capture=capture_for(setup, algorithm),
         )
         graph = graph.with_session(session)
@@ -128,6 +128,7 @@ def main() -> None:
             }
         )
     )
+    clear_session(spark)
     spark.stop()
 
 
