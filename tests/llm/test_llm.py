@@ -122,6 +122,20 @@ def test_cached_tokens_are_those_of_the_tokenizer():
             assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_cached_tokens_of_random_texts(name):
+    from trailgraph.llm import token_cache
+
+    draw = random.Random(5)
+    parts = ["a", "B", "é", "1", " ", "\n", "  ", "\n\n", "\t", ".", ",", "!", "'s", "-", "日本", "\xa0", "\r\n", "İ", "ﬁ", "²",
+             "e\u0301", "\u0958", "<|", "\x00"]
+    encoder = token_cache.Encoder(tokenizer_path(name))
+    for _ in range(12):
+        texts = ["".join(draw.choices(parts, [9, 6, 3, 2, 14, 3] + [2] * (len(parts) - 6), k=draw.randint(0, 30))) for _ in range(200)]
+        for text, ids in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def last_sequences(places, counts):
     """The last sequence of each run of equal pieces that ``plan`` returns."""
     for at, (length, rank, first, each, _) in enumerate(places):

@@ -1,11 +1,12 @@
 """Token ids of whole texts, each distinct word encoded once per worker.
 
 A tokenizer never joins what stands before a blank with what stands after it,
-so a text may be cut in front of single blanks, and behind a word in front of
-common punctuation, without changing its ids.  The parts repeat, so their ids
-are kept in two bounded maps.  Texts whose cuts are not safe (runs of white
-space that a blank ends, control characters, strings of special tokens) are
-encoded whole.
+so a text may be cut in front of single blanks without changing its ids.  The
+words of a slice of texts are found and made distinct by comparing bytes; the
+ids of those met before lie in sorted numpy arrays, known by two hashes, and the
+ids of a slice are gathered at once.  Texts whose cuts are not safe (runs of
+white space that a blank ends, control characters, strings of special tokens)
+are encoded whole.
 """
 
 from __future__ import annotations
@@ -13,15 +14,28 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import chain
+from unicodedata import normalize
 
-#: Words and parts of words kept.  Full maps take no more, since the words met
-#: first are the common ones, until so many parts had to be encoded anew.
-KEPT_WORDS = 350_000
-KEPT_PARTS = 450_000
-STALE = 3_000_000
+import numpy as np
+import pyarrow as pa
+
+from trailgraph.llm.common import by_size
+from trailgraph.llm.words import byte_class, hashes_of, words_of
+
+#: Words kept by a worker; when there are more, it starts anew.
+KEPT_WORDS = 1_500_000
+#: Bytes of text whose words are looked up together.
+STEP_BYTES = 4 << 20
 
-_PARTS = re.compile(r"\s*[^\W\d_]++(?=[.,!?*#$%&\s]|$)|\s*\S++|\s+")
 _UNSAFE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+_BLANK = byte_class(b" ")
+# Marks that no tokenizer here joins with letters before them.
+_MARKS = ".,!?"
+_SPACE = re.compile(r"\s")
+_PARTS = re.compile(r"\s*\S+")
+#: Words of letters that are encoded at once.
+TOGETHER = 2_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -32,6 +46,62 @@ def encoder(path: str) -> "Encoder":
     return _ENCODERS[path]
 
 
+def _lettered(word: str) -> bool:
+    """Whether a word is of letters alone, composed and in lower case too."""
+    return word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha())
+
+
+class Known:
+    """Ids of words by two hashes.  A size of -1 says that the word must not be cut off."""
+
+    def __init__(self):
+        self.tiers = [self._tier([np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64), np.zeros(0, np.int32)])] * 2
+        self.ids = np.zeros(1024, np.uint32)
+        self.used = 0
+
+    @staticmethod
+    def _tier(columns: list[np.ndarray]) -> list[np.ndarray]:
+        order = np.argsort(columns[0], kind="stable")
+        return [column[order] for column in columns]
+
+    def __len__(self) -> int:
+        return sum(len(tier[0]) for tier in self.tiers)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words are known, where their ids start, and how many they are."""
+        known = np.zeros(len(one), bool)
+        starts, sizes = np.zeros(len(one), np.int64), np.zeros(len(one), np.int32)
+        for first, second, start, size in self.tiers:
+            if len(first):
+                at = np.minimum(np.searchsorted(first, one), len(first) - 1)
+                here = (first[at] == one) & (second[at] == two)
+                known |= here
+                starts[here], sizes[here] = start[at[here]], size[at[here]]
+        return known, starts, sizes
+
+    def put(self, ids: np.ndarray) -> int:
+        """Lay ids down behind the others, and say where."""
+        start, self.used = self.used, self.used + len(ids)
+        while self.used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[start : self.used] = ids
+        return start
+
+    def gathered(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The ids that start at ``starts``, one after another."""
+        sizes = np.maximum(sizes, 0).astype(np.int64)
+        upto = np.cumsum(sizes)
+        return self.ids[np.repeat(starts - (upto - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+    def add(self, one: np.ndarray, two: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep words that are not known, whose ids are laid down."""
+        old, new = self.tiers
+        new = self._tier([np.concatenate(pair) for pair in zip(new, (one, two, starts, sizes.astype(np.int32)))])
+        if 4 * len(new[0]) > len(old[0]):
+            old, new = self._tier([np.concatenate(pair) for pair in zip(old, new)]), [c[:0] for c in new]
+        self.tiers = [old, new]
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,57 +109,163 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.words: dict[str, bytes | None] = {}
-        self.parts: dict[str, bytes] = {}
-        self.encoded = 0
+        self.known = Known()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
-        if self.encoded > STALE:
-            self.words.clear()
-            self.parts.clear()
-            self.encoded = 0
-        cuts: list[list[str] | None] = []
-        for text in texts:
-            cut = (text or "").split(" ")
-            safe = not cut[0][-1:].isspace() and not any(mark in text for mark in _UNSAFE if text)
-            cuts.append(cut if safe else None)
-        heads = {cut[0] for cut in cuts if cut}
-        wanted: set[str] = set()
-        for cut in cuts:
-            if cut:
-                wanted.update(cut[1:])
-        words, new_words, new_parts = self.words, *self._learn(wanted.difference(self.words), heads)
+        found: list[bytes] = []
+        for part in by_size(texts, STEP_BYTES):
+            found.extend(self._step(part))
+        return found
+
+    def _step(self, texts: list[str | None]) -> list[bytes]:
+        safe = np.array([bool(t) and not any(mark in t for mark in _UNSAFE) for t in texts], bool)
+        kept = pa.array([t if s else None for t, s in zip(texts, safe)], pa.large_string())
+        words = words_of(kept, _BLANK, lower=False)
+        counts = np.bincount(words.row, minlength=len(texts))
+        blanks = np.array([t.count(" ") if s else 0 for t, s in zip(texts, safe)])
+        safe &= counts == blanks + 1  # no blanks at the ends, and none beside another
+        starts, sizes = self._of_words(words.distinct)
+        first = (np.cumsum(counts) - counts)[safe]
+        code = words.code.astype(np.int64)
+        heads = words.distinct.take(pa.array(words.code[first])).to_pylist()
+        code[first] = len(starts) + np.arange(len(heads))
+        begin, held = self._of_heads(heads)
+        starts, sizes = np.concatenate([starts, begin]), np.concatenate([sizes, held])
+        each = sizes[code]
+        never = np.zeros(len(texts), bool)
+        never[words.row[each < 0]] = True
+        ids = self.known.gathered(starts[code], each)
+        upto = np.concatenate([[0], np.cumsum(np.maximum(each, 0))])
+        edges = upto[np.concatenate([[0], np.cumsum(counts)])].tolist()
         found = []
-        for text, cut in zip(texts, cuts):
+        for number, text in enumerate(texts):
             if not text:
                 found.append(b"")
-                continue
-            ids = list(map(words.get, cut[1:])) if cut else [None]
-            found.append(self._whole(text) if None in ids else self.parts[cut[0]] + b"".join(ids))
-        for extra, kept, most in ((new_words, words, KEPT_WORDS), (new_parts, self.parts, KEPT_PARTS)):
-            for name in extra[max(0, len(extra) - max(0, len(kept) - most)) :]:
-                del kept[name]
+            elif safe[number] and not never[number]:
+                found.append(ids[edges[number] : edges[number + 1]].tobytes())
+            else:
+                found.append(self._whole(text))
         return found
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, words: set[str], heads: set[str]) -> tuple[list[str], list[str]]:
-        """Enter words that follow a blank, and the first words of texts; returns
-        the new words and parts.
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of words that follow a blank start, and how many they are."""
+        if len(self.known) > KEPT_WORDS:
+            self.known = Known()
+        one, two = hashes_of(words), hashes_of(words, 1)
+        known, starts, sizes = self.known.find(one, two)
+        new = np.flatnonzero(~known)
+        if len(new):
+            names = words.take(pa.array(new)).to_pylist()
+            starts[new], sizes[new] = self._learned(names)
+            self.known.add(one[new], two[new], starts[new], sizes[new])
+        return starts, sizes
+
+    def _learned(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of new words start, and how many; a word that ends in white space must not be cut off.
 
-        A word that is empty or ends in white space stays unknown: the blank
-        behind it belongs to a run, so its text is encoded whole.
+        What stands between blanks may hold other white space, such as line
+        ends.  It is cut in front of that, and the parts behind are kept as well.
         """
-        cuts = {w: _PARTS.findall(" " + w) for w in words if w and not w[-1].isspace()}
-        wanted = {part for parts in cuts.values() for part in parts}
-        wanted |= heads
-        new = list(wanted.difference(self.parts))
-        self.encoded += len(new)
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for part, encoding in zip(new, encoded):
-            self.parts[part] = array("I", encoding.ids).tobytes()
-        for word, parts in cuts.items():
-            self.words[word] = b"".join([self.parts[part] for part in parts])
-        return list(cuts), new
+        first, behind, owner = [], [], []
+        for number, word in enumerate(words):
+            if _SPACE.search(word) and not word[-1].isspace():
+                one, *more = _PARTS.findall(word)
+                first.append(one)
+                behind.extend(more)
+                owner.extend([number] * len(more))
+            else:
+                first.append(word)
+        starts, sizes = self._blank_before(first)
+        if behind:
+            begin, held = self._inside(behind)
+            several = np.unique(owner)
+            order = np.argsort(np.concatenate([several, owner]), kind="stable")
+            units = np.concatenate([sizes[several], held])[order]
+            flat = self.known.gathered(np.concatenate([starts[several], begin])[order], units)
+            whole = np.bincount(np.concatenate([several, owner]).astype(np.int64)[order], units)[several].astype(np.int64)
+            starts[several] = self.known.put(flat) + np.cumsum(whole) - whole
+            sizes[several] = whole
+        return starts, sizes
+
+    def _inside(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts that start with white space and follow none."""
+        distinct = pa.array(parts, pa.string()).dictionary_encode()
+        one, two = hashes_of(distinct.dictionary, 2), hashes_of(distinct.dictionary, 3)
+        known, starts, sizes = self.known.find(one, two)
+        new = np.flatnonzero(~known)
+        if len(new):
+            starts[new], sizes[new] = self._one_by_one(distinct.dictionary.take(pa.array(new)).to_pylist())
+            self.known.add(one[new], two[new], starts[new], sizes[new])
+        place = distinct.indices.to_numpy()
+        return starts[place], sizes[place].astype(np.int64)
+
+    def _blank_before(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words without other white space.
+
+        A mark behind letters is a word of its own to the tokenizer, so the
+        letters are looked up, or encoded, without it.
+        """
+        marks = [w[-1] if w[-1] in _MARKS and _lettered(w[:-1]) else "" for w in words]
+        plain = [w[:-1] if mark else w for w, mark in zip(words, marks)]
+        distinct = pa.array(plain, pa.string()).dictionary_encode()
+        bases, place = distinct.dictionary, distinct.indices.to_numpy()
+        one, two = hashes_of(bases), hashes_of(bases, 1)
+        known, starts, sizes = self.known.find(one, two)
+        new = np.flatnonzero(~known)
+        if len(new):
+            starts[new], sizes[new] = self._encoded(bases.take(pa.array(new)).to_pylist())
+        marked = np.array([_MARKS.find(mark) if mark else -1 for mark in marks], np.int64)
+        # letters without their mark are known from now on, if they are not among the words themselves
+        alone = np.zeros(len(bases), bool)
+        alone[place[marked < 0]] = True
+        extra = np.flatnonzero(~known & ~alone)
+        self.known.add(one[extra], two[extra], starts[extra], sizes[extra])
+        begin, held = starts[place], sizes[place].astype(np.int64)
+        for number in np.unique(marked[marked >= 0]).tolist():
+            here = np.flatnonzero(marked == number)
+            ids = np.array(self.tokenizer.encode(_MARKS[number], add_special_tokens=False).ids, np.uint32)
+            size = held[here]
+            behind = np.cumsum(size + len(ids)) - len(ids)
+            flat = np.insert(self.known.gathered(begin[here], size), np.repeat(np.cumsum(size), len(ids)),
+                             np.tile(ids, len(here)))
+            begin[here] = self.known.put(flat) + behind - size
+            held[here] += len(ids)
+        return begin, held
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words, encoded.  Words of letters alone go many at a time,
+        since the tokenizer tells which of its own words an id belongs to."""
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        alone = [_lettered(w) for w in words]
+        lettered = [n for n, yes in enumerate(alone) if yes]
+        rest = [n for n, yes in enumerate(alone) if not yes]
+        parts = [lettered[at : at + TOGETHER] for at in range(0, len(lettered), TOGETHER)]
+        texts = [" " + " ".join([words[n] for n in part]) for part in parts]
+        for part, encoding in zip(parts, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            own = np.array([-1 if w is None else w for w in encoding.word_ids], np.int64)
+            if own[0] != 0 or own[-1] != len(part) - 1 or not np.isin(np.diff(own), (0, 1)).all():
+                rest.extend(part)
+                continue
+            size = np.bincount(own)
+            starts[part] = self.known.put(np.array(encoding.ids, np.uint32)) + np.cumsum(size) - size
+            sizes[part] = size
+        starts[rest], sizes[rest] = self._one_by_one([" " + words[n] for n in rest])
+        return starts, sizes
+
+    def _of_heads(self, heads: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the first words of texts, which are not kept: the next words overwrite them."""
+        used = self.known.used
+        found = self._one_by_one(heads)
+        self.known.used = used
+        return found
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        ids = [encoding.ids for encoding in encoded]
+        size = np.array([len(i) for i in ids], np.int64)
+        start = self.known.put(np.fromiter(chain.from_iterable(ids), np.uint32)) + np.cumsum(size) - size
+        return start, np.where([w[-1].isspace() for w in words], -1, size)
