@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailgraph.functions.text import format_label, is_compressed
+from trailgraph.workspace import write_partitions
 
 # The fields of the run records; others are ignored.
 INPUTS = (
@@ -165,11 +166,12 @@ PAIRED = (
 def save_paired(records: DataFrame, root: str) -> None:
     """Write the tree that ``load_paired`` reads, a file per run and side, from
     ``records`` with the columns ``experiment, run, lineage`` and those of ``PAIRED``."""
+    folders = ["experiment", "run", "lineage"]
     (
         records.withColumn("lineage", F.col("lineage").cast("string"))
-        .repartition("experiment", "run", "lineage")
+        .repartition(write_partitions(records.sparkSession), *folders)
         .write.option("maxRecordsPerFile", 1)
-        .partitionBy("experiment", "run", "lineage")
+        .partitionBy(*folders)
         .json(root)
     )
 
@@ -179,17 +181,22 @@ def load_paired(spark: SparkSession, root: str) -> DataFrame:
 
     The tree below ``root`` has a folder per experiment, run and side; what
     stands there is one JSON document, or a file of one written by Spark, whose
-    folders are named ``experiment=...`` and so on.
+    folders are named ``experiment=...`` and so on.  The tree is listed once for
+    both sides, the folders of an experiment by many tasks.
     """
     run = r"(experiment[-=][^/]+/run[-=][^/]+)/lineage[-=]"
+    path = F.col("_metadata.file_path")
+    files = (
+        spark.read.schema(PAIRED)
+        .option("multiLine", True)
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.json")
+        .json(root)
+    )
 
     def side(flag: str) -> DataFrame:
-        return (
-            spark.read.schema(PAIRED)
-            .option("multiLine", True)
-            .json(f"{root}/experiment[-=]*/run[-=]*/lineage[-=]{flag}/*.json")
-            .withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), run, 1))
-        )
+        inside = rf"/experiment[-=][^/]*/run[-=][^/]*/lineage[-=]{flag}/[^/]+$"
+        return files.filter(path.rlike(inside)).withColumn("run", F.regexp_extract(path, run, 1))
 
     duration = F.col("metadata.duration.duration")
     with_lineage = side("true").select(

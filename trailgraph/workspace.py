@@ -121,6 +121,13 @@ class Workspace:
         delete_path(self.spark, self.path)
 
 
+def write_partitions(spark: SparkSession) -> int:
+    """Partitions for a table of many small files.  Their number has to be given:
+    the rows are so few bytes that they would be merged into one task, which then
+    makes all files one after another."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
