@@ -54,3 +54,18 @@ def test_paired_tree_is_written_by_many_tasks(spark, tmp_path):
     assert sorted(int(row["lineage_id"]) for row in found) == list(range(40))
     assert {(row["with_lineage"], row["without_lineage"], row["iterations"]) for row in found} == {(2.0, 1.0, 1)}
     assert {row["run"] for row in found} == {f"experiment={n % 3}/run={n}" for n in range(40)}
+
+
+def test_first_ranks_are_joined_in_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layout, "SMALL_EDGES_PER_PARTITION", 1)
+    session = ProvenanceSession(
+        spark, storage=True, directory=str(tmp_path), run_id="r", capture=capture_for("CombinedPruning", "PageRank")
+    )
+    edges = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    PropertyGraph.from_edges(edges).with_session(session).pagerank(1)
+    session.flush()
+    first = min(node for node, path in session.stored().items())
+    assert len(writers(session.locations[first])) > 1
+    rows = session.snapshots().filter(F.col("node_id") == first).collect()
+    assert sorted((row["id"], row["value"]) for row in rows) == [(n, 1) for n in range(200)] + [(200, None)] or \
+        sorted((row["id"], int(row["value"])) for row in rows) == [(n, 1) for n in range(200)]

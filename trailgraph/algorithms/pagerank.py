@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trailgraph.algorithms.common import RoundRecorder, is_traced, preparation
 from trailgraph.graph import PropertyGraph
+from trailgraph.plans.layout import partitions_for
 from trailgraph.plans.prepared import PreparedGraph
 from trailgraph.plans.rounds import Recent, Round, write_round
 from trailgraph.provenance import events
@@ -58,8 +59,12 @@ class _Recorder(RoundRecorder):
 
 def _start(graph: PropertyGraph, ready: PreparedGraph) -> PropertyGraph:
     """Degrees on the vertices, then weights on the edges, then first ranks."""
-    degrees = ready.vertices.select("id", F.col("out_degree").alias("attr"))
-    base = replace(graph, vertices=ready.vertices.select("id"))
+    # Ids and degrees are so few bytes that their join would be merged into tasks
+    # of far too many rows; so its partitions are given.
+    parts = partitions_for(ready.spark, ready.counts["vertices"])
+    known = ready.vertices.repartition(parts, "id")
+    degrees = known.select("id", F.col("out_degree").alias("attr"))
+    base = replace(graph, vertices=known.select("id"))
     return (
         base.outer_join_vertices(degrees, "new")
         .map_triplets(F.lit(1.0) / F.col("src_attr"), ends=("src",))
