@@ -56,6 +56,19 @@ def test_paired_tree_is_written_by_many_tasks(spark, tmp_path):
     assert {row["run"] for row in found} == {f"experiment={n % 3}/run={n}" for n in range(40)}
 
 
+def test_stored_formats_read_a_table(spark, monkeypatch):
+    seen = []
+    plain = queries.write_snapshot
+
+    def write(vertices, path, storage_format):
+        seen.append(is_scan(vertices))
+        plain(vertices, path, storage_format)
+
+    monkeypatch.setattr(queries, "write_snapshot", write)
+    queries.QUERIES["snapshot_formats"](spark, SF)
+    assert seen == [True] * len(queries.STORED_FORMATS)
+
+
 def test_first_ranks_are_joined_in_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(layout, "SMALL_EDGES_PER_PARTITION", 1)
     session = ProvenanceSession(

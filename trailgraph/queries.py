@@ -950,8 +950,9 @@ def report_file(spark, sf_dir):
 @query
 def snapshot_formats(spark, sf_dir):
     """The graph of all parts, stored in every format that needs no package."""
-    vertices = views.part_graph(spark, sf_dir).vertices
-    base = Workspace(spark, "files").path
+    space = Workspace(spark, "files")
+    vertices = space.write("vertices", views.part_graph(spark, sf_dir).vertices).df  # read once a format
+    base = f"{space.path}/snapshots"
     found = []
     for number, name in enumerate(STORED_FORMATS):
         storage_format = StorageFormat.parse(name)
