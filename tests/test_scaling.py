@@ -83,6 +83,24 @@ def test_stored_formats_read_a_table(spark, monkeypatch):
     assert seen == [True] * len(queries.STORED_FORMATS)
 
 
+def test_graph_on_the_tables_of_its_preparation(spark):
+    ready = PreparedGraph(views.part_seq(spark, SF))
+    graph = queries._on_tables(ready)
+    assert is_scan(graph.edges) and is_scan(graph.vertices) and graph.listed is None
+    assert sorted(graph.edges.collect()) == sorted(ready.graph.edges.collect())
+    assert sorted(graph.vertices.collect()) == sorted(ready.graph.vertices.collect())
+    ready.release()
+
+
+@pytest.mark.parametrize("name", ["snapshot_edges", "verified_result"])
+def test_traced_graph_is_on_tables(spark, monkeypatch, name):
+    made = []
+    plain = queries._on_tables
+    monkeypatch.setattr(queries, "_on_tables", lambda ready: made.append(plain(ready)) or made[-1])
+    queries.QUERIES[name](spark, SF)
+    assert len(made) == 1 and made[0].edges_stored
+
+
 def test_first_ranks_are_joined_in_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(layout, "SMALL_EDGES_PER_PARTITION", 1)
     session = ProvenanceSession(
