@@ -101,6 +101,20 @@ def test_traced_graph_is_on_tables(spark, monkeypatch, name):
     assert len(made) == 1 and made[0].edges_stored
 
 
+@pytest.mark.parametrize("name", ["recorded_runs", "recorded_messages"])
+def test_recorded_runs_share_a_stored_graph(spark, monkeypatch, name):
+    seen = []
+    plain = queries.run
+
+    def run(spark, graph, request):
+        seen.append(graph.edges_stored and is_scan(graph.edges) and is_scan(graph.vertices))
+        return plain(spark, graph, request)
+
+    monkeypatch.setattr(queries, "run", run)
+    queries.QUERIES[name](spark, SF)
+    assert seen == [True, True]
+
+
 def test_first_ranks_are_joined_in_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(layout, "SMALL_EDGES_PER_PARTITION", 1)
     session = ProvenanceSession(

@@ -996,10 +996,9 @@ def output_size_listing(spark, sf_dir):
     return runlogs.load_output_sizes(spark, _text_file(spark, lines, "output-sizes"))
 
 
-def _recorded(spark, sf_dir) -> str:
-    """The folder of the records of two runs on the part sequence."""
+def _recorded(spark, graph: PropertyGraph) -> str:
+    """The folder of the records of two runs on ``graph``, the part sequence."""
     root = Workspace(spark, "records").path
-    graph = views.part_seq(spark, sf_dir)
     source = graph.vertices.agg(F.min("id")).first()[0]
     for number, algorithm, setup, parameters in (
         (1, "BFS", "CombinedPruning", {"source": source}),
@@ -1019,10 +1018,9 @@ def _recorded(spark, sf_dir) -> str:
 @query
 def recorded_runs(spark, sf_dir):
     """Two runs, read back from the records that they wrote."""
-    sizes = views.part_seq(spark, sf_dir).vertices.agg(
-        F.lit("part-seq").alias("graph"), F.count("id").alias("n_vertices")
-    )
-    found = runlogs.load_runs(spark, _recorded(spark, sf_dir), sizes)
+    graph = views.part_seq(spark, sf_dir).stored()
+    sizes = graph.vertices.agg(F.lit("part-seq").alias("graph"), F.count("id").alias("n_vertices"))
+    found = runlogs.load_runs(spark, _recorded(spark, graph), sizes)
     return found.select(
         "experiment", "setup", "algorithm", "dataset", "run_nr", "storage_format", "n_vertices",
         "iterations", (F.col("total_size") > 0).alias("stored"),
@@ -1032,7 +1030,7 @@ def recorded_runs(spark, sf_dir):
 @query
 def recorded_messages(spark, sf_dir):
     """Messages per graph of the recorded breadth-first search."""
-    found = runlogs.load_metrics(spark, _recorded(spark, sf_dir))
+    found = runlogs.load_metrics(spark, _recorded(spark, views.part_seq(spark, sf_dir).stored()))
     return found.filter("experiment = 'experiment-1' AND name = 'activeMessages'").select(
         F.col("value").cast("bigint").alias("messages")
     )
