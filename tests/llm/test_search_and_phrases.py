@@ -252,3 +252,22 @@ def test_retained_hashes_meet():
         found = bottom_k.retained(np.concatenate([base, other]), starts, levels, 85).to_pylist()
         assert len(found[0]) == len(base) - math.ceil(0.85 * len(base)) + 1
         assert set(found[0]) & set(found[1])
+
+
+@pytest.mark.parametrize("first_lists", [2, 64])
+def test_bottom_k_compares_a_pair_in_its_first_list(spark, monkeypatch, first_lists):
+    monkeypatch.setattr(bottom_k, "FIRST_LISTS", first_lists)
+    sketch = np.arange(40, dtype="<u4").tobytes()
+    # 1 to 8 meet in ten lists, 9 and 10 in others of some of them, always with labels of their own
+    held = [(value, node) for value in range(10) for node in range(1, 9)]
+    held += [(value, node) for value in (20, 21) for node in (1, 9, 10)] + [(30, 2), (30, 9)]
+    sizes = dict(Counter(value for value, _ in held))
+    rows = [(value, node, 40, sizes[value], node) for value, node in held]
+    lists = spark.createDataFrame(rows, "value bigint, node bigint, size bigint, members bigint, label bigint")
+    lists = lists.withColumn("sketch", F.lit(bytearray(sketch)))
+    found = [tuple(r) for r in bottom_k.listed_pairs(bottom_k.with_firsts(lists), 85).collect()]
+    wanted = {(a, b) for value in sizes for a in (n for v, n in held if v == value)
+              for b in (n for v, n in held if v == value) if a < b}
+    assert set(found) == wanted
+    if first_lists == 64:
+        assert len(found) == len(wanted)

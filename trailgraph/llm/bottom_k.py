@@ -17,7 +17,9 @@ without a partner that they do not rule out go.  Of the others, neighbours in ea
 list are compared first, which settles large groups of copies without all of
 their pairs.  Then, only in lists that still hold several components, sketches
 of the smallest hashes travel with the lists, and the pairs of different
-components go on whose union sketch does not rule them out.  Every pair that
+components go on whose union sketch does not rule them out.  The first lists of
+a member travel as well, and two members are compared in the first list that
+they share, so a pair is not found again in each of its lists.  Every pair that
 counts as a link is confirmed on full sets.
 """
 
@@ -58,6 +60,8 @@ ERRORS = 6
 FEW = 16
 #: Members of a list at most for which each pair is looked at by itself.
 SHORT = 6
+#: Lists of a member that travel with it, so that pairs are compared in their first common one alone.
+FIRST_LISTS = 64
 _LAST = np.uint32(0xFFFFFFFF)
 _WORD = (1 << 64) - 1
 # Blanks between words.
@@ -442,18 +446,58 @@ def with_partners(lists: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "node bigint").distinct()
 
 
-def other_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a list with different labels that their sketches do not rule out."""
+def not_met(value: int, labels: np.ndarray, sizes: np.ndarray, firsts: list[list[int]], percent: int) -> np.ndarray:
+    """For positions ``i < j`` of the list ``value``, whether the two could link and meet in no list before it."""
+    small, large = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
+    found = np.triu((labels[:, None] != labels) & (100 * small >= percent * large), 1)
+    known = [np.array(v, np.int64) for v in firsts]
+    known = [v[v < value] for v in known]
+    owner = np.repeat(np.arange(len(known)), [len(v) for v in known])
+    _, number, times = np.unique(np.concatenate(known), return_inverse=True, return_counts=True)
+    column = np.full(len(times), -1)
+    several = np.flatnonzero(times > 1)
+    for at in range(0, len(several), 1024):
+        if not found.any():
+            break
+        part = several[at : at + 1024]
+        column[part] = np.arange(len(part))
+        here = column[number] >= 0
+        has = np.zeros((len(known), len(part)), np.float32)
+        has[owner[here], column[number[here]]] = 1
+        found &= has @ has.T == 0
+        column[part] = -1
+    return found
+
+
+def listed_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """``other_pairs`` as the lists give them: once each, unless the two meet beyond their first ``FIRST_LISTS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
-            *numbers, sketches = list(zip(*rows))[3:]
+            *numbers, firsts, sketches = list(zip(*rows))[3:]
             nodes, sizes, labels = (np.array(c, np.int64) for c in numbers)
-            i, j = possible_links(labels, sizes, [np.frombuffer(v, "<u4") for v in sketches], percent)
+            wanted = not_met(rows[0][0], labels, sizes, firsts, percent)
+            at = np.flatnonzero(wanted.any(axis=0) | wanted.any(axis=1))
+            if not len(at):
+                continue
+            i, j = possible_links(labels[at], sizes[at], [np.frombuffer(sketches[n], "<u4") for n in at], percent)
+            i, j = at[i], at[j]
+            i, j = i[wanted[i, j]], j[wanted[i, j]]
             yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], names=["a", "b"])
 
-    ordered = in_blocks(lists, ["node", "size", "label", "sketch"])
-    return _ordered(ordered.mapInArrow(run, "a bigint, b bigint"), "a", "b").distinct()
+    ordered = in_blocks(lists, ["node", "size", "label", "firsts", "sketch"])
+    return _ordered(ordered.mapInArrow(run, "a bigint, b bigint"), "a", "b")
+
+
+def with_firsts(lists: DataFrame) -> DataFrame:
+    """``lists`` with ``firsts``, the first lists of each member in the order of their values."""
+    firsts = F.slice(F.sort_array(F.collect_set("value")), 1, FIRST_LISTS).alias("firsts")
+    return lists.join(lists.groupBy("node").agg(firsts), "node")
+
+
+def other_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a list with different labels that their sketches do not rule out."""
+    return listed_pairs(lists, percent).distinct()
 
 
 def _sketched(sets: DataFrame) -> DataFrame:
@@ -552,9 +596,9 @@ def _labels(lists: DataFrame, classes: DataFrame, texts: DataFrame, space, perce
         labelled = _labelled(lists, parts)
     labelled = space.write("labelled-lists", labelled).df
     mixed = labelled.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    open_ = labelled.join(mixed.filter("low < high").select("value"), "value")
+    open_ = space.write("open", labelled.join(mixed.filter("low < high").select("value"), "value")).df
     sketches = space.write("sketches", _sketched(sets)).df
-    others = other_pairs(open_.join(sketches, "node"), percent).join(near, ["a", "b"], "left_anti")
+    others = other_pairs(with_firsts(open_).join(sketches, "node"), percent).join(near, ["a", "b"], "left_anti")
     others = space.write("others", others).df
     more = space.write("other-links", confirmed(others, sets, percent), rows=F.count(F.lit(1)))
     if not more.observed["rows"] or parts is None:
