@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailgraph import PropertyGraph, queries, views
+from trailgraph.algorithms import clustering
 from trailgraph.plans import layout
 from trailgraph.plans.prepared import PreparedGraph
 from trailgraph.provenance import tables
@@ -147,3 +148,16 @@ def test_metrics_are_merged_in_bounded_tasks(spark, monkeypatch):
     assert got == {
         str(run): (sum(r == run for r, _, _ in seen), float(sum(v for r, _, v in seen if r == run))) for run in range(50)
     }
+
+
+def test_candidates_of_triangles_are_no_rows_of_their_own(spark, monkeypatch):
+    seen = []
+    plain = clustering._close
+    monkeypatch.setattr(clustering, "_close", lambda *given: seen.append(plain(*given)) or seen[-1])
+    edges = [(a, b) for a in range(12) for b in range(12) if (a * b + a) % 5 < 2]
+    graph = PropertyGraph.from_edges(spark.createDataFrame(edges, "src bigint, dst bigint"))
+    assert graph.lcc().vertices.count() == 12
+    plan = seen[0]._jdf.queryExecution().sparkPlan().toString()
+    keys = re.findall(r"Join \[([^]]*)\], \[([^]]*)\]", plan)
+    assert len(keys) == 2 and not any(re.search(r"\bz#", left + right) for left, right in keys)
+    assert plan.count("ShuffledHashJoin") == 2
