@@ -15,6 +15,7 @@ from trailgraph.provenance import tables
 from trailgraph.provenance.session import ProvenanceSession
 from trailgraph.provenance.setups import capture_for
 from trailgraph.sources import runlogs
+from trailgraph.workspace import Workspace
 
 SF = "/root/testdata/sf0.001"
 
@@ -161,3 +162,38 @@ def test_candidates_of_triangles_are_no_rows_of_their_own(spark, monkeypatch):
     keys = re.findall(r"Join \[([^]]*)\], \[([^]]*)\]", plan)
     assert len(keys) == 2 and not any(re.search(r"\bz#", left + right) for left, right in keys)
     assert plan.count("ShuffledHashJoin") == 2
+
+
+@pytest.mark.parametrize("name", ["pagerank", "wcc", "sssp"])
+def test_rounds_move_messages_alone(spark, monkeypatch, name):
+    monkeypatch.setattr(layout, "SMALL_EDGES_PER_PARTITION", 1)
+    rounds = {}
+    plain = Workspace.write_bucketed
+
+    def write(space, table, df, *args, **kwargs):
+        if table.startswith("round="):
+            rounds[table] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(space, table, df, *args, **kwargs)
+
+    monkeypatch.setattr(Workspace, "write_bucketed", write)
+    edges = spark.range(60).select(
+        F.col("id").alias("src"), ((F.col("id") * 7 + 3) % 60).alias("dst"), F.lit(1.0).alias("attr")
+    )
+    graph = PropertyGraph.from_edges(edges)
+    found = {"pagerank": lambda: graph.pagerank(3), "wcc": lambda: graph.wcc(3), "sssp": lambda: graph.sssp(1)}[name]()
+    assert found.vertices.count() == 60
+    assert rounds and all(plan.count("Exchange hashpartitioning") == 1 for plan in rounds.values())
+
+
+def test_a_vertex_without_id_takes_part_in_rounds(spark):
+    def results(nothing):
+        rows = [(1, 2, 1.0), (2, nothing, 1.0), (nothing, 3, 1.0), (3, 1, 2.0), (1, nothing, 5.0), (4, nothing, 1.0)]
+        graph = PropertyGraph.from_edges(spark.createDataFrame(rows, "src bigint, dst bigint, attr double"))
+        ranks = {row["id"]: round(row["attr"], 9) for row in graph.pagerank(4).vertices.collect()}
+        return {99 if node is None else node: rank for node, rank in ranks.items()}, graph
+
+    (with_null, graph), (with_id, _) = results(None), results(99)
+    # a vertex without id gets ranks, but no join finds it as a sender
+    assert with_null.keys() == with_id.keys() and with_null[99] > min(with_null.values())
+    assert {row["id"] for row in graph.sssp(1).vertices.collect()} == {1, 2, 3, 4, None}
+    assert {row["id"]: row["attr"] for row in graph.sssp(1).vertices.collect()}[None] == 2.0

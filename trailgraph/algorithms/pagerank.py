@@ -79,7 +79,11 @@ def _rounds(ready: PreparedGraph, num_iter: int, damping: float, observer) -> Da
     total = ready.counts["vertices"]
     first = F.lit(1.0 / max(total, 1))
     state = Table(ready.vertices.select("id", first.alias("value"), "out_degree"), "")
+    bucketed = observer is None and num_iter > 0 and not ready.outgoing.nulls
+    if bucketed:
+        state = workspace.write_bucketed("start", state.df, "id", ready.outgoing.parts)
     recent = Recent(workspace)
+    recent.add(state)
     dangling = ready.counts["dangling"] / max(total, 1)
     nothing = F.lit(None).cast("double")
     for number in range(num_iter):
@@ -91,20 +95,31 @@ def _rounds(ready: PreparedGraph, num_iter: int, damping: float, observer) -> Da
             F.col("dst").alias("id"), "part", F.lit(None).cast("bigint").alias("out_degree")
         )
         received = F.coalesce(F.sum("part"), F.lit(0.0))
-        updated = (
-            state.df.select("id", nothing.alias("part"), "out_degree")
-            .unionByName(sent)
-            .groupBy("id")
-            .agg(
-                ((1 - damping) / total + damping * (received + dangling / total)).alias("value"),
-                F.max("out_degree").alias("out_degree"),
-            )
-        )
+        rank = (1 - damping) / total + damping * (received + dangling / total)
         without_edges = F.when(F.col("out_degree") == 0, F.col("value"))
-        following, metrics = write_round(
-            workspace, f"round={number}", updated, number, observer,
-            dangling=F.coalesce(F.sum(without_edges), F.lit(0.0)),
-        )
+        spread = F.coalesce(F.sum(without_edges), F.lit(0.0))
+        if bucketed:
+            # ranks stay in the buckets of their senders; only messages move
+            ranks = sent.groupBy("id").agg(rank.alias("rank"))
+            updated = state.df.select("id", "out_degree").join(ranks.hint("shuffle_hash"), "id", "left").select(
+                "id",
+                F.coalesce("rank", F.lit((1 - damping) / total + damping * (dangling / total))).alias("value"),
+                "out_degree",
+            )
+            metrics = {}
+            following = workspace.write_bucketed(
+                f"round={number}", updated, "id", ready.outgoing.parts, placed=True, dangling=spread
+            )
+        else:
+            updated = (
+                state.df.select("id", nothing.alias("part"), "out_degree")
+                .unionByName(sent)
+                .groupBy("id")
+                .agg(rank.alias("value"), F.max("out_degree").alias("out_degree"))
+            )
+            following, metrics = write_round(
+                workspace, f"round={number}", updated, number, observer, dangling=spread
+            )
         dangling = following.observed["dangling"]
         if observer is not None:
             elapsed = time.perf_counter_ns() - started
@@ -113,5 +128,7 @@ def _rounds(ready: PreparedGraph, num_iter: int, damping: float, observer) -> Da
     if observer is not None:
         observer.finish()
     recent.keep_last()
+    if bucketed:
+        state = workspace.plain(state)
     ranks = state.df.select("id", F.col("value").alias("attr"))
     return ranks if state.path else workspace.write("ranks", ranks).df

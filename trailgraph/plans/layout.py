@@ -40,6 +40,7 @@ def vertex_table(workspace: Workspace, vertices: DataFrame, edges: DataFrame) ->
         smallest_id=F.min("id"),
         edges=F.coalesce(F.sum("out_degree"), zero),
         dangling=F.count_if(F.col("out_degree") == 0),
+        nulls=F.count_if(F.col("id").isNull()),
         max_out=F.coalesce(F.max("out_degree"), zero),
         max_in=F.coalesce(F.max("in_degree"), zero),
         max_degree=F.coalesce(F.max(F.col("out_degree") + F.col("in_degree")), zero),
@@ -64,10 +65,12 @@ class EdgeLayout:
     """
 
     def __init__(self, workspace: Workspace, name: str, edges: DataFrame, degrees: DataFrame,
-                 total: int, largest: int, min_hot_rows: int | None = None):
-        """``degrees`` is ``(id, degree)`` of the senders of ``edges``."""
+                 total: int, largest: int, min_hot_rows: int | None = None, nulls: bool = False):
+        """``degrees`` is ``(id, degree)`` of the senders of ``edges``; ``nulls``
+        says that a vertex may have no id, so that states cannot be joined by it."""
         spark = edges.sparkSession
         self.total = total
+        self.nulls = nulls
         self.workspace = workspace
         parts = partitions_for(spark, total)
         limit = skew.threshold(total, min_hot_rows)

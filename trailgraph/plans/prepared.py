@@ -54,7 +54,9 @@ class PreparedGraph:
 
     def _layout(self, name: str, edges: DataFrame, degree, total: int, largest: int) -> EdgeLayout:
         degrees = self.vertices.select("id", degree.alias("degree"))
-        layout = EdgeLayout(self.workspace, name, edges, degrees, total, largest, self.min_hot_rows)
+        layout = EdgeLayout(
+            self.workspace, name, edges, degrees, total, largest, self.min_hot_rows, self.counts["nulls"] > 0
+        )
         self._layouts.append(layout)
         return layout
 

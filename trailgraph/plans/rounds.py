@@ -147,6 +147,10 @@ def _whole_round(
     workspace: Workspace, layout: EdgeLayout, state: State, message: Column, number: int, observer
 ) -> tuple[Table, dict]:
     sent = layout.meet(state.senders).select(F.col("dst").alias("id"), message.alias("value"))
+    metrics = {"changed": F.count_if(F.col("changed")), "vertices": F.count(F.lit(1))}
+    if workspace.is_bucketed(state.base) and not (observer is not None and observer.wanted(number)):
+        merged = _met_state(state, sent)
+        return workspace.write_bucketed(f"round={number}", merged, "id", layout.parts, placed=True, **metrics), {}
     value_type = state.rows.schema["value"].dataType
     merged = (
         state.rows.select("id", "value", F.col("value").alias("old"))
@@ -155,9 +159,22 @@ def _whole_round(
         .agg(F.min("value").alias("value"), F.min("old").alias("old"))
         .select("id", "value", (F.col("value") < F.col("old")).alias("changed"))
     )
-    return write_round(
-        workspace, f"round={number}", merged, number, observer,
-        changed=F.count_if(F.col("changed")), vertices=F.count(F.lit(1)),
+    return write_round(workspace, f"round={number}", merged, number, observer, **metrics)
+
+
+def _met_state(state: State, sent: DataFrame) -> DataFrame:
+    """``(id, value, changed)`` after ``sent``, where the whole state is bucketed:
+    only messages and deltas move, and what is written is bucketed again."""
+    nothing = F.lit(None).cast(sent.schema["value"].dataType)
+    moved = sent.select("id", F.col("value").alias("best"), nothing.alias("fell"))
+    for delta in state.deltas:
+        moved = moved.unionByName(delta.df.select("id", nothing.alias("best"), F.col("value").alias("fell")))
+    least = moved.groupBy("id").agg(F.min("best").alias("best"), F.min("fell").alias("fell"))
+    old = F.least("value", "fell")
+    return (
+        state.base.df.select("id", "value")
+        .join(least.hint("shuffle_hash"), "id", "left")
+        .select("id", F.least(old, "best").alias("value"), F.coalesce(F.col("best") < old, F.lit(False)).alias("changed"))
     )
 
 
@@ -211,8 +228,10 @@ def relax(
     Each round, the vertices changed by the last one send ``message`` (built
     from ``value`` and the edge columns) along their out-edges, and every vertex
     keeps the minimum.  Only changed vertices need to send, because what the
-    others would send has been applied already.  State and messages are merged
-    by one aggregation: one job and one vertex-sized shuffle per round.
+    others would send has been applied already.  The state is bucketed like the
+    edges, so a round moves its messages alone, which are merged before they
+    meet it; where a vertex has no id, or an observer has metrics, state and
+    messages are merged by one aggregation.
 
     A round with few senders is sparse: they are broadcast to the edges, what
     they send meets the values of its receivers alone, and the vertices that
@@ -224,7 +243,10 @@ def relax(
     many vertices the following round changes (after a capped last round that
     takes one more pass, whose result is dropped).
     """
-    state = State(Table(initial, ""), initial.filter("changed").select("id", "value"))
+    base = Table(initial, "")
+    if not layout.nulls:
+        base = workspace.write_bucketed("start", initial, "id", layout.parts)
+    state = State(base, base.df.filter("changed").select("id", "value"))
     superseded = Superseded(workspace)
     vertices = number = 0
     pending: Round | None = None
@@ -269,7 +291,9 @@ def relax(
     if on_round is not None:
         on_round.finish()
     last = state.base
-    if state.deltas or workspace.is_bucketed(last):
+    if workspace.is_bucketed(last) and not state.deltas:
+        last = workspace.plain(last)
+    elif state.deltas:
         last = workspace.write("last", state.values)
         superseded.put(number, state.tables)
     superseded.drop()

@@ -80,24 +80,32 @@ class Workspace:
         (observed if keep is None else observed.select(*keep)).write.parquet(path)
         return Table(self.read(path, kept), path, dict(observation.get))
 
-    def write_bucketed(self, name: str, df: DataFrame, key: str, buckets: int) -> Table:
+    def write_bucketed(
+        self, name: str, df: DataFrame, key: str, buckets: int, *, placed: bool = False, **metrics: Column
+    ) -> Table:
         """Write ``df`` as a table with one file a bucket of ``key``, sorted by it.
 
         A join or aggregation on ``key`` reads it without moving it, and a filter
-        on a few keys reads their buckets alone.
+        on a few keys reads their buckets alone.  ``placed`` says that the tasks of
+        ``df`` have one bucket each already; it is written as it stands then, in no
+        order.  ``metrics`` are as in ``write``.
         """
         limit = int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
         buckets = max(1, min(buckets, limit))
         path, table = f"{self.path}/{name}", f"trailgraph_{uuid.uuid4().hex}"
-        (
-            df.repartition(buckets, key)
-            .write.bucketBy(buckets, key)
-            .sortBy(key)
-            .option("path", path)
-            .saveAsTable(table)
-        )
+        rows, observation = df if placed else df.repartition(buckets, key), Observation()
+        if metrics:
+            rows = rows.observe(observation, *[metric.alias(key) for key, metric in metrics.items()])
+        writer = rows.write.bucketBy(buckets, key)
+        (writer if placed else writer.sortBy(key)).option("path", path).saveAsTable(table)
         self._named[path] = table
-        return Table(self.spark.table(table), path)
+        return Table(self.spark.table(table), path, dict(observation.get) if metrics else {})
+
+    def plain(self, table: Table) -> Table:
+        """A bucketed table as files alone, out of the catalog."""
+        df = self.read(table.path, table.df)
+        self._forget(table.path)
+        return Table(df, table.path, table.observed)
 
     def is_bucketed(self, table: Table) -> bool:
         return table.path in self._named
