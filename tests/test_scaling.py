@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailgraph import PropertyGraph, queries, views
 from trailgraph.algorithms import clustering
-from trailgraph.plans import layout
+from trailgraph.plans import layout, rounds
 from trailgraph.plans.prepared import PreparedGraph
 from trailgraph.provenance import tables
 from trailgraph.provenance.session import ProvenanceSession
@@ -167,12 +167,12 @@ def test_candidates_of_triangles_are_no_rows_of_their_own(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["pagerank", "wcc", "sssp"])
 def test_rounds_move_messages_alone(spark, monkeypatch, name):
     monkeypatch.setattr(layout, "SMALL_EDGES_PER_PARTITION", 1)
-    rounds = {}
+    plans = {}
     plain = Workspace.write_bucketed
 
     def write(space, table, df, *args, **kwargs):
         if table.startswith("round="):
-            rounds[table] = df._jdf.queryExecution().executedPlan().toString()
+            plans[table] = df._jdf.queryExecution().executedPlan().toString()
         return plain(space, table, df, *args, **kwargs)
 
     monkeypatch.setattr(Workspace, "write_bucketed", write)
@@ -182,7 +182,7 @@ def test_rounds_move_messages_alone(spark, monkeypatch, name):
     graph = PropertyGraph.from_edges(edges)
     found = {"pagerank": lambda: graph.pagerank(3), "wcc": lambda: graph.wcc(3), "sssp": lambda: graph.sssp(1)}[name]()
     assert found.vertices.count() == 60
-    assert rounds and all(plan.count("Exchange hashpartitioning") == 1 for plan in rounds.values())
+    assert plans and all(plan.count("Exchange hashpartitioning") == 1 for plan in plans.values())
 
 
 def test_a_vertex_without_id_takes_part_in_rounds(spark):
@@ -197,3 +197,17 @@ def test_a_vertex_without_id_takes_part_in_rounds(spark):
     assert with_null.keys() == with_id.keys() and with_null[99] > min(with_null.values())
     assert {row["id"] for row in graph.sssp(1).vertices.collect()} == {1, 2, 3, 4, None}
     assert {row["id"]: row["attr"] for row in graph.sssp(1).vertices.collect()}[None] == 2.0
+
+
+@pytest.mark.parametrize("max_deltas", [0, 16])
+def test_no_id_is_lost_after_sparse_rounds(spark, monkeypatch, max_deltas):
+    # one sender, so sparse, then a wide round, in which the vertex without id gets a shorter way
+    monkeypatch.setattr(rounds, "MOST_DELTAS", max_deltas)
+    rows = [(0, 1, 1.0), (1, 2, 1.0)]
+    rows += [(2, n, 1.0) for n in range(3, 203)] + [(n, None, 1.0) for n in range(3, 203)]
+    graph = PropertyGraph.from_edges(
+        spark.createDataFrame(rows, "src bigint, dst bigint, attr double"),
+        spark.range(1000).select("id"),
+    )
+    found = {row["id"]: row["attr"] for row in graph.sssp(0).vertices.collect()}
+    assert found[None] == 4.0 and found[202] == 3.0 and found[999] == float("inf")

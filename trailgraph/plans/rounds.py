@@ -148,7 +148,8 @@ def _whole_round(
 ) -> tuple[Table, dict]:
     sent = layout.meet(state.senders).select(F.col("dst").alias("id"), message.alias("value"))
     metrics = {"changed": F.count_if(F.col("changed")), "vertices": F.count(F.lit(1))}
-    if workspace.is_bucketed(state.base) and not (observer is not None and observer.wanted(number)):
+    joined = workspace.is_bucketed(state.base) and not layout.nulls
+    if joined and not (observer is not None and observer.wanted(number)):
         merged = _met_state(state, sent)
         return workspace.write_bucketed(f"round={number}", merged, "id", layout.parts, placed=True, **metrics), {}
     value_type = state.rows.schema["value"].dataType
