@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_algorithms import random_graph
 from trailgraph import PropertyGraph, queries, views
 from trailgraph.algorithms import clustering
 from trailgraph.plans import layout, rounds
@@ -167,6 +168,7 @@ def test_candidates_of_triangles_are_no_rows_of_their_own(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["pagerank", "wcc", "sssp"])
 def test_rounds_move_messages_alone(spark, monkeypatch, name):
     monkeypatch.setattr(layout, "SMALL_EDGES_PER_PARTITION", 1)
+    monkeypatch.setattr(layout, "BUCKETED_STATE_ROWS", 0)
     plans = {}
     plain = Workspace.write_bucketed
 
@@ -185,7 +187,9 @@ def test_rounds_move_messages_alone(spark, monkeypatch, name):
     assert plans and all(plan.count("Exchange hashpartitioning") == 1 for plan in plans.values())
 
 
-def test_a_vertex_without_id_takes_part_in_rounds(spark):
+def test_a_vertex_without_id_takes_part_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(layout, "BUCKETED_STATE_ROWS", 0)
+
     def results(nothing):
         rows = [(1, 2, 1.0), (2, nothing, 1.0), (nothing, 3, 1.0), (3, 1, 2.0), (1, nothing, 5.0), (4, nothing, 1.0)]
         graph = PropertyGraph.from_edges(spark.createDataFrame(rows, "src bigint, dst bigint, attr double"))
@@ -203,6 +207,7 @@ def test_a_vertex_without_id_takes_part_in_rounds(spark):
 def test_no_id_is_lost_after_sparse_rounds(spark, monkeypatch, max_deltas):
     # one sender, so sparse, then a wide round, in which the vertex without id gets a shorter way
     monkeypatch.setattr(rounds, "MOST_DELTAS", max_deltas)
+    monkeypatch.setattr(layout, "BUCKETED_STATE_ROWS", 0)
     rows = [(0, 1, 1.0), (1, 2, 1.0)]
     rows += [(2, n, 1.0) for n in range(3, 203)] + [(n, None, 1.0) for n in range(3, 203)]
     graph = PropertyGraph.from_edges(
@@ -211,3 +216,19 @@ def test_no_id_is_lost_after_sparse_rounds(spark, monkeypatch, max_deltas):
     )
     found = {row["id"]: row["attr"] for row in graph.sssp(0).vertices.collect()}
     assert found[None] == 4.0 and found[202] == 3.0 and found[999] == float("inf")
+
+
+def test_bucketed_states_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(layout, "SMALL_EDGES_PER_PARTITION", 20)
+    _, _, graph = random_graph(spark, 2)
+
+    def results():
+        found = [graph.bfs(0), graph.sssp(0), graph.wcc(), graph.wcc(2), graph.pagerank(5)]
+        return [{row["id"]: row["attr"] for row in each.vertices.collect()} for each in found]
+
+    plain = results()
+    monkeypatch.setattr(layout, "BUCKETED_STATE_ROWS", 0)
+    for share in (100, 2):
+        monkeypatch.setattr(rounds, "SPARSE_SHARE", share)
+        *values, ranks = results()
+        assert values == plain[:-1] and ranks == pytest.approx(plain[-1])

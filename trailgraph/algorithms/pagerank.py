@@ -79,7 +79,7 @@ def _rounds(ready: PreparedGraph, num_iter: int, damping: float, observer) -> Da
     total = ready.counts["vertices"]
     first = F.lit(1.0 / max(total, 1))
     state = Table(ready.vertices.select("id", first.alias("value"), "out_degree"), "")
-    bucketed = observer is None and num_iter > 0 and not ready.outgoing.nulls
+    bucketed = observer is None and num_iter > 0 and ready.outgoing.joins_states
     if bucketed:
         state = workspace.write_bucketed("start", state.df, "id", ready.outgoing.parts)
     recent = Recent(workspace)

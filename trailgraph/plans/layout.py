@@ -9,6 +9,9 @@ from trailgraph.workspace import Table, Workspace
 
 EDGES_PER_PARTITION = 4_000_000
 SMALL_EDGES_PER_PARTITION = 50_000
+#: Vertices above which a state is kept in buckets; fewer are moved in less time
+#: than a table in the catalog takes.
+BUCKETED_STATE_ROWS = 100_000
 
 
 def vertex_table(workspace: Workspace, vertices: DataFrame, edges: DataFrame) -> Table:
@@ -65,12 +68,13 @@ class EdgeLayout:
     """
 
     def __init__(self, workspace: Workspace, name: str, edges: DataFrame, degrees: DataFrame,
-                 total: int, largest: int, min_hot_rows: int | None = None, nulls: bool = False):
-        """``degrees`` is ``(id, degree)`` of the senders of ``edges``; ``nulls``
-        says that a vertex may have no id, so that states cannot be joined by it."""
+                 total: int, largest: int, min_hot_rows: int | None = None, joins_states: bool = False):
+        """``degrees`` is ``(id, degree)`` of the senders of ``edges``;
+        ``joins_states`` says that states are to be bucketed like the edges and
+        joined with their messages: all vertices have ids, and they are many."""
         spark = edges.sparkSession
         self.total = total
-        self.nulls = nulls
+        self.joins_states = joins_states
         self.workspace = workspace
         parts = partitions_for(spark, total)
         limit = skew.threshold(total, min_hot_rows)

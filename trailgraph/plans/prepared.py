@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
-from trailgraph.plans import skew
+from trailgraph.plans import layout as layouts, skew
 from trailgraph.plans.layout import EdgeLayout, vertex_table
 from trailgraph.workspace import Workspace
 
@@ -54,8 +54,9 @@ class PreparedGraph:
 
     def _layout(self, name: str, edges: DataFrame, degree, total: int, largest: int) -> EdgeLayout:
         degrees = self.vertices.select("id", degree.alias("degree"))
+        joins_states = not self.counts["nulls"] and self.counts["vertices"] > layouts.BUCKETED_STATE_ROWS
         layout = EdgeLayout(
-            self.workspace, name, edges, degrees, total, largest, self.min_hot_rows, self.counts["nulls"] > 0
+            self.workspace, name, edges, degrees, total, largest, self.min_hot_rows, joins_states
         )
         self._layouts.append(layout)
         return layout

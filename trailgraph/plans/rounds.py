@@ -148,7 +148,7 @@ def _whole_round(
 ) -> tuple[Table, dict]:
     sent = layout.meet(state.senders).select(F.col("dst").alias("id"), message.alias("value"))
     metrics = {"changed": F.count_if(F.col("changed")), "vertices": F.count(F.lit(1))}
-    joined = workspace.is_bucketed(state.base) and not layout.nulls
+    joined = workspace.is_bucketed(state.base) and layout.joins_states
     if joined and not (observer is not None and observer.wanted(number)):
         merged = _met_state(state, sent)
         return workspace.write_bucketed(f"round={number}", merged, "id", layout.parts, placed=True, **metrics), {}
@@ -229,10 +229,10 @@ def relax(
     Each round, the vertices changed by the last one send ``message`` (built
     from ``value`` and the edge columns) along their out-edges, and every vertex
     keeps the minimum.  Only changed vertices need to send, because what the
-    others would send has been applied already.  The state is bucketed like the
-    edges, so a round moves its messages alone, which are merged before they
-    meet it; where a vertex has no id, or an observer has metrics, state and
-    messages are merged by one aggregation.
+    others would send has been applied already.  State and messages are merged
+    by one aggregation: one job and one vertex-sized shuffle per round.  A state
+    of many vertices is bucketed like the edges instead, so that a round moves
+    its messages alone, unless a vertex has no id or an observer has metrics.
 
     A round with few senders is sparse: they are broadcast to the edges, what
     they send meets the values of its receivers alone, and the vertices that
@@ -245,7 +245,7 @@ def relax(
     takes one more pass, whose result is dropped).
     """
     base = Table(initial, "")
-    if not layout.nulls:
+    if layout.joins_states:
         base = workspace.write_bucketed("start", initial, "id", layout.parts)
     state = State(base, base.df.filter("changed").select("id", "value"))
     superseded = Superseded(workspace)
