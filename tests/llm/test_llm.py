@@ -136,6 +136,23 @@ def test_cached_tokens_of_random_texts(name):
             assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_met_again_stay_known(monkeypatch, name):
+    from trailgraph.llm import token_cache
+
+    monkeypatch.setattr(token_cache, "KEPT_WORDS", 60)
+    often = "Straße über Œuvre, Élan... Ærø!? ŉa ſo İl AÇAÍ;; x&&& don't\nGo 3$ often once."
+    texts = [" ".join(["a", often, *(f"{letter * n}Ž" for letter in "bcdefgh")]) for n in range(1, 30)]
+    encoder = token_cache.Encoder(tokenizer_path(name))
+    once, learned = [], encoder._learned
+    monkeypatch.setattr(encoder, "_learned", lambda words: once.extend(map(str, words)) or learned(words))
+    for text in texts:
+        (ids,) = encoder.encode([text])
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert all(once.count(word) == 1 for word in often.split(" "))  # although many others came and went
+    assert len(encoder.known) < 120
+
+
 def last_sequences(places, counts):
     """The last sequence of each run of equal pieces that ``plan`` returns."""
     for at, (length, rank, first, each, _) in enumerate(places):

@@ -11,19 +11,22 @@ are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from itertools import chain
 from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from trailgraph.llm.common import by_size
 from trailgraph.llm.words import byte_class, hashes_of, words_of
 
-#: Words kept by a worker; when there are more, it starts anew.
+#: Words kept by a worker; when there are more, those met but once go.
 KEPT_WORDS = 1_500_000
 #: Bytes of text whose words are looked up together.
 STEP_BYTES = 4 << 20
@@ -31,9 +34,12 @@ STEP_BYTES = 4 << 20
 _UNSAFE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 _BLANK = byte_class(b" ")
 # Marks that no tokenizer here joins with letters before them.
-_MARKS = ".,!?"
+_MARKS = ".,!?;:$%&*#"
 _SPACE = re.compile(r"\s")
 _PARTS = re.compile(r"\s*\S+")
+# Composed Latin letters whose lower case is one letter each.
+_PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+"
+_PLAIN_ALONE, _PLAIN_MARKED = _PLAIN + "$", _PLAIN + f"[{_MARKS}]*$"
 #: Words of letters that are encoded at once.
 TOGETHER = 2_000
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -51,11 +57,63 @@ def _lettered(word: str) -> bool:
     return word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha())
 
 
+def _matches(words: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
+
+
+class Plain:
+    """Encodes words of Latin letters, a blank before each, many at a time.
+
+    Normalizing takes most of a tokenizer's time and does nothing to composed
+    lower-case letters and single blanks.  So one that would not normalize gets
+    the words in lower case, and its ids are cut where words end or begin.
+    """
+
+    def __init__(self, tokenizer):
+        from tokenizers import Tokenizer
+
+        spec = json.loads(tokenizer.to_str())
+        normalizer = spec["normalizer"] or {"type": "Sequence", "normalizers": []}
+        steps = normalizer.get("normalizers", [normalizer])
+        blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        splits = spec["pre_tokenizer"] or {"type": ""}
+        splits = [split["type"] for split in splits.get("pretokenizers", [splits])]
+        self.lower = {"type": "Lowercase"} in steps
+        self.suffix = spec["model"].get("end_of_word_suffix")
+        #: Whether no step does anything else, and ids tell where words end or begin.
+        self.usable = (
+            all(step in ({"type": "NFC"}, {"type": "Lowercase"}, blanks) for step in steps)
+            and splits[-1] == "ByteLevel" and spec["model"]["type"] == "BPE"
+        )
+        if self.usable:
+            self.tokenizer = Tokenizer.from_str(json.dumps({**spec, "normalizer": None}))
+            self.edge = np.zeros(tokenizer.get_vocab_size(), bool)
+            for token, number in tokenizer.get_vocab(with_added_tokens=False).items():
+                self.edge[number] = token.endswith(self.suffix) if self.suffix else token.startswith("\u0120")
+
+    def encode(self, words: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
+        """Of each run of words: the first, the one after the last, the ids, and how
+        many each word has, or none if that can't be told."""
+        bounds = np.append(np.arange(0, len(words), TOGETHER), len(words))
+        runs = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pc.utf8_lower(words) if self.lower else words)
+        texts = [" " + text for text in pc.binary_join(runs, " ").to_pylist()]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        for first, after, encoding in zip(bounds[:-1].tolist(), bounds[1:].tolist(), encoded):
+            ids = np.array(encoding.ids, np.uint32)
+            edges = np.flatnonzero(self.edge[ids])
+            if self.suffix:
+                told, sizes = edges[-1:] == len(ids) - 1, np.diff(edges, prepend=-1)
+            else:
+                told, sizes = edges[:1] == 0, np.diff(edges, append=len(ids))
+            yield first, after, ids, sizes if told.all() and len(edges) == after - first else None
+
+
 class Known:
     """Ids of words by two hashes.  A size of -1 says that the word must not be cut off."""
 
     def __init__(self):
-        self.tiers = [self._tier([np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64), np.zeros(0, np.int32)])] * 2
+        empty = [np.zeros(0, kind) for kind in (np.uint64, np.uint64, np.int64, np.int32, bool)]
+        self.tiers = [empty, empty]
         self.ids = np.zeros(1024, np.uint32)
         self.used = 0
 
@@ -71,12 +129,13 @@ class Known:
         """Which words are known, where their ids start, and how many they are."""
         known = np.zeros(len(one), bool)
         starts, sizes = np.zeros(len(one), np.int64), np.zeros(len(one), np.int32)
-        for first, second, start, size in self.tiers:
+        for first, second, start, size, met in self.tiers:
             if len(first):
                 at = np.minimum(np.searchsorted(first, one), len(first) - 1)
                 here = (first[at] == one) & (second[at] == two)
                 known |= here
                 starts[here], sizes[here] = start[at[here]], size[at[here]]
+                met[at[here]] = True
         return known, starts, sizes
 
     def put(self, ids: np.ndarray) -> int:
@@ -96,11 +155,22 @@ class Known:
     def add(self, one: np.ndarray, two: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         """Keep words that are not known, whose ids are laid down."""
         old, new = self.tiers
-        new = self._tier([np.concatenate(pair) for pair in zip(new, (one, two, starts, sizes.astype(np.int32)))])
+        columns = one, two, starts, sizes.astype(np.int32), np.zeros(len(one), bool)
+        new = self._tier([np.concatenate(pair) for pair in zip(new, columns)])
         if 4 * len(new[0]) > len(old[0]):
             old, new = self._tier([np.concatenate(pair) for pair in zip(old, new)]), [c[:0] for c in new]
         self.tiers = [old, new]
 
+    def met_again(self, most: int) -> "Known":
+        """Those that were met again, with their ids, if they are no more than ``most``."""
+        *columns, met = (np.concatenate(pair) for pair in zip(*self.tiers))
+        one, two, starts, sizes = (column[met] for column in columns)
+        kept = Known()
+        if len(one) <= most:
+            held = np.maximum(sizes, 0).astype(np.int64)
+            kept.add(one, two, kept.put(self.gathered(starts, sizes)) + np.cumsum(held) - held, sizes)
+        return kept
+
 
 class Encoder:
     def __init__(self, path: str):
@@ -109,6 +179,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.plain = Plain(self.tokenizer)
         self.known = Known()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -154,24 +225,25 @@ class Encoder:
     def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of words that follow a blank start, and how many they are."""
         if len(self.known) > KEPT_WORDS:
-            self.known = Known()
+            self.known = self.known.met_again(KEPT_WORDS // 2)
         one, two = hashes_of(words), hashes_of(words, 1)
         known, starts, sizes = self.known.find(one, two)
         new = np.flatnonzero(~known)
         if len(new):
-            names = words.take(pa.array(new)).to_pylist()
-            starts[new], sizes[new] = self._learned(names)
+            starts[new], sizes[new] = self._learned(words.take(pa.array(new)))
             self.known.add(one[new], two[new], starts[new], sizes[new])
         return starts, sizes
 
-    def _learned(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learned(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of new words start, and how many; a word that ends in white space must not be cut off.
 
         What stands between blanks may hold other white space, such as line
         ends.  It is cut in front of that, and the parts behind are kept as well.
         """
         first, behind, owner = [], [], []
-        for number, word in enumerate(words):
+        plain = _matches(words, _PLAIN_MARKED)
+        odd = np.flatnonzero(~plain)
+        for number, word in zip(odd.tolist(), words.take(pa.array(odd)).to_pylist()):
             if _SPACE.search(word) and not word[-1].isspace():
                 one, *more = _PARTS.findall(word)
                 first.append(one)
@@ -179,7 +251,11 @@ class Encoder:
                 owner.extend([number] * len(more))
             else:
                 first.append(word)
-        starts, sizes = self._blank_before(first)
+        begin, held = self._blank_before(
+            pa.concat_arrays([words.filter(pa.array(plain)), pa.array(first, pa.string())])
+        )
+        place = np.argsort(np.concatenate([np.flatnonzero(plain), odd]))
+        starts, sizes = begin[place], held[place]
         if behind:
             begin, held = self._inside(behind)
             several = np.unique(owner)
@@ -203,46 +279,64 @@ class Encoder:
         place = distinct.indices.to_numpy()
         return starts[place], sizes[place].astype(np.int64)
 
-    def _blank_before(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _blank_before(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for words without other white space.
 
-        A mark behind letters is a word of its own to the tokenizer, so the
-        letters are looked up, or encoded, without it.
+        Marks behind letters are a word of their own to the tokenizer, so the
+        letters are looked up, or encoded, without them.
         """
-        marks = [w[-1] if w[-1] in _MARKS and _lettered(w[:-1]) else "" for w in words]
-        plain = [w[:-1] if mark else w for w, mark in zip(words, marks)]
-        distinct = pa.array(plain, pa.string()).dictionary_encode()
+        plain = _matches(words, _PLAIN_MARKED)
+        odd = np.flatnonzero(~plain)
+        others = words.take(pa.array(odd)).to_pylist()
+        letters = [w.rstrip(_MARKS) for w in others]
+        letters = [one if _lettered(one) else w for one, w in zip(letters, others)]
+        order = pa.array(np.argsort(np.concatenate([np.flatnonzero(plain), odd])))
+        cut = pc.utf8_rtrim(words.filter(pa.array(plain)), _MARKS)
+        distinct = pa.concat_arrays([cut, pa.array(letters, pa.string())]).take(order).dictionary_encode()
         bases, place = distinct.dictionary, distinct.indices.to_numpy()
         one, two = hashes_of(bases), hashes_of(bases, 1)
         known, starts, sizes = self.known.find(one, two)
         new = np.flatnonzero(~known)
         if len(new):
-            starts[new], sizes[new] = self._encoded(bases.take(pa.array(new)).to_pylist())
-        marked = np.array([_MARKS.find(mark) if mark else -1 for mark in marks], np.int64)
-        # letters without their mark are known from now on, if they are not among the words themselves
+            starts[new], sizes[new] = self._encoded(bases.take(pa.array(new)))
+        marked = pc.not_equal(pc.binary_length(words), pc.binary_length(bases.take(distinct.indices)))
+        marked = marked.to_numpy(zero_copy_only=False)
+        # letters without their marks are known from now on, if they are not among the words themselves
         alone = np.zeros(len(bases), bool)
-        alone[place[marked < 0]] = True
+        alone[place[~marked]] = True
         extra = np.flatnonzero(~known & ~alone)
         self.known.add(one[extra], two[extra], starts[extra], sizes[extra])
         begin, held = starts[place], sizes[place].astype(np.int64)
-        for number in np.unique(marked[marked >= 0]).tolist():
-            here = np.flatnonzero(marked == number)
-            ids = np.array(self.tokenizer.encode(_MARKS[number], add_special_tokens=False).ids, np.uint32)
-            size = held[here]
-            behind = np.cumsum(size + len(ids)) - len(ids)
-            flat = np.insert(self.known.gathered(begin[here], size), np.repeat(np.cumsum(size), len(ids)),
-                             np.tile(ids, len(here)))
-            begin[here] = self.known.put(flat) + behind - size
-            held[here] += len(ids)
+        here = np.flatnonzero(marked)
+        if len(here):
+            behind = pc.replace_substring_regex(words.take(pa.array(here)), f"^.*[^{_MARKS}]", "").dictionary_encode()
+            where, many = self._one_by_one(behind.dictionary.to_pylist())
+            where, many = where[behind.indices.to_numpy()], many[behind.indices.to_numpy()]
+            flat = self.known.gathered(
+                np.column_stack([begin[here], where]).ravel(), np.column_stack([held[here], many]).ravel()
+            )
+            held[here] += many
+            begin[here] = self.known.put(flat) + np.cumsum(held[here]) - held[here]
         return begin, held
 
-    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for words, encoded.  Words of letters alone go many at a time,
         since the tokenizer tells which of its own words an id belongs to."""
         starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        alone = [_lettered(w) for w in words]
-        lettered = [n for n, yes in enumerate(alone) if yes]
-        rest = [n for n, yes in enumerate(alone) if not yes]
+        plain = _matches(words, _PLAIN_ALONE) if self.plain.usable else np.zeros(len(words), bool)
+        places, others = np.flatnonzero(plain), [np.flatnonzero(~plain)]
+        for first, after, ids, size in self.plain.encode(words.filter(pa.array(plain))) if len(places) else ():
+            part = places[first:after]
+            if size is None:
+                others.append(part)
+                continue
+            starts[part] = self.known.put(ids) + np.cumsum(size) - size
+            sizes[part] = size
+        others = np.concatenate(others)
+        words = dict(zip(others.tolist(), words.take(pa.array(others)).to_pylist()))
+        alone = {n: _lettered(w) for n, w in words.items()}
+        lettered = [n for n, yes in alone.items() if yes]
+        rest = [n for n, yes in alone.items() if not yes]
         parts = [lettered[at : at + TOGETHER] for at in range(0, len(lettered), TOGETHER)]
         texts = [" " + " ".join([words[n] for n in part]) for part in parts]
         for part, encoding in zip(parts, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
