@@ -91,6 +91,35 @@ def test_hot_prefixes_are_cut_into_segments():
     assert all(r["prefix"][0] == "\t" for r in told if "\tb c\t" in r["prefix"])
 
 
+def test_stripes_leave_in_small_batches(monkeypatch):
+    class Docs:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    draw = random.Random(7)
+    texts = [" ".join(f"w{draw.randrange(2_000)}" for _ in range(1_000)) for _ in range(80)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "fr"] * 40, "text": texts})
+    told = list(collocations.stripes(Docs(), ["w1 w2\ten"])(iter([batch])))
+    assert max(some.num_rows for some in told) <= 1 << 16 and max(some.nbytes for some in told) < 4 << 20
+    count = lambda names: sum(int(r["counts"].split(" ")[0]) for r in names)
+    rows = pa.Table.from_batches(told).to_pylist()
+    assert count(rows) == 2 * 80_000  # each word as a word and as the first of a prefix
+    assert len({r["prefix"] for r in rows}) == len(rows)
+
+
+def test_rare_prefixes_are_not_taken_apart(spark):
+    rows = [("\ta b\ten", "c d", "9 5 4"), ("\ta b\ten", "c", "4 4"), ("\trare x\ten", "y z", "9 5 4"),
+            ("3\ta c\ten", "q", "1 1"), ("3\t\ten", "q r", "21 20 1")]
+    told = spark.createDataFrame(rows, "prefix string, nexts string, counts string")
+    found = collocations.merged_stripes(told, 9)
+    assert sorted(map(tuple, found.collect())) == [
+        ("\ta b\ten", "\n", 13), ("\ta b\ten", "c", 9), ("\trare x\ten", "\n", 9),
+        ("3\t\ten", "\n", 21), ("3\t\ten", "q", 20), ("3\ta c\ten", "\n", 1),
+    ]
+    plan = collocations.merged_stripes(told, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")  # the window stands below
+
+
 def plain_search(docs, items, top):
     split = lambda text: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lower(text))
     bags = [(doc, Counter(split(text))) for doc, text in docs if split(text)]

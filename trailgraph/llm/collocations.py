@@ -31,6 +31,9 @@ TOP = 2000
 LONGEST = 3
 #: Bytes of text whose stripes are merged before they are shuffled.
 STRIPE_BYTES = 6 << 20
+#: Rows of stripes that leave a task at once, and bytes of text looked through for hot prefixes.
+BATCH_ROWS = 1 << 16
+HOT_BYTES = 2 << 20
 #: A prefix with more than this share of all words is hot, and cut into segments.
 HOT_SHARE = 1e-3
 SEGMENTS = 64
@@ -46,13 +49,13 @@ def _grams(lang: pa.Array, text: pa.Array) -> tuple[np.ndarray, ...]:
     places (0: the piece has ended); then the distinct languages and words."""
     words = words_of(text, byte_class(_GAPS), byte_class(_STOPS))
     langs = lang.dictionary_encode()
-    first = words.code.astype(np.int64) + 1
+    first = words.code + np.int32(1)
     second, third = np.zeros_like(first), np.zeros_like(first)
     goes_on = (words.row[1:] == words.row[:-1]) & (words.piece[1:] == words.piece[:-1])
     second[:-1][goes_on] = first[1:][goes_on]
     both = goes_on[:-1] & goes_on[1:]
     third[:-2][both] = first[2:][both]
-    place = langs.indices.to_numpy().astype(np.int64)[words.row]
+    place = langs.indices.to_numpy()[words.row]
     names = pa.concat_arrays([pa.array([""], pa.string()), words.distinct])
     return place, first, second, third, langs.dictionary.cast(pa.string()), names
 
@@ -63,17 +66,18 @@ def _counted(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
         return (*columns, np.zeros(0, np.int64))
     widths = [int(c.max()) + 1 for c in columns]
     if np.prod([float(w) for w in widths]) < 2.0**62:
-        key = columns[0]
+        key = columns[0].astype(np.int64)
         for column, width in zip(columns[1:], widths[1:]):
-            key = key * width + column
-        key = np.sort(key)
+            key *= width
+            key += column
+        key.sort()
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        rest, found = key[new], []
+        rows, rest, found = len(key), key[new], []
+        del key
         for width in reversed(widths[1:]):
-            found.append(rest % width)
-            rest = rest // width
-        found = [rest, *reversed(found)]
-        rows = len(key)
+            rest, digit = np.divmod(rest, width)
+            found.append(digit.astype(np.int32))
+        found = [rest.astype(np.int32), *reversed(found)]
     else:
         order = np.lexsort(columns[::-1])
         rows = len(order)
@@ -103,16 +107,18 @@ def hot_prefixes(docs: DataFrame, space) -> list[str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, batch.column(1), STRIPE_BYTES):
+            for rows in slices(batch, batch.column(1), min(HOT_BYTES, STRIPE_BYTES)):
                 place, first, second, _, langs, names = _grams(*rows.columns)
                 *pair, count = _counted(place, first, second)
-                del place, second
+                del place, second, _
                 often = count > HOT_SHARE / 2 * len(first)
                 told = _prefixes(*_taken((langs, names, names), [column[often] for column in pair]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.concat_arrays([told, pa.nulls(1, pa.string())]), pa.array([*count[often], len(first)])],
                     names=["prefix", "rows"],
                 )
+                del first, pair, count, often, told, langs, names
+                pa.default_memory_pool().release_unused()
 
     told = docs.mapInArrow(run, "prefix string, rows bigint").groupBy("prefix").agg(F.sum("rows").alias("rows"))
     told = space.write("hot", told).df
@@ -135,39 +141,60 @@ def stripes(docs: DataFrame, hot: list[str]) -> DataFrame:
                     continue
                 part = (hashes_of(names) % np.uint64(SEGMENTS)).astype(np.int64)
                 lang, segment, word, count = _counted(place, part[first], first)
-                prefix = pc.binary_join_element_wise(*_taken((parts, langs), [segment, lang]), "\t\t")
-                yield _stripes_of([lang, segment], prefix, word, count, names)
+                new = _starts([lang, segment])
+                prefix = pc.binary_join_element_wise(*_taken((parts, langs), [segment[new], lang[new]]), "\t\t")
+                yield from _stripes_of(new, prefix, word, count, names)
                 *key, word, count = _counted(place, first, second, third)
                 del place, first, second, third, lang
-                prefix = _prefixes(*_taken((langs, names, names), key))
-                cut = pc.is_in(prefix, wide).to_numpy(zero_copy_only=False)
-                key.append(np.where(cut, part[word], 0))
+                # of each pair of words, where its entries start, its prefix, and whether that is hot
+                new = _starts(key)
+                prefix = _prefixes(*_taken((langs, names, names), [column[new] for column in key]))
+                hot_pair = pc.is_in(prefix, wide).to_numpy(zero_copy_only=False)
+                pair = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(word))))
+                del key, new, langs
+                cut = hot_pair[pair]
+                segment = np.where(cut, part[word], 0).astype(np.int32)
                 if cut.any():  # the entries of a segment together
-                    order = np.lexsort((word, *key[::-1]))
-                    *key, word, count, cut = (column[order] for column in (*key, word, count, cut))
-                    prefix = prefix.take(pa.array(order))
-                segment = pc.if_else(pa.array(cut), parts.take(pa.array(key[-1])), "")
-                prefix = pc.binary_join_element_wise(segment, prefix, "\t")
-                yield _stripes_of(key, prefix, word, count, names)
-                del key, prefix, segment, word, count, cut
+                    order = np.lexsort((word, segment, pair))
+                    pair, segment, word, count = (column[order] for column in (pair, segment, word, count))
+                    del order
+                new = _starts([pair, segment])
+                pair, segment = pair[new], segment[new]
+                marks = pc.if_else(pa.array(hot_pair[pair]), parts.take(pa.array(segment)), "")
+                prefix = pc.binary_join_element_wise(marks, prefix.take(pa.array(pair)), "\t")
+                del cut, pair, segment, marks
+                yield from _stripes_of(new, prefix, word, count, names)
+                del new, prefix, word, count, names
                 pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, _STRIPES)
 
 
-def _stripes_of(key, prefix: pa.Array, word, count, names: pa.Array) -> pa.RecordBatch:
-    """One row for each run of entries with the same ``key``."""
+def _starts(key: list[np.ndarray]) -> np.ndarray:
+    """Where runs of rows with the same ``key`` start."""
     differs = np.logical_or.reduce([column[1:] != column[:-1] for column in key])
-    new = np.concatenate([[0], np.flatnonzero(differs) + 1]).astype(np.int64)
-    bounds = pa.array(np.append(new, len(word)).astype(np.int32))
-    nexts = pa.ListArray.from_arrays(bounds, names.take(pa.array(word)))
-    counts = pa.ListArray.from_arrays(bounds, pa.array(count).cast(pa.string()))
-    total = pa.array(np.add.reduceat(count, new)).cast(pa.string())
-    return pa.RecordBatch.from_arrays(
-        [prefix.take(pa.array(new)), pc.binary_join(nexts, " "),
-         pc.binary_join_element_wise(total, pc.binary_join(counts, " "), " ")],
-        names=["prefix", "nexts", "counts"],
-    )
+    return np.concatenate([[0], np.flatnonzero(differs) + 1])
+
+
+def _stripes_of(new, prefix: pa.Array, word, count, names: pa.Array) -> Iterator[pa.RecordBatch]:
+    """One row for each run of entries, which start at ``new``; ``BATCH_ROWS`` at a time."""
+    ends = np.append(new, len(word))
+    for at in range(0, len(new), BATCH_ROWS):
+        bounds = ends[at : at + BATCH_ROWS + 1]
+        first, after = int(bounds[0]), int(bounds[-1])
+        bounds = bounds - first
+        counts = count[first:after]
+        total = pa.array(np.add.reduceat(counts, bounds[:-1])).cast(pa.string())
+        bounds = pa.array(bounds.astype(np.int32))
+        nexts = pa.ListArray.from_arrays(bounds, names.take(pa.array(word[first:after])))
+        counts = pa.ListArray.from_arrays(bounds, pa.array(counts).cast(pa.string()))
+        # copied, so that the batch doesn't hold, or send, the prefixes of the others
+        some = prefix.take(pa.array(np.arange(at, at + len(bounds) - 1)))
+        yield pa.RecordBatch.from_arrays(
+            [some, pc.binary_join(nexts, " "),
+             pc.binary_join_element_wise(total, pc.binary_join(counts, " "), " ")],
+            names=["prefix", "nexts", "counts"],
+        )
 
 
 def merged_stripes(told: DataFrame, least: int) -> DataFrame:
@@ -175,14 +202,20 @@ def merged_stripes(told: DataFrame, least: int) -> DataFrame:
 
     Stripes meet by prefix, segment included, and are merged by an aggregation
     that needs no other shuffle and may spill.  What occurs fewer than ``least``
-    times is dropped here, but for totals of segments.
+    times is dropped here, but for totals of segments.  No entry of a prefix
+    occurs more often than the prefix, so rare prefixes go before their stripes
+    are taken apart.
     """
     entry = F.explode(
         F.arrays_zip(
             F.concat(F.array(F.lit(_TOTAL)), F.split("nexts", " ")).alias("next"), F.split("counts", " ").alias("n")
         )
     )
-    entries = told.repartition("prefix").select("prefix", entry.alias("entry"))
+    total = F.sum(F.substring_index("counts", " ", 1).cast("bigint")).over(Window.partitionBy("prefix"))
+    often = told.repartition("prefix").withColumn("total", total).filter(
+        (F.col("total") >= least) | ~F.col("prefix").startswith("\t")
+    )
+    entries = often.select("prefix", entry.alias("entry"))
     merged = (
         entries.select("prefix", F.col("entry.next").alias("next"), F.col("entry.n").cast("bigint").alias("n"))
         .groupBy("prefix", "next").agg(F.sum("n").alias("n"))
