@@ -59,6 +59,42 @@ def test_paired_tree_is_written_by_many_tasks(spark, tmp_path):
     assert {row["run"] for row in found} == {f"experiment={n % 3}/run={n}" for n in range(40)}
 
 
+def paired_records(spark, rows):
+    """Records of ``(experiment, run, lineage, duration)``."""
+    return spark.createDataFrame(rows, "experiment bigint, run string, lineage boolean, duration double").select(
+        "experiment", "run", "lineage", F.lit("bfs").alias("algorithm"), F.lit("wiki").alias("graph"),
+        F.struct(
+            F.col("run").alias("lineageDirectory"),
+            F.struct(F.col("duration").alias("duration"), F.lit("s").alias("unit")).alias("duration"),
+            F.lit(None).cast("array<struct<idx: int, messageCount: bigint>>").alias("iterations"),
+        ).alias("metadata"),
+    )
+
+
+def test_record_files_are_as_spark_writes_them_and_nothing_beside(spark, tmp_path):
+    names = ["a", "b c", "d=e/f", "g%h", "[i]{j}", "", None, "\u00fc"]
+    rows = [(None if n == 3 else n % 2, name, side, float(n)) for n, name in enumerate(names) for side in (True, False)]
+    rows.append((0, "a", True, 9.0))  # the same run and side once more
+    records = paired_records(spark, rows)
+    runlogs.save_paired(records, f"{tmp_path}/mine")
+    folders = ["experiment", "run", "lineage"]
+    written = records.withColumn("lineage", F.col("lineage").cast("string")).repartition(3, *folders)
+    written.write.option("maxRecordsPerFile", 1).partitionBy(*folders).json(f"{tmp_path}/spark")
+
+    def lines(root):
+        return sorted(
+            (os.path.relpath(place, root), open(f"{place}/{name}", encoding="utf-8").read())
+            for place, _, files in os.walk(root) for name in files if re.match("part-.*json$", name)
+        )
+
+    assert lines(f"{tmp_path}/mine") == lines(f"{tmp_path}/spark")
+    assert sum(len(files) for _, _, files in os.walk(f"{tmp_path}/mine")) == len(rows)
+    both = [sorted(map(str, runlogs.load_paired(spark, f"{tmp_path}/{root}").collect())) for root in ("mine", "spark")]
+    assert both[0] == both[1] and len(both[0]) == 9
+    with pytest.raises(FileExistsError):
+        runlogs.save_paired(records, f"{tmp_path}/mine")
+
+
 def test_runs_are_appended_by_many_tasks(spark, tmp_path):
     path = f"{tmp_path}/edges"
     rows = spark.range(60).select(

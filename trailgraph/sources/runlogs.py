@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailgraph.functions.text import format_label, is_compressed
-from trailgraph.workspace import write_partitions
+from trailgraph.workspace import local_folder, write_partitions
 
 # The fields of the run records; others are ignored.
 INPUTS = (
@@ -163,17 +170,64 @@ PAIRED = (
 )
 
 
+_FOLDERS = ("experiment", "run", "lineage")
+# How Spark names the folders of partitions.
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+_ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+
 def save_paired(records: DataFrame, root: str) -> None:
     """Write the tree that ``load_paired`` reads, a file per run and side, from
-    ``records`` with the columns ``experiment, run, lineage`` and those of ``PAIRED``."""
-    folders = ["experiment", "run", "lineage"]
-    (
-        records.withColumn("lineage", F.col("lineage").cast("string"))
-        .repartition(write_partitions(records.sparkSession), *folders)
-        .write.option("maxRecordsPerFile", 1)
-        .partitionBy(*folders)
-        .json(root)
+    ``records`` with the columns ``experiment, run, lineage`` and those of ``PAIRED``.
+
+    On a file system of the machine the tasks make the files themselves, as Hadoop
+    starts a process for each of them there and moves them one after another.
+    """
+    spark = records.sparkSession
+    dealt = records.withColumn("lineage", F.col("lineage").cast("string")).repartition(
+        write_partitions(spark), *_FOLDERS
     )
+    place = local_folder(spark, root)
+    if place is None:
+        dealt.write.option("maxRecordsPerFile", 1).partitionBy(*_FOLDERS).json(root)
+        return
+    os.makedirs(place)  # an error where it is there already
+    record = F.to_json(F.struct(*[F.col(name) for name in records.columns if name not in _FOLDERS]))
+    rows = dealt.select(*[F.col(name).cast("string") for name in _FOLDERS], record.alias("record"))
+    write = _record_writer(place, str(uuid.uuid4()))
+    rows.sortWithinPartitions(*_FOLDERS).mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+
+
+def _record_writer(place: str, token: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What writes each record to a file in its folder, for tasks that may not have this package.
+
+    The names do not depend on the attempt, and a file is renamed when whole: a
+    task that is run again replaces it.
+    """
+    folders, no_value, special = _FOLDERS, _NO_VALUE, _ESCAPED
+
+    def escaped(value: str | None) -> str:
+        return special.sub(lambda found: f"%{ord(found[0]):02X}", value) if value else no_value
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        last, number = None, 0
+        for batch in batches:
+            *names, records = [column.to_pylist() for column in batch.columns]
+            for *values, record in zip(*names, records):
+                folder = os.path.join(place, *[f"{name}={escaped(value)}" for name, value in zip(folders, values)])
+                number = number + 1 if folder == last else 0
+                if folder != last:
+                    os.makedirs(folder, exist_ok=True)
+                last = folder
+                name = f"part-{task.partitionId():05d}-{token}.c{number:03d}.json"
+                mine = os.path.join(folder, f".{name}.{task.taskAttemptId()}")
+                with open(mine, "w", encoding="utf-8", newline="\n") as file:
+                    file.write(f"{record}\n")
+                os.replace(mine, os.path.join(folder, name))
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    return write
 
 
 def load_paired(spark: SparkSession, root: str) -> DataFrame:

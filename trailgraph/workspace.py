@@ -136,6 +136,14 @@ def write_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """``path`` as the operating system knows it, or None where it is in another store."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    uri = hadoop_path.getFileSystem(conf).makeQualified(hadoop_path).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
