@@ -95,6 +95,22 @@ def test_record_files_are_as_spark_writes_them_and_nothing_beside(spark, tmp_pat
         runlogs.save_paired(records, f"{tmp_path}/mine")
 
 
+def test_folders_of_records_are_listed_by_few_tasks(spark, tmp_path):
+    rows = [(0, str(n), side, 1.0) for n in range(60) for side in (True, False)]
+    runlogs.save_paired(paired_records(spark, rows), f"{tmp_path}/records")
+    context, group = spark.sparkContext, f"listing-{tmp_path}"
+    context.setJobGroup(group, "listing")
+    try:
+        found = runlogs.load_paired(spark, f"{tmp_path}/records")
+        tracker = context.statusTracker()
+        stages = [stage for job in tracker.getJobIdsForGroup(group) for stage in tracker.getJobInfo(job).stageIds]
+        tasks = [tracker.getStageInfo(stage).numTasks for stage in stages]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) <= 8
+    assert found.count() == 60
+
+
 def test_runs_are_appended_by_many_tasks(spark, tmp_path):
     path = f"{tmp_path}/edges"
     rows = spark.range(60).select(

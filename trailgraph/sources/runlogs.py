@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -230,6 +231,19 @@ def _record_writer(place: str, token: str) -> Callable[[Iterator[pa.RecordBatch]
     return write
 
 
+@contextmanager
+def _listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by as many tasks as write them, and not by one for each of
+    up to 10,000 folders, which takes longer to start than to list."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, write_partitions(spark))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def load_paired(spark: SparkSession, root: str) -> DataFrame:
     """Each run with lineage next to its twin without, matched by path.
 
@@ -240,13 +254,14 @@ def load_paired(spark: SparkSession, root: str) -> DataFrame:
     """
     run = r"(experiment[-=][^/]+/run[-=][^/]+)/lineage[-=]"
     path = F.col("_metadata.file_path")
-    files = (
-        spark.read.schema(PAIRED)
-        .option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-        .json(root)
-    )
+    with _listing_tasks(spark):
+        files = (
+            spark.read.schema(PAIRED)
+            .option("multiLine", True)
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "*.json")
+            .json(root)
+        )
 
     def side(flag: str) -> DataFrame:
         inside = rf"/experiment[-=][^/]*/run[-=][^/]*/lineage[-=]{flag}/[^/]+$"
