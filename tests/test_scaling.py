@@ -125,6 +125,46 @@ def test_runs_are_appended_by_many_tasks(spark, tmp_path):
     assert sorted(row["seq"] for row in stored.collect()) == list(range(60))
 
 
+def edges_of_runs(spark, runs, seqs):
+    """Provenance edges ``(run, seq)``, for each of ``runs``, which may be None."""
+    rows = [(run, seq, seq, seq + 1, "operation", "mapVertices", {"i": str(seq)}) for run in runs for seq in seqs]
+    return spark.createDataFrame(rows, tables.PROV_EDGES)
+
+
+def test_appended_runs_need_no_folder_each(spark, tmp_path):
+    path = f"{tmp_path}/edges"
+    first, second = [f"a{n}" for n in range(50)], [f"b{n}" for n in range(50)]
+    for runs, seqs in ((first, (1, 2)), (second, (1,)), (first, (3, 4))):
+        tables.append_runs(edges_of_runs(spark, runs, seqs), path)
+    places = [place for place, _, files in os.walk(path) if any(name.endswith(".parquet") for name in files)]
+    assert len(places) == 2  # the first folder is gone, as all of its runs were written again
+    found = tables.stored_runs(spark, path, tables.PROV_EDGES).collect()
+    expected = [(run, seq) for run in first for seq in (3, 4)] + [(run, 1) for run in second]
+    assert sorted((row["run_id"], row["seq"]) for row in found) == sorted(expected)
+
+
+def test_runs_of_several_appends_are_read_from_the_last(spark, tmp_path):
+    path = f"{tmp_path}/edges"
+    for runs, seqs in (
+        (["a", "b", None], (1, 1)), (["b", "c"], (2,)), (["", "d"], (3,)), ([], ()), (["c", "b"], (4,)), (["a"], (5,)),
+    ):
+        tables.append_runs(edges_of_runs(spark, runs, seqs), path)
+    stored = tables.stored_runs(spark, path, tables.PROV_EDGES)
+    expected = [("a", 5), ("b", 4), ("c", 4), ("d", 3), (None, 3)]  # a run without a name has none either way
+    assert sorted(((r["run_id"], r["seq"]) for r in stored.collect()), key=str) == sorted(expected, key=str)
+    assert [(r["run_id"], r["params"]) for r in stored.filter("run_id = 'b'").collect()] == [("b", {"i": "4"})]
+
+
+def test_a_failed_append_leaves_the_table(spark, tmp_path):
+    path = f"{tmp_path}/edges"
+    rows = edges_of_runs(spark, ["a", "b"], (1,))
+    tables.append_runs(rows, path)
+    with pytest.raises(Exception, match="no such run"):
+        tables.append_runs(rows.withColumn("seq", F.expr("CAST(raise_error('no such run') AS BIGINT)")), path)
+    assert sorted(r["run_id"] for r in tables.stored_runs(spark, path, tables.PROV_EDGES).collect()) == ["a", "b"]
+    assert len(os.listdir(path)) == 1
+
+
 def test_stored_formats_read_a_table(spark, monkeypatch):
     seen = []
     plain = queries.write_snapshot

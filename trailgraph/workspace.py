@@ -138,13 +138,30 @@ def write_partitions(spark: SparkSession) -> int:
 
 def local_folder(spark: SparkSession, path: str) -> str | None:
     """``path`` as the operating system knows it, or None where it is in another store."""
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    uri = hadoop_path.getFileSystem(conf).makeQualified(hadoop_path).toUri()
+    hadoop_path, files = _located(spark, path)
+    uri = files.makeQualified(hadoop_path).toUri()
     return uri.getPath() if uri.getScheme() == "file" else None
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what stands in a folder, in order; none if there is no such folder."""
+    hadoop_path, files = _located(spark, path)
+    if not files.exists(hadoop_path):
+        return []
+    return sorted(status.getPath().getName() for status in files.listStatus(hadoop_path))
+
+
+def rename_path(spark: SparkSession, path: str, new: str) -> None:
+    hadoop_path, files = _located(spark, path)
+    if not files.rename(hadoop_path, _located(spark, new)[0]):
+        raise OSError(f"{path} could not be renamed to {new}")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
+    hadoop_path, files = _located(spark, path)
+    files.delete(hadoop_path, True)
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
