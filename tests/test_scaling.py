@@ -5,6 +5,7 @@ import os
 import re
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tests.test_algorithms import random_graph
@@ -125,6 +126,32 @@ def test_runs_are_appended_by_many_tasks(spark, tmp_path):
     assert sorted(row["seq"] for row in stored.collect()) == list(range(60))
 
 
+@pytest.mark.parametrize("most", [3, 20_000])
+def test_records_are_read_so_many_runs_at_a_time(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(runlogs, "FOLDERS_PER_PASS", most)
+    seen = []
+    plain = runlogs._json_files
+    monkeypatch.setattr(runlogs, "_json_files", lambda spark, paths: seen.append(len(paths)) or plain(spark, paths))
+    names = ["run-1", "run-2", "run-[3]", "run-4 {a,b}", "run-5*", "run=6"]
+    places = [f"experiment-{n}/{name}" for n in (1, 2) for name in names]
+    outside = ["notes/experiment-9/run-8", "_old/experiment-3/run-1", "experiment-1/.run-7"]
+    for place in places + outside:
+        for side, seconds in (("true", 3.0), ("false", 2.0)):
+            os.makedirs(f"{tmp_path}/{place}/lineage-{side}")
+            with open(f"{tmp_path}/{place}/lineage-{side}/metrics.json", "w") as file:
+                json.dump({"algorithm": "pr", "graph": "w", "metadata": {"duration": {"duration": seconds}}}, file)
+    found = runlogs.load_paired(spark, str(tmp_path)).collect()
+    assert len(found) == len(places) + 1 and len({row["run"] for row in found}) == len(found)
+    assert {(row["with_lineage"], row["without_lineage"]) for row in found} == {(3.0, 2.0)}
+    assert max(seen) <= most and (len(seen) > 1) == (most == 3)
+    for root, runs in (("experiment-1", 6), ("experiment-*", 12), ("experiment-1/run-1", 1), ("notes", 1)):
+        assert runlogs.load_paired(spark, f"{tmp_path}/{root}").count() == runs
+    os.makedirs(f"{tmp_path}/nothing")
+    assert runlogs.load_paired(spark, f"{tmp_path}/nothing").count() == 0
+    with pytest.raises(AnalysisException):
+        runlogs.load_paired(spark, f"{tmp_path}/missing").count()
+
+
 def edges_of_runs(spark, runs, seqs):
     """Provenance edges ``(run, seq)``, for each of ``runs``, which may be None."""
     rows = [(run, seq, seq, seq + 1, "operation", "mapVertices", {"i": str(seq)}) for run in runs for seq in seqs]

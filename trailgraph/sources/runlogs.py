@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailgraph.functions.text import format_label, is_compressed
-from trailgraph.workspace import local_folder, write_partitions
+from trailgraph.workspace import Workspace, local_folder, write_partitions
 
 # The fields of the run records; others are ignored.
 INPUTS = (
@@ -232,16 +232,70 @@ def _record_writer(place: str, token: str) -> Callable[[Iterator[pa.RecordBatch]
 
 
 @contextmanager
-def _listing_tasks(spark: SparkSession) -> Iterator[None]:
+def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
     """Folders are listed by as many tasks as write them, and not by one for each of
-    up to 10,000 folders, which takes longer to start than to list."""
-    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    before = spark.conf.get(key)
-    spark.conf.set(key, write_partitions(spark))
+    up to 10,000 folders, which takes longer to start than to list.  What was found
+    is not kept for a second listing, which there is not."""
+    held = {
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(write_partitions(spark)),
+        "spark.sql.hive.filesourcePartitionFileCacheSize": "0",
+    }
+    before = {key: spark.conf.get(key) for key in held}
     try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+#: Folders of runs that are listed and read at once; the driver holds their files alone.
+FOLDERS_PER_PASS = 20_000
+_HIDDEN = re.compile(r"_(?!common_metadata|metadata)[^=]*|\..*|.*\._COPYING_")
+
+
+def _passes(spark: SparkSession, root: str) -> Iterator[list[str]]:
+    """What stands two levels below ``root``, so many at a time, whatever it is.
+
+    Paths come from Hadoop as one text, as a call for each takes longer than to list them.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
+
+    def paths(found) -> list[str]:
+        several = jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found)
+        joined = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(several).mkString("\0")
+        return sorted(joined.split("\0")) if joined else []
+
+    def inside(folder: str) -> list[str]:
+        found = paths(files.listStatus(jvm.org.apache.hadoop.fs.Path(folder)))
+        return [path for path in found if path == folder or not _HIDDEN.fullmatch(path.rsplit("/", 1)[1])]
+
+    waiting: list[str] = []
+    tops = files.globStatus(jvm.org.apache.hadoop.fs.Path(root))
+    for top in [] if tops is None else paths(tops):
+        for folder in inside(top):
+            waiting += inside(folder)
+            while len(waiting) >= FOLDERS_PER_PASS:
+                yield waiting[:FOLDERS_PER_PASS]
+                waiting = waiting[FOLDERS_PER_PASS:]
+    if waiting:
+        yield waiting
+
+
+def _json_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The documents below ``paths``, which are no patterns."""
+    reader = (
+        spark.read.schema(PAIRED)
+        .option("multiLine", True)
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.json")
+    )
+    many = spark.sparkContext._jvm.org.apache.commons.lang3.StringUtils.split("\0".join(paths), "\0")
+    with _few_listing_tasks(spark):
+        return DataFrame(reader.option("__globPaths__", "false")._jreader.json(many), spark)
 
 
 def load_paired(spark: SparkSession, root: str) -> DataFrame:
@@ -249,26 +303,31 @@ def load_paired(spark: SparkSession, root: str) -> DataFrame:
 
     The tree below ``root`` has a folder per experiment, run and side; what
     stands there is one JSON document, or a file of one written by Spark, whose
-    folders are named ``experiment=...`` and so on.  The tree is listed once for
-    both sides, the folders of an experiment by many tasks.
+    folders are named ``experiment=...`` and so on.  The tree is listed and read
+    once for both sides, so many runs at a time, each by many tasks.
     """
     run = r"(experiment[-=][^/]+/run[-=][^/]+)/lineage[-=]"
+    inside = r"/experiment[-=][^/]*/run[-=][^/]*/lineage[-=](true|false)/[^/]+$"
     path = F.col("_metadata.file_path")
-    with _listing_tasks(spark):
-        files = (
-            spark.read.schema(PAIRED)
-            .option("multiLine", True)
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.json")
-            .json(root)
+
+    def read(files: DataFrame) -> DataFrame:
+        return files.filter(path.rlike(inside)).select(
+            "algorithm", "graph", "metadata",
+            F.regexp_extract(path, run, 1).alias("run"), F.regexp_extract(path, inside, 1).alias("side"),
         )
 
-    def side(flag: str) -> DataFrame:
-        inside = rf"/experiment[-=][^/]*/run[-=][^/]*/lineage[-=]{flag}/[^/]+$"
-        return files.filter(path.rlike(inside)).withColumn("run", F.regexp_extract(path, run, 1))
+    place = f"{Workspace(spark, 'paired').path}/read"
+    rows = None
+    for paths in _passes(spark, root):
+        rows = read(_json_files(spark, paths))
+        rows.coalesce(write_partitions(spark)).write.mode("append").parquet(place)
+    if rows is None:  # nothing is there, which is an error if there is no such folder
+        rows = read(spark.read.schema(PAIRED).json(root))
+        rows.write.parquet(place)
+    found = spark.read.schema(rows.schema).parquet(place)
 
     duration = F.col("metadata.duration.duration")
-    with_lineage = side("true").select(
+    with_lineage = found.filter("side = 'true'").select(
         "run",
         "algorithm",
         F.col("graph").alias("dataset"),
@@ -276,7 +335,7 @@ def load_paired(spark: SparkSession, root: str) -> DataFrame:
         F.col("metadata.iterations").alias("rounds"),
         F.col("metadata.lineageDirectory").alias("lineage_id"),
     )
-    without = side("false").select("run", duration.alias("without_lineage"))
+    without = found.filter("side = 'false'").select("run", duration.alias("without_lineage"))
     return with_lineage.join(without, "run").select(
         "run", "algorithm", "dataset", "with_lineage", "without_lineage",
         F.coalesce(F.size("rounds"), F.lit(0)).alias("iterations"), "rounds", "lineage_id",
