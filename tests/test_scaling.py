@@ -92,7 +92,7 @@ def test_record_files_are_as_spark_writes_them_and_nothing_beside(spark, tmp_pat
     assert sum(len(files) for _, _, files in os.walk(f"{tmp_path}/mine")) == len(rows)
     both = [sorted(map(str, runlogs.load_paired(spark, f"{tmp_path}/{root}").collect())) for root in ("mine", "spark")]
     assert both[0] == both[1] and len(both[0]) == 9
-    with pytest.raises(FileExistsError):
+    with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
         runlogs.save_paired(records, f"{tmp_path}/mine")
 
 

@@ -8,12 +8,12 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailgraph.functions.text import format_label, is_compressed
-from trailgraph.workspace import Workspace, local_folder, write_partitions
+from trailgraph.workspace import Workspace, listed_paths, local_folder, located, write_partitions
 
 # The fields of the run records; others are ignored.
 INPUTS = (
@@ -192,25 +192,29 @@ def save_paired(records: DataFrame, root: str) -> None:
     if place is None:
         dealt.write.option("maxRecordsPerFile", 1).partitionBy(*_FOLDERS).json(root)
         return
-    os.makedirs(place)  # an error where it is there already
+    if os.path.exists(place):
+        raise AnalysisException(f"[PATH_ALREADY_EXISTS] Path {root} already exists.")
+    os.makedirs(place)
     record = F.to_json(F.struct(*[F.col(name) for name in records.columns if name not in _FOLDERS]))
     rows = dealt.select(*[F.col(name).cast("string") for name in _FOLDERS], record.alias("record"))
     write = _record_writer(place, str(uuid.uuid4()))
     rows.sortWithinPartitions(*_FOLDERS).mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
 
 
-def _record_writer(place: str, token: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _record_writer(place: str, token: str) -> Callable[[Iterator], Iterator]:
     """What writes each record to a file in its folder, for tasks that may not have this package.
 
     The names do not depend on the attempt, and a file is renamed when whole: a
     task that is run again replaces it.
     """
+    import pyarrow as pa
+
     folders, no_value, special = _FOLDERS, _NO_VALUE, _ESCAPED
 
     def escaped(value: str | None) -> str:
         return special.sub(lambda found: f"%{ord(found[0]):02X}", value) if value else no_value
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator) -> Iterator:
         task = TaskContext.get()
         last, number = None, 0
         for batch in batches:
@@ -240,14 +244,14 @@ def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
         "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(write_partitions(spark)),
         "spark.sql.hive.filesourcePartitionFileCacheSize": "0",
     }
-    before = {key: spark.conf.get(key) for key in held}
+    before = {key: spark.conf.get(key, None) for key in held}
     try:
         for key, value in held.items():
             spark.conf.set(key, value)
         yield
     finally:
         for key, value in before.items():
-            spark.conf.set(key, value)
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 #: Folders of runs that are listed and read at once; the driver holds their files alone.
@@ -256,26 +260,16 @@ _HIDDEN = re.compile(r"_(?!common_metadata|metadata)[^=]*|\..*|.*\._COPYING_")
 
 
 def _passes(spark: SparkSession, root: str) -> Iterator[list[str]]:
-    """What stands two levels below ``root``, so many at a time, whatever it is.
-
-    Paths come from Hadoop as one text, as a call for each takes longer than to list them.
-    """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    files = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
-
-    def paths(found) -> list[str]:
-        several = jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found)
-        joined = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(several).mkString("\0")
-        return sorted(joined.split("\0")) if joined else []
+    """What stands two levels below ``root``, so many at a time, whatever it is."""
+    pattern, files = located(spark, root)
 
     def inside(folder: str) -> list[str]:
-        found = paths(files.listStatus(jvm.org.apache.hadoop.fs.Path(folder)))
+        found = listed_paths(spark, files.listStatus(located(spark, folder)[0]))
         return [path for path in found if path == folder or not _HIDDEN.fullmatch(path.rsplit("/", 1)[1])]
 
     waiting: list[str] = []
-    tops = files.globStatus(jvm.org.apache.hadoop.fs.Path(root))
-    for top in [] if tops is None else paths(tops):
+    tops = files.globStatus(pattern)
+    for top in [] if tops is None else listed_paths(spark, tops):
         for folder in inside(top):
             waiting += inside(folder)
             while len(waiting) >= FOLDERS_PER_PASS:

@@ -136,32 +136,40 @@ def write_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def located(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's path of ``path``, and the file system that it is in."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def local_folder(spark: SparkSession, path: str) -> str | None:
     """``path`` as the operating system knows it, or None where it is in another store."""
-    hadoop_path, files = _located(spark, path)
+    hadoop_path, files = located(spark, path)
     uri = files.makeQualified(hadoop_path).toUri()
     return uri.getPath() if uri.getScheme() == "file" else None
 
 
+def listed_paths(spark: SparkSession, statuses) -> list[str]:
+    """The paths of a Hadoop listing, in order.  They come as one text, as a call for
+    each takes longer than to list them."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(statuses)
+    joined = spark.sparkContext._jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(paths).mkString("\0")
+    return sorted(joined.split("\0")) if joined else []
+
+
 def folder_names(spark: SparkSession, path: str) -> list[str]:
     """The names of what stands in a folder, in order; none if there is no such folder."""
-    hadoop_path, files = _located(spark, path)
-    if not files.exists(hadoop_path):
-        return []
-    return sorted(status.getPath().getName() for status in files.listStatus(hadoop_path))
+    hadoop_path, files = located(spark, path)
+    found = listed_paths(spark, files.listStatus(hadoop_path)) if files.exists(hadoop_path) else []
+    return [each.rsplit("/", 1)[1] for each in found]
 
 
 def rename_path(spark: SparkSession, path: str, new: str) -> None:
-    hadoop_path, files = _located(spark, path)
-    if not files.rename(hadoop_path, _located(spark, new)[0]):
+    hadoop_path, files = located(spark, path)
+    if not files.rename(hadoop_path, located(spark, new)[0]):
         raise OSError(f"{path} could not be renamed to {new}")
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    hadoop_path, files = _located(spark, path)
+    hadoop_path, files = located(spark, path)
     files.delete(hadoop_path, True)
-
-
-def _located(spark: SparkSession, path: str) -> tuple:
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
